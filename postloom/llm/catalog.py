@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import byte_bpe, chat, decontaminate, packing, pii, quality, secrets, token_counts
+from postloom.llm import byte_bpe, chat, decontaminate, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts
 from postloom.llm.common import scratch
 
 #: Parameter of the pseudonyms; production runs pass their own secret.
@@ -54,11 +54,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_low", "chunk_high", "reason")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -68,7 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_token_counts, op4_chat_format, op5_byte_bpe, op6_token_files, op8_quality, op10_secrets)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_token_counts, op4_chat_format, op5_byte_bpe, op6_token_files, op7_near_dedup, op8_quality, op9_substring_dedup, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
