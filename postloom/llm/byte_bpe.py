@@ -8,7 +8,7 @@ no token: the bytes form a linked list, and a heap of neighbouring pairs by rank
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import Memo, map_rows, null_safe_id
+from postloom.llm.pieces import PieceEncoder
 
 _M = (1 << 64) - 1
 
@@ -83,7 +84,7 @@ class ByteBPE:
         for k, i in ranks.items():
             self.tokens[i] = k
         self.pre = Memo(self._pre_token, 150_000)
-        self.pieces = Memo(self._piece)
+        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"]) if b"\n" in ranks else None
 
     @staticmethod
     def load(path: str, pattern: str) -> ByteBPE:
@@ -121,46 +122,20 @@ class ByteBPE:
             i = end[i]
         return out
 
-    def _piece(self, piece: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         ids: list[int] = []
-        for w in self.pattern.findall(piece):
+        for w in self.pattern.findall(text):
             ids += self.pre[w]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, pieces(text)))
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        return list(self.pieces.rows(texts)) if self.pieces else [self.encode(t or "") for t in texts.to_pylist()]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_RUNS = regex.compile(r"[^\S \n]|[ \n]\s")
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut before single spaces and line feeds that stand between other characters: no pre-token spans such a place. Concatenated, the pieces are the text. Where white space is of other kinds or repeated, it is one piece with what surrounds it."""
-    if not text:
-        return []
-    if not _RUNS.search(text):
-        return _simple(text)
-    out, at = [], 0
-    for m in _SAFE.finditer(text):
-        out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:])
-    return [x for x in out if x]
-
-
-_SAFE = regex.compile(r"(?<=\S)[ \n](?=\S)")
-
-
-def _simple(text: str) -> list[str]:
-    first, *rest = text.replace("\n", " \n").split(" ")
-    out = [x if x[:1] == "\n" else " " + x for x in rest]
-    return [first, *out] if first else out
-
-
 @lru_cache(4)
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """One for each file and Python worker."""
@@ -176,7 +151,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = tokenizer(path, pattern)
-        ids = [t.encode(x or "") for x in batch.column(1).to_pylist()]
+        ids = t.encode_column(batch.column(1))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return map_rows(null_safe_id(docs, doc_id, text), rows, "doc_id long, n_tokens long, ids binary")

@@ -19,11 +19,13 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from postloom.llm.common import Memo, map_rows, null_safe_id
+from postloom.llm.common import Memo, map_rows, null_safe_id, text_slices
 
 
 #: Lower-case mappings of Unicode 16 that Python's tables may lack.
@@ -197,6 +199,14 @@ class Counter:
     def total(self, m: tuple) -> int:
         return sum(self.stretches[x] if isinstance(x, bytes) else x for x in m if x)
 
+    def column(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; each distinct stretch of the column is looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        each = np.fromiter((self.stretches[x.encode()] if x else 0 for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
+        return np.diff(total[lists.offsets.to_numpy()])
+
     def count(self, raw: bytes, chunk_bytes: int = 1 << 16) -> int:
         if len(raw) <= chunk_bytes:
             return sum(map(self.stretches.__getitem__, raw.split()))
@@ -218,6 +228,7 @@ def scan(items: list, compose: Callable) -> list:
     return out
 
 
+SLICE = 12 << 20
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 _COUNTERS: dict[str, Counter] = {}
 
@@ -239,7 +250,16 @@ def token_counts(docs: DataFrame, path: str, chunk_bytes: int = 1 << 16, doc_id:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path)
-        raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array([c.count(r, chunk_bytes) for r in raws], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        sizes, counts = [], []
+        for a, b, _, bounds in text_slices(batch.column(1), SLICE):
+            texts = batch.column(1).slice(a, b - a).cast(pa.large_string()).fill_null("")
+            size = np.diff(bounds)
+            long = size > chunk_bytes
+            n = c.column(pc.if_else(pa.array(long), pa.scalar("", pa.large_string()), texts))
+            for i in np.flatnonzero(long):
+                n[i] = c.count(texts[i].as_py().encode(), chunk_bytes)
+            sizes.append(size)
+            counts.append(n)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return map_rows(null_safe_id(docs, doc_id, text), rows, SCHEMA)
