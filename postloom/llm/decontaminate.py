@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +180,43 @@ SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<strin
 BLOCK_BYTES = 16 << 20
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> Broadcast:
+    """The items' words, for all tasks, after a check of their size."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null and id is not null")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if size > BLOCK_BYTES:
+        raise ValueError(f"{size} bytes of benchmark text; split the benchmark into parts of {BLOCK_BYTES} bytes and run once for each")
+    return benchmark.sparkSession.sparkContext.broadcast([(r["id"], words_of(r["t"])) for r in rows.orderBy("id", "t").toLocalIterator()])
+
+
+def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle."""
+    shared, place = _items(benchmark, item_id, item_text), docs.columns.index(text)
+    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = None
+        for batch in batches:
+            machine = machine or SuffixAutomaton(shared.value, window)
+            texts, keep = batch.column(place).to_pylist(), []
+            sizes = batch.column(count).to_pylist() if count is not None else []
+            for i, t in enumerate(texts):
+                words = words_of(t)
+                spans, _ = machine.hits(words)
+                keep.append(not spans or sum(b - a for a, b in spans) < max_coverage * len(words))
+                if spans:
+                    texts[i] = cut(t, spans)
+                    if sizes:
+                        sizes[i] = len(texts[i])
+            columns = list(batch.columns)
+            columns[place] = pa.array(texts, columns[place].type)
+            if sizes:
+                columns[count] = pa.array(sizes, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_text: bool = True) -> DataFrame:
     """One row for each document: words hit, items found, and the text without the hit spans.
 
@@ -188,12 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     `BLOCK_BYTES` of item text at most (checked; more is refused, as benchmarks are small by
     nature), travels with the tasks. `with_text=False` leaves clean_text null.
     """
-    items_df = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null and id is not null")
-    size = items_df.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > BLOCK_BYTES:
-        raise ValueError(f"{size} bytes of benchmark text; split the benchmark into parts of {BLOCK_BYTES} bytes and run once for each")
-    items = [(r["id"], words_of(r["t"])) for r in items_df.orderBy("id", "t").toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = _items(benchmark, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = None

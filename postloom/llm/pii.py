@@ -150,15 +150,9 @@ def any_kind(kinds: tuple[Kind, ...] = KINDS) -> str:
     return "|".join(out)
 
 
-def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text with each personal value replaced by its pseudonym, n_values, and `kinds` (map of kind to count; only kinds found).
-
-    Matches are leftmost and do not overlap; a match that fails its kind's check (Luhn, calendar)
-    stays. Null text stays null, empty stays empty, both with no values; repeated rows and null ids
-    are kept. No shuffle.
-    """
+def _found(docs: DataFrame, key: str, kinds: tuple[Kind, ...], text: str) -> DataFrame:
+    """r (the row as it was), t (its text), f (null, or gaps between matches, and for each match its kind or null and what stands in its place)."""
     pattern = any_kind(kinds)
-    t = F.col("t")
 
     def moved(m: Column) -> Column:
         out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("out"))
@@ -166,9 +160,31 @@ def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc
             out = F.when(m.rlike(f"^(?:{k.pattern})$") & k.valid(m), F.struct(F.lit(k.name).alias("kind"), k.permute(m, key).alias("out"))).otherwise(out)
         return out
 
+    t = F.col("t")
     found = F.when(t.rlike(pattern), F.struct(F.split(t, pattern, -1).alias("gaps"), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), moved).alias("values")))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).withColumn("f", found)
-    out = F.array_join(F.flatten(F.zip_with("f.gaps", F.transform("f.values", lambda v: v["out"]), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text}`").alias("t")).withColumn("f", found)
+
+
+def _rebuilt() -> Column:
+    parts = F.zip_with("f.gaps", F.transform("f.values", lambda v: v["out"]), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))
+    return F.when(F.col("f").isNull(), F.col("t")).otherwise(F.array_join(F.flatten(parts), ""))
+
+
+def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text with each personal value replaced by its pseudonym, n_values, and `kinds` (map of kind to count; only kinds found).
+
+    Matches are leftmost and do not overlap; a match that fails its kind's check (Luhn, calendar)
+    stays. Null text stays null, empty stays empty, both with no values; repeated rows and null ids
+    are kept. Dates outside 1901 to 2099 stay. No shuffle.
+    """
     names = F.filter(F.transform("f.values", lambda v: v["kind"]), lambda k: k.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct("names")), lambda n: F.struct(n.alias("key"), F.size(F.filter("names", lambda k: k == n)).cast("long").alias("value"))))
-    return rows.withColumn("names", F.coalesce(names, F.array().cast("array<string>"))).select("doc_id", F.when(F.col("f").isNull(), t).otherwise(out).alias("text"), F.size("names").cast("long").alias("n_values"), counts.alias("kinds"))
+    rows = _found(docs, key, kinds, text).withColumn("names", F.coalesce(names, F.array().cast("array<string>")))
+    return rows.select(F.col("r").getField(doc_id).alias("doc_id"), _rebuilt().alias("text"), F.size("names").cast("long").alias("n_values"), counts.alias("kinds"))
+
+
+def pseudonymize_documents(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The same documents and columns, with pseudonyms in the text and the characters counted anew."""
+    rows = _found(docs, key, kinds, text).withColumn("new", _rebuilt())
+    changed = {text: F.col("new")} | ({n_chars: F.length("new").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
+    return rows.select(*[changed.get(c, F.col("r").getField(c)).alias(c) for c in docs.columns])
