@@ -18,15 +18,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import Memo, map_rows, null_safe_id
+from postloom.llm.common import Memo, map_rows, null_safe_id, small_batches
 from postloom.llm.pieces import PieceEncoder
 
 _M = (1 << 64) - 1
 
 
-def _hash(key: bytes, seed: int) -> int:
-    """64 bits of the bytes as one number, its length and a seed."""
-    x = (int.from_bytes(key, "little") % 0xFFFFFFFFFFFFFFC5 + len(key) * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93) & _M
+def _hash(key: bytes) -> int:
+    """64 bits of the bytes as one number, and its length."""
+    x = (int.from_bytes(key, "little") % 0xFFFFFFFFFFFFFFC5 + len(key) * 0x9E3779B97F4A7C15) & _M
     x = ((x ^ (x >> 32)) * 0xBF58476D1CE4E5B9) & _M
     x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & _M
     return x ^ (x >> 32)
@@ -38,10 +38,10 @@ class PerfectHash:
     def __init__(self, keys: list[bytes], load: int = 4):
         n = max(1, len(keys))
         self.n, self.buckets = n, max(1, n // load)
-        grouped: list[list[tuple[bytes, int, int]]] = [[] for _ in range(self.buckets)]
+        grouped: list[list[tuple[bytes, int]]] = [[] for _ in range(self.buckets)]
         for k in keys:
-            h = _hash(k, 0)
-            grouped[h % self.buckets].append((k, (h >> 20) % n, 1 + (h >> 41) % max(1, n - 1)))
+            h = _hash(k)
+            grouped[h % self.buckets].append((k, h))
         self.shift, self.slots = [0] * self.buckets, [None] * n
         free = list(range(n - 1, -1, -1))
         for b in sorted(range(self.buckets), key=lambda b: -len(grouped[b])):
@@ -54,7 +54,7 @@ class PerfectHash:
                 continue
             d = 0
             while group:
-                at = [self._slot(a, c, d) for _, a, c in group]
+                at = [self._slot(h, d) for _, h in group]
                 if len(set(at)) == len(at) and all(self.slots[x] is None for x in at):
                     for (k, *_), x in zip(group, at):
                         self.slots[x] = k
@@ -62,14 +62,16 @@ class PerfectHash:
                     break
                 d += 1
 
-    def _slot(self, a: int, c: int, d: int) -> int:
-        return (a + c * (d % self.n) + (d // self.n) * d) % self.n
+    def _slot(self, h: int, d: int) -> int:
+        x = ((h ^ (h >> 31)) + d * 0x9E3779B97F4A7C15) & _M
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M
+        return (x ^ (x >> 31)) % self.n
 
     def find(self, key: bytes) -> int:
         """The key's slot, or -1 if it isn't one of the keys."""
-        h = _hash(key, 0)
+        h = _hash(key)
         d = self.shift[h % self.buckets]
-        at = -d - 1 if d < 0 else self._slot((h >> 20) % self.n, 1 + (h >> 41) % max(1, self.n - 1), d)
+        at = -d - 1 if d < 0 else self._slot(h, d)
         return at if self.slots[at] == key else -1
 
 
@@ -83,7 +85,10 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, i in ranks.items():
             self.tokens[i] = k
-        self.pre = Memo(self._pre_token, 150_000)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.pre = Memo(self._pre_token, 250_000)
         self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"]) if b"\n" in ranks else None
 
     @staticmethod
@@ -132,8 +137,14 @@ class ByteBPE:
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         return list(self.pieces.rows(texts)) if self.pieces else [self.encode(t or "") for t in texts.to_pylist()]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, rows: list[bytes]) -> list[bytes]:
+        """The bytes of each row of ids: all tokens' bytes gathered at once."""
+        ids = np.frombuffer(b"".join(rows), "<u4")
+        length = self.lengths[ids]
+        ends = np.cumsum(length)
+        out = self.flat[np.repeat(self.begins[ids] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0] + [len(r) // 4 for r in rows])].tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(4)
@@ -157,12 +168,28 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return map_rows(null_safe_id(docs, doc_id, text), rows, "doc_id long, n_tokens long, ids binary")
 
 
+def _decoded(t: ByteBPE, rows: list[bytes | None]) -> list[bytes | None]:
+    out = iter(t.decode([r for r in rows if r is not None]))
+    return [None if r is None else next(out) for r in rows]
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids and `decoded` (bytes) of what encode() gives; null ids decode to null."""
+    small_batches(encoded.sparkSession)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = tokenizer(path, pattern)
-        out = [None if x is None else t.decode(x) for x in batch.column(2).to_pylist()]
+        out = _decoded(tokenizer(path, pattern), batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return map_rows(encoded.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), "ids"), rows, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What decode(encode(docs)) gives, made in one pass over the texts: each batch's ids are encoded, then decoded."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = tokenizer(path, pattern)
+        ids = t.encode_column(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(_decoded(t, ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return map_rows(null_safe_id(docs, doc_id, text), rows, "doc_id long, n_tokens long, ids binary, decoded binary")

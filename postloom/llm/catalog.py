@@ -45,7 +45,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *at), *at)
+    out = byte_bpe.round_trip(table(spark, sf_dir, "documents"), *at)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

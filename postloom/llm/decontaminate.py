@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import null_safe_id
+from postloom.llm.common import null_safe_id, small_batches
 
 _KEEP = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else _KEEP[b] for b in range(256))
@@ -191,6 +191,7 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> Broadcast:
 
 def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle."""
+    small_batches(docs.sparkSession)
     shared, place = _items(benchmark, item_id, item_text), docs.columns.index(text)
     count = docs.columns.index(n_chars) if n_chars in docs.columns else None
 

@@ -22,24 +22,29 @@ SLICE = 12 << 20
 
 
 class PieceEncoder:
-    """`resolve` maps pieces (a space or nothing, then no white space) to their ids; `whole` does so for any text. Ids are little-endian 32-bit integers in bytes. `break_id` is that of a line feed. Up to `limit` pieces are remembered, then all are forgotten."""
+    """`resolve` maps pieces (a space or nothing, then no white space) to their ids; `whole` does so for any text. Ids are little-endian 32-bit integers in bytes. `break_id` is that of a line feed. About `limit` pieces are remembered: those met in the present generation, and in the one before it."""
 
     def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], break_id: int, limit: int = 600_000):
-        self.resolve, self.whole, self.limit, self.known = resolve, whole, limit, {}
+        self.resolve, self.whole, self.limit = resolve, whole, limit
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = np.array([break_id], "<u4").tobytes()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """By piece, where a leading line feed is one and any other piece has lost its leading space."""
-        get = self.known.get
-        out = [get(p) for p in pieces]
+        if len(self.known) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        for i, x in enumerate(out):
+            if x is None and (x := older.get(pieces[i])) is not None:
+                out[i] = known[pieces[i]] = x
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            if len(self.known) + len(missing) > self.limit:
-                self.known.clear()
             new = [pieces[i] for i in missing]
             breaks = [p[:1] == "\n" for p in new]
             for i, p, b, got in zip(missing, new, breaks, self.resolve([p[1:] if b else " " + p for p, b in zip(new, breaks)])):
-                out[i] = self.known[p] = self.line + got if b else got
+                out[i] = known[p] = self.line + got if b else got
         return out
 
     def rows(self, column: pa.Array) -> Iterator[bytes]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from postloom.llm.common import map_rows, null_safe_id
+from postloom.llm.common import map_rows, null_safe_id, small_batches
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), doc_id: str = "doc_id", tex
 
 def kept_documents(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns; no shuffle and no join."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
