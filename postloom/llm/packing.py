@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.byte_bpe import pieces
 from postloom.llm.common import null_safe_id
+from postloom.llm.pieces import PieceEncoder
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector; the last selector is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -28,25 +28,33 @@ ESCAPE = 15
 _U = np.uint64
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    bits, rest = np.zeros(len(ids), np.int8), ids.copy()
+    for k in (32, 16, 8, 4, 2, 1):
+        big = rest >= _U(1) << _U(k)
+        bits[big] += k
+        rest[big] >>= _U(k)
+    return bits + (rest > 0).astype(np.int8)
+
+
+#: Bits of small ids.
+_BITS = _bits(np.arange(1 << 18, dtype=_U))
+_ZERO = np.zeros(1, np.int32)
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """Words of a block of unsigned 64-bit ids. A word takes the most ids that fit. A single id of 31 to 60 bits, or over, takes an escape and a whole word."""
     n = len(ids)
     if not n:
         return np.zeros(0, _U)
     ids = ids.astype(_U)
-    bits = np.zeros(n, np.int8)
-    rest = ids.copy()
-    for k in (32, 16, 8, 4, 2, 1):
-        big = rest >= _U(1) << _U(k)
-        bits[big] += k
-        rest[big] >>= _U(k)
-    bits += rest > 0
+    bits = _BITS[ids] if int(ids.max()) < len(_BITS) else _bits(ids)
     best = np.full(n, ESCAPE, np.int8)
     within = np.cumsum(np.bincount(bits, minlength=65))
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
         if count <= within[width]:
-            wide = np.concatenate([[0], np.cumsum(bits > width)])
+            wide = np.concatenate([_ZERO, np.cumsum(bits > width, dtype=np.int32)])
             fits = wide[count:] == wide[:-count]
             best[: n - count + 1][fits] = s
     # near the end fewer ids are left than the narrow selectors take: a wider one, or escapes, serve there
@@ -111,10 +119,10 @@ def packed(ids: np.ndarray) -> bytes:
     return b"".join(pack(ids[i : i + BLOCK_IDS]).astype("<u8").tobytes() for i in range(0, len(ids), BLOCK_IDS))
 
 
-def write_ids(docs: DataFrame, encoder: Callable[[list[str]], list[bytes]], path: str, end_id: int = 0, partitions: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_ids(docs: DataFrame, encoder: Callable[[pa.Array], Iterator[bytes]], path: str, end_id: int = 0, partitions: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes texts in ascending doc_id order (null ids first; rows of one id by text) and writes blocks of ids to `path`.
 
-    `encoder` maps texts to little-endian 32-bit ids; each document's ids end with `end_id`, so
+    `encoder` maps a column of texts to little-endian 32-bit ids; each document's ids end with `end_id`, so
     null and empty texts have that one. Documents are dealt out by ranges of doc_id, one shard
     for each range. A block takes whole documents until it holds BLOCK_IDS ids or more; `first`
     counts ids from the shard's start. Files are written by Spark's committer, so a lost executor
@@ -138,18 +146,16 @@ def write_ids(docs: DataFrame, encoder: Callable[[list[str]], list[bytes]], path
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, "n_ids": held, "doc_ids": names, "doc_offsets": offsets, "words": words, "crc": zlib.crc32(words)}], schema=_ARROW)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                for d, got in zip(part.column(0).to_pylist(), encoder([t or "" for t in part.column(1).to_pylist()])):
-                    if shard is None:
-                        shard = NO_ID if d is None else d
-                    names.append(d)
-                    offsets.append(held)
-                    ids += [got, end]
-                    held += len(got) // 4 + 1
-                    if held >= BLOCK_IDS:
-                        yield flush()
-                        block, first, held, names, offsets, ids = block + 1, first + held, 0, [], [], []
+            for d, got in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
+                if shard is None:
+                    shard = NO_ID if d is None else d
+                names.append(d)
+                offsets.append(held)
+                ids += [got, end]
+                held += len(got) // 4 + 1
+                if held >= BLOCK_IDS:
+                    yield flush()
+                    block, first, held, names, offsets, ids = block + 1, first + held, 0, [], [], []
         if names:
             yield flush()
 
@@ -183,25 +189,36 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 class LibraryEncoder:
     """Texts to ids with the tokenizers library; each distinct piece of text is encoded once while it is remembered."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.limit = Tokenizer.from_file(path), {}, limit
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        new = {p for x in cut for p in x if p not in self.known}
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = {p for x in cut for p in x}
-        order = list(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        self.library = Tokenizer.from_file(path)
+        line = self._encode("\n")
+        if len(line) != 1 or len(self._encode("a\n b\nc")) != 3 + 2:
+            raise ValueError(f"{path}: a line feed between words is no token of its own")
+        self.line = line[0]
+        self.pieces = PieceEncoder(self._resolve, lambda t: array("I", self._encode(t)).tobytes(), self.line)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _resolve(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in one text, with line feeds between them, at whose ids the result is cut."""
+        out: list[bytes] = []
+        parts = [pieces[i : i + 2000] for i in range(0, len(pieces), 2000)]
+        for part, e in zip(parts, self.library.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line).tolist()
+            if len(cuts) != len(part) - 1 or any(not p or p == " " for p in part):
+                out += [array("I", self._encode(p)).tobytes() for p in part]
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        return self.pieces.rows(texts)
 
 
 @lru_cache(2)
@@ -210,7 +227,7 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def library_encoder(path: str) -> Callable[[pa.Array], Iterator[bytes]]:
     """An encoder for write_ids() that loads the file where it runs; `path` must exist on all executors."""
     return lambda texts: library(path)(texts)
 
