@@ -2,9 +2,9 @@
 
 Documents of equal shingle sets form a class, represented by its smallest id; only
 representatives are banded. Within a bucket of representatives no list of all pairs is made:
-first each is compared with the bucket's smallest, then, bucket by bucket, only across groups
-that are not yet linked, so what the groups imply already is never compared again and no link
-between different groups is lost.
+first each is compared with the bucket's pivot; then only buckets that still hold several groups
+are settled, by comparing documents of different groups in blocks, so that what the groups imply
+already is never compared again and no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -81,22 +81,23 @@ def _sign(batch: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
-    out: list[bytes] = []
-    for row, end, owner, h in shingles(batch.column(1), n):
-        cuts = np.searchsorted(owner, np.arange(end - row + 1))
-        out += [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+    owners, hashes = [], []
+    for row, _, owner, h in shingles(batch.column(1), n):
+        owners.append(owner + row)
+        hashes.append(h)
+    cuts = np.searchsorted(np.concatenate(owners), np.arange(batch.num_rows + 1))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)))], ["doc_id", "shingles"])
 
 
 def _confirm(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     """Pairs (a, b, set of a, set of b) that reach the similarity."""
     keep = []
     for x, y in zip(batch.column(2), batch.column(3)):
-        x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-        both = np.concatenate([x, y])
+        both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
+        total = len(both)
         both.sort()
         common = int(np.count_nonzero(both[1:] == both[:-1]))
-        keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        keep.append(100 * common >= percent * (total - common))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -108,6 +109,97 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(full, lambda batch: _confirm(batch, percent), "a long, b long")
 
 
+def _own_words(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, lone (shingles that no other set has) of the sets that can have a link at all.
+
+    What two sets share is shared, so a set of which less than `percent` occurs in any other set is
+    linked with nothing. This is exact, and takes the far members out of groups of near copies.
+    """
+    each = sets.select("doc_id", F.explode("shingles").alias("h"))
+    lone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+    sized = sets.select("doc_id", F.size("shingles").cast("long").alias("n_shingles")).join(lone, "doc_id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    return sized.where(100 * (F.col("n_shingles") - F.col("lone")) >= percent * F.col("n_shingles"))
+
+
+#: Documents of a block; a task compares two blocks.
+BLOCK = 256
+
+
+def _clouds(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, label, cloud of the documents whose links aren't settled yet: those in buckets that hold more than one group. A cloud is what such buckets connect, so no link leads out of it."""
+    labelled = members.select("bucket", "doc_id").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("least")).where("low < high").select("bucket", "least")
+    left = stored(labelled.join(mixed, "bucket"), "mixed")
+    clouds = connected_components(left.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    return stored(left.select("doc_id", "label").distinct().join(clouds.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cloud"), "doc_id"), "clouds")
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of a cloud, enough of them to join all groups that have any.
+
+    A cloud's documents are dealt to blocks of about BLOCK, large groups to blocks of their own;
+    each task gets two blocks and compares all their documents of different groups by counting common
+    shingles in a matrix product. Pairs are never rows, and two blocks of one group are not compared.
+    """
+    sizes = rest.groupBy("cloud", "label").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > BLOCK).select("cloud", "label", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    small = sizes.where(F.col("n") <= BLOCK).groupBy("cloud").agg(F.ceil(F.sum("n") / BLOCK).alias("bins"))
+    dealt = rest.join(large, ["cloud", "label"], "left").join(small, "cloud", "left")
+    own = F.col("parts").isNotNull()
+    dealt = dealt.select("doc_id", "label", "cloud", F.when(own, F.col("label")).otherwise(-1).alias("owner"), F.when(own, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "bins")).alias("part"))
+    dealt = stored(dealt, "dealt")
+    blocks = dealt.select("cloud", "owner", "part").distinct()
+    other = blocks.select("cloud", F.col("owner").alias("owner2"), F.col("part").alias("part2"))
+    mine, theirs = F.struct("owner", "part"), F.struct(F.col("owner2").alias("owner"), F.col("part2").alias("part"))
+    pairs = blocks.join(other, "cloud").where((mine <= theirs) & ((F.col("owner") != F.col("owner2")) | (F.col("owner") == -1)))
+    pairs = pairs.withColumn("pair", F.xxhash64("cloud", "owner", "part", "owner2", "part2"))
+    first = pairs.select("pair", "cloud", "owner", "part", F.lit(0).alias("side"))
+    second = pairs.where(mine < theirs).select("pair", "cloud", F.col("owner2").alias("owner"), F.col("part2").alias("part"), F.lit(1).alias("side"))
+    docs = dealt.join(sets, "doc_id")
+    tasks = docs.join(first.unionByName(second), ["cloud", "owner", "part"]).select("pair", "side", "doc_id", "label", "shingles")
+    return tasks.groupBy("pair").applyInArrow(lambda t: _compared(t, percent), "a long, b long")
+
+
+def _compared(table: pa.Table, percent: int) -> pa.Table:
+    table = table.combine_chunks()
+    ids, label, side = (table.column(c).to_numpy() for c in ("doc_id", "label", "side"))
+    lists = table.column("shingles").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), size)
+    _, place, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row, place = row[count[place] > 1], place[count[place] > 1]
+    _, place = np.unique(place, return_inverse=True)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(y):
+        y = x
+    common = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    width = 4096
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, [low, low + width])
+        part = np.zeros((len(ids), width), np.float32)
+        part[row[a:b], place[a:b] - low] = 1
+        common += part[x] @ part[y].T
+    both = common.astype(np.int64)
+    linked = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (label[x][:, None] != label[y][None, :])
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while up.get(v, v) != v:
+            v = up[v]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(int(label[x[i]])), find(int(label[y[j]]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(ids[x[i]]), int(ids[y[j]])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
@@ -123,40 +215,27 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     placed = reps.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket", "least")
-    members = stored(placed.join(shared, "bucket"), "members")  # bucket, doc_id, n_shingles, least
-
-    wanted = members.select("doc_id").distinct()
-    sets = stored(map_rows(rows.join(wanted, "doc_id", "left_semi"), lambda b: _sets(b, s.words), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket")
+    met = stored(placed.join(shared, "bucket").select("bucket", "doc_id"), "members")
+
+    wanted = met.select("doc_id").distinct()
+    sets = stored(map_rows(rows.join(wanted, "doc_id", "left_semi"), lambda b: _sets(b, s.words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    able = stored(_own_words(sets, s.percent), "able")
+    members = met.join(able, "doc_id")
+    # each bucket's pivot is the member with the least of its own: the nearest to what all share
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("lone", "doc_id", "n_shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("m"))
+    members = stored(members.join(pivots, "bucket").select("bucket", "doc_id", "n_shingles", "pivot", "m"), "members")
     # sizes alone rule out most pairs of very different documents
     close = lambda x, y: 100 * F.least(x, y) >= s.percent * F.greatest(x, y)
 
-    size_of = reps.select(F.col("doc_id").alias("least"), F.col("n_shingles").alias("m"))
-    star = members.where("doc_id <> least").join(size_of, "least").where(close(F.col("n_shingles"), F.col("m"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = members.where((F.col("doc_id") != F.col("pivot")) & close(F.col("n_shingles"), F.col("m"))).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     links = stored(_links(star, sets, s.percent), "confirmed")
     groups = stored(connected_components(links), "groups")
 
-    for last in (False, True):
-        labelled = members.select("bucket", "doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        left = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-        if left.isEmpty():
-            break
-        sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-        if last:  # all but the largest group of the bucket, with every member of other groups
-            main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-            askers = left.join(main, "bucket").where("label <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-        else:  # one of each group, with every member of other groups
-            askers = left.join(sizes.select("bucket", F.col("first").alias("doc_id")), ["bucket", "doc_id"], "left_semi").select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-        pairs = askers.join(left, "bucket").where((F.col("label") != F.col("la")) & close(F.col("na"), F.col("n_shingles"))).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        done = stored(_links(pairs.join(links, ["a", "b"], "left_anti"), sets, s.percent), "confirmed")
-        if done.isEmpty():
-            if not last:
-                continue
-            break
-        links = links.unionByName(done)
-        old = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = stored(connected_components(old.unionByName(done)), "groups")
+    rest = _clouds(members, groups)
+    more = stored(_across(rest, sets, s.percent), "confirmed")
+    old = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = stored(connected_components(old.unionByName(more)), "groups")
 
     found = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     grouped = signed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
