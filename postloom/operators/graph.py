@@ -62,7 +62,10 @@ def tiers(counts: DataFrame, by: DataFrame) -> DataFrame:
 
 def action_items(messages: DataFrame, most: int = 5) -> DataFrame:
     """person, item, place: the first distinct items of each sender, by message, pattern and place in the text."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col("body"), F.lit(p), F.lit(1)), lambda s, i, k=k: F.struct(F.lit(k).alias("k"), i.alias("i"), F.substring(F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")), 1, 120).alias("item"))) for k, p in enumerate(ACTIONS)]))
+    def by_pattern(k: int) -> Column:
+        return F.transform(F.regexp_extract_all(F.col("body"), F.lit(ACTIONS[k]), F.lit(1)), lambda s, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.substring(F.regexp_replace(s, r"^\s+|\s+$", ""), 1, 120).alias("item")))
+
+    found = F.flatten(F.array(*map(by_pattern, range(len(ACTIONS)))))
     each = messages.where("coalesce(sender, '') <> '' and coalesce(body, '') <> ''").select(address(F.col("sender")).alias("person"), "date", "message_id", F.explode(found).alias("f")).where("f.item <> ''")
     first = each.groupBy("person", F.col("f.item").alias("item")).agg(F.min(F.struct("date", "message_id", "f.k", "f.i")).alias("at"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy("at"))).where(F.col("place") <= most).select("person", "item", F.col("place").cast("long").alias("place"))
