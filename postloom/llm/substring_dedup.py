@@ -1,9 +1,9 @@
 """Substring dedup with a count-min prefilter.
 
 First pass: each task counts its windows of n words in sketches of `depth` rows and hands them on
-as compressed bitmaps of cells met once and of cells met again; merged, they give a cell map of
+as the compressed distances between the cells it met; merged, they give a cell map of
 what may repeat. Cells only ever overestimate, so a window outside the map occurs once and is done.
-Second pass: windows inside the map are grouped exactly by 128-bit hashes.
+Second pass: windows inside the map are grouped exactly by 80-bit hashes.
 
 The sketch has a fixed size, so it is the same on every machine and its merged map can travel with
 the tasks. On a corpus far beyond its cells it lets more windows through, which costs shuffle and
@@ -30,9 +30,9 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Sketch:
-    """`depth` rows of 2**cells_log2 saturating cells (0, 1, more), cut in shards of 2**shard_log2 cells. The merged map takes depth * 2**cells_log2 bits at most: 64 MB as set here."""
+    """`depth` rows of 2**cells_log2 saturating cells (0, 1, more), cut in shards of 2**shard_log2 cells. The merged map takes depth * 2**cells_log2 bits at most: 128 MB as set here."""
 
-    cells_log2: int = 28
+    cells_log2: int = 29
     depth: int = 2
     shard_log2: int = 22
 
@@ -40,13 +40,27 @@ class Sketch:
         return ((h >> _U(row * (64 - self.cells_log2))) & _U((1 << self.cells_log2) - 1)).astype(np.uint32)
 
 
-_PARTS = "slot int, once binary, more binary"
+_PARTS = "slot int, gaps binary"
+
+
+def _gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells as their distances, from -1 on, one byte each; 255 means 255 more to go. A distance of 0 is a cell met again."""
+    gap = np.diff(cells, prepend=-1)
+    more = gap // 255
+    out = np.full(len(gap) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def _cells(gaps: bytes) -> np.ndarray:
+    raw = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(raw, dtype=np.int64)[raw != 255] - 1
 
 
 class _Tally:
-    """Cells met, kept as numbers until they are many, then given out as bitmaps by shard."""
+    """Cells met, kept as numbers until they are many, then given out by shard."""
 
-    def __init__(self, sketch: Sketch, limit: int = 6_000_000):
+    def __init__(self, sketch: Sketch, limit: int = 5_000_000):
         self.s, self.limit, self.held, self.n = sketch, limit, [[] for _ in range(sketch.depth)], 0
 
     def add(self, h: np.ndarray) -> None:
@@ -60,18 +74,14 @@ class _Tally:
         for r, held in enumerate(self.held):
             cells = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
             cuts = np.searchsorted(cells, np.arange((1 << self.s.cells_log2 - self.s.shard_log2) + 1, dtype=np.int64) << self.s.shard_log2)
-            slots, once, more = [], [], []
+            slots, gaps = [], []
             for k in range(len(cuts) - 1):
                 part = (cells[cuts[k] : cuts[k + 1]] & np.uint32(size - 1)).astype(np.int64)
                 if len(part):
-                    one, two = np.zeros(size, bool), np.zeros(size, bool)
-                    one[part] = True
-                    two[part[1:][part[1:] == part[:-1]]] = True
                     slots.append(r << 20 | k)
-                    once.append(packer.compress(np.packbits(one).tobytes()))
-                    more.append(packer.compress(np.packbits(two).tobytes()))
+                    gaps.append(packer.compress(_gaps(part)))
             if slots:
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["slot", "once", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(gaps, pa.binary())], ["slot", "gaps"])
             held.clear()
         self.n = 0
 
@@ -90,25 +100,25 @@ def repeated_cells(docs: DataFrame, n: int, sketch: Sketch) -> dict[int, bytes]:
             yield from t.out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, list[np.ndarray]] = {}
+        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            for slot, once, more in zip(*(c.to_pylist() for c in batch.columns)):
-                one = np.frombuffer(plain.decompress(once), np.uint8)
-                two = np.frombuffer(plain.decompress(more), np.uint8)
+            for slot, gaps in zip(*(c.to_pylist() for c in batch.columns)):
                 if slot not in maps:
-                    maps[slot] = [one.copy(), two.copy()]
-                else:
-                    a, b = maps[slot]
-                    b |= two | (a & one)
-                    a |= one
+                    maps[slot] = np.zeros(1 << sketch.shard_log2, bool), np.zeros(1 << sketch.shard_log2, bool)
+                once, twice = maps[slot]
+                cells = _cells(plain.decompress(gaps))
+                twice[cells[once[cells]]] = True
+                twice[cells[1:][cells[1:] == cells[:-1]]] = True
+                once[cells] = True
         packer = zstandard.ZstdCompressor(level=1)
-        for slot, (_, b) in maps.items():
-            if b.any():
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([packer.compress(b.tobytes())], pa.binary())], ["slot", "more"])
+        for slot, (_, twice) in maps.items():
+            if twice.any():
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([packer.compress(np.packbits(twice).tobytes())], pa.binary())], ["slot", "more"])
 
     parts = docs.mapInArrow(tally, _PARTS)
-    merged = parts.repartition(max(1, sketch.depth << sketch.cells_log2 - sketch.shard_log2), "slot").mapInArrow(merge, "slot int, more binary")
+    tasks = min(sketch.depth << sketch.cells_log2 - sketch.shard_log2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    merged = parts.repartition(tasks, "slot").mapInArrow(merge, "slot int, more binary")
     return {r["slot"]: bytes(r["more"]) for r in merged.toLocalIterator()}
 
 
@@ -174,13 +184,13 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
                 places.append(at - words.first[words.doc[at]])
         if not ids:
             return None
-        cat = lambda x, kind: pa.array(np.concatenate(x).view(np.int64) if kind == pa.int64() else np.concatenate(x).astype(np.int32), kind)
-        return pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(keys, pa.int64()), cat(more, pa.int64()), cat(places, pa.int32())], ["doc_id", "h", "g", "place"])
+        cat = np.concatenate
+        return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64()), pa.array(cat(places).astype(np.int32))], ["h", "g", "doc_id", "place"])
 
-    maybe = stored(map_rows(named, windows, "doc_id long, h long, g long, place int"), "windows")
-    first = maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
+    maybe = map_rows(named, windows, "h long, g short, doc_id long, place int")  # made twice: cheaper than to keep
+    first = maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
     hits = maybe.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "place")
-    spots = hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    spots = stored(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "spots")
     joined = rows.join(spots, "doc_id", "left").select("doc_id", "text", "places")
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
