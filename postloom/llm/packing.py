@@ -53,7 +53,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     within = np.cumsum(np.bincount(bits, minlength=65))
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
-        if count <= within[width]:
+        if count <= within[width] and (width > 4 or 2 * within[width] > n):  # a run of very small ids needs many of them
             wide = np.concatenate([_ZERO, np.cumsum(bits > width, dtype=np.int32)])
             fits = wide[count:] == wide[:-count]
             best[: n - count + 1][fits] = s

@@ -18,14 +18,13 @@ from postloom.llm.common import text_slices
 
 #: White space other than single spaces and line feeds.
 ODD = r"[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]"
-SLICE = 12 << 20
 
 
 class PieceEncoder:
-    """`resolve` maps pieces (a space or nothing, then no white space) to their ids; `whole` does so for any text. Ids are little-endian 32-bit integers in bytes. `break_id` is that of a line feed. About `limit` pieces are remembered: those met in the present generation, and in the one before it."""
+    """`resolve` maps pieces (a space or nothing, then no white space) to their ids; `whole` does so for any text. Ids are little-endian 32-bit integers in bytes. `break_id` is that of a line feed. About `limit` pieces are remembered: those met in the present generation, and in the one before it. Columns are taken in slices of `slice_bytes`; larger ones have fewer distinct pieces for their size, and take more memory."""
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], break_id: int, limit: int = 600_000):
-        self.resolve, self.whole, self.limit = resolve, whole, limit
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], break_id: int, limit: int = 800_000, slice_bytes: int = 12 << 20):
+        self.resolve, self.whole, self.limit, self.slice_bytes = resolve, whole, limit, slice_bytes
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line = np.array([break_id], "<u4").tobytes()
@@ -49,7 +48,7 @@ class PieceEncoder:
 
     def rows(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each row, in order; null counts as empty."""
-        for a, b, _, _ in text_slices(column, SLICE):
+        for a, b, _, _ in text_slices(column, self.slice_bytes):
             yield from self._slice(column.slice(a, b - a).cast(pa.large_string()).fill_null(""))
 
     def _slice(self, texts: pa.Array) -> Iterator[bytes]:
@@ -58,7 +57,7 @@ class PieceEncoder:
         lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(plain, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
-        ids = self._ids(coded.dictionary.to_pylist())
+        ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.concatenate([[0], np.cumsum(length)])[:-1]
         store = np.frombuffer(b"".join(ids), "<u4")

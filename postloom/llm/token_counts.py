@@ -203,7 +203,7 @@ class Counter:
         """Tokens of each text; each distinct stretch of the column is looked up once."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        each = np.fromiter((self.stretches[x.encode()] if x else 0 for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        each = np.fromiter((self.stretches[x.encode()] if x else 0 for x in coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
         return np.diff(total[lists.offsets.to_numpy()])
 
