@@ -33,16 +33,19 @@ def classify(keyed: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def first_of_each(keyed: DataFrame, order: Column) -> DataFrame:
-    """Within the input: one message of each id, then one of each body; rows without the key stay."""
+    """Within the input: the first row of each id, then of each body; rows without the key stay."""
+    columns = keyed.columns
     for key in ("mid_hash", "body_hash"):
-        first = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("message_id", order).alias("keep_id"))
-        keyed = keyed.join(first, key, "left").where(F.col(key).isNull() | F.col("message_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
+        first = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+        keyed = first.unionByName(keyed.where(F.col(key).isNull()))
     return keyed
 
 
 def mark_seen(seen: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Adds rows whose id isn't there yet."""
-    return seen.unionByName(arrivals.select(*seen.columns).dropDuplicates(["mid_hash"]).join(seen.select("mid_hash"), "mid_hash", "left_anti").select(*seen.columns))
+    """Adds rows whose id isn't there yet; rows without an id go by their body, and rows without both are added once."""
+    key = F.coalesce("mid_hash", F.concat(F.lit("body:"), "body_hash"), F.lit("none"))
+    new = arrivals.select(*seen.columns).withColumn("seen_key", key).dropDuplicates(["seen_key"])
+    return seen.unionByName(new.join(seen.select(key.alias("seen_key")), "seen_key", "left_anti").select(*seen.columns))
 
 
 def update_flags(table: DataFrame, news: DataFrame, key: str) -> DataFrame:
