@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -22,6 +23,8 @@ from postloom.llm.common import Memo, map_rows, null_safe_id, small_batches
 from postloom.llm.pieces import PieceEncoder
 
 _M = (1 << 64) - 1
+#: Bytes of ids that are decoded at once.
+DECODE_BYTES = 1 << 20
 
 
 def _hash(key: bytes) -> int:
@@ -88,8 +91,8 @@ class ByteBPE:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.pre = Memo(self._pre_token, 250_000)
-        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"]) if b"\n" in ranks else None
+        self.pre = Memo(self._pre_token, 80_000)
+        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"], 240_000, 4 << 20) if b"\n" in ranks else None
 
     @staticmethod
     def load(path: str, pattern: str) -> ByteBPE:
@@ -137,14 +140,27 @@ class ByteBPE:
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         return list(self.pieces.rows(texts)) if self.pieces else [self.encode(t or "") for t in texts.to_pylist()]
 
-    def decode(self, rows: list[bytes]) -> list[bytes]:
-        """The bytes of each row of ids: all tokens' bytes gathered at once."""
+    def decode(self, rows: list[bytes]) -> Iterator[bytes]:
+        """The bytes of each row of ids: tokens' bytes gathered for many rows, or one long row's part, at once."""
+        held, size = [], 0
+        for r in rows:
+            if size + len(r) > DECODE_BYTES:
+                yield from self._gathered(held)
+                held, size = [], 0
+            if len(r) > DECODE_BYTES:
+                yield b"".join(x for i in range(0, len(r), DECODE_BYTES) for x in self._gathered([r[i : i + DECODE_BYTES]]))
+            else:
+                held.append(r)
+                size += len(r)
+        yield from self._gathered(held)
+
+    def _gathered(self, rows: list[bytes]) -> Iterator[bytes]:
         ids = np.frombuffer(b"".join(rows), "<u4")
         length = self.lengths[ids]
         ends = np.cumsum(length)
         out = self.flat[np.repeat(self.begins[ids] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         cuts = np.concatenate([[0], ends])[np.cumsum([0] + [len(r) // 4 for r in rows])].tolist()
-        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+        return (out[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
 @lru_cache(4)
@@ -169,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
 
 def _decoded(t: ByteBPE, rows: list[bytes | None]) -> list[bytes | None]:
-    out = iter(t.decode([r for r in rows if r is not None]))
+    out = t.decode([r for r in rows if r is not None])
     return [None if r is None else next(out) for r in rows]
 
 
