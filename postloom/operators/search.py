@@ -34,23 +34,31 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def term_stats(posts: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """term, df, idf; negative values become `epsilon` times the mean. `n_docs`: one row, n."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+def idf_of(df: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """term, df, idf of (term, df); negative values become `epsilon` times the mean. `n_docs`: one row, n."""
     raw = df.join(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_stats(posts: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """idf_of() the terms of postings."""
+    return idf_of(posts.groupBy("term").agg(F.count("*").alias("df")), n_docs, epsilon)
+
+
 def bm25(docs: DataFrame, question: str, n: int, where: Column | None = None, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The n best by Okapi BM25 with scores above 0; statistics are of all documents, also under a filter. Repeated words of the question count repeatedly."""
-    spark = docs.sparkSession
-    posts = postings(docs, key, text)
+    asked = F.array_distinct(tokenize(F.lit(question)))
+    tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
     sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text)))).alias("avg_len"))
-    asked = spark.range(1).select(F.explode(tokenize(F.lit(question))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    stats = term_stats(posts, sizes.select("n")).join(F.broadcast(asked), "term")
-    part = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))))
-    hits = posts.join(F.broadcast(stats.select("term", "idf", "times")), "term").join(F.broadcast(sizes.select("avg_len")))
+    # frequencies of all terms are needed for the floor, but each document's distinct terms are counted before the shuffle
+    found = tokens.select(F.explode(F.array_distinct("ts")).alias("term"))
+    stats = idf_of(found.groupBy("term").agg(F.count("*").alias("df")), sizes.select("n")).where(F.array_contains(asked, F.col("term")))
+    times = F.size(F.filter(tokenize(F.lit(question)), lambda q: q == F.col("term")))
+    # a document's other words never leave its row
+    mine = tokens.select("doc_id", F.size("ts").alias("doc_len"), F.explode(F.filter("ts", lambda t: F.array_contains(asked, t))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    part = times * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))))
+    hits = mine.join(F.broadcast(stats.select("term", "idf")), "term").join(F.broadcast(sizes.select("avg_len")))
     if where is not None:
         hits = hits.join(docs.where(where).select(F.col(key).alias("doc_id")), "doc_id", "left_semi")
     scored = hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
