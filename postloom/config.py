@@ -24,6 +24,13 @@ class Config:
     max_chunk: int = 800
     min_chunk: int = 50
 
+    #: (messages, characters of each) of a prompt, by kind of model.
+    cloud_budget: tuple[int, int] = (30, 2500)
+    local_budget: tuple[int, int] = (15, 1000)
+
+    def budget(self, local: bool) -> tuple[int, int]:
+        return self.local_budget if local else self.cloud_budget
+
     def candidates(self, n: int) -> int:
         return min(self.over_fetch * n, self.most_candidates)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +64,24 @@ def prompt(question: str, context: Column, instructions: str) -> Column:
     return F.concat_ws("\n\n", F.lit(instructions), F.concat(F.lit("MESSAGES\n"), context), F.concat(F.lit("QUESTION\n"), F.lit(question)))
 
 
+def answers(prompts: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """ask_id, answer of prompts (ask_id, prompt). `load` gives the model, once in each task; a model that fails gives an empty answer and its error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for p in parts:
+            model = model or load()
+            out = []
+            for q in p["prompt"]:
+                try:
+                    out.append((model(q), None))
+                except Exception as e:  # noqa: BLE001  one failed call must not lose the others
+                    out.append(("", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame({"ask_id": p["ask_id"], "answer": [a for a, _ in out], "error": [e for _, e in out]})
+
+    return prompts.select("ask_id", "prompt").mapInPandas(run, "ask_id string, answer string, error string")
+
+
 def clamp_temperature(t: Column) -> Column:
     return F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
 

@@ -71,6 +71,13 @@ def extract(messages: DataFrame, model: Callable[[list[str]], list[str]], most_c
     return messages.select("email_id", "text").mapInPandas(run, "email_id string, answer string")
 
 
+def run_extraction(messages: DataFrame, cards: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """The cards with those of messages (message_id, text) that had none; answers that are no cards are left for the next run."""
+    todo = unextracted(messages, cards).select(F.col("message_id").alias("email_id"), "text")
+    new = extract(todo, model).select("email_id", parse_card(F.col("answer")).alias("card")).where("card is not null")
+    return save(cards, new)
+
+
 def unextracted(messages: DataFrame, cards: DataFrame) -> DataFrame:
     return messages.join(cards.select(F.col("email_id").alias("message_id")), "message_id", "left_anti")
 

@@ -132,3 +132,9 @@ def node_sizes(nodes: DataFrame) -> DataFrame:
     low = F.when(F.col("tier") == "A", 30).when(F.col("tier") == "B", 20).otherwise(12)
     high = F.when(F.col("tier") == "A", 45).when(F.col("tier") == "B", 30).otherwise(20)
     return nodes.join(F.broadcast(most), ["type", "tier"]).withColumn("size", F.round(low + (high - low) * F.col("n") / F.col("peak"), 4)).drop("peak")
+
+
+def edge_widths(edges: DataFrame, most: float = 8.0) -> DataFrame:
+    """pair (both ends, sorted), weight and width of the edges between two nodes, taken together: a width of 1 and half a weight more, capped."""
+    pair = F.array_join(F.array_sort(F.array("src", "dst")), "|")
+    return edges.groupBy(pair.alias("pair")).agg(F.sum("weight").alias("weight")).withColumn("width", F.least(F.lit(most), 1 + F.col("weight") * 0.5))

@@ -578,3 +578,58 @@ def _(m, *_a):
 @query("prompt_build", f"{MESSAGES} SELECT message_id, 'Answer from the messages only.' || chr(10) || chr(10) || 'MESSAGES' || chr(10) || body || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'what is open?' AS prompt FROM messages")
 def _(m, *_a):
     return m.select("message_id", context.prompt("what is open?", F.col("body"), "Answer from the messages only.").alias("prompt"))
+
+
+# --- the rest of the surface ----------------------------------------------------------------------
+
+
+@query("edge_widths", f"{PEOPLE[:-1]}, p AS (SELECT DISTINCT conversation_id, person FROM named WHERE conversation_id <> ''), e AS (SELECT a.person || '|' || b.person AS pair, count(*) AS weight FROM p a JOIN p b ON a.conversation_id = b.conversation_id AND a.person < b.person GROUP BY 1) SELECT pair, weight, least(8.0, 1 + weight * 0.5)::DOUBLE AS width FROM e")
+def _(m, *_a):
+    return graph.edge_widths(graph.person_pairs(m))
+
+
+@query("mail_open_cascade", f"{MESSAGES[:-1]}, a AS (SELECT conv_id AS ask_id, CASE WHEN conv_id % 3 = 0 THEN message_id END AS id, CASE WHEN conv_id % 3 = 1 THEN 'h' || message_id END AS header_id, CASE WHEN conv_id % 3 = 2 THEN lower(substr(subject, 1, 12)) END AS words FROM messages WHERE turn = 0) SELECT ask_id, coalesce(x.message_id, y.message_id, (SELECT min(z.message_id) FROM messages z WHERE contains(lower(z.subject), a.words))) AS message_id FROM a LEFT JOIN messages x ON x.message_id = a.id LEFT JOIN messages y ON 'h' || y.message_id = a.header_id")
+def _(m, *_a):
+    from postloom.operators.store import open_cascade
+
+    k = F.col("conv_id") % 3
+    asked = m.where("turn = 0").select(F.col("conv_id").alias("ask_id"), F.when(k == 0, F.col("message_id")).alias("id"), F.when(k == 1, F.concat(F.lit("h"), "message_id")).alias("header_id"), F.when(k == 2, F.substring("subject", 1, 12)).alias("words"))
+    return open_cascade(asked, m.withColumn("header_id", F.concat(F.lit("h"), "message_id")))
+
+
+@query("embed_hashed", "SELECT doc_id, len(regexp_extract_all(lower(text), '" + T.TOKEN + "')) > 0 AS unit FROM documents")
+def _(m, spark, sf):
+    from postloom.functions.vectors import dot
+    from postloom.operators.embed import hashed
+
+    v = hashed(table(spark, sf, "documents")).select("doc_id", F.col("embedding").alias("v"))
+    return v.select("doc_id", (F.round(dot(F.col("v"), F.col("v")), 6) == 1).alias("unit"))
+
+
+@query("embed_model", None)
+def _(m, spark, sf):
+    from postloom.operators.embed import embed
+
+    return embed(m.select("message_id", F.col("body").alias("text")), lambda: lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]).select("message_id", F.get("embedding", 0).alias("length"))
+
+
+@query("run_extraction", f"{MESSAGES} SELECT message_id AS email_id, 'neutral' AS sentiment FROM messages")
+def _(m, *_a):
+    old = _cards(m)
+    return facts.run_extraction(m.select("message_id", F.col("body").alias("text")), old, lambda texts: ['{"sentiment": "neutral"}'] * len(texts)).select("email_id", "card.sentiment")
+
+
+@query("answers", None)
+def _(m, *_a):
+    return context.answers(m.select(F.col("message_id").alias("ask_id"), context.prompt("what is open?", F.col("body"), "Answer.").alias("prompt")), lambda: lambda p: f"{len(p)} characters read [SRC-1]")
+
+
+@query("post_ingest", f"{MESSAGES} SELECT count(*) AS total, count(*) FILTER (direction = 'sent') AS sent, count(*) FILTER (direction <> 'sent') AS received, count(*) FILTER (NOT is_read) AS unread, count(*) FILTER (is_flagged) AS flagged FROM messages WHERE date >= TIMESTAMP '{NOW}' - INTERVAL 10 DAYS")
+def _(m, spark, sf):
+    from postloom.operators.store import Store, after_ingest
+    from postloom.plans.feeds import _place
+
+    store = Store(spark, _place(spark, "store"))
+    store.write("messages", m)
+    store.write("chunks", chunks.chunk(with_document(m).select(F.col("message_id").alias("email_id"), "subject", "document")))
+    return after_ingest(store, NOW, 10)

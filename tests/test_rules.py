@@ -209,3 +209,30 @@ def test_hours_are_all_there(spark, small):
     from postloom.plans.views import messages
 
     assert analytics.hourly(messages(spark, small).limit(0)).agg(F.sum("n")).first()[0] == 0
+
+
+def test_store_keeps_versions_and_clears_all(spark, tmp_path):
+    from postloom.operators.store import Store
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    assert s.read("messages") is None
+    s.write("messages", spark.range(3))
+    s.write("messages", s.read("messages").where("id > 0"))
+    assert s.read("messages").count() == 2 and s.versions("messages") == [0, 1]
+    s.write("chunks", spark.createDataFrame([("c1", "a b a")], "chunk_id string, text string"))
+    assert s.index().count() == 2 and s.index().count() == 2
+    s.clear()
+    assert s.read("messages") is None and s.read("postings") is None
+
+
+def test_failed_answers_keep_the_others(spark):
+    def load():
+        def model(p):
+            if "bad" in p:
+                raise ValueError("no")
+            return p.upper()
+
+        return model
+
+    got = {r["ask_id"]: (r["answer"], r["error"]) for r in context.answers(spark.createDataFrame([("1", "ok"), ("2", "bad")], "ask_id string, prompt string"), load).collect()}
+    assert got == {"1": ("OK", None), "2": ("", "ValueError: no")}
