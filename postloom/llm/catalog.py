@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import byte_bpe, chat, decontaminate, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts
 from postloom.llm.common import scratch
+from postloom.llm.sql import SQL
 
 #: Parameter of the pseudonyms; production runs pass their own secret.
 PII_KEY = "postloom-example-key"
@@ -81,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -513,3 +513,20 @@ def test_secret_ledger(spark, edges, empty):
     out = secrets.scan(edges.drop("path").withColumnRenamed("doc_id", "path"))[0]
     assert out.count() == len(EDGES)
     assert secrets.scan(empty.withColumnRenamed("doc_id", "path"))[0].count() == 0
+
+
+# --- SQL ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_queries_are_their_sql(name, spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    df = catalog.queries()[name](spark, small)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(want.fetchall())
