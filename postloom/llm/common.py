@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the word hashing works on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when their plans are collected as garbage, which may be long after a large shuffle has served."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows in an Arrow batch at most: texts may be long, and a worker holds a few batches at once.
 BATCH_ROWS = 2000
 

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import map_rows, null_safe_id, stored, words_of
+from postloom.llm.common import map_rows, null_safe_id, release, stored, words_of
 
 _U = np.uint64
 
@@ -167,6 +167,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
     rows = null_safe_id(docs, doc_id, text)
     named = rows.where("doc_id is not null")
     shared, name = spark.sparkContext.broadcast(repeated_cells(named, n, sketch)), uuid.uuid4().hex
+    release(spark)
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cells = cell_map(shared, name, sketch)
@@ -188,7 +189,9 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
         return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64()), pa.array(cat(places).astype(np.int32))], ["h", "g", "doc_id", "place"])
 
     maybe = map_rows(named, windows, "h long, g short, doc_id long, place int")  # made twice: cheaper than to keep
-    first = maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
+    # written, so that Spark can split a hot window's rows in the join; windows met once need no partner
+    first = stored(maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"), "first")
+    release(spark)
     hits = maybe.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "place")
     spots = stored(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "spots")
     joined = rows.join(spots, "doc_id", "left").select("doc_id", "text", "places")
