@@ -35,9 +35,9 @@ def _(m, spark, sf):
     return d.select("doc_id", accounts.is_extractable(F.when(F.col("doc_id") % 5 == 0, "TEXT/plain").otherwise("application/octet-stream"), F.when(F.col("doc_id") % 3 == 1, "a.b.PDF").otherwise("noext")).alias("ok"))
 
 
-@query("folder_tree", "WITH RECURSIVE f AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent, 'f' || p_partkey AS name FROM part WHERE p_partkey <= 400), t AS (SELECT id, name AS path, 1 AS depth FROM f WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM f JOIN t ON f.parent = t.id) SELECT * FROM t")
+@query("folder_tree", "WITH RECURSIVE f AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent, 'f' || p_partkey AS name FROM part), t AS (SELECT id, name AS path, 1 AS depth FROM f WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM f JOIN t ON f.parent = t.id) SELECT * FROM t")
 def _(m, spark, sf):
-    f = table(spark, sf, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey > 10 THEN p_partkey div 10 END").alias("parent"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"))
+    f = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey > 10 THEN p_partkey div 10 END").alias("parent"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"))
     return accounts.folder_paths(f)
 
 
@@ -51,15 +51,15 @@ def _(m, *_a):
     return m.where("conversation_id = 'c1'").orderBy("date", "message_id").select("message_id", "date")
 
 
-@query("insert_new_chunks", "SELECT min(doc_id) AS doc_id, md5(text) AS chunk_id FROM documents WHERE doc_id % 3 <> 0 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 2")
+@query("insert_new_chunks", "SELECT min(doc_id) AS doc_id, md5(text) AS chunk_id FROM documents WHERE lang <> 'en' AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en') GROUP BY 2")
 def _(m, spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("chunk_id"))
-    return ingest.insert_new(d.where("doc_id % 3 = 0"), d.where("doc_id % 3 <> 0").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id")), "chunk_id").select("doc_id", "chunk_id")
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("chunk_id"))
+    return ingest.insert_new(d.where("lang = 'en'"), d.where("lang <> 'en'").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id")), "chunk_id").select("doc_id", "chunk_id")
 
 
-@query("flag_update", f"{MESSAGES} SELECT message_id, CASE WHEN turn % 2 = 0 THEN true ELSE is_read END AS is_read, is_replied, CASE WHEN turn % 2 = 0 THEN NOT is_flagged ELSE is_flagged END AS is_flagged FROM messages")
+@query("flag_update", f"{MESSAGES} SELECT message_id, CASE WHEN direction = 'sent' THEN true ELSE is_read END AS is_read, is_replied, CASE WHEN direction = 'sent' THEN NOT is_flagged ELSE is_flagged END AS is_flagged FROM messages")
 def _(m, *_a):
-    news = m.where("turn % 2 = 0").select("message_id", F.lit(True).alias("is_read"), F.lit(None).cast("boolean").alias("is_replied"), (~F.col("is_flagged")).alias("is_flagged"))
+    news = m.where("direction = 'sent'").select("message_id", F.lit(True).alias("is_read"), F.lit(None).cast("boolean").alias("is_replied"), (~F.col("is_flagged")).alias("is_flagged"))
     return ingest.update_flags(m.select("message_id", "is_read", "is_replied", "is_flagged"), news, "message_id")
 
 
@@ -80,12 +80,12 @@ def _(m, spark, sf):
 
 # --- ingestion ----------------------------------------------------------------------------------
 
-SEEN = f"keyed AS (SELECT *, substr(sha256(message_id), 1, 32) AS mid, {HASH('body')} AS bh FROM messages), seen AS (SELECT mid, bh, CASE WHEN conv_id % 10 = 0 THEN NOT is_read ELSE is_read END AS r, is_replied AS p, is_flagged AS f FROM keyed WHERE conv_id % 2 = 0), news AS (SELECT k.*, CASE WHEN s.mid IS NOT NULL THEN CASE WHEN s.r <> k.is_read OR s.p <> k.is_replied OR s.f <> k.is_flagged THEN 'changed' ELSE 'duplicate' END WHEN EXISTS (SELECT 1 FROM seen x WHERE x.bh = k.bh) THEN 'duplicate' ELSE 'new' END AS status FROM keyed k LEFT JOIN seen s ON s.mid = k.mid) "
+SEEN = f"keyed AS (SELECT *, substr(sha256(message_id), 1, 32) AS mid, {HASH('body')} AS bh FROM messages), seen AS (SELECT mid, bh, CASE WHEN folder = 'Projects' THEN NOT is_read ELSE is_read END AS r, is_replied AS p, is_flagged AS f FROM keyed WHERE direction = 'sent'), news AS (SELECT k.*, CASE WHEN s.mid IS NOT NULL THEN CASE WHEN s.r <> k.is_read OR s.p <> k.is_replied OR s.f <> k.is_flagged THEN 'changed' ELSE 'duplicate' END WHEN EXISTS (SELECT 1 FROM seen x WHERE x.bh = k.bh) THEN 'duplicate' ELSE 'new' END AS status FROM keyed k LEFT JOIN seen s ON s.mid = k.mid) "
 
 
 def _seen(m):
     keyed = ingest.with_keys(m)
-    seen = keyed.where("conv_id % 2 = 0").select("mid_hash", "body_hash", F.when(F.col("conv_id") % 10 == 0, ~F.col("is_read")).otherwise(F.col("is_read")).alias("is_read"), "is_replied", "is_flagged")
+    seen = keyed.where("direction = 'sent'").select("mid_hash", "body_hash", F.when(F.col("folder") == "Projects", ~F.col("is_read")).otherwise(F.col("is_read")).alias("is_read"), "is_replied", "is_flagged")
     return keyed, seen
 
 
@@ -115,13 +115,13 @@ def _(m, *_a):
     return ingest.first_of_each(ingest.with_keys(m), F.col("message_id")).select("message_id")
 
 
-WATER = "o AS (SELECT 'u' || user_id AS account_id, max(ts) AS at, max(ts) AS d, count(*) AS n FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1), n AS (SELECT 'u' || user_id AS account_id, max(ts) AS at, min(ts) AS d, count(*) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 5 <> 0 GROUP BY 1), merged AS (SELECT coalesce(o.account_id, n.account_id) AS account_id, greatest(o.at, n.at) AS last_sync_at, greatest(o.d, n.d) AS last_message_date, coalesce(o.n, 0) + coalesce(n.n, 0) AS messages_synced, CASE WHEN n.account_id IS NULL THEN 'completed' ELSE 'syncing' END AS status FROM o FULL JOIN n ON o.account_id = n.account_id) "
+WATER = "o AS (SELECT 'u' || user_id AS account_id, max(ts) AS at, max(ts) AS d, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1), n AS (SELECT 'u' || user_id AS account_id, max(ts) AS at, min(ts) AS d, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1), merged AS (SELECT coalesce(o.account_id, n.account_id) AS account_id, greatest(o.at, n.at) AS last_sync_at, greatest(o.d, n.d) AS last_message_date, coalesce(o.n, 0) + coalesce(n.n, 0) AS messages_synced, CASE WHEN n.account_id IS NULL THEN 'completed' ELSE 'syncing' END AS status FROM o FULL JOIN n ON o.account_id = n.account_id) "
 
 
 def _water(spark, sf):
     e = table(spark, sf, "events").withColumn("account_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    old = e.where("event_id % 2 = 0 and user_id % 3 <> 0").groupBy("account_id").agg(F.max("ts").alias("last_sync_at"), F.max("ts").alias("last_message_date"), F.count("*").alias("messages_synced"), F.lit("completed").alias("status"))
-    new = e.where("event_id % 2 = 1 and user_id % 5 <> 0").groupBy("account_id").agg(F.max("ts").alias("last_sync_at"), F.min("ts").alias("last_message_date"), F.count("*").alias("messages_synced"), F.lit("syncing").alias("status"))
+    old = e.where("ts < timestamp_ntz'2024-01-10 00:00:00'").groupBy("account_id").agg(F.max("ts").alias("last_sync_at"), F.max("ts").alias("last_message_date"), F.count("*").alias("messages_synced"), F.lit("completed").alias("status"))
+    new = e.where("ts >= timestamp_ntz'2024-01-10 00:00:00'").groupBy("account_id").agg(F.max("ts").alias("last_sync_at"), F.min("ts").alias("last_message_date"), F.count("*").alias("messages_synced"), F.lit("syncing").alias("status"))
     return ingest.merge_watermarks(old, new)
 
 
@@ -164,10 +164,10 @@ def _runs(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("run_id"), (F.col("user_id") % 9).alias("account"), (F.col("event_id") % 7).alias("messages_new"), (F.col("event_id") % 4).alias("messages_skipped"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("completed").alias("status"))
 
 
-@query("sync_log_complete", f"WITH {RUNS} SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'started' ELSE status END AS status FROM runs")
+@query("sync_log_complete", f"WITH {RUNS} SELECT run_id, CASE WHEN status = 'failed' THEN 'started' ELSE status END AS status FROM runs")
 def _(m, spark, sf):
     r = _runs(spark, sf)
-    log = r.select("run_id", F.lit(0).alias("seq"), F.lit("started").alias("status")).unionByName(r.where("run_id % 3 <> 0").select("run_id", F.lit(1).alias("seq"), "status"))
+    log = r.select("run_id", F.lit(0).alias("seq"), F.lit("started").alias("status")).unionByName(r.where("status <> 'failed'").select("run_id", F.lit(1).alias("seq"), "status"))
     return ingest.close_log(log).select("run_id", "status")
 
 
@@ -211,10 +211,10 @@ def _(m, *_a):
     return chunks.summaries(m)
 
 
-@query("add_thread_summaries", f"{SUMMARY} SELECT conversation_id FROM g WHERE substr(conversation_id, 2)::BIGINT % 4 <> 0")
+@query("add_thread_summaries", f"{SUMMARY} SELECT conversation_id FROM g WHERE message_count <= 4")
 def _(m, *_a):
     every = chunks.summaries(m)
-    return ingest.insert_new(every.where("cast(substr(conversation_id, 2) as bigint) % 4 = 0"), every, "chunk_id").select("conversation_id")
+    return ingest.insert_new(every.where("message_count > 4"), every, "chunk_id").select("conversation_id")
 
 
 # --- retrieval ----------------------------------------------------------------------------------
@@ -274,7 +274,7 @@ def _(m, spark, sf):
 @query("bm25_incremental", f"WITH {BM25} SELECT count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms FROM posts")
 def _(m, spark, sf):
     d = table(spark, sf, "documents")
-    old, arrivals = d.where("doc_id % 3 <> 1"), d.where("doc_id % 2 = 1 or doc_id % 3 = 1")
+    old, arrivals = d.where("lang in ('en', 'fr')"), d.where("lang <> 'en'")
     posts = search.postings(old).unionByName(search.postings(arrivals.join(old.select("doc_id"), "doc_id", "left_anti")))
     return posts.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
 
@@ -297,19 +297,21 @@ def _(m, spark, sf):
     return search.hybrid(*_lists(spark, sf), 10)
 
 
-OVERLAP = f"SELECT doc_id AS id, round(len(list_intersect(q, d)) / greatest(len(list_distinct(list_concat(q, d))), 1), 6) AS rerank_score FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower('{ASK}'), '{T.TOKEN}')) AS q, list_distinct(regexp_extract_all(lower(substr(text, 1, 1500)), '{T.TOKEN}')) AS d FROM documents WHERE doc_id < 200)"
+OVERLAP = f"SELECT doc_id AS id, round(len(list_intersect(q, d)) / greatest(len(list_distinct(list_concat(q, d))), 1), 6) AS rerank_score FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower('{ASK}'), '{T.TOKEN}')) AS q, list_distinct(regexp_extract_all(lower(substr(text, 1, 1500)), '{T.TOKEN}')) AS d FROM documents)"
 
 
 @query("rerank_overlap", f"{OVERLAP} ORDER BY rerank_score DESC, id LIMIT 10")
 def _(m, spark, sf):
-    return search.rerank(table(spark, sf, "documents").where("doc_id < 200").withColumnRenamed("doc_id", "id"), ASK, 10).select("id", "rerank_score")
+    return search.rerank(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), ASK, 10).select("id", "rerank_score")
 
 
-HITS = f"{MESSAGES[:-1]}, hits AS (SELECT message_id, conversation_id, row_number() OVER (ORDER BY message_id) AS rank FROM messages WHERE turn = 1 AND conv_id % 7 = 3) "
+HITS = f"{MESSAGES[:-1]}, hits AS (SELECT message_id, conversation_id, row_number() OVER (ORDER BY date DESC, message_id) AS rank FROM messages WHERE direction = 'sent' AND contains(lower(subject), 'th') ORDER BY date DESC, message_id LIMIT 15) "
 
 
 def _hits(m):
-    return search.ranked(m.where("turn = 1 and conv_id % 7 = 3").withColumn("score", F.lit(1)), "score", "message_id").withColumnRenamed("id", "message_id").join(m.select("message_id", "conversation_id"), "message_id")
+    """The 15 latest sent messages whose subject holds the words looked for, as a search gives them."""
+    top = m.where("direction = 'sent'").where(F.contains(F.lower("subject"), F.lit("th"))).orderBy(F.desc("date"), "message_id").limit(15)
+    return search.ranked(top, "date", "message_id").withColumnRenamed("id", "message_id").join(top.select("message_id", "conversation_id"), "message_id")
 
 
 @query("thread_expansion", f"{HITS} SELECT message_id FROM messages WHERE (conversation_id <> '' AND conversation_id IN (SELECT conversation_id FROM hits)) OR (conversation_id = '' AND message_id IN (SELECT message_id FROM hits))")
@@ -322,12 +324,11 @@ def _(m, *_a):
     return search.expand_some(m, _hits(m)).select("message_id")
 
 
-@query("multi_query_union", "WITH l AS (SELECT 1 AS query_no, doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 5 = 0 AND doc_id < 300 UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id DESC) FROM documents WHERE doc_id % 3 = 0 AND doc_id < 300) SELECT id, arg_min(query_no, (query_no, rank)) AS query_no, arg_min(rank, (query_no, rank)) AS rank FROM l GROUP BY id")
+@query("multi_query_union", "WITH l AS (SELECT * FROM (SELECT 1 AS query_no, doc_id AS id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents WHERE lang = 'en' ORDER BY doc_id DESC LIMIT 10) UNION ALL SELECT * FROM (SELECT 2, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5) UNION ALL SELECT * FROM (SELECT 3, doc_id, row_number() OVER (ORDER BY doc_id DESC) FROM documents ORDER BY doc_id DESC LIMIT 5)) SELECT id, arg_min(query_no, (query_no, rank)) AS query_no, arg_min(rank, (query_no, rank)) AS rank FROM l GROUP BY id")
 def _(m, spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 300").withColumn("down", -F.col("doc_id"))
-    a = search.ranked(d.where("doc_id % 5 = 0"), "down", "doc_id").withColumn("query_no", F.lit(1))
-    b = search.ranked(d.where("doc_id % 3 = 0"), "doc_id", "doc_id").withColumn("query_no", F.lit(2))
-    return search.first_appearance(a.unionByName(b))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    best = lambda rows, by, n, no: search.ranked(rows.orderBy(F.desc(by), "doc_id").limit(n), by, "doc_id").withColumn("query_no", F.lit(no))
+    return search.first_appearance(best(d.where("lang = 'en'"), "doc_id", 10, 1).unionByName(best(d, "n_chars", 5, 2)).unionByName(best(d, "doc_id", 5, 3)))
 
 
 @query("knn_lsh", None)
@@ -489,10 +490,10 @@ def _(m, *_a):
     return _cards(m).where("email_id = 'm1-1'").select("email_id", F.array_join("card.intents", ",").alias("intents"))
 
 
-@query("fact_card_save", f"{CARDS} SELECT email_id, CASE WHEN right(email_id, 1) = '1' THEN 'replaced' ELSE 'neutral' END AS sentiment FROM cards")
+@query("fact_card_save", f"{CARDS} SELECT email_id, CASE WHEN intent = 'question' THEN 'replaced' ELSE 'neutral' END AS sentiment FROM cards")
 def _(m, *_a):
     c = _cards(m)
-    news = c.where("email_id like '%1'").withColumn("card", F.col("card").withField("sentiment", F.lit("replaced")))
+    news = c.where(F.array_contains("card.intents", "question")).withColumn("card", F.col("card").withField("sentiment", F.lit("replaced")))
     return facts.save(c, news).select("email_id", "card.sentiment")
 
 
@@ -534,13 +535,14 @@ def _(m, *_a):
 
 # --- prompts ------------------------------------------------------------------------------------
 
-REFS = f"{MESSAGES[:-1]}, h AS (SELECT *, row_number() OVER (ORDER BY turn DESC, message_id) AS hit_rank FROM messages WHERE conv_id % 13 IN (2, 10)), tr AS (SELECT conversation_id, min(hit_rank) AS thread_rank FROM h WHERE conversation_id <> '' GROUP BY 1), refs AS (SELECT h.*, row_number() OVER (ORDER BY h.conversation_id = '', CASE WHEN h.conversation_id = '' THEN hit_rank ELSE thread_rank END, date, message_id) AS ref FROM h LEFT JOIN tr ON tr.conversation_id = h.conversation_id) "
+REFS = f"{MESSAGES[:-1]}, h AS (SELECT *, row_number() OVER (ORDER BY date DESC, message_id) AS hit_rank FROM messages ORDER BY date DESC, message_id LIMIT 30), tr AS (SELECT conversation_id, min(hit_rank) AS thread_rank FROM h WHERE conversation_id <> '' GROUP BY 1), refs AS (SELECT h.*, row_number() OVER (ORDER BY h.conversation_id = '', CASE WHEN h.conversation_id = '' THEN hit_rank ELSE thread_rank END, date, message_id) AS ref FROM h LEFT JOIN tr ON tr.conversation_id = h.conversation_id) "
 RENDER = "'Direction: ' || CASE WHEN direction = 'sent' THEN 'SENT BY ME' ELSE 'RECEIVED' END || chr(10) || 'From: ' || coalesce(nullif(sender_name, ''), sender) || chr(10) || 'Subject: ' || subject || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Status: ' || CASE WHEN is_read THEN 'Read' ELSE 'UNREAD' END || ' | Replied: ' || CASE WHEN is_replied THEN 'Yes' ELSE 'NO - NOT REPLIED' END || chr(10) || chr(10) || 'CONTENT:' || chr(10) || substr({0}, 1, {1}) || CASE WHEN length({0}) > {1} THEN chr(10) || '[...truncated...]' ELSE '' END"
 
 
 def _numbered(m):
-    h = m.where("conv_id % 13 in (2, 10)")
-    return context.numbered(search.ranked(h, "turn", "message_id").select(F.col("id").alias("message_id"), F.col("rank").alias("hit_rank")).join(h, "message_id"))
+    """The 30 latest messages, as a chat's prompt holds that many hits, with their numbers."""
+    h = m.orderBy(F.desc("date"), "message_id").limit(30)
+    return context.numbered(search.ranked(h, "date", "message_id").select(F.col("id").alias("message_id"), F.col("rank").alias("hit_rank")).join(h, "message_id"))
 
 
 @query("src_numbering", f"{REFS} SELECT message_id, ref FROM refs")

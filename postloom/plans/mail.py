@@ -230,10 +230,10 @@ def _(m, *_a):
     return m.select("message_id", (n.bitwiseAND(1) != 0).alias("is_read"), F.element_at(F.array(F.lit("to"), F.lit("cc"), F.lit("bcc")), (n % 3 + 1).cast("int")).alias("kind"))
 
 
-@query("item_code_mapping", f"{MESSAGES} SELECT message_id, 100 + turn IN (102, 103) AS replied, 100 + turn = 104 AS forwarded, turn % 3 = 2 AS flagged, CASE turn % 3 WHEN 2 THEN 'high' WHEN 0 THEN 'low' ELSE 'normal' END AS importance FROM messages WHERE conv_id % 2 = 1")
+@query("item_code_mapping", f"{MESSAGES} SELECT message_id, 100 + turn IN (102, 103) AS replied, 100 + turn = 104 AS forwarded, turn % 3 = 2 AS flagged, CASE turn % 3 WHEN 2 THEN 'high' WHEN 0 THEN 'low' ELSE 'normal' END AS importance FROM messages")
 def _(m, *_a):
     verb = F.col("turn") + 100
-    return m.where("conv_id % 2 = 1").select("message_id", verb.isin(102, 103).alias("replied"), (verb == 104).alias("forwarded"), (F.col("turn") % 3 == 2).alias("flagged"), F.when(F.col("turn") % 3 == 2, "high").when(F.col("turn") % 3 == 0, "low").otherwise("normal").alias("importance"))
+    return m.select("message_id", verb.isin(102, 103).alias("replied"), (verb == 104).alias("forwarded"), (F.col("turn") % 3 == 2).alias("flagged"), F.when(F.col("turn") % 3 == 2, "high").when(F.col("turn") % 3 == 0, "low").otherwise("normal").alias("importance"))
 
 
 @query("recipient_split", f"{MESSAGES} SELECT message_id, recipient1 || ',' || recipient2 AS names FROM messages")
