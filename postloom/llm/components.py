@@ -66,12 +66,12 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _smallest(both).select("a", F.least("a", "m").alias("m"))
+        least = stored(_smallest(both).select("a", F.least("a", "m").alias("m")), "least")  # written, so that Spark can split a hub's rows in the join
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.mapInArrow(_forest, EDGES).distinct()
         large = stored(large, "links")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = _smallest(down)
+        low = stored(_smallest(down), "least")
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = stored(small, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.count_distinct("a")).first()

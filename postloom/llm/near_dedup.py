@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     placed = reps.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket")
+    shared = stored(placed.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket"), "shared")  # written, as below, so that Spark can split hot buckets in the join
     met = stored(placed.join(shared, "bucket").select("bucket", "doc_id"), "members")
 
     wanted = met.select("doc_id").distinct()
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     able = stored(_own_words(sets, s.percent), "able")
     members = met.join(able, "doc_id")
     # each bucket's pivot is the member with the least of its own: the nearest to what all share
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("lone", "doc_id", "n_shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("m"))
+    pivots = stored(members.groupBy("bucket").agg(F.min(F.struct("lone", "doc_id", "n_shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("m")), "pivots")
     members = stored(members.join(pivots, "bucket").select("bucket", "doc_id", "n_shingles", "pivot", "m"), "members")
     # sizes alone rule out most pairs of very different documents
     close = lambda x, y: 100 * F.least(x, y) >= s.percent * F.greatest(x, y)
