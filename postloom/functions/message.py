@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EMPTY = F.lit
-
 
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""

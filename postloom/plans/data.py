@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 from postloom.operators import chunks, context, facts, graph, ingest, search
-from postloom.plans.mail import BOILER, CLEAN, DOC, HASH, SEGMENT, STRIP, with_document
+from postloom.plans.mail import CLEAN, HASH, SEGMENT, STRIP, with_document
 from postloom.plans.views import MESSAGES, NOW, messages, table
 from postloom.sources import accounts
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import filters, message
 from postloom.functions import text as T
-from postloom.operators import analytics, calendar, ingest, threads
+from postloom.operators import analytics, calendar, threads
 from postloom.plans.views import LATEST, ME, MESSAGES, NOW, STALE, messages, table
 
 Q: dict = {}
