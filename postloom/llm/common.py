@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,21 @@ def null_safe_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the machine; allocators keep it otherwise, and workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with one output batch at most for each input batch."""
 
@@ -72,6 +89,8 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | No
         for batch in batches:
             if batch.num_rows and (out := rows(batch)) is not None and out.num_rows:
                 yield out
+            out = None
+            trim()
 
     return df.mapInArrow(run, schema)
 

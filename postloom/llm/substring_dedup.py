@@ -12,7 +12,6 @@ never results; `cells_log2` is the parameter to raise then.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import map_rows, null_safe_id, release, stored, words_of
+from postloom.llm.common import map_rows, null_safe_id, release, stored, trim, words_of
 
 _U = np.uint64
 
@@ -60,7 +59,7 @@ def _cells(gaps: bytes) -> np.ndarray:
 class _Tally:
     """Cells met, kept as numbers until they are many, then given out by shard."""
 
-    def __init__(self, sketch: Sketch, limit: int = 5_000_000):
+    def __init__(self, sketch: Sketch, limit: int = 3_000_000):
         self.s, self.limit, self.held, self.n = sketch, limit, [[] for _ in range(sketch.depth)], 0
 
     def add(self, h: np.ndarray) -> None:
@@ -96,6 +95,7 @@ def repeated_cells(docs: DataFrame, n: int, sketch: Sketch) -> dict[int, bytes]:
                 t.add(words.windows(n)[1])
                 if t.n >= t.limit:
                     yield from t.out()
+            trim()
         if t.n:
             yield from t.out()
 
@@ -123,12 +123,13 @@ def repeated_cells(docs: DataFrame, n: int, sketch: Sketch) -> dict[int, bytes]:
 
 
 class CellMap:
-    """The merged map, ready for look-ups."""
+    """The merged map, ready for look-ups. It takes the shards out of the given dict."""
 
     def __init__(self, shards: dict[int, bytes], sketch: Sketch):
         self.s, plain = sketch, zstandard.ZstdDecompressor()
         self.rows = [np.zeros(1 << sketch.cells_log2 - 3, np.uint8) for _ in range(sketch.depth)]
-        for slot, more in shards.items():
+        while shards:
+            slot, more = shards.popitem()
             raw = np.frombuffer(plain.decompress(more), np.uint8)
             self.rows[slot >> 20][(slot & 0xFFFFF) * len(raw) :][: len(raw)] = raw
 
@@ -141,15 +142,12 @@ class CellMap:
         return out
 
 
-#: (name, map) of the map used last in this Python worker, since tasks of one job share it.
-_LAST: list[tuple[str, CellMap]] = []
-
-
-def cell_map(shared: Broadcast, name: str, sketch: Sketch) -> CellMap:
-    if not _LAST or _LAST[0][0] != name:
-        _LAST.clear()
-        _LAST.append((name, CellMap(shared.value, sketch)))
-    return _LAST[0][1]
+def cell_map(shared: Broadcast, sketch: Sketch) -> CellMap:
+    """Made of the broadcast's compressed parts when a Python worker first asks, in place of them."""
+    held = shared.value
+    if "map" not in held:
+        held["map"] = CellMap(held.pop("parts"), sketch)
+    return held["map"]
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -166,11 +164,11 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
     spark = docs.sparkSession
     rows = null_safe_id(docs, doc_id, text)
     named = rows.where("doc_id is not null")
-    shared, name = spark.sparkContext.broadcast(repeated_cells(named, n, sketch)), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast({"parts": repeated_cells(named, n, sketch)})
     release(spark)
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        cells = cell_map(shared, name, sketch)
+        cells = cell_map(shared, sketch)
         ids, keys, more, places = [], [], [], []
         own = batch.column(0).to_numpy(zero_copy_only=False)
         for row, _, words in words_of(batch.column(1)):
@@ -189,9 +187,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
         return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64()), pa.array(cat(places).astype(np.int32))], ["h", "g", "doc_id", "place"])
 
     maybe = map_rows(named, windows, "h long, g short, doc_id long, place int")  # made twice: cheaper than to keep
-    # written, so that Spark can split a hot window's rows in the join; windows met once need no partner
-    first = stored(maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"), "first")
-    release(spark)
+    first = maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
     hits = maybe.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "place")
     spots = stored(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "spots")
     joined = rows.join(spots, "doc_id", "left").select("doc_id", "text", "places")
