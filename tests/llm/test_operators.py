@@ -1,6 +1,5 @@
 """Each operator against a plain version of itself or the library it must agree with, on real rows and on edge cases."""
 
-import base64
 import hashlib
 import json
 import random

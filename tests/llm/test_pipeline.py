@@ -1,8 +1,9 @@
+import hashlib
+
 import corpus_pipeline
-import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import byte_bpe, decontaminate, near_dedup, quality
+from postloom.llm import quality
 from test_operators import plain_components, plain_hits
 
 
@@ -27,8 +28,6 @@ def test_stages_and_result(spark, small):
                 assert (i not in after) if hit and hit >= 0.5 * n else after[i] == t if not hit else plain_hits(after[i], items, 10)[1] == 0
         seen = spark.createDataFrame(out.collect(), out.schema)
     last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, small).collect()}
-    import hashlib
-
     assert {i: r["decoded_sha256"] for i, r in last.items()} == {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in seen.collect()}
 
 
