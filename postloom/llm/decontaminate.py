@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import null_safe_id, small_batches
+from postloom.llm.common import null_safe_id, small_batches, trim
 
 _KEEP = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else _KEEP[b] for b in range(256))
@@ -214,6 +214,7 @@ def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int
             if sizes:
                 columns[count] = pa.array(sizes, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 
