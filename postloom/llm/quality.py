@@ -19,10 +19,10 @@ from postloom.llm.common import map_rows, null_safe_id, small_batches
 
 @dataclass(frozen=True)
 class Bands:
-    """`whole` and `chunk`: (bytes below which the row holds, lowest ratio, highest ratio), ascending; ratio is plain bytes by compressed bytes. The bounds lie well outside what prose reaches at these lengths (about 0.3 to 2 below 256 bytes, 1.5 to 3 beyond)."""
+    """`whole` and `chunk`: (bytes below which the row holds, lowest ratio, highest ratio), ascending; ratio is plain bytes by compressed bytes. The upper bounds lie well outside what prose reaches at these lengths (about 0.3 to 2 below 256 bytes, 1.3 to 3 beyond). The lower bounds lie between prose in alphabetic scripts (1.34 or more from 256 bytes, 1.43 from 512, 1.69 from 1024, 2.05 from 4096 and in chunks) and base64 or random words of letters and digits (at most 1.25, 1.32, 1.38 and 1.40)."""
 
-    whole: tuple[tuple[float, float, float], ...] = ((64, 0.0, 2.5), (256, 0.75, 2.75), (1024, 1.1, 3.25), (4096, 1.2, 3.5), (16384, 1.2, 4.0), (float("inf"), 1.2, 5.0))
-    chunk: tuple[float, float] = (1.1, 4.5)
+    whole: tuple[tuple[float, float, float], ...] = ((64, 0.0, 2.5), (256, 0.75, 2.75), (512, 1.28, 3.25), (1024, 1.36, 3.25), (4096, 1.45, 3.5), (16384, 1.6, 4.0), (float("inf"), 1.6, 5.0))
+    chunk: tuple[float, float] = (1.6, 4.5)
     chunk_bytes: int = 4096
     level: int = 3
 

@@ -432,6 +432,34 @@ def test_compression_bands_reject_repeats_and_noise():
     assert quality.verdict(prose * 1 + rnd.randbytes(9000), quality.Bands(), packer)[3] in ("incompressible_chunk",)
 
 
+def test_bands_reject_text_noise_and_keep_prose(spark, texts):
+    import base64
+    import string
+
+    import zstandard
+
+    packer, bands, rnd = zstandard.ZstdCompressor(level=3), quality.Bands(), random.Random(2)
+
+    def encoded(n):
+        return base64.b64encode(rnd.randbytes(n))[:n]
+
+    def words(alphabet):
+        return lambda n: " ".join("".join(rnd.choices(alphabet, k=rnd.randint(2, 10))) for _ in range(n)).encode()[:n]
+
+    alnum = string.ascii_letters + string.digits
+    noise = {"base64": encoded, "base64 lines": lambda n: base64.encodebytes(rnd.randbytes(n))[:n], "alnum words": words(alnum), "printable words": words(alnum + string.punctuation)}
+    for name, make in noise.items():
+        for n in (256, 400, 511, 512, 700, 1023, 1024, 2000, 4095, 4096, 10_000, 40_000):
+            assert quality.verdict(make(n), bands, packer)[3] == "incompressible", (name, n)
+    prose = max(texts.values(), key=len).encode()
+    long = (prose * (1 + 40_000 // len(prose)))[:40_960] if len(prose) < 40_960 else prose[:40_960]
+    assert quality.verdict(long[:12_288], bands, packer)[3] == ""
+    assert quality.verdict(long[:8192] + encoded(4096) + long[8192:], bands, packer)[3] == "incompressible_chunk"
+    text = words(alnum + string.punctuation)(6000).decode()
+    row = quality.quality(spark.createDataFrame([(1, text)], DOCS)).first()
+    assert row["n_words"] >= 50 and not row["base_failed"] and row["reason"] == "incompressible" and not row["kept"]
+
+
 def test_labelled_good_documents_stay(spark, small):
     got = rows_by_id(catalog.op8_quality(spark, small))
     good = [r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()]
