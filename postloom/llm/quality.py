@@ -32,11 +32,12 @@ def ratio(raw: bytes, packer: zstandard.ZstdCompressor) -> float:
 
 
 def verdict(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float, float, str]:
-    """(ratio of the whole, lowest and highest ratio of full chunks, reason: '' if inside all bands). A text of one chunk at most is judged as a whole only."""
+    """(ratio of the whole, lowest and highest ratio of chunks, reason: '' if inside all bands). Chunks are full; the last one is aligned to the end of the text, so that no byte is outside all chunks. A text of one chunk at most is judged as a whole only."""
     whole = ratio(raw, packer)
     low, high = next((lo, hi) for below, lo, hi in bands.whole if len(raw) < below)
     n = bands.chunk_bytes
-    parts = [ratio(raw[i : i + n], packer) for i in range(0, len(raw) - n + 1, n)] if len(raw) > n else []
+    starts = [*range(0, len(raw) - n + 1, n), *([len(raw) - n] if len(raw) % n else [])] if len(raw) > n else []
+    parts = [ratio(raw[i : i + n], packer) for i in starts]
     least, most = (min(parts), max(parts)) if parts else (whole, whole)
     reason = ""
     if whole > high:

@@ -460,6 +460,25 @@ def test_bands_reject_text_noise_and_keep_prose(spark, texts):
     assert row["n_words"] >= 50 and not row["base_failed"] and row["reason"] == "incompressible" and not row["kept"]
 
 
+def test_chunks_reach_the_end_of_the_text(texts):
+    import base64
+
+    import zstandard
+
+    packer, bands, rnd = zstandard.ZstdCompressor(level=3), quality.Bands(), random.Random(3)
+    prose = max(texts.values(), key=len).encode()[:8288]
+    spam, noise = (b"spam offer click here " * 200)[:4000], base64.b64encode(rnd.randbytes(3000))
+    assert len(prose) == 8288 and quality.verdict(prose, bands, packer)[3] == ""
+    for text in (prose + spam, spam + prose):
+        assert quality.verdict(text, bands, packer)[3] == "repetitive_chunk"
+    for text in (prose + noise, noise + prose):
+        assert quality.verdict(text, bands, packer)[3] == "incompressible_chunk"
+    for n in (4096, 4097, 8191, 8192, 8193):
+        part, want = prose[:n], [prose[i : i + 4096] for i in range(0, n - 4095, 4096)] + [prose[n - 4096 : n]]
+        ratios = [quality.ratio(x, packer) for x in want] if n > 4096 else [quality.ratio(part, packer)]
+        assert quality.verdict(part, bands, packer)[1:3] == (min(ratios), max(ratios))
+
+
 def test_labelled_good_documents_stay(spark, small):
     got = rows_by_id(catalog.op8_quality(spark, small))
     good = [r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()]
