@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: The days of 1901 to 2099 are 108 times 673, so two slots name each day and each name is a day.
 FIRST_DAY, DAY_RADICES = "1901-01-01", (108, 673)
+#: Those of them from the 13th of a month on are 36 times 1223, in 2388 months.
+LATE_RADICES, MONTHS = (36, 1223), 2388
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def _call(shape: Callable[[Column], Column], value: Column) -> Column:
@@ -76,14 +84,35 @@ def _card(m: Column, key: str) -> Column:
     return _call(lambda x: F.concat(x, ((10 - luhn_sum(F.concat(F.regexp_replace(x, "[^0-9]", ""), F.lit("0"))) % 10) % 10).cast("string")), moved)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of ISO 7064: letters count as 10 to 35."""
+    return F.aggregate(_chars(text), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
+
+
+def _is_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, "[^0-9A-Z]", "")
+    return F.substr(plain, F.lit(3), F.lit(2)).between("02", "98") & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The country and the separators stay; the account's characters are permuted and the check digits fit them."""
+    country = F.substring(m, 1, 2)
+    account = _written(feistel(F.transform(_chars(F.substr(m, F.lit(5))), _char_slot), key, "iban"))
+    return _call(lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(F.regexp_replace(x, "[^0-9A-Z]", ""), country, F.lit("00")))).cast("string"), 2, "0"), x), account)
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; a group's first digit stays among 0 and 1, or 2 to 9."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """The country code and a leading or bracketed 0 stay, and a 1 to 9 behind them; else a group's first digit stays among 0 and 1, or 2 to 9."""
+    code = F.regexp_extract(m, r"^(?:(?:\+|00)\d{1,3}(?=[ .(-])(?:[ .-]?\(0\))?|\(?0)", 0)
+    north_american = code.isin("", "+1", "001")
 
     def moved(cs: Column) -> Column:
+        lead = F.array_position(F.transform(cs, lambda c: c.rlike("[0-9]")), F.lit(True)) - 1
+
         def slot(c: Column, i: Column) -> Column:
             first = F.coalesce(~F.get(cs, i - 1).rlike("[0-9]"), F.lit(True))
-            return F.when(first & c.rlike("[2-9]"), _slot(F.ascii(c) - 50, 8, 50)).when(first & c.rlike("[01]"), _slot(F.ascii(c) - 48, 2, 48)).otherwise(_char_slot(c))
+            after_code = ~north_american & (i == lead)
+            return F.when(after_code & c.rlike("[1-9]"), _slot(F.ascii(c) - 49, 9, 49)).when(after_code & (c == "0"), _slot(F.lit(0), 1, 48)).when(first & c.rlike("[2-9]"), _slot(F.ascii(c) - 50, 8, 50)).when(first & c.rlike("[01]"), _slot(F.ascii(c) - 48, 2, 48)).otherwise(_char_slot(c))
 
         return _written(feistel(F.transform(cs, slot), key, "phone"))
 
@@ -103,18 +132,84 @@ def _address(m: Column, key: str) -> Column:
     return F.array_join(F.transform(feistel(slots, key, "address"), lambda s: (s["base"] + s["v"]).cast("string")), ".")
 
 
+def _day(m: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(m, F.lit(pattern)).cast("date")
+
+
+def _from_first(day: Column) -> Column:
+    return F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
+
+
+def _written_day(days: Column, m: Column, pattern: str) -> Column:
+    """The day so many days after the first one, as `m` is written: with one-digit days and months if it has one."""
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), days.cast("int"))
+    return F.when(m.rlike(r"(?<!\d)\d(?!\d)"), F.date_format(day, pattern)).otherwise(F.date_format(day, pattern.replace("d", "dd").replace("M", "MM")))
+
+
 def _date(pattern: str) -> Callable[[Column, str], Column]:
     def moved(m: Column, key: str) -> Column:
-        day = F.date_diff(F.try_to_timestamp(m, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+        day = _from_first(_day(m, pattern))
         high, low = DAY_RADICES
         slots = F.array(_slot(F.floor(day / low), high, 0), _slot(day % low, low, 0))
-        return _call(lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s[0]["v"] * low + s[1]["v"]).cast("int")), pattern), feistel(slots, key, "date"))
+        return _call(lambda s: _written_day(s[0]["v"] * low + s[1]["v"], m, pattern), feistel(slots, key, "date"))
+
+    return moved
+
+
+def _late_date(pattern: str) -> Callable[[Column, str], Column]:
+    """Days from the 13th on, permuted among themselves: with the month first, no other day is read so, and what comes out must not be read with the day first."""
+
+    def begin(month: Column) -> Column:
+        return _from_first(F.add_months(F.lit(FIRST_DAY).cast("date"), month)) - 12 * month
+
+    def moved(m: Column, key: str) -> Column:
+        day = _day(m, pattern)
+        rank = _from_first(day) - 12 * (12 * (F.year(day) - 1901) + F.month(day))
+        high, low = LATE_RADICES
+        slots = F.array(_slot(F.floor(rank / low), high, 0), _slot(rank % low, low, 0))
+
+        def written(n: Column) -> Column:
+            near = F.floor(n * MONTHS / (high * low)).cast("int")
+            month = F.array_max(F.filter(F.array(near - 1, near, near + 1), lambda x: begin(x) <= n))
+            return _written_day(n + 12 * (month + 1), m, pattern)
+
+        return _call(written, _call(lambda s: s[0]["v"] * low + s[1]["v"], feistel(slots, key, "late_date")))
 
     return moved
 
 
 def _is_date(pattern: str) -> Callable[[Column], Column]:
-    return lambda m: F.coalesce(F.try_to_timestamp(m, F.lit(pattern)).cast("date").between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), F.lit(False))
+    return lambda m: F.coalesce(_day(m, pattern).between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), F.lit(False))
+
+
+def _slash_date(m: Column, key: str) -> Column:
+    """Day first where that is a date, else month first."""
+    return F.when(_is_date("d/M/yyyy")(m), _date("d/M/yyyy")(m, key)).otherwise(_late_date("M/d/yyyy")(m, key))
+
+
+def _iban_pattern() -> str:
+    def account(n: int) -> str:
+        return f"(?:[ -]?[A-Z0-9]{{4}}){{{n // 4}}}" + (f"[ -]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    return r"(?<!\w)(?=[A-Z]{2}\d)(?:" + "|".join(f"(?:{names.replace(' ', '|')})\\d{{2}}{account(n - 4)}" for n, names in IBAN_LENGTHS.items()) + r")(?!\w)"
+
+
+#: North America; France and Spain, whose groups tell where a number ends; other country codes, 6 to 12 digits behind them; then national forms: France, Spain, and area codes with a leading 0.
+PHONES = (
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}",
+    r"(?:\+|00)33[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-]?\d{2}){4}",
+    r"(?:\+|00)34[ .-]?[1-9]\d{2}(?:(?:[ .-]?\d{2}){3}|(?:[ .-]?\d{3}){2})",
+    r"\+[1-9]\d{9,14}",
+    r"\+(?!1[ .(-])\d{2,3}[ -]?\d{2,4}[ -]?\d{3,4}(?:[ -]?\d{2,4})?(?![ ./-]?\d)",
+    r"(?:\+[1-9]\d{0,2}[ .-]?|00[1-9]\d{0,2}[ .-])(?:\(\d{1,4}\)[ .-]?)?\d(?:[ ./-]?\d){5,11}",
+    r"\(\d{3}\) ?\d{3}-\d{4}",
+    r"\d{3}[.-]\d{3}[.-]\d{4}",
+    r"[2-9]\d{2} [2-9]\d{2} \d{4}",
+    r"\([2-9]\d{2}\) ?\d{3} \d{4}",
+    r"0[1-9](?:[ .-]\d{2}){4}",
+    r"[2-9]\d{2}(?:[ .-]\d{2}){3}",
+    r"(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}[ /-])(?:\d{5,8}(?:-\d{1,4})?|\d{2,4}(?: \d{2,4}){1,3})",
+)
 
 
 @dataclass(frozen=True)
@@ -130,13 +225,14 @@ class Kind:
 _TRUE = lambda m: F.lit(True)
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])", _TRUE, _email),
-    Kind("phone", r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .(-])\d{2,3}[ -]?\d{2,4}[ -]?\d{3,4}(?:[ -]?\d{2,4})?|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", _TRUE, _phone),
+    Kind("phone", rf"(?<![\w+])(?:{'|'.join(PHONES)})(?![\w])", _TRUE, _phone),
     Kind("card", r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", lambda m: luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0, _card),
+    Kind("iban", _iban_pattern(), _is_iban, _iban),
     Kind("ssn", r"(?<![\w.+-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])", _TRUE, _ssn),
     Kind("address", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)", _TRUE, _address),
-    Kind("date_iso", r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])", _is_date("yyyy-MM-dd"), _date("yyyy-MM-dd")),
-    Kind("date_dots", r"(?<![\w.])\d{2}\.\d{2}\.\d{4}(?![\w]|\.\d)", _is_date("dd.MM.yyyy"), _date("dd.MM.yyyy")),
-    Kind("date_slash", r"(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])", _is_date("dd/MM/yyyy"), _date("dd/MM/yyyy")),
+    Kind("date_iso", r"(?<![\w.-])\d{4}-\d{1,2}-\d{1,2}(?![\w-])", _is_date("yyyy-M-d"), _date("yyyy-M-d")),
+    Kind("date_dots", r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?![\w]|\.\d)", _is_date("d.M.yyyy"), _date("d.M.yyyy")),
+    Kind("date_slash", r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])", lambda m: _is_date("d/M/yyyy")(m) | _is_date("M/d/yyyy")(m), _slash_date),
 )
 
 
@@ -173,7 +269,7 @@ def _rebuilt() -> Column:
 def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with each personal value replaced by its pseudonym, n_values, and `kinds` (map of kind to count; only kinds found).
 
-    Matches are leftmost and do not overlap; a match that fails its kind's check (Luhn, calendar)
+    Matches are leftmost and do not overlap; a match that fails its kind's check (Luhn, mod 97, calendar)
     stays. Null text stays null, empty stays empty, both with no values; repeated rows and null ids
     are kept. Dates outside 1901 to 2099 stay. No shuffle.
     """

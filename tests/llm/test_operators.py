@@ -112,6 +112,61 @@ def test_pseudonyms_of_edges(spark, edges, empty):
     assert same.columns == [*edges.columns, "n_chars"] and same.count() == len(EDGES)
 
 
+def mod97(iban):
+    plain = re.sub("[ -]", "", iban)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+#: Value, kind, and the form that its pseudonym must have.
+USUAL = [
+    ("+33 1 23 45 67 89", "phone", r"\+33 [1-9](?: \d\d){4}"),
+    ("+33 (0)1 23 45 67 89", "phone", r"\+33 \(0\)[1-9](?: \d\d){4}"),
+    ("0033 1 23 45 67 89", "phone", r"0033 [1-9](?: \d\d){4}"),
+    ("+34 612 34 56 78", "phone", r"\+34 [1-9]\d\d(?: \d\d){3}"),
+    ("+49 (0)30 123456", "phone", r"\+49 \(0\)[1-9]\d \d{6}"),
+    ("+49 30 1234567", "phone", r"\+49 [1-9]\d \d{7}"),
+    ("+44 20 7946 0958", "phone", r"\+44 [1-9]\d \d{4} \d{4}"),
+    ("+493012345678", "phone", r"\+\d{12}"),
+    ("030 1234567", "phone", r"0[1-9]\d \d{7}"),
+    ("(030) 1234567", "phone", r"\(0[1-9]\d\) \d{7}"),
+    ("0171/12345678", "phone", r"0[1-9]\d\d/\d{8}"),
+    ("01 23 45 67 89", "phone", r"0[1-9](?: \d\d){4}"),
+    ("612 34 56 78", "phone", r"[2-9]\d\d(?: \d\d){3}"),
+    ("663 555 6869", "phone", r"[2-9]\d\d [2-9]\d\d \d{4}"),
+    ("DE89 3704 0044 0532 0130 00", "iban", r"DE\d\d(?: \d{4}){4} \d\d"),
+    ("DE89370400440532013000", "iban", r"DE\d{20}"),
+    ("GB29NWBK60161331926819", "iban", r"GB\d\d[A-Z]{4}\d{14}"),
+    ("FR14 2004 1010 0505 0001 3M02 606", "iban", r"FR\d\d(?: \d{4}){4} \d[A-Z]\d\d \d{3}"),
+    ("BE68 5390 0754 7034", "iban", r"BE\d\d(?: \d{4}){3}"),
+    ("ES91 2100 0418 4502 0005 1332", "iban", r"ES\d\d(?: \d{4}){5}"),
+    ("03/25/1984", "date_slash", r"\d\d/(?:1[3-9]|2\d|3[01])/\d{4}"),
+    ("3/25/1984", "date_slash", r"\d\d?/(?:1[3-9]|2\d|3[01])/\d{4}"),
+    ("3/5/1984", "date_slash", r"[1-9]\d?/[1-9]\d?/\d{4}"),
+    ("1.2.1984", "date_dots", r"[1-9]\d?\.[1-9]\d?\.\d{4}"),
+    ("1984-2-1", "date_iso", r"\d{4}-[1-9]\d?-[1-9]\d?"),
+]
+#: No valid values; what only looks like one of them stays.
+UNUSUAL = ["DE88 3704 0044 0532 0130 00", "XX89370400440532013000", "02/30/1984", "13/13/1984", "31.2.1984", "1984-2-30", "1.2.3", "612 345 678", "4111111111111112", "in 2024 12 34"]
+
+
+def test_usual_forms_of_personal_values(spark):
+    texts = [f"a {v} BIC" for v, _, _ in USUAL] + [f"b ({v})." for v, _, _ in USUAL] + [f"c {v}, d" for v in UNUSUAL]
+    got = rows_by_id(pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), DOCS), "k"))
+    for i, (v, kind, form) in enumerate(USUAL):
+        new = got[i]["text"].removeprefix("a ").removesuffix(" BIC")
+        assert got[i]["kinds"] == {kind: 1} and new != v and re.fullmatch(form, new), (v, new)
+        assert got[len(USUAL) + i]["text"] == f"b ({new})."
+        assert kind != "iban" or mod97(v) == mod97(new) == 1
+    for i, v in enumerate(UNUSUAL, 2 * len(USUAL)):
+        assert got[i]["text"] == f"c {v}, d" and got[i]["n_values"] == 0, v
+
+
+def test_month_first_dates_are_permuted_among_themselves(spark):
+    days = spark.range(0, 72684).select(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("m"))
+    got = days.select("m", pii._slash_date(F.col("m"), "k").alias("o")).collect()
+    assert len(got) == 44028 and {r["o"] for r in got} == {r["m"] for r in got}
+
+
 # --- 2: decontamination --------------------------------------------------------------------------
 
 
