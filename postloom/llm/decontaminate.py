@@ -7,6 +7,8 @@ is also a run of an item; runs of `window` words (or whole shorter items) are hi
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised over `items` (id, words). `length`, `link`, `step` by state; `whole[state]` lists the lengths of short items that end there."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.length, self.link, self.step = [0], [-1], [{}]
         self.shortest = window
@@ -176,35 +178,113 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, coverage double, clean_text string, dropped boolean"
-#: Bytes of benchmark text that one automaton is built of; more items go to further automata, one scan for each.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one automaton is built of (about 190 bytes of memory for each, on prose); more items go to further automata, one scan for each.
+BLOCK_BYTES = 2 << 20
 
 
-def _items(benchmark: DataFrame, item_id: str, item_text: str) -> Broadcast:
-    """The items' words, for all tasks, after a check of their size."""
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null and id is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > BLOCK_BYTES:
-        raise ValueError(f"{size} bytes of benchmark text; split the benchmark into parts of {BLOCK_BYTES} bytes and run once for each")
-    return benchmark.sparkSession.sparkContext.broadcast([(r["id"], words_of(r["t"])) for r in rows.orderBy("id", "t").toLocalIterator()])
+def _pieces(text: str, window: int, most: int) -> Iterator[str]:
+    """The text; one of more than `most` bytes in parts that share window - 1 words, which have the same windows."""
+    if len(text.encode()) <= most:
+        yield text
+        return
+    words, begin = words_of(text), 0
+    while True:
+        end, size = begin, 0
+        while end < len(words) and (size + len(words[end]) < most or end - begin < window):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[begin:end]).decode()
+        if end == len(words):
+            return
+        begin = end - window + 1
+
+
+def _blocks(rows: Iterable[tuple[str | None, str]], window: int, most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks of up to `most` bytes of text; at least one block."""
+    block, size = [], 0
+    for k, t in rows:
+        for piece in _pieces(t, window, most):
+            n = len(piece.encode())
+            if block and size + n > most:
+                yield block
+                block, size = [], 0
+            block.append((k, piece))
+            size += n
+    yield block
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> list[Broadcast]:
+    """The items' ids and texts for all tasks, in blocks. An item without an id is one with a null id."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("id", "t")
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(b) for b in _blocks(((r["id"], r["t"]) for r in rows.toLocalIterator()), window, BLOCK_BYTES)]
+
+
+def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of both, merged where they touch."""
+    if not a or not b:
+        return a or b
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(a + b):
+        if out and out[-1][1] >= begin:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], window: int, place: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], set]]]]:
+    """Each batch with (words, spans hit, ids) of its rows. With several blocks the task's batches are put aside in a file and read once for each, so that one automaton is held at a time."""
+
+    def machine(block: Broadcast) -> SuffixAutomaton:
+        return SuffixAutomaton([(k, words_of(t)) for k, t in block.value], window)
+
+    def found(scan: SuffixAutomaton, batch: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]], set]]:
+        rows = (words_of(t) for t in batch.column(place).to_pylist())
+        return [(len(words), *scan.hits(words)) for words in rows]
+
+    if len(shared) == 1:
+        scan = None
+        for batch in batches:
+            scan = scan or machine(shared[0])
+            yield batch, found(scan, batch)
+        return
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as aside:
+        writer, rows = None, []
+        for batch in batches:
+            writer = writer or pa.ipc.new_stream(aside, batch.schema)
+            writer.write_batch(batch)
+            rows.append([(0, [], set())] * batch.num_rows)
+        if writer is None:
+            return
+        writer.close()
+
+        def again() -> Iterator[pa.RecordBatch]:
+            aside.seek(0)
+            return iter(pa.ipc.open_stream(aside))
+
+        for block in shared:
+            scan = machine(block)
+            for i, batch in enumerate(again()):
+                rows[i] = [(n, merged(spans, old), ids | known) for (n, spans, ids), (_, old, known) in zip(found(scan, batch), rows[i])]
+            del scan
+            trim()
+        for i, batch in enumerate(again()):
+            yield batch, rows[i]
 
 
 def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle."""
     small_batches(docs.sparkSession)
-    shared, place = _items(benchmark, item_id, item_text), docs.columns.index(text)
+    shared, place = _items(benchmark, item_id, item_text, window), docs.columns.index(text)
     count = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
-        for batch in batches:
-            machine = machine or SuffixAutomaton(shared.value, window)
+        for batch, rows in _scanned(batches, shared, window, place):
             texts, keep = batch.column(place).to_pylist(), []
             sizes = batch.column(count).to_pylist() if count is not None else []
-            for i, t in enumerate(texts):
-                words = words_of(t)
-                spans, _ = machine.hits(words)
-                keep.append(not spans or sum(b - a for a, b in spans) < max_coverage * len(words))
+            for i, (t, (n, spans, _)) in enumerate(zip(texts, rows)):
+                keep.append(not spans or sum(b - a for a, b in spans) < max_coverage * n)
                 if spans:
                     texts[i] = cut(t, spans)
                     if sizes:
@@ -224,23 +304,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     A document whose hit words reach `max_coverage` of its words is marked `dropped` as a whole.
     Null or empty texts and items have no words and no hits; an empty benchmark hits nothing.
-    Repeated rows and null ids are kept as they are. No shuffle of documents: the automaton, of
-    `BLOCK_BYTES` of item text at most (checked; more is refused, as benchmarks are small by
-    nature), travels with the tasks. `with_text=False` leaves clean_text null.
+    Repeated rows and null ids are kept as they are. Items without an id hit too: together they
+    count as one in n_items, and are not in `items`. No shuffle of documents: the items travel with
+    the tasks, and each task builds one automaton after another of `BLOCK_BYTES` of item text.
+    `with_text=False` leaves clean_text null.
     """
-    shared = _items(benchmark, item_id, item_text)
+    shared = _items(benchmark, item_id, item_text, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
-        for batch in batches:
-            machine = machine or SuffixAutomaton(shared.value, window)
+        for batch, rows in _scanned(batches, shared, window, 1):
             out = []
-            for t in batch.column(1).to_pylist():
-                words = words_of(t)
-                spans, found = machine.hits(words)
-                n, hit = len(words), sum(b - a for a, b in spans)
+            for t, (n, spans, found) in zip(batch.column(1).to_pylist(), rows):
+                hit = sum(b - a for a, b in spans)
                 part = hit / n if n else 0.0
-                out.append((n, hit, len(found), sorted(found), [{"start": a, "end": b} for a, b in spans], part, (cut(t, spans) if t is not None else None) if with_text else None, bool(hit) and part >= max_coverage))
+                out.append((n, hit, len(found), sorted(k for k in found if k is not None), [{"start": a, "end": b} for a, b in spans], part, (cut(t, spans) if t is not None else None) if with_text else None, bool(hit) and part >= max_coverage))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.float64(), pa.string(), pa.bool_()]
             names = ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "coverage", "clean_text", "dropped"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)

@@ -214,6 +214,32 @@ def test_decontamination(spark, small, texts, edges, empty):
     assert decontaminate.decontaminate(empty, odd).count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 300, 1 << 20])
+def test_items_without_ids_and_in_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rnd = random.Random(block)
+
+    def run(n):
+        return " ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(n))
+
+    named = [(f"i{i}", run(rnd.choice((3, 12, 30, 90)))) for i in range(12)] + [(None, run(25)), (None, run(4)), ("none", None)]
+    long = named[-3][1].split()
+    rows = [(i, f"{run(8)} {named[i % 14][1]} {run(rnd.randint(0, 40))} {' '.join(long[i : i + 10])} end") for i in range(40)] + [(None, long[0]), (None, " ".join(long)), (50, None), (51, ""), (52, "other words only")]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(named, "item_id string, text string")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    want = []
+    for i, t in rows:
+        n, hit, found = plain_hits(t, [("~" if k is None else k, x) for k, x in named], 10)
+        want.append((i, n, hit, len(found), [k for k in found if k != "~"]))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in got), key=key) == sorted(want, key=key)
+    assert any("~" in plain_hits(t, [("~", x) for k, x in named if k is None], 10)[2] for _, t in rows)
+    clean = {r["doc_id"]: (r["clean_text"], r["dropped"]) for r in got if r["doc_id"] is not None}
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated_documents(docs, bench).where("doc_id is not null").collect()}
+    assert kept == {i: t for i, (t, dropped) in clean.items() if not dropped}
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
 # --- 3: token counts -----------------------------------------------------------------------------
 
 ODD = "abcdeſ'strem  \n\t<|endoftext|>ÀéΣςİßﬁ́你🎉0٣५.,!—…  \u0085\x1c_ª²​　"
