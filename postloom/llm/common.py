@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,12 +18,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine (as in tests) one of our own. Elsewhere it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="postloom-"))
             path = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -44,12 +45,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so when their plans are collected as garbage, which may be long after a large shuffle has served."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Rows in an Arrow batch at most: texts may be long, and a worker holds a few batches at once.
 BATCH_ROWS = 2000
 

@@ -3,7 +3,11 @@
 First pass: each task counts its windows of n words in sketches of `depth` rows and hands them on
 as the compressed distances between the cells it met; merged, they give a cell map of
 what may repeat. Cells only ever overestimate, so a window outside the map occurs once and is done.
-Second pass: windows inside the map are grouped exactly by 80-bit hashes.
+Second pass: windows inside the map are grouped exactly by 80-bit hashes, which gives each its
+first document. Third pass: each document gets the windows that it is the first of; what else of
+its windows lies inside the map has a smaller document, and goes. So only one row for each distinct
+window is sent back, windows that many documents share are combined before they are shuffled, and
+nothing is joined on windows.
 
 The sketch has a fixed size, so it is the same on every machine and its merged map can travel with
 the tasks. On a corpus far beyond its cells it lets more windows through, which costs shuffle and
@@ -22,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import map_rows, null_safe_id, release, stored, trim, words_of
+from postloom.llm.common import map_rows, null_safe_id, trim, words_of
 
 _U = np.uint64
 
@@ -100,25 +104,28 @@ def repeated_cells(docs: DataFrame, n: int, sketch: Sketch) -> dict[int, bytes]:
             yield from t.out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        plain = zstandard.ZstdDecompressor()
+        """Parts come sorted by slot, so one slot's cells are held at a time."""
+        plain, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        held, once, twice = None, np.zeros(0, bool), np.zeros(0, bool)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if twice.any():
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([packer.compress(np.packbits(twice).tobytes())], pa.binary())], ["slot", "more"])
+
         for batch in batches:
-            for slot, gaps in zip(*(c.to_pylist() for c in batch.columns)):
-                if slot not in maps:
-                    maps[slot] = np.zeros(1 << sketch.shard_log2, bool), np.zeros(1 << sketch.shard_log2, bool)
-                once, twice = maps[slot]
-                cells = _cells(plain.decompress(gaps))
+            for slot, gaps in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if slot != held:
+                    yield from out()
+                    held, once, twice = slot, np.zeros(1 << sketch.shard_log2, bool), np.zeros(1 << sketch.shard_log2, bool)
+                cells = _cells(plain.decompress(gaps.as_py()))
                 twice[cells[once[cells]]] = True
                 twice[cells[1:][cells[1:] == cells[:-1]]] = True
                 once[cells] = True
-        packer = zstandard.ZstdCompressor(level=1)
-        for slot, (_, twice) in maps.items():
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([packer.compress(np.packbits(twice).tobytes())], pa.binary())], ["slot", "more"])
+        yield from out()
 
     parts = docs.mapInArrow(tally, _PARTS)
     tasks = min(sketch.depth << sketch.cells_log2 - sketch.shard_log2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = parts.repartition(tasks, "slot").mapInArrow(merge, "slot int, more binary")
+    merged = parts.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(merge, "slot int, more binary")
     return {r["slot"]: bytes(r["more"]) for r in merged.toLocalIterator()}
 
 
@@ -153,60 +160,70 @@ def cell_map(shared: Broadcast, sketch: Sketch) -> CellMap:
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
+def _kept(words: list[bytes], hits: np.ndarray, n: int) -> list[bytes]:
+    """The words that no window of n words beginning at `hits` (ascending) covers."""
+    change = np.zeros(len(words) + 1, np.int32)
+    change[hits] += 1
+    np.add.at(change, np.minimum(hits + n, len(words)), -1)
+    return [w for w, gone in zip(words, np.cumsum(change[:-1]).tolist()) if not gone]
+
+
 def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
+    """One row for each row of `docs`: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window of n words covers it whose words also start a window in a document of a
     smaller id; what is removed never depends on other removals. Words are runs of anything but ASCII
     white space, unchanged. Null and empty texts have no words and an empty kept_text; texts under n
-    words are kept whole. Rows of one id count as one document's; rows with a null id are kept whole.
+    words are kept whole. Rows of one id count as one document's, also with different texts: they
+    take nothing from each other, and others compare with all of them. Rows with a null id are kept
+    whole and take nothing from others.
     """
     spark = docs.sparkSession
     rows = null_safe_id(docs, doc_id, text)
     named = rows.where("doc_id is not null")
     shared = spark.sparkContext.broadcast({"parts": repeated_cells(named, n, sketch)})
-    release(spark)
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cells = cell_map(shared, sketch)
-        ids, keys, more, places = [], [], [], []
+        ids, keys, more = [], [], []
         own = batch.column(0).to_numpy(zero_copy_only=False)
         for row, _, words in words_of(batch.column(1)):
             at, h = words.windows(n)
             hit = cells.may_repeat(h)
             at, h = at[hit], h[hit]
             if len(at):
-                _, g = words.windows(n, 1)
                 ids.append(own[row + words.doc[at]])
                 keys.append(h)
-                more.append(g[hit])
-                places.append(at - words.first[words.doc[at]])
+                more.append(words.windows(n, 1)[1][hit])
         if not ids:
             return None
         cat = np.concatenate
-        return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64()), pa.array(cat(places).astype(np.int32))], ["h", "g", "doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64())], ["h", "g", "doc_id"])
 
-    maybe = map_rows(named, windows, "h long, g short, doc_id long, place int")  # made twice: cheaper than to keep
-    first = maybe.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
-    hits = maybe.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "place")
-    spots = stored(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "spots")
-    joined = rows.join(spots, "doc_id", "left").select("doc_id", "text", "places")
+    firsts = map_rows(named, windows, "h long, g short, doc_id long").groupBy("h", "g").agg(F.min("doc_id").alias("k"))
+    mine = firsts.groupBy("k").agg(F.collect_list("h").alias("mine"))
+    # rows without an id are spread by their texts; what a key of theirs may meet by chance isn't used
+    joined = rows.withColumn("k", F.coalesce("doc_id", F.xxhash64("text"))).join(mine, "k", "left").select("doc_id", "text", "mine")
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t, places in zip(batch.column(1).to_pylist(), batch.column(2)):
-            words = (t or "").encode().split()
-            if places.is_valid:
-                gone = np.zeros(len(words) + 1, np.int32)
-                at = places.values.to_numpy()
-                np.add.at(gone, at, 1)
-                np.add.at(gone, np.minimum(at + n, len(words)), -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                kept = words
-            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
+        cells = cell_map(shared, sketch)
+        ids, mine, out = batch.column(0), batch.column(2), []
+        for row, end, words in words_of(batch.column(1)):
+            at, h = words.windows(n)
+            hit = cells.may_repeat(h)
+            at, h = at[hit], h[hit]
+            cuts = np.searchsorted(words.doc[at], np.arange(end - row + 1)).tolist()
+            for i, t in enumerate(batch.column(1).slice(row, end - row).to_pylist()):
+                kept = all_words = (t or "").encode().split()
+                a, b = cuts[i], cuts[i + 1]
+                if a < b and ids[row + i].is_valid:
+                    hits = at[a:b]
+                    if mine[row + i].is_valid:
+                        hits = hits[~np.isin(h[a:b], mine[row + i].values.to_numpy().view(_U))]
+                    if len(hits):
+                        kept = _kept(all_words, hits - words.first[i], n)
+                out.append((len(all_words), len(all_words) - len(kept), b" ".join(kept).decode()))
         cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return map_rows(joined, strip, OUT)

@@ -603,6 +603,26 @@ def test_substring_dedup_with_a_full_sketch_and_edges(spark, edges, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 13])
+def test_substring_dedup_of_repeated_and_null_ids(spark, n):
+    rnd = random.Random(n)
+    words = lambda k: " ".join(rnd.choice("abcdef") for _ in range(k))
+    shared = words(40)
+    rows = [(rnd.choice([None, 1, 2, 3, 5, 5, 5]), rnd.choice([shared, "", None, f"{words(rnd.randint(0, 30))} {shared} {words(3)}", words(rnd.randint(0, 50))])) for _ in range(80)]
+    firsts = {}
+    windows = lambda w: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+    for i, t in rows:
+        for x in windows((t or "").split()) if i is not None else ():
+            firsts[x] = min(i, firsts.get(x, i))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {k + j for k, x in enumerate(windows(w)) if i is not None and firsts[x] < i for j in range(n)}
+        want.append((i or 0, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS), n, substring_dedup.Sketch(cells_log2=16, shard_log2=12)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(want)
+
+
 # --- 10: secrets ---------------------------------------------------------------------------------
 
 KINDS = {"assign": (r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
