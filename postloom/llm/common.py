@@ -38,11 +38,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/postloom/{uuid.uuid4().hex}/{name}"
 
 
+class Tables:
+    """Tables of one run, written as Parquet in the shared folder and read again: cuts in the lineage that outlive executors. drop() deletes those that later ones have replaced."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, scratch(spark, "tables"), 0
+        self.paths: dict[str, list[str]] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{self.n}-{name}"
+        self.n += 1
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, but: int = 0) -> None:
+        """Deletes the tables of these names but the last so many; what still reads them must have been written."""
+        for name in names:
+            held = self.paths.get(name, [])
+            old, self.paths[name] = held[: len(held) - but], held[len(held) - but :]
+            for path in old:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: a cut in the lineage that outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One table, written and read again."""
+    return Tables(df.sparkSession).put(df, name)
 
 
 #: Rows in an Arrow batch at most: texts may be long, and a worker holds a few batches at once.

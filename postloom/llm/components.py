@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import stored
+from postloom.llm.common import Tables
 
 EDGES = "a long, b long"
 
@@ -57,23 +57,25 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     node to its component's smallest node. Each round is written to the shared folder. Loops
     (a = b) count as isolated nodes; null ends are no links; repeated links change nothing.
     """
-    spark = links.sparkSession
+    tables = Tables(links.sparkSession)
     clean = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     loops = clean.where("a = b").select("a").distinct()
-    edges = stored(clean.where("a <> b").mapInArrow(_forest, EDGES).where("a <> b").distinct(), "links")
+    edges = tables.put(clean.where("a <> b").mapInArrow(_forest, EDGES).where("a <> b").distinct(), "links")
     if edges.isEmpty():
         return loops.select(F.col("a").alias("node"), F.col("a").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(_smallest(both).select("a", F.least("a", "m").alias("m")), "least")  # written, so that Spark can split a hub's rows in the join
+        least = tables.put(_smallest(both).select("a", F.least("a", "m").alias("m")), "least")  # written, so that Spark can split a hub's rows in the join
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.mapInArrow(_forest, EDGES).distinct()
-        large = stored(large, "links")
+        large = tables.put(large, "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = stored(_smallest(down), "least")
+        low = tables.put(_smallest(down), "low")
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stored(small, "links")
+        edges = tables.put(small, "links")
+        tables.drop("least", "large", "low")
+        tables.drop("links", but=1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.count_distinct("a")).first()
         if tuple(now) == before or now[0] == now[2] and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break

@@ -430,10 +430,38 @@ def test_near_duplicates_of_chains_and_close_misses(spark):
 def test_near_duplicates_of_edges(spark, edges, empty):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(edges).collect())
     want = plain_components([e for e in EDGES if e[0] is not None], 3, 85)
-    assert got == sorted([(i, *want[i]) for i, _ in EDGES if i is not None] + [(0, 2, 0, True)])
+    assert got == sorted([(i, *want[i]) for i, _ in EDGES if i is not None] + [(0, 2, 0, True)])  # no component without an id
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [2000, 60_000, 32 << 20])
+def test_near_copies_that_stay_apart(spark, monkeypatch, slice_bytes):
+    """Clouds of separate near copies, settled where they are stored, by cloud, or in many rounds."""
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 3000)
+    rnd = random.Random(9)
+    rows = []
+    for cloud in range(3):
+        base = [f"{cloud}w{i}" for i in range(150)]
+        for _ in range(20 + 60 * cloud):  # a few words in common places: rare enough to stay apart, not alone
+            words = list(base)
+            for at in rnd.sample(range(0, 150, 3), rnd.choice((3, 4, 5, 6))):
+                words[at] = f"x{rnd.randrange(3)}"
+            rows.append((len(rows), " ".join(words)))
+    rnd.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), near_dedup.Settings(slice_bytes=slice_bytes)).collect()}
+    want = plain_components(rows, 3, 85)
+    assert got == want and len({c for _, c, _ in want.values()}) > 20
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = lambda k, n=40: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(1, text("a")), (3, text("a")), (3, text("b")), (4, text("b") + " more"), (5, text("c")), (5, text("c")), (6, text("d")), (6, text("e")), (7, text("e")), (None, text("a")), (None, text("f")), (8, text("f")), (9, text("g")), (9, text("h")), (9, text("i")), (2, text("i")), (10, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    root = {1: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8, 9: 2, 2: 2, 10: 10}
+    assert sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == sorted((i or 0, max(len(t.split()) - 2, 0), root.get(i, 0), i is None or root[i] == i) for i, t in rows)
+
+
 def test_signatures_are_the_plain_ones(monkeypatch):
     def plain(hs, m, seed):
         out = [2**64 - 1] * m
