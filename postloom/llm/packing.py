@@ -39,7 +39,7 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 #: Bits of small ids.
 _BITS = _bits(np.arange(1 << 18, dtype=_U))
-_ZERO = np.zeros(1, np.int32)
+_ZERO, _NONE = np.zeros(1, np.int32), np.zeros(0, bool)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -50,13 +50,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
     ids = ids.astype(_U)
     bits = _BITS[ids] if int(ids.max()) < len(_BITS) else _bits(ids)
     best = np.full(n, ESCAPE, np.int8)
-    within = np.cumsum(np.bincount(bits, minlength=65))
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
-        if count <= within[width] and (width > 4 or 2 * within[width] > n):  # a run of very small ids needs many of them
-            wide = np.concatenate([_ZERO, np.cumsum(bits > width, dtype=np.int32)])
-            fits = wide[count:] == wide[:-count]
-            best[: n - count + 1][fits] = s
+        wide = np.concatenate([_ZERO, np.cumsum(bits > width, dtype=np.int32)])
+        fits = wide[count:] == wide[:-count] if count <= n else _NONE
+        if not fits.any():  # where a narrower selector fits, this one does: none is left
+            break
+        best[: n - count + 1][fits] = s
     # near the end fewer ids are left than the narrow selectors take: a wider one, or escapes, serve there
     step = np.array([c for c, _ in SELECTORS] + [1])[best].tolist()
     starts, i = [], 0
