@@ -7,16 +7,21 @@ small sets of such pairs, each with the number of tokens it has cost beyond the
 transition carries the tokens emitted. States and transitions are compiled when first taken and
 kept within a bound.
 
-Counting over chunks: white space brings the machine back to its start, so the state map of a
-chunk is: what happens up to its first white space, a number of tokens between, and what follows
-the last. Such maps compose associatively, and a prefix scan over them counts a text of any length.
+Counting over chunks: the symbols of a text (bytes, and bytes that end a word) are cut in chunks of
+a fixed number, wherever that falls. A chunk's map takes a state of the machine to the state after
+the chunk and the tokens emitted between; the end of a word brings every state back to the start, so
+the state after a chunk in which a word ends doesn't depend on the chunks before it, and maps hold
+the one state that can come before them. Maps compose associatively, and a prefix scan over them
+counts a text of any length. Words that lie wholly inside a chunk start and end at the start
+state: their maps are numbers, which are remembered (a cache of the machine's results).
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -64,6 +69,10 @@ class Merges:
         return parts
 
 
+#: The state at the start of a word: no token in progress, none before it, no cost.
+START = ((0, None, 0),)
+
+
 class CountTransducer:
     """word -> number of tokens. Symbols are byte characters; the last one carries `end`."""
 
@@ -94,9 +103,8 @@ class CountTransducer:
         return a is None or self.bpe.split(a + b) == ["".join(a), "".join(b)]
 
     def reset(self) -> None:
-        start = ((0, None, 0),)
-        self.ids = {start: 0}
-        self.sets = [start]
+        self.ids = {START: 0}
+        self.sets = [START]
         #: By state: symbol -> (next state, tokens emitted); a final symbol leads to no state.
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -119,27 +127,48 @@ class CountTransducer:
                 items.append((0, done[0], done[1]))
             least = min(c for *_, c in items)
             key = tuple(sorted(((n, b, c - least) for n, b, c in items), key=lambda x: (x[0], x[2])))
-            if (to := self.ids.get(key)) is None:
-                to = self.ids[key] = len(self.sets)
-                self.sets.append(key)
-                self.arcs.append({})
-            arc = (to, least)
+            arc = (self._id(key), least)
         self.arcs[state][symbol] = arc
         return arc
 
+    def _id(self, key: tuple) -> int:
+        """The number of a state that may have been forgotten since."""
+        if (state := self.ids.get(key)) is None:
+            state = self.ids[key] = len(self.sets)
+            self.sets.append(key)
+            self.arcs.append({})
+        return state
+
+    def run(self, key: tuple, raw: bytes, ends: bool) -> tuple[tuple, int]:
+        """(state, tokens emitted) after the bytes, from the state `key`; `ends` if a word ends with them."""
+        state, total = self._id(key), 0
+        symbols = [self.letters[b] for b in raw]
+        if ends and symbols:
+            symbols[-1] += self.end
+        for s in symbols:
+            if (arc := self.arcs[state].get(s)) is None:
+                if len(self.sets) > self.limit:
+                    key = self.sets[state]
+                    self.reset()
+                    state = self._id(key)
+                arc = self._compile(state, s)
+            state = max(arc[0], 0)
+            total += arc[1]
+        return self.sets[state], total
+
     def count(self, word: bytes) -> int:
-        if not word:
-            return 0
-        if len(self.sets) > self.limit:
-            self.reset()
-        letters, arcs = self.letters, self.arcs
-        state = total = 0
-        for b in word[:-1]:
-            s = letters[b]
-            state, n = arcs[state].get(s) or self._compile(state, s)
-            total += n
-        s = letters[word[-1]] + self.end
-        return total + (arcs[state].get(s) or self._compile(state, s))[1]
+        return self.run(START, word, True)[1]
+
+
+@dataclass
+class Chunk:
+    """Symbols of a text: bytes of a word that began before (`head`, if `cut`), tokens of the words that begin and end here (`inner`), and bytes of a word that goes on (`tail`). `ended`: a word ends here; else all bytes are in `head`."""
+
+    head: bytes = b""
+    inner: int = 0
+    tail: bytes = b""
+    ended: bool = False
+    cut: bool = False
 
 
 class Counter:
@@ -156,62 +185,95 @@ class Counter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.words = Memo(CountTransducer(merges, spec["model"]["end_of_word_suffix"] or "").count, 100_000)
+        self.machine = CountTransducer(merges, spec["model"]["end_of_word_suffix"] or "")
+        self.words = Memo(self.machine.count, 100_000)
         self.stretches = Memo(self._stretch)
 
-    def _plain(self, text: str) -> int:
+    def pre_tokens(self, text: str) -> Iterator[bytes | None]:
+        """The words of a text without white space, and None for each added token in it."""
+        at = 0
+        for m in self.added.finditer(text) if self.added else ():
+            yield from self._words(text[at : m.start()])
+            yield None
+            at = m.end()
+        yield from self._words(text[at:])
+
+    def _words(self, text: str) -> Iterator[bytes]:
         text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         if not text.isascii():
             text = text.translate(LATER_LOWER)
-        return sum(self.words[w.encode()] for w in self.pattern.findall(text))
+        return map(str.encode, self.pattern.findall(text))
 
     def _stretch(self, raw: bytes) -> int:
-        text = raw.decode()
-        if not self.added:
-            return self._plain(text)
-        n, at = 0, 0
-        for m in self.added.finditer(text):
-            n += self._plain(text[at : m.start()]) + 1
-            at = m.end()
-        return n + self._plain(text[at:])
+        """Symbols << 32 | tokens."""
+        return sum(1 << 32 | 1 if w is None else len(w) << 32 | self.words[w] for w in self.pre_tokens(raw.decode()))
 
     # --- state maps of chunks -----------------------------------------------------------------
 
-    def state_map(self, chunk: bytes) -> tuple:
-        """(bytes,) without white space, else (bytes before the first, tokens between, bytes after the last)."""
-        parts = chunk.split()
-        if len(parts) <= 1 and len(chunk) == len(parts[0] if parts else b""):
-            return (chunk,)
-        head = parts.pop(0) if not chunk[:1].isspace() else b""
-        tail = parts.pop() if parts and not chunk[-1:].isspace() else b""
-        return head, sum(map(self.stretches.__getitem__, parts)), tail
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if len(a) == 1 and len(b) == 1:
-            return (a[0] + b[0],)
-        if len(a) == 1:
-            return a[0] + b[0], b[1], b[2]
-        if len(b) == 1:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + (self.stretches[x] if (x := a[2] + b[0]) else 0) + b[1], b[2]
-
-    def total(self, m: tuple) -> int:
-        return sum(self.stretches[x] if isinstance(x, bytes) else x for x in m if x)
+    def chunks(self, raw: bytes, size: int) -> Iterator[Chunk]:
+        """The text's symbols, `size` to a chunk."""
+        chunk, room = Chunk(), size
+        for stretch in raw.split():
+            if (chunk.ended or not chunk.cut) and len(stretch) < 256:  # most lie inside the chunk as a whole
+                both = self.stretches[stretch]
+                if 0 < both >> 32 < room:
+                    chunk.inner += both & 0xFFFFFFFF
+                    chunk.ended = True
+                    room -= both >> 32
+                    continue
+            for w in self.pre_tokens(stretch.decode()):
+                if w is None:  # an added token is one symbol, between words
+                    chunk.ended = True
+                    chunk.inner += 1
+                    room -= 1
+                else:
+                    while len(w) > room:
+                        if chunk.ended:
+                            chunk.tail = w[:room]
+                        else:
+                            chunk.head += w[:room]
+                        yield chunk
+                        chunk, w, room = Chunk(), w[room:], size
+                        chunk.cut = True
+                    room -= len(w)
+                    if chunk.ended or not chunk.cut:
+                        chunk.inner += self.words[w]
+                    else:
+                        chunk.head = w
+                    chunk.ended = True
+                if not room:
+                    yield chunk
+                    chunk, room = Chunk(), size
+        yield chunk
+
+    def state_maps(self, chunks: Iterable[Chunk]) -> list[dict[tuple, tuple[tuple, int]]]:
+        """By chunk: state before it -> (state after it, tokens emitted)."""
+        maps, before = [], START
+        for c in chunks:
+            state, n = self.machine.run(before, c.head, c.ended) if c.head else (before, 0)
+            if c.ended:
+                state, after = self.machine.run(START, c.tail, False) if c.tail else (START, 0)
+                n += c.inner + after
+            maps.append({before: (state, n)})
+            before = state
+        return maps
 
     def column(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; each distinct stretch of the column is looked up once."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        each = np.fromiter((self.stretches[x.encode()] if x else 0 for x in coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        each = np.fromiter((self.stretches[x.encode()] & 0xFFFFFFFF if x else 0 for x in coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
         return np.diff(total[lists.offsets.to_numpy()])
 
     def count(self, raw: bytes, chunk_bytes: int = 1 << 16) -> int:
-        if len(raw) <= chunk_bytes:
-            return sum(map(self.stretches.__getitem__, raw.split()))
-        maps = [self.state_map(raw[i : i + chunk_bytes]) for i in range(0, len(raw), chunk_bytes)]
-        return self.total(scan(maps, self.compose)[-1])
+        return scan(self.state_maps(self.chunks(raw, chunk_bytes)), compose)[-1][START][1]
+
+
+def compose(a: dict[tuple, tuple[tuple, int]], b: dict[tuple, tuple[tuple, int]]) -> dict[tuple, tuple[tuple, int]]:
+    """The map of two chunks, one after the other."""
+    return {s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items()}
 
 
 def scan(items: list, compose: Callable) -> list:
@@ -244,8 +306,9 @@ def token_counts(docs: DataFrame, path: str, chunk_bytes: int = 1 << 16, doc_id:
     """One row for each document: UTF-8 bytes and tokens, without begin and end tokens.
 
     Strings of added tokens inside a text count as one token each. Null and empty texts: 0 bytes,
-    0 tokens. Repeated rows and null ids are kept. Texts beyond `chunk_bytes` are counted in chunks
-    whose state maps are composed. No shuffle. `path` must exist on all executors.
+    0 tokens. Repeated rows and null ids are kept. A text is cut in chunks of `chunk_bytes` symbols,
+    whose state maps are composed; one of a single chunk is the sum of its words. No shuffle.
+    `path` must exist on all executors.
     """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
