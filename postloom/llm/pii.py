@@ -2,8 +2,12 @@
 
 A value becomes slots, each a number below a radix; an alternating Feistel network over the two
 halves of the slots permutes them under a key, and the slots are written back in the value's own
-format. The network is a bijection of the values of one format: equal values stay equal and
-different ones different across all documents, and who holds the key can undo it.
+format. The network is a bijection of the values of one kind: equal values stay equal and
+different ones different across all documents, and who holds the key can undo it. Separators,
+country codes and prefixes are no slots, so a value keeps its pseudonym in every layout.
+
+The key reaches the plan as a scalar subquery over a row of its own, so that plans, event logs and
+the UI don't show it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -37,12 +41,22 @@ def _slot(v: Column, m: Column | int, base: Column | int) -> Column:
     return F.struct(v.cast("long").alias("v"), as_int(m).alias("m"), as_int(base).alias("base"))
 
 
-def feistel(slots: Column, key: str, tweak: str) -> Column:
+#: A key: a column in queries, or a plain string.
+Key = Column | str
+
+
+def secret(spark: SparkSession, key: Key) -> Column:
+    """The key as a scalar subquery, whose value plans don't show."""
+    return spark.createDataFrame([(key,)], "key string").scalar()
+
+
+def feistel(slots: Column, key: Key, tweak: str) -> Column:
     """The slots with v permuted; each v stays below its m. Even rounds change the first half by the second, odd rounds the second by the first."""
     half = F.ceil(F.size(slots) / 2).cast("int")
+    key = key if isinstance(key, Column) else F.lit(key)
 
     def shifted(part: Column, other: Column, r: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda s: s["v"].cast("string")), ","))
+        seed = F.concat_ws("|", key, F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda s: s["v"].cast("string")), ","))
         return F.transform(part, lambda s, i: _slot((s["v"] + F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")) % s["m"], s["m"], s["base"]))
 
     def step(acc: Column, r: Column) -> Column:
@@ -67,21 +81,30 @@ def _written(slots: Column) -> Column:
     return F.array_join(F.transform(slots, lambda s: F.char(s["base"] + s["v"])), "")
 
 
+def _laid_out(m: Column, kept: str, chars: Column) -> Column:
+    """`m` with its characters of the class `kept` replaced by `chars`, one by one."""
+    return F.array_join(F.zip_with(F.split(m, kept, -1), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     """Luhn's sum of a digit string whose last digit is the check digit."""
     return F.aggregate(_chars(F.reverse(digits)), F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), lambda acc, c: F.struct((acc["i"] + 1).alias("i"), (acc["s"] + F.when(acc["i"] % 2 == 0, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).alias("s")), lambda acc: acc["s"])
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Key) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(_written(feistel(F.transform(_chars(local), _char_slot), key, "email")), F.substr(m, F.length(local) + 1))
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Key) -> Column:
     """The first digit and the separators stay; the digits between are permuted and the check digit fits them."""
-    body = F.substr(m, F.lit(2), F.length(m) - 2)
-    moved = _call(lambda b: F.concat(F.substring(m, 1, 1), b), _written(feistel(F.transform(_chars(body), _char_slot), key, "card")))
-    return _call(lambda x: F.concat(x, ((10 - luhn_sum(F.concat(F.regexp_replace(x, "[^0-9]", ""), F.lit("0"))) % 10) % 10).cast("string")), moved)
+
+    def moved(digits: Column) -> Column:
+        body = F.substr(digits, F.lit(2), F.length(digits) - 2)
+        return F.concat(F.substring(digits, 1, 1), _written(feistel(F.transform(_chars(body), _char_slot), key, "card")))
+
+    checked = lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string"))
+    return _laid_out(m, "[0-9]", _chars(_call(checked, _call(moved, F.regexp_replace(m, "[^0-9]", "")))))
 
 
 def _mod97(text: Column) -> Column:
@@ -94,39 +117,43 @@ def _is_iban(m: Column) -> Column:
     return F.substr(plain, F.lit(3), F.lit(2)).between("02", "98") & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Key) -> Column:
     """The country and the separators stay; the account's characters are permuted and the check digits fit them."""
     country = F.substring(m, 1, 2)
-    account = _written(feistel(F.transform(_chars(F.substr(m, F.lit(5))), _char_slot), key, "iban"))
-    return _call(lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(F.regexp_replace(x, "[^0-9A-Z]", ""), country, F.lit("00")))).cast("string"), 2, "0"), x), account)
+    account = _written(feistel(F.transform(_chars(F.regexp_replace(F.substr(m, F.lit(5)), "[^0-9A-Z]", "")), _char_slot), key, "iban"))
+    checked = lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x)
+    return _laid_out(m, "[0-9A-Z]", _chars(_call(checked, account)))
+
 
+#: Country codes of one and two digits; others have three.
+COUNTRY_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 
-def _phone(m: Column, key: str) -> Column:
-    """The country code and a leading or bracketed 0 stay, and a 1 to 9 behind them; else a group's first digit stays among 0 and 1, or 2 to 9."""
-    code = F.regexp_extract(m, r"^(?:(?:\+|00)\d{1,3}(?=[ .(-])(?:[ .-]?\(0\))?|\(?0)", 0)
-    north_american = code.isin("", "+1", "001")
 
-    def moved(cs: Column) -> Column:
-        lead = F.array_position(F.transform(cs, lambda c: c.rlike("[0-9]")), F.lit(True)) - 1
+def _phone(m: Column, key: Key) -> Column:
+    """The country code and a leading or bracketed 0 stay, so a number keeps its pseudonym with and without them. A first digit stays 2 to 9, or itself; in North American numbers area and exchange stay in 0 to 1 or 2 to 9."""
+    code = F.regexp_extract(m, rf"^(?:(?:\+|00)(?:{COUNTRY_CODES})(?:[ .-]?\(0\))?|\(?0)", 0)
+
+    def moved(digits: Column) -> Column:
+        american = code.isin("", "+1", "001") & (F.length(digits) == 10)
 
         def slot(c: Column, i: Column) -> Column:
-            first = F.coalesce(~F.get(cs, i - 1).rlike("[0-9]"), F.lit(True))
-            after_code = ~north_american & (i == lead)
-            return F.when(after_code & c.rlike("[1-9]"), _slot(F.ascii(c) - 49, 9, 49)).when(after_code & (c == "0"), _slot(F.lit(0), 1, 48)).when(first & c.rlike("[2-9]"), _slot(F.ascii(c) - 50, 8, 50)).when(first & c.rlike("[01]"), _slot(F.ascii(c) - 48, 2, 48)).otherwise(_char_slot(c))
+            lead = (i == 0) | (american & (i == 3))
+            return F.when(lead & c.rlike("[2-9]"), _slot(F.ascii(c) - 50, 8, 50)).when(lead & american, _slot(F.ascii(c) - 48, 2, 48)).when(lead, _slot(F.lit(0), 1, F.ascii(c))).otherwise(_char_slot(c))
 
-        return _written(feistel(F.transform(cs, slot), key, "phone"))
+        return F.transform(feistel(F.transform(_chars(digits), slot), key, "phone"), lambda s: F.char(s["base"] + s["v"]))
 
-    return F.concat(code, _call(moved, _chars(F.substr(m, F.length(code) + 1))))
+    rest = F.substr(m, F.length(code) + 1)
+    return F.concat(code, _laid_out(rest, "[0-9]", _call(moved, F.regexp_replace(rest, "[^0-9]", ""))))
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Key) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
     area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
     slots = F.array(_slot(F.when(area > 666, area - 2).otherwise(area - 1), 898, 0), _slot(group - 1, 99, 0), _slot(serial - 1, 9999, 0))
     return _call(lambda s: F.format_string("%03d-%02d-%04d", F.when(s[0]["v"] >= 665, s[0]["v"] + 2).otherwise(s[0]["v"] + 1), s[1]["v"] + 1, s[2]["v"] + 1), feistel(slots, key, "ssn"))
 
 
-def _address(m: Column, key: str) -> Column:
+def _address(m: Column, key: Key) -> Column:
     """A first octet of 1 to 223 stays in that range; others stay as they are."""
     slots = F.transform(F.split(m, r"\."), lambda o, i: F.when((i == 0) & o.cast("int").between(1, 223), _slot(o.cast("int") - 1, 223, 1)).when(i == 0, _slot(F.lit(0), 1, o.cast("int"))).otherwise(_slot(o.cast("int"), 256, 0)))
     return F.array_join(F.transform(feistel(slots, key, "address"), lambda s: (s["base"] + s["v"]).cast("string")), ".")
@@ -146,8 +173,8 @@ def _written_day(days: Column, m: Column, pattern: str) -> Column:
     return F.when(m.rlike(r"(?<!\d)\d(?!\d)"), F.date_format(day, pattern)).otherwise(F.date_format(day, pattern.replace("d", "dd").replace("M", "MM")))
 
 
-def _date(pattern: str) -> Callable[[Column, str], Column]:
-    def moved(m: Column, key: str) -> Column:
+def _date(pattern: str) -> Callable[[Column, Key], Column]:
+    def moved(m: Column, key: Key) -> Column:
         day = _from_first(_day(m, pattern))
         high, low = DAY_RADICES
         slots = F.array(_slot(F.floor(day / low), high, 0), _slot(day % low, low, 0))
@@ -156,13 +183,13 @@ def _date(pattern: str) -> Callable[[Column, str], Column]:
     return moved
 
 
-def _late_date(pattern: str) -> Callable[[Column, str], Column]:
+def _late_date(pattern: str) -> Callable[[Column, Key], Column]:
     """Days from the 13th on, permuted among themselves: with the month first, no other day is read so, and what comes out must not be read with the day first."""
 
     def begin(month: Column) -> Column:
         return _from_first(F.add_months(F.lit(FIRST_DAY).cast("date"), month)) - 12 * month
 
-    def moved(m: Column, key: str) -> Column:
+    def moved(m: Column, key: Key) -> Column:
         day = _day(m, pattern)
         rank = _from_first(day) - 12 * (12 * (F.year(day) - 1901) + F.month(day))
         high, low = LATE_RADICES
@@ -182,7 +209,7 @@ def _is_date(pattern: str) -> Callable[[Column], Column]:
     return lambda m: F.coalesce(_day(m, pattern).between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), F.lit(False))
 
 
-def _slash_date(m: Column, key: str) -> Column:
+def _slash_date(m: Column, key: Key) -> Column:
     """Day first where that is a date, else month first."""
     return F.when(_is_date("d/M/yyyy")(m), _date("d/M/yyyy")(m, key)).otherwise(_late_date("M/d/yyyy")(m, key))
 
@@ -219,7 +246,7 @@ class Kind:
     name: str
     pattern: str
     valid: Callable[[Column], Column]
-    permute: Callable[[Column, str], Column]
+    permute: Callable[[Column, Key], Column]
 
 
 _TRUE = lambda m: F.lit(True)
@@ -249,16 +276,17 @@ def any_kind(kinds: tuple[Kind, ...] = KINDS) -> str:
 def _found(docs: DataFrame, key: str, kinds: tuple[Kind, ...], text: str) -> DataFrame:
     """r (the row as it was), t (its text), f (null, or gaps between matches, and for each match its kind or null and what stands in its place)."""
     pattern = any_kind(kinds)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text}`").alias("t"), secret(docs.sparkSession, key).alias("key"))
 
     def moved(m: Column) -> Column:
         out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("out"))
         for k in reversed(kinds):
-            out = F.when(m.rlike(f"^(?:{k.pattern})$") & k.valid(m), F.struct(F.lit(k.name).alias("kind"), k.permute(m, key).alias("out"))).otherwise(out)
+            out = F.when(m.rlike(f"^(?:{k.pattern})$") & k.valid(m), F.struct(F.lit(k.name).alias("kind"), k.permute(m, F.col("key")).alias("out"))).otherwise(out)
         return out
 
     t = F.col("t")
     found = F.when(t.rlike(pattern), F.struct(F.split(t, pattern, -1).alias("gaps"), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), moved).alias("values")))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text}`").alias("t")).withColumn("f", found)
+    return rows.select("r", "t", found.alias("f"))
 
 
 def _rebuilt() -> Column:
@@ -280,7 +308,11 @@ def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc
 
 
 def pseudonymize_documents(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The same documents and columns, with pseudonyms in the text and the characters counted anew."""
+    """The same documents and columns, with pseudonyms in the text and the characters counted anew.
+
+    Null texts stay null (and have a null count), empty ones empty; repeated rows, null ids and all
+    other columns, whatever their names, stay as they are. An empty table gives an empty table.
+    """
     rows = _found(docs, key, kinds, text).withColumn("new", _rebuilt())
     changed = {text: F.col("new")} | ({n_chars: F.length("new").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return rows.select(*[changed.get(c, F.col("r").getField(c)).alias(c) for c in docs.columns])
