@@ -274,7 +274,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], window:
 
 
 def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle."""
+    """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle. Null and empty texts have no hits and stay, as do null ids and repeated rows; an empty benchmark changes nothing."""
     small_batches(docs.sparkSession)
     shared, place = _items(benchmark, item_id, item_text, window), docs.columns.index(text)
     count = docs.columns.index(n_chars) if n_chars in docs.columns else None

@@ -36,7 +36,7 @@ class Settings:
     n_bands: int = 28
     seed: int = 1
     #: Bytes of shingle sets that travel with the tasks at once, or that one task holds of a cloud.
-    slice_bytes: int = 32 << 20
+    slice_bytes: int = 16 << 20
 
 
 #: For five words and 80 %: a chance of 1e-6.
@@ -135,7 +135,9 @@ def _own_words(sets: DataFrame, percent: int) -> DataFrame:
 def _clouds(members: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, label, cloud of the documents whose links aren't settled yet: those in buckets that hold more than one group. A cloud is what such buckets connect, so no link leads out of it."""
     labelled = members.select("bucket", "doc_id").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    labelled = tables.put(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("least")).where("low < high").select("bucket", "least")
+    mixed = tables.put(mixed, "mixed")
     left = tables.put(labelled.join(mixed, "bucket"), "mixed")
     clouds = connected_components(left.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
     return tables.put(left.select("doc_id", "label").distinct().join(clouds.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cloud"), "doc_id"), "clouds")
@@ -315,7 +317,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     groups = tables.put(connected_components(old.unionByName(more)), "groups")
 
     found = tables.put(classes.join(groups, "node", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "found")
-    tables.drop("classes", "several", "sets", "members", "confirmed", "groups", "mixed", "clouds", "main", "marked", "unsettled", "weights", "large", "found_links")
+    tables.drop("classes", "several", "sets", "members", "confirmed", "groups", "labelled", "mixed", "clouds", "main", "marked", "unsettled", "weights", "large", "found_links")
     grouped = signed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     out = grouped.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -104,7 +104,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), doc_id: str = "doc_id", tex
 
 
 def kept_documents(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with all their columns; no shuffle and no join."""
+    """The documents that the rules keep, with all their columns; no shuffle and no join. Null and empty texts go; null ids and repeated rows stay if their texts do; an empty table gives an empty table."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
