@@ -48,5 +48,21 @@ def is_extractable(mime: Column, filename: Column) -> Column:
 
 def folder_paths(folders: DataFrame) -> DataFrame:
     """id, path, depth of folders (id, parent, name) from their roots."""
-    folders.createOrReplaceTempView("postloom_folders")
-    return folders.sparkSession.sql("WITH RECURSIVE t (id, path, depth) AS (SELECT id, name, 1 FROM postloom_folders WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM postloom_folders f JOIN t ON f.parent = t.id) SELECT id, path, depth FROM t")
+    return folders.sparkSession.sql("WITH RECURSIVE t (id, path, depth) AS (SELECT id, name, 1 FROM {f} WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM {f} f JOIN t ON f.parent = t.id) SELECT id, path, depth FROM t", f=folders)
+
+
+# Names of a desktop client's own folders, and their numbers there.
+DEFAULT_FOLDERS = {"inbox": 6, "sent": 5, "sent items": 5, "outbox": 4, "drafts": 16, "deleted": 3, "deleted items": 3, "junk": 23, "junk email": 23}
+
+
+def default_folder(name: Column) -> Column:
+    """The number of a known folder, in any case; null for others, which are looked up by name."""
+    known = F.create_map(*[x for n, k in DEFAULT_FOLDERS.items() for x in (F.lit(n), F.lit(k))])
+    return F.try_element_at(known, F.lower(F.trim(name)))
+
+
+def find_folders(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """name, id, path: of each wanted `name` the first folder so called, in any case, in depth-first order (by path, segment by segment)."""
+    named = folder_paths(folders).join(folders.select("id", F.lower("name").alias("low")), "id")
+    hits = wanted.select("name", F.lower("name").alias("low")).join(named, "low")
+    return hits.groupBy("name").agg(F.min(F.struct(F.split("path", "/").alias("at"), "id", "path")).alias("f")).select("name", "f.id", "f.path")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import email
 import email.header
 import email.utils
+import imaplib
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from email.message import Message
 from html import unescape
@@ -18,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from postloom.sources.accounts import SERVERS, SKIPPED, SKIPPED_PARTS
+from postloom.sources.adapters import Pushing, load
+
 SCHEMA = "path string, message_id string, in_reply_to string, refs array<string>, sender string, sender_name string, recipients_to array<string>, recipients_cc array<string>, subject string, sent_date timestamp_ntz, body_text string, body_html string, importance_header string, attachments array<struct<filename:string,content_type:string,size_bytes:bigint,content:binary>>, invitation struct<summary:string,start:string,end:string,location:string,organizer:string,attendees:array<string>,details:string>, error string"
 MOST_ATTACHMENT_BYTES = 25 * 1024 * 1024
 
@@ -43,17 +48,17 @@ def _text(part: Message) -> str:
 
 
 def calendar_fields(text: str) -> dict:
-    """Fields of an invitation; folded lines are joined, ten attendees and 500 characters of details at most."""
+    """Fields of an invitation, whole; folded lines are joined."""
     out: dict = {"summary": "", "start": "", "end": "", "location": "", "organizer": "", "attendees": [], "details": ""}
     names = {"SUMMARY": "summary", "DTSTART": "start", "DTEND": "end", "LOCATION": "location", "ORGANIZER": "organizer", "DESCRIPTION": "details"}
     for line in re.sub(r"\r?\n[ \t]", "", text).splitlines():
         head, _, value = line.partition(":")
         name = head.split(";")[0].upper()
         value = re.sub(r"(?i)^mailto:", "", value.strip())
-        if name == "ATTENDEE" and len(out["attendees"]) < 10:
+        if name == "ATTENDEE":
             out["attendees"].append(value)
         elif name in names and not out[names[name]]:
-            out[names[name]] = value.replace("\\n", "\n").replace("\\,", ",")[:500]
+            out[names[name]] = value.replace("\\n", "\n").replace("\\,", ",")
     return out
 
 
@@ -168,16 +173,21 @@ def pdf(raw: bytes) -> str:
 
 #: What reads each kind; callers may add to it or replace entries.
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx, ".pptx": pptx, ".xlsx": xlsx, ".pdf": pdf, ".html": lambda b: html_text(plain(b)), ".htm": lambda b: html_text(plain(b))}
+# What is read as plain text.
+TEXT_EXTENSIONS = {".txt", ".csv", ".log", ".json", ".xml", ".md"}
 BY_MIME = {"application/pdf": ".pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx", "application/vnd.openxmlformats-officedocument.presentationml.presentation": ".pptx", "text/html": ".html"}
 
 
 def extract_text(filename: str, raw: bytes | None, mime: str = "", extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> str:
-    """Text by type, else by extension, else as plain text; nothing for too large or unreadable files."""
+    """Text by type, else by extension, else as plain text if the type or extension is one of text; nothing for other, too large or unreadable files."""
     if not raw or len(raw) > MOST_ATTACHMENT_BYTES:
         return ""
-    ext = BY_MIME.get((mime or "").lower()) or ("." + filename.rsplit(".", 1)[-1].lower() if "." in (filename or "") else "")
+    kind, ext = (mime or "").lower(), "." + filename.rsplit(".", 1)[-1].lower() if "." in (filename or "") else ""
+    extract = extractors.get(BY_MIME.get(kind, "")) or extractors.get(ext) or (plain if kind.startswith("text/") or ext in TEXT_EXTENSIONS else None)
+    if extract is None:
+        return ""
     try:
-        return extractors.get(ext, plain)(raw)
+        return extract(raw).strip()
     except Exception:  # noqa: BLE001  a broken attachment has no text
         return ""
 
@@ -202,66 +212,96 @@ class Folder(InputPartition):
 
 
 class MailServerReader(DataSourceReader):
-    """One partition for each account and folder. `connect` (a dotted name in the options, `module:function`) gives an object with folders(account) and fetch(account, folder, since), which yields raw messages."""
+    """One partition for each account and folder. `connect` (a dotted name in the options, `module:function`, by default IMAP) is called with the options and gives an object with accounts(), folders(account) and fetch(account, folder, since, limit), which yields (date, raw message), newest first.
+
+    Folders of deleted mail, drafts and junk are left out. Other options: accounts and folders
+    (comma lists), since, limit (messages of each folder), and push (see adapters.Pushing; servers
+    compare by the day).
+    """
+
+    date = "date"
 
     def __init__(self, options: dict):
         self.options = options
         self.since = datetime.fromisoformat(options["since"]) if options.get("since") else None
+        self.limit = int(options["limit"]) if options.get("limit") else None
 
     def _client(self):
-        import importlib
-
-        module, _, name = self.options["connect"].partition(":")
-        return getattr(importlib.import_module(module), name)()
+        return load(self.options, "postloom.sources.rfc822:ImapClient.from_options")
 
     def partitions(self) -> list[InputPartition]:
         client = self._client()
-        accounts = [a for a in self.options.get("accounts", "").split(",") if a]
-        return [Folder(a, f) for a in accounts for f in client.folders(a)]
+        named = lambda k: [x.strip() for x in self.options.get(k, "").split(",") if x.strip()]
+        return [Folder(a, f) for a in named("accounts") or client.accounts() for f in named("folders") or client.folders(a) if wanted(f)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        for raw in self._client().fetch(partition.account, partition.folder, self.since):
-            yield (partition.account, partition.folder, raw)
+        for date, raw in self._client().fetch(partition.account, partition.folder, self.since, self.limit):
+            yield (partition.account, partition.folder, date, raw)
+
+
+def wanted(folder: str) -> bool:
+    """The rule of accounts.kept_folders() for one name."""
+    low = folder.lower()
+    return low not in SKIPPED and not any(part in low for part in SKIPPED_PARTS)
+
+
+class PushingMailServerReader(Pushing, MailServerReader):
+    pass
 
 
 class MailServer(DataSource):
-    """spark.dataSource.register(MailServer); spark.read.format("mail_server").option("connect", ...).option("accounts", "a,b").load(), then parse_column()."""
+    """spark.dataSource.register(MailServer); spark.read.format("mail_server").option("connect", ...).option("accounts", "a,b").load(); for IMAP, .option("account_secrets", ...), then parse_column()."""
 
     @classmethod
     def name(cls) -> str:
         return "mail_server"
 
     def schema(self) -> str:
-        return "account string, folder string, content binary"
+        return "account string, folder string, date timestamp_ntz, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return MailServerReader(dict(self.options))
+        return (PushingMailServerReader if self.options.get("push") == "true" else MailServerReader)(dict(self.options))
 
 
 class ImapClient:
     """IMAP over TLS with the standard library: read-only, server-side SINCE, newest first, without marking messages as read."""
 
-    def __init__(self, hosts: dict[str, tuple[str, int, str]] | None = None):
-        self.hosts = hosts or {}  # account -> host, port, secret
+    def __init__(self, hosts: dict[str, tuple[str, int, str]], connect: Callable | None = None):
+        self.hosts, self.connect = hosts, connect or imaplib.IMAP4_SSL  # account -> host, port, secret
 
-    def _open(self, account: str):
-        import imaplib
+    @staticmethod
+    def from_options(options: dict) -> ImapClient:
+        """Of the option `account_secrets`, `provider:user:secret;...` (a name that Spark redacts)."""
+        hosts = {}
+        for entry in options.get("account_secrets", "").split(";"):
+            provider, _, rest = entry.strip().partition(":")
+            user, _, secret = rest.partition(":")
+            if provider.strip().lower() in SERVERS and secret:
+                hosts[user.strip()] = (*SERVERS[provider.strip().lower()], secret)
+        return ImapClient(hosts)
 
+    def accounts(self) -> list[str]:
+        return sorted(self.hosts)
+
+    @contextmanager
+    def _open(self, account: str):
         host, port, secret = self.hosts[account]
-        c = imaplib.IMAP4_SSL(host, port)
-        c.login(account, secret)
-        return c
+        c = self.connect(host, port)
+        try:
+            c.login(account, secret)
+            yield c
+        finally:
+            c.logout()
 
     def folders(self, account: str) -> list[str]:
-        c = self._open(account)
-        names = [(re.findall(r'"([^"]*)"\s*$', x.decode()) or x.decode().split()[-1:])[0] for x in c.list()[1]]
-        c.logout()
-        return names
-
-    def fetch(self, account: str, folder: str, since: datetime | None) -> Iterator[bytes]:
-        c = self._open(account)
-        c.select(f'"{folder}"', readonly=True)
-        _, found = c.search(None, *(["SINCE", since.strftime("%d-%b-%Y")] if since else ["ALL"]))
-        for n in reversed(found[0].split()):
-            yield c.fetch(n, "(BODY.PEEK[])")[1][0][1]
-        c.logout()
+        with self._open(account) as c:
+            return [(re.findall(r'"([^"]*)"\s*$', x.decode()) or x.decode().split()[-1:])[0] for x in c.list()[1]]
+
+    def fetch(self, account: str, folder: str, since: datetime | None, limit: int | None) -> Iterator[tuple[datetime | None, bytes]]:
+        with self._open(account) as c:
+            c.select(f'"{folder}"', readonly=True)
+            _, found = c.search(None, *(["SINCE", since.strftime("%d-%b-%Y")] if since else ["ALL"]))
+            for n in found[0].split()[::-1][:limit]:
+                head, raw = c.fetch(n, "(INTERNALDATE BODY.PEEK[])")[1][0]
+                at = imaplib.Internaldate2tuple(head)
+                yield datetime(*at[:6]) if at else None, raw
