@@ -55,12 +55,13 @@ def is_mine(sender: Column, addresses: Iterable[str]) -> Column:
     return F.exists(F.array(*[F.lit(a.lower()) for a in addresses]), lambda a: F.contains(s, a))
 
 
-def document(m: dict[str, Column]) -> Column:
-    """Searchable text: optional lines of metadata, a blank line, the body up to 5,000 characters, attachments up to 3,000 each. Keys: email_type, sender, sender_name, recipients, subject, date, folder, body, attachments (array of filename and text)."""
+def document(m: dict[str, Column], most_body: int | None = None, most_attachment: int | None = None) -> Column:
+    """Searchable text: optional lines of metadata, a blank line, the body and the attachments. All of them, or the first `most_body` and `most_attachment` characters of each, for stores that can't hold more: what is cut there is never found. Keys: email_type, sender, sender_name, recipients, subject, date, folder, body, attachments (array of filename and text)."""
     line = lambda label, c, when: F.when(when, F.concat(F.lit(label), c))
     body = F.coalesce(m["body"], F.lit(""))
-    shown = F.when(F.length(body) > 5000, F.concat(F.substring(body, 1, 5000), F.lit("..."))).otherwise(body)
-    attached = F.transform(F.filter(m["attachments"], lambda a: ~blank(a["text"])), lambda a: F.concat(F.lit("\n[Attachment: "), a["filename"], F.lit("]\n"), F.substring(a["text"], 1, 3000)))
+    shown = body if most_body is None else F.when(F.length(body) > most_body, F.concat(F.substring(body, 1, most_body), F.lit("..."))).otherwise(body)
+    part = (lambda c: c) if most_attachment is None else (lambda c: F.substring(c, 1, most_attachment))
+    attached = F.transform(F.filter(m["attachments"], lambda a: ~blank(a["text"])), lambda a: F.concat(F.lit("\n[Attachment: "), a["filename"], F.lit("]\n"), part(a["text"])))
     return F.concat_ws(
         "\n",
         F.when(m["email_type"] == "meeting_note", "[Meeting Summary]"),

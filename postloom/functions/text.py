@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What begins a signature, a legal footer, or quoted history.
+# What begins a signature, a legal footer, or quoted history; long addresses, header lines, and words.
 SIGNATURES = (r"--\s*$", r"_{3,}", r"-{3,}", r"(?i:Sent from my (?:iPhone|iPad|Galaxy|Android|BlackBerry))", r"(?i:Sent from (?:Mail|Outlook|Yahoo) for)", r"(?i:Get Outlook for)", r"(?i:Sent from Outlook$)", r"(?i:Sent via)")
 DISCLAIMERS = (
     r"^(?:CONFIDENTIALITY|DISCLAIMER|LEGAL NOTICE|PRIVILEGED)",
@@ -17,7 +17,7 @@ DISCLAIMERS = (
 )
 SIGNATURE = "^(?:" + "|".join(SIGNATURES) + ")"
 DISCLAIMER = "(?i)(?:" + "|".join(DISCLAIMERS) + ")"
-WROTE = r"(?im)^On\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|[0-9]).{10,120}wrote:[ \t]*$"
+WROTE = r"(?im)^On\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|\d).{10,120}wrote:[ \t]*$"
 FORWARDED = r"(?im)^-{2,}[ \t]*(?:Forwarded message|Original Message)[ \t]*-{2,}[ \t]*$"
 LONG_URL = r"(?m)^https?://\S{50,}$"
 HEADER = r"^(?:From|To|Subject|Date|Folder):"
@@ -127,9 +127,10 @@ def normalize_subject(subject: Column) -> Column:
 
 
 def normalize_body(body: Column) -> Column:
+    """The whole body in lower case, with single spaces and without what phones add."""
     t = F.regexp_replace(F.lower(F.coalesce(body, F.lit(""))), r"\s+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"sent from my [\p{L}\p{N}_]+", ""), r"get outlook for [\p{L}\p{N}_]+", "")
-    return strip(F.substring(t, 1, 2000))
+    return strip(t)
 
 
 def body_hash(body: Column) -> Column:

@@ -1,19 +1,81 @@
-"""Approximate nearest neighbours by random projections."""
+"""Approximate nearest neighbours by cells: vectors are kept under the nearest of some centres, and a query looks into the cells nearest to it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postloom.functions.vectors import dot
+
+
+def _unit(v: Column) -> Column:
+    """The vector as doubles, scaled to length 1; null for one of length 0."""
+    doubles = v.cast("array<double>")
+    length = F.sqrt(dot(doubles, doubles))
+    return F.when(length > 0, F.transform(doubles, lambda x: x / length))
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """`cells`: cell, id, unit (every vector with a direction, once); `centers`: cell, center, norm, 4096 rows at most; `probes`: cells that a query looks into, as many as the sample needed."""
+
+    cells: DataFrame
+    centers: DataFrame
+    probes: int
+
+    @staticmethod
+    def fit(vectors: DataFrame, path: str, n_cells: int | None = None, sample: int = 20_000, recall: float = 0.95, seed: int = 42, id: str = "id", vector: str = "embedding") -> VectorIndex:
+        """Centres are fitted to a sample of about `sample` vectors, a bound that doesn't grow with the table; every vector is then put under its nearest centre and written under `path`. `n_cells`: about the root of the number of vectors, 4096 at most, if not given. The sample, compared with itself, tells how many cells it takes to find the share `recall` of the ten nearest."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        spark = vectors.sparkSession
+        rows = vectors.select(F.col(id).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit is not null")
+        total = rows.count()
+        k = n_cells or max(1, min(4096, math.isqrt(total)))
+        some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(total, 1))))
+        model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector("unit").alias("v"))) if k > 1 else None
+        centers = [[float(x) for x in c] for c in model.clusterCenters()] if model else [[]]
+        probes = _probes_for(np.array([r["unit"] for r in some.select("unit").collect()]), np.array(centers), recall) if model else 1
+        made = spark.createDataFrame([(i, c, sum((x * x for x in c), 0.0), probes) for i, c in enumerate(centers)], "cell int, center array<double>, norm double, probes int")
+        made.coalesce(1).write.parquet(f"{path}/centers")
+        known = spark.read.parquet(f"{path}/centers")
+        placed = _with_nearest(rows, "unit", known, 1).select(F.get("near", 0)["cell"].alias("cell"), "id", "unit")
+        placed.write.parquet(f"{path}/cells")
+        return VectorIndex.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> VectorIndex:
+        centers = spark.read.parquet(f"{path}/centers")
+        return VectorIndex(spark.read.parquet(f"{path}/cells"), centers, centers.first()["probes"])
+
+    def search(self, queries: DataFrame, n: int, probes: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
+        """query_id, id, relevance (cosine), place of about the n nearest vectors of each query, from its `probes` nearest cells (those of the index, if not given); ties go to the smaller id. Queries meet vectors by cell; a query keeps its n best in each task before they are shuffled."""
+        asked = queries.select(F.col(id).alias("query_id"), _unit(F.col(vector)).alias("q")).where("q is not null")
+        wanted = _with_nearest(asked, "q", self.centers, probes or self.probes).select("query_id", "q", F.explode("near").alias("c")).select("query_id", "q", F.col("c.cell").alias("cell"))
+        scored = self.cells.join(wanted, "cell").select("query_id", "id", F.round(dot(F.col("q"), F.col("unit")), 6).alias("relevance"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
+        return scored.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= n)
+
+
+def _probes_for(rows: np.ndarray, centers: np.ndarray, recall: float, n: int = 10, queries: int = 200) -> int:
+    """The fewest cells in which `queries` of the rows find the share `recall` of their n nearest among all rows."""
+    far = lambda x: (centers * centers).sum(axis=1) - 2 * x @ centers.T
+    home = far(rows).argmin(axis=1)
+    asked = rows[:queries]
+    near = np.argsort(-(asked @ rows.T), axis=1, kind="stable")[:, :n]
+    rank = np.argsort(np.argsort(far(asked), axis=1, kind="stable"), axis=1, kind="stable")
+    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
-def neighbours(vectors: DataFrame, query: list[float], n: int, bucket: float = 0.5, tables: int = 6, seed: int = 42) -> DataFrame:
-    """About the n nearest by cosine: id, relevance. Vectors (id, embedding) are scaled to length 1, where distance and cosine order alike. The model is random projections only; it fits nothing to the rows."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
 
-    rows = Normalizer(inputCol="v", outputCol="u").transform(vectors.select("id", array_to_vector("embedding").alias("v")))
-    length = sum(x * x for x in query) ** 0.5
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    near = model.approxNearestNeighbors(rows, Vectors.dense([x / length for x in query]), n, "d")
-    return near.select("id", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("relevance"))
+def _with_nearest(rows: DataFrame, unit: str, centers: DataFrame, n: int) -> DataFrame:
+    """Adds near (array<struct<d, cell>>): the n nearest centres, nearest first. The centres come as one value, in a scalar subquery."""
+    known = centers.agg(F.collect_list(F.struct("cell", "center", "norm"))).scalar()
+    # |u - c|^2 = 1 - 2uc + |c|^2
+    far = F.transform("known", lambda k: F.struct((k["norm"] - 2 * dot(F.col(unit), k["center"])).alias("d"), k["cell"].alias("cell")))
+    return rows.withColumn("known", known).withColumn("near", F.slice(F.array_sort(far), 1, n)).drop("known")

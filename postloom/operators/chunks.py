@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
@@ -11,7 +11,7 @@ CHUNK = "struct<kind:string,suffix:string,chunk_index:int,text:string>"
 
 
 def chunks_of(document: Column, subject: Column, most: int = 800, least: int = 50) -> Column:
-    """array<struct<kind, suffix, chunk_index, text>>: fresh, quoted and attachment chunks, or the cleaned document if there are none.
+    """array<struct<kind, suffix, chunk_index, text>>: fresh, quoted and attachment chunks, or those of the cleaned document if there are none. No text is cut off: what is longer than `most` goes on in further chunks.
 
     Attachment sections are cut out of the body first, so their text is chunked once.
     """
@@ -36,7 +36,7 @@ def chunks_of(document: Column, subject: Column, most: int = 800, least: int = 5
 
         c = F.flatten(F.transform(T.attachment_sections(p["doc"]), section))
         whole = T.clean_text(p["doc"])
-        last = F.when(F.length(whole) >= least, F.array(F.struct(F.lit("fresh").alias("kind"), F.lit("_fresh").alias("suffix"), F.lit(0).alias("chunk_index"), F.substring(whole, 1, most).alias("text")))).otherwise(none)
+        last = F.when(F.length(whole) >= least, F.transform(T.pack_paragraphs(whole, most), piece("fresh", "_fresh", "_f"))).otherwise(none)
         return F.get(F.transform(F.array(F.concat(a, b, c)), lambda all_: F.when(F.size(all_) > 0, all_).otherwise(last)), 0)
 
     return F.get(F.transform(F.array(F.struct(T.split_header_body(document).alias("parts"), F.coalesce(document, F.lit("")).alias("doc"))), build), 0)
@@ -48,21 +48,34 @@ def chunk(messages: DataFrame, most: int = 800, least: int = 50) -> DataFrame:
     return made.select("email_id", F.concat("email_id", "c.suffix").alias("chunk_id"), "c.kind", "c.chunk_index", "c.text")
 
 
-def summaries(messages: DataFrame) -> DataFrame:
-    """One chunk for each thread of two messages or more: subject, count, period, 8 participants, and a line for each message, 1,200 characters in all."""
+#: Characters that a line of a summary has at least.
+LINE_LEAST = 24
+
+
+def summaries(messages: DataFrame, most_chars: int | None = 1200, most_people: int | None = 8) -> DataFrame:
+    """One chunk for each thread of two messages or more: subject, count, period, participants, and a line for each message.
+
+    A summary is an entry to the thread, whose messages have chunks of their own: it names the first
+    `most_people` by name and keeps `most_chars` characters; None keeps all. Only messages whose
+    lines can fit leave their rows, so a long thread is never gathered as a whole.
+    """
     name = F.coalesce(F.nullif("sender_name", F.lit("")), "sender")
     stamp = F.coalesce(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
-    rows = messages.where("coalesce(conversation_id, '') <> ''").select("conversation_id", F.struct(stamp.alias("date"), "message_id", name.alias("name"), "subject", F.when(F.col("direction") == "sent", "SENT").otherwise("RECV").alias("way"), T.first_line(F.col("body")).alias("line")).alias("m"))
-    g = rows.groupBy("conversation_id").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") >= 2)
-    first, last = F.get("ms", 0), F.element_at("ms", -1)
-    people = F.array_sort(F.array_distinct(F.transform("ms", lambda m: m["name"])))
+    rows = messages.where("coalesce(conversation_id, '') <> ''").select("conversation_id", stamp.alias("date"), "message_id", name.alias("name"), "subject", F.when(F.col("direction") == "sent", "SENT").otherwise("RECV").alias("way"), F.col("body"))
+    g = rows.groupBy("conversation_id").agg(F.count("*").alias("message_count"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("subject", F.struct("date", "message_id")).alias("subject"), F.array_sort(F.collect_set("name")).alias("people")).where("message_count >= 2")
+    if most_chars is not None:
+        place = F.row_number().over(Window.partitionBy("conversation_id").orderBy("date", "message_id"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= most_chars // LINE_LEAST + 1)
+    line = F.concat(F.lit("  ["), F.substring("date", 1, 16), F.lit("] "), "way", F.lit(" "), "name", F.lit(": "), T.first_line(F.col("body")))
+    lines = rows.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("date", "message_id", line.alias("line")))).alias("ms"))
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Thread: "), last["subject"]),
-        F.concat(F.lit("Messages: "), F.size("ms").cast("string")),
-        F.concat(F.lit("Period: "), F.substring(first["date"], 1, 10), F.lit(" to "), F.substring(last["date"], 1, 10)),
-        F.concat(F.lit("Participants: "), F.array_join(F.slice(people, 1, 8), ", ")),
+        F.concat(F.lit("Thread: "), "subject"),
+        F.concat(F.lit("Messages: "), F.col("message_count").cast("string")),
+        F.concat(F.lit("Period: "), F.substring("first", 1, 10), F.lit(" to "), F.substring("last", 1, 10)),
+        F.concat(F.lit("Participants: "), F.array_join("people" if most_people is None else F.slice("people", 1, most_people), ", ")),
         F.lit("\nTimeline:"),
-        F.transform("ms", lambda m: F.concat(F.lit("  ["), F.substring(m["date"], 1, 16), F.lit("] "), m["way"], F.lit(" "), m["name"], F.lit(": "), m["line"])),
+        F.transform("ms", lambda m: m["line"]),
     )
-    return g.select("conversation_id", F.substring(F.sha2(F.concat(F.lit("thread_summary_"), "conversation_id"), 256), 1, 32).alias("chunk_id"), F.size("ms").cast("long").alias("message_count"), F.substring(text, 1, 1200).alias("text"))
+    text = text if most_chars is None else F.substring(text, 1, most_chars)
+    return g.join(lines, "conversation_id").select("conversation_id", F.substring(F.sha2(F.concat(F.lit("thread_summary_"), "conversation_id"), 256), 1, 32).alias("chunk_id"), "message_count", text.alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,20 +63,60 @@ def batches(messages: DataFrame, size: int = 5) -> DataFrame:
     return rows.withColumn("batch_no", F.floor(F.col("rn") / size)).withColumn("place", F.col("rn") % size).drop("rn")
 
 
-def extract(messages: DataFrame, model: Callable[[list[str]], list[str]], most_chars: int = 3000) -> DataFrame:
-    """email_id, answer: `model` maps the texts of a batch to answers; rows keep their place."""
+def bare_json(answer: str) -> str:
+    """The answer without a code fence."""
+    return re.sub(r"\s*```$", "", re.sub(r"^```[a-zA-Z]*\s*", "", answer.strip()))
+
+
+EXTRACTED = "email_id string, answer string, error string"
+
+
+def extract(messages: DataFrame, model: Callable[[str], str], size: int = 5, most_chars: int | None = None) -> DataFrame:
+    """email_id, answer, error of messages (message_id, text): one call of the model for `size` messages.
+
+    A call gets the messages under `--- Message i ---` and gives a JSON list of cards with
+    `email_index` (or one card); an index outside the call is left out. If the answer is no
+    JSON, each message gets a call of its own. A call that fails gives its messages the error and no
+    answer, and stops nothing else. `most_chars`: of a text, what the model can take; None for all.
+    """
+    dealt = batches(messages.select("message_id", "text"), size).groupBy("part", "batch_no").agg(F.sort_array(F.collect_list(F.struct("place", "message_id", "text"))).alias("ms"))
+
+    def single(email_id: str, text: str) -> tuple:
+        try:
+            answer = bare_json(model(text))
+            json.loads(answer)
+            return email_id, answer, None
+        except ValueError as e:
+            return email_id, None, f"{type(e).__name__}: {e}"
+        except Exception as e:  # noqa: BLE001
+            return email_id, None, f"{type(e).__name__}: {e}"
+
+    def called(ms: list) -> list[tuple]:
+        texts = [(m["text"] or "")[:most_chars] for m in ms]
+        ids = [m["message_id"] for m in ms]
+        try:
+            found = json.loads(bare_json(model("\n".join(f"--- Message {i} ---\n{t}" for i, t in enumerate(texts)))))
+        except ValueError:
+            return [single(i, t) for i, t in zip(ids, texts)]
+        except Exception as e:  # noqa: BLE001  one failed call must not end the job
+            return [(i, None, f"{type(e).__name__}: {e}") for i in ids]
+        cards = {}
+        for c in found if isinstance(found, list) else [found]:
+            at = c.get("email_index", 0) if isinstance(c, dict) else -1
+            if isinstance(at, int) and 0 <= at < len(ids):
+                cards[at] = json.dumps({k: v for k, v in c.items() if k != "email_index"}, ensure_ascii=False)
+        return [(i, cards.get(k), None if k in cards else "no card") for k, i in enumerate(ids)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"email_id": p["email_id"], "answer": model([(t or "")[:most_chars] for t in p["text"]])})
+            yield pd.DataFrame([r for ms in p["ms"] for r in called(ms)], columns=["email_id", "answer", "error"])
 
-    return messages.select("email_id", "text").mapInPandas(run, "email_id string, answer string")
+    return dealt.select("ms").mapInPandas(run, EXTRACTED)
 
 
-def run_extraction(messages: DataFrame, cards: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """The cards with those of messages (message_id, text) that had none; answers that are no cards are left for the next run."""
-    todo = unextracted(messages, cards).select(F.col("message_id").alias("email_id"), "text")
-    new = extract(todo, model).select("email_id", parse_card(F.col("answer")).alias("card")).where("card is not null")
+def run_extraction(messages: DataFrame, cards: DataFrame, model: Callable[[str], str], size: int = 5) -> DataFrame:
+    """The cards with those of messages (message_id, text) that had none; answers that are no cards, and failed calls, are left for the next run."""
+    new = extract(unextracted(messages, cards), model, size).select("email_id", parse_card(F.col("answer")).alias("card")).where("card is not null")
     return save(cards, new)
 
 
@@ -82,10 +124,11 @@ def unextracted(messages: DataFrame, cards: DataFrame) -> DataFrame:
     return messages.join(cards.select(F.col("email_id").alias("message_id")), "message_id", "left_anti")
 
 
-def context(cards: DataFrame, question: str, most: int = 15) -> DataFrame:
-    """One row of text: the first commitments and action items, where the question asks for such."""
+def context(cards: DataFrame, question: str, most: int | None = 15) -> DataFrame:
+    """One row of text: the first `most` commitments and action items (None: all, of cards that fit in one row), where the question asks for such."""
     q = question.lower()
     ask_c, ask_a = any(w in q for w in ("commit", "promise", "agreed")), any(w in q for w in ("action", "todo", "task"))
-    c = commitments(cards).orderBy("email_id", "who", "what").limit(most if ask_c else 0).select(F.lit(0).alias("k"), F.concat(F.lit("- "), "who", F.lit(": "), "what").alias("line"))
-    a = action_items(cards).orderBy("email_id", "description").limit(most if ask_a else 0).select(F.lit(1).alias("k"), F.concat(F.lit("- "), "description").alias("line"))
+    first = lambda rows, asked, *order: rows.where(F.lit(asked)) if most is None else rows.orderBy(*order).limit(most if asked else 0)
+    c = first(commitments(cards), ask_c, "email_id", "who", "what").select(F.lit(0).alias("k"), F.concat(F.lit("- "), "who", F.lit(": "), "what").alias("line"))
+    a = first(action_items(cards), ask_a, "email_id", "description").select(F.lit(1).alias("k"), F.concat(F.lit("- "), "description").alias("line"))
     return c.unionByName(a).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))

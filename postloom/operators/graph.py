@@ -1,6 +1,6 @@
 """People, topics and organizations of a set of messages, as nodes and edges.
 
-Rows: message_id, conversation_id, sender, sender_name, subject, body, email_type, date, is_replied.
+Rows: message_id, conversation_id, sender, sender_name, subject, body, document, email_type, date, is_replied.
 """
 
 from __future__ import annotations
@@ -60,15 +60,35 @@ def tiers(counts: DataFrame, by: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(by)).withColumn("tier", F.when(F.col("n") >= F.col("high"), "A").when(F.col("n") >= F.col("low"), "B").otherwise("C")).drop("high", "low")
 
 
-def action_items(messages: DataFrame, most: int = 5) -> DataFrame:
-    """person, item, place: the first distinct items of each sender, by message, pattern and place in the text."""
+def entity_nodes(messages: DataFrame, question: str) -> DataFrame:
+    """id, type, label, n, tier of people, topics and organizations. People and organizations share the people's cutoffs, topics have their own."""
+    p, t = people(messages), topics(messages, question)
+    by = cutoffs(p)
+    node = lambda rows, key, kind, label: rows.select(F.concat(F.lit(f"{kind}_"), key).alias("id"), F.lit(kind).alias("type"), label.alias("label"), "n")
+    return tiers(node(p, "person", "person", F.col("name")), by).unionByName(tiers(node(t, "topic", "topic", F.substring("topic", 1, 50)), cutoffs(t))).unionByName(tiers(node(organizations(p), "domain", "organization", F.col("label")), by))
+
+
+def entity_stats(messages: DataFrame, question: str) -> DataFrame:
+    """One row: people, topics, organizations, connections (edges of the three kinds), total_emails."""
+    p, t = people(messages), topics(messages, question)
+    orgs = organizations(p)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    edges = person_pairs(messages).select("src").unionByName(person_topics(messages, p, t).select(F.col("person").alias("src"))).unionByName(person_orgs(p, orgs).select(F.col("person").alias("src")))
+    return count(p, "people").join(count(t, "topics")).join(count(orgs, "organizations")).join(count(edges, "connections")).join(count(messages, "total_emails"))
+
+
+def action_items(messages: DataFrame, most: int | None = 5, chars: int | None = 120) -> DataFrame:
+    """person, item, place: distinct items of each sender by message, pattern and place in the text; the first `most`, of the first `chars` characters each, as a node shows them. None for all, and for whole items."""
+    short = lambda c: c if chars is None else F.substring(c, 1, chars)
+
     def by_pattern(k: int) -> Column:
-        return F.transform(F.regexp_extract_all(F.col("body"), F.lit(ACTIONS[k]), F.lit(1)), lambda s, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.substring(F.regexp_replace(s, r"^\s+|\s+$", ""), 1, 120).alias("item")))
+        return F.transform(F.regexp_extract_all(F.col("body"), F.lit(ACTIONS[k]), F.lit(1)), lambda s, i: F.struct(F.lit(k).alias("k"), i.alias("i"), short(F.regexp_replace(s, r"^\s+|\s+$", "")).alias("item")))
 
     found = F.flatten(F.array(*map(by_pattern, range(len(ACTIONS)))))
     each = messages.where("coalesce(sender, '') <> '' and coalesce(body, '') <> ''").select(address(F.col("sender")).alias("person"), "date", "message_id", F.explode(found).alias("f")).where("f.item <> ''")
     first = each.groupBy("person", F.col("f.item").alias("item")).agg(F.min(F.struct("date", "message_id", "f.k", "f.i")).alias("at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy("at"))).where(F.col("place") <= most).select("person", "item", F.col("place").cast("long").alias("place"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy("at")))
+    return (placed if most is None else placed.where(F.col("place") <= most)).select("person", "item", F.col("place").cast("long").alias("place"))
 
 
 def moods(messages: DataFrame) -> DataFrame:
@@ -79,25 +99,36 @@ def moods(messages: DataFrame) -> DataFrame:
     return each.groupBy("person").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
 
 
-def thread_counts(messages: DataFrame) -> DataFrame:
-    """conversation_id, replies, quotes ('>' within the first 200 characters)"""
-    quotes = F.length(F.substring("body", 1, 200)) - F.length(F.replace(F.substring("body", 1, 200), F.lit(">"), F.lit("")))
-    return messages.where("coalesce(conversation_id, '') <> ''").groupBy("conversation_id").agg(F.count_if("is_replied").alias("replies"), F.sum(quotes.cast("long")).alias("quotes"))
+def thread_counts(messages: DataFrame, chars: int | None = 200) -> DataFrame:
+    """conversation_id, replies (messages replied to), quotes (messages whose document holds a '>' in its first `chars` characters, or anywhere)."""
+    text = F.col("document") if chars is None else F.substring("document", 1, chars)
+    return messages.where("coalesce(conversation_id, '') <> ''").groupBy("conversation_id").agg(F.count_if("is_replied").alias("replies"), F.count_if(F.contains(text, F.lit(">"))).alias("quotes"))
+
+
+#: People of a thread whose pairs one task makes; larger threads are cut in groups of so many.
+GROUP = 64
 
 
 def person_pairs(messages: DataFrame) -> DataFrame:
-    """src < dst, weight (threads of both), replies, quotes. The join is on the thread; pairs of one thread follow from what is asked, so people of a thread are the bound."""
+    """src < dst, weight (threads of both), replies, quotes, thread_ids (sorted).
+
+    Pairs of a thread follow from what is asked. A thread's people are dealt to groups of about GROUP,
+    and two groups meet in one task, so a thread of many people is shared among many tasks.
+    """
     m = messages.where("coalesce(email_type, '') <> 'meeting_note' and coalesce(conversation_id, '') <> '' and coalesce(sender, '') <> ''")
     p = m.select("conversation_id", address(F.col("sender")).alias("person")).distinct()
-    counts = thread_counts(messages)
-    pairs = p.alias("a").join(p.alias("b"), F.expr("a.conversation_id = b.conversation_id and a.person < b.person")).select("a.conversation_id", F.col("a.person").alias("src"), F.col("b.person").alias("dst"))
-    return pairs.join(counts, "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"))
+    groups = p.groupBy("conversation_id").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    dealt = p.join(groups, "conversation_id").withColumn("mine", F.pmod(F.xxhash64("person"), "groups").cast("int"))
+    each = lambda name, low, high: dealt.select("conversation_id", F.col("person").alias(name), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"), "mine").select("conversation_id", name, F.col(low).alias("g"), F.col(high).alias("h"))
+    pairs = each("src", "mine", "other").join(each("dst", "other", "mine"), ["conversation_id", "g", "h"]).where("src < dst").select("conversation_id", "src", "dst")
+    return pairs.join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"), F.sort_array(F.collect_list("conversation_id")).alias("thread_ids"))
 
 
 def person_topics(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
-    """person, topic, weight (messages), threads; both ends are nodes."""
-    e = messages.where("coalesce(sender, '') <> ''").select(address(F.col("sender")).alias("person"), normalize_subject(F.col("subject")).alias("topic"), "conversation_id").join(topic_nodes.select("topic"), "topic").join(persons.select("person"), "person", "left_semi")
-    return e.groupBy("person", "topic").agg(F.count("*").alias("weight"), F.count_distinct(F.nullif("conversation_id", F.lit(""))).alias("threads"))
+    """person, topic, weight (messages), threads, thread_ids (sorted); both ends are nodes."""
+    e = messages.where("coalesce(sender, '') <> ''").select(address(F.col("sender")).alias("person"), normalize_subject(F.col("subject")).alias("topic"), F.nullif("conversation_id", F.lit("")).alias("thread")).join(topic_nodes.select("topic"), "topic").join(persons.select("person"), "person", "left_semi")
+    each = e.groupBy("person", "topic", "thread").agg(F.count("*").alias("n"))
+    return each.groupBy("person", "topic").agg(F.sum("n").alias("weight"), F.count("thread").alias("threads"), F.sort_array(F.collect_list("thread")).alias("thread_ids"))
 
 
 def person_orgs(persons: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -21,10 +21,11 @@ def with_keys(messages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def classify(keyed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds `status`: changed (known id, other flags), duplicate (known id or body) or new."""
-    by_id = seen.where("mid_hash is not null").select("mid_hash", F.struct(*FLAGS).alias("was")).dropDuplicates(["mid_hash"])
-    by_body = seen.where("body_hash is not null").select("body_hash", F.lit(True).alias("known_body")).distinct()
-    joined = keyed.join(by_id, "mid_hash", "left").join(by_body, "body_hash", "left")
+    """Adds `status`: changed (known id, other flags), duplicate (known id or body) or new. An id seen with several flags counts with the largest. Rows without an id or a body are spread by the other, so that they don't meet in one task."""
+    by_id = seen.where("mid_hash is not null").groupBy(F.col("mid_hash").alias("id_key")).agg(F.max(F.struct(*FLAGS)).alias("was"))
+    by_body = seen.where("body_hash is not null").select(F.col("body_hash").alias("body_key"), F.lit(True).alias("known_body")).distinct()
+    spread = lambda key, other: F.coalesce(key, F.concat(F.lit("none:"), F.coalesce(other, F.lit(""))))
+    joined = keyed.withColumn("id_key", spread("mid_hash", "body_hash")).withColumn("body_key", spread("body_hash", "mid_hash")).join(by_id, "id_key", "left").join(by_body, "body_key", "left").drop("id_key", "body_key")
     changed = F.lit(False)
     for f in FLAGS:
         changed = changed | (F.col(f) != F.col(f"was.{f}"))
@@ -42,15 +43,15 @@ def first_of_each(keyed: DataFrame, order: Column) -> DataFrame:
 
 
 def mark_seen(seen: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Adds rows whose id isn't there yet; rows without an id go by their body, and rows without both are added once."""
+    """Adds rows whose id isn't there yet (of several, the smallest by its values); rows without an id go by their body, and rows without both are added once."""
     key = F.coalesce("mid_hash", F.concat(F.lit("body:"), "body_hash"), F.lit("none"))
-    new = arrivals.select(*seen.columns).withColumn("seen_key", key).dropDuplicates(["seen_key"])
+    new = arrivals.groupBy(key.alias("seen_key")).agg(F.min(F.struct(*seen.columns)).alias("row")).select("seen_key", "row.*")
     return seen.unionByName(new.join(seen.select(key.alias("seen_key")), "seen_key", "left_anti").select(*seen.columns))
 
 
 def update_flags(table: DataFrame, news: DataFrame, key: str) -> DataFrame:
-    """Overwrites flags by key, null in the news meaning no change; all rows of a key change."""
-    n = news.select(key, *[F.col(f).alias(f"new_{f}") for f in FLAGS]).dropDuplicates([key])
+    """Overwrites flags by key, null in the news meaning no change; all rows of a key change. Of several news of a key, a flag set in any is set."""
+    n = news.groupBy(key).agg(*[F.bool_or(f).alias(f"new_{f}") for f in FLAGS])
     joined = table.join(n, key, "left")
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in FLAGS else F.col(c) for c in table.columns])
 
@@ -78,8 +79,9 @@ def retain(rows: DataFrame, now: str, days: int, date: str = "date") -> DataFram
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The rows to append: one of each key that the table lacks."""
-    return rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+    """The rows to append: one of each key that the table lacks, the smallest by its values."""
+    one = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("row")).select(key, "row.*") if len(rows.columns) > 1 else rows.distinct()
+    return one.join(table.select(key), key, "left_anti").select(*rows.columns)
 
 
 def close_log(events: DataFrame) -> DataFrame:

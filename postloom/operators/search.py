@@ -5,7 +5,9 @@ Filters apply before a top-k, so they reach the scan and lose nothing. Rankings
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
@@ -28,7 +30,7 @@ def knn_or_all(vectors: DataFrame, query: list[float], n: int, where: Column, **
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, doc_len"""
+    """doc_id, term, tf, doc_len; a document's terms are counted inside its row."""
     tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
     terms = tokens.select("doc_id", F.size("ts").cast("long").alias("doc_len"), F.explode("ts").alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -36,31 +38,68 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def idf_of(df: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """term, df, idf of (term, df); negative values become `epsilon` times the mean. `n_docs`: one row, n."""
-    raw = df.join(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.join(F.broadcast(n_docs.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def term_stats(posts: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """idf_of() the terms of postings."""
-    return idf_of(posts.groupBy("term").agg(F.count("*").alias("df")), n_docs, epsilon)
-
-
-def bm25(docs: DataFrame, question: str, n: int, where: Column | None = None, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The n best by Okapi BM25 with scores above 0; statistics are of all documents, also under a filter. Repeated words of the question count repeatedly."""
-    asked = F.array_distinct(tokenize(F.lit(question)))
-    tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text)))).alias("avg_len"))
-    # frequencies of all terms are needed for the floor, but each document's distinct terms are counted before the shuffle
-    found = tokens.select(F.explode(F.array_distinct("ts")).alias("term"))
-    stats = idf_of(found.groupBy("term").agg(F.count("*").alias("df")), sizes.select("n")).where(F.array_contains(asked, F.col("term")))
-    times = F.size(F.filter(tokenize(F.lit(question)), lambda q: q == F.col("term")))
-    # a document's other words never leave its row
-    mine = tokens.select("doc_id", F.size("ts").alias("doc_len"), F.explode(F.filter("ts", lambda t: F.array_contains(asked, t))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    part = times * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))))
-    hits = mine.join(F.broadcast(stats.select("term", "idf")), "term").join(F.broadcast(sizes.select("avg_len")))
-    if where is not None:
-        hits = hits.join(docs.where(where).select(F.col(key).alias("doc_id")), "doc_id", "left_semi")
+@dataclass(frozen=True)
+class Index:
+    """A keyword index: postings (doc_id, term, tf, doc_len), terms (term, df, idf), sizes (one row: n, avg_len). All documents count in sizes, also those without words."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+
+    @staticmethod
+    def of(posts: DataFrame, lengths: DataFrame) -> Index:
+        """From postings and the documents' lengths (doc_id, doc_len)."""
+        sizes = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+        return Index(posts, idf_of(posts.groupBy("term").agg(F.count("*").alias("df")), sizes), sizes)
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
+        """Written under `path`: documents are tokenized once, and statistics come from the postings. Postings are dealt by ranges of (term, doc_id), so a question reads the files of its terms, and a frequent term has many."""
+        spark = docs.sparkSession
+        lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokenize(F.col(text))).cast("long").alias("doc_len"))
+        return _written(spark, path, postings(docs, key, text), lengths)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
+
+    def with_documents(self, old: DataFrame, new: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
+        """The index of the documents `old` and those of `new` that aren't among them. Only the new ones are tokenized; statistics are made anew from all postings."""
+        fresh = new.join(old.select(key), key, "left_anti")
+        lengths = self.postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
+        all_lengths = old.select(F.col(key).alias("doc_id")).join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len")).unionByName(fresh.select(F.col(key).alias("doc_id"), F.size(tokenize(F.col(text))).cast("long").alias("doc_len")))
+        return _written(new.sparkSession, path, self.postings.unionByName(postings(fresh, key, text)), all_lengths)
+
+
+def _written(spark: SparkSession, path: str, posts: DataFrame, lengths: DataFrame) -> Index:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posts.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    made = Index.of(spark.read.parquet(f"{path}/postings"), lengths)
+    made.sizes.write.parquet(f"{path}/sizes")
+    stats = idf_of(made.postings.groupBy("term").agg(F.count("*").alias("df")), spark.read.parquet(f"{path}/sizes"))
+    stats.repartitionByRange(max(1, n // 4), "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return Index.load(spark, path)
+
+
+def bm25(index: Index, question: str, n: int, ids: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """doc_id and score of the n best by Okapi BM25 with scores above 0. Only the question's terms are read. `ids` (id): the documents a filter leaves; statistics are of all. Repeated words of the question count repeatedly."""
+    spark = index.postings.sparkSession
+    asked = spark.range(1).select(tokenize(F.lit(question)).alias("ts")).first()["ts"]
+    if not asked:
+        return index.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    words = sorted(set(asked))
+    times = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(asked.count(w)))])
+    stats = index.terms.where(F.col("term").isin(words)).select("term", "idf")
+    part = F.element_at(times, F.col("term")) * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))))
+    # one row for each word of the question, and one row
+    hits = index.postings.where(F.col("term").isin(words)).join(F.broadcast(stats), "term").join(F.broadcast(index.sizes.select("avg_len")))
+    if ids is not None:
+        hits = hits.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     scored = hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return scored.orderBy(F.desc("score"), "doc_id").limit(n)
 
@@ -84,10 +123,10 @@ def hybrid(near: DataFrame, words: DataFrame, n: int, k: int = 60, unscored: flo
     return both.join(near.select("id", "relevance"), "id", "left").select("id", "rrf_score", F.coalesce("relevance", F.lit(unscored)).alias("relevance")).orderBy(F.desc("rrf_score"), "id").limit(n)
 
 
-def overlap_score(question: str, text: Column, most: int = 1500) -> Column:
-    """Jaccard similarity of words, over the first characters; what ranks where no model is plugged in."""
+def overlap_score(question: str, text: Column) -> Column:
+    """Jaccard similarity of the words of whole texts; what ranks where no model is plugged in."""
     q = F.array_distinct(tokenize(F.lit(question)))
-    d = F.array_distinct(tokenize(F.substring(text, 1, most)))
+    d = F.array_distinct(tokenize(text))
     return F.round(F.size(F.array_intersect(q, d)) / F.greatest(F.size(F.array_union(q, d)), F.lit(1)), 6)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import analytics, chunks, ingest, search
 
-TABLES = ("messages", "chunks", "summaries", "postings", "seen", "watermarks", "runs", "cards")
+TABLES = ("messages", "chunks", "summaries", "index", "seen", "watermarks", "runs", "cards")
 
 
 class Store:
@@ -42,9 +42,15 @@ class Store:
         for t in TABLES:
             self.fs.delete(self._path(t), True)
 
-    def index(self, refresh: bool = False) -> DataFrame:
-        """Postings of the chunks: the stored ones, or made if there are none yet."""
-        return (None if refresh else self.read("postings")) or self.write("postings", search.postings(self.read("chunks"), "chunk_id"))
+    def index(self, refresh: bool = False) -> search.Index:
+        """The keyword index of the chunks: the stored one, or made if there is none yet."""
+        found = self.versions("index")
+        if refresh or not found:
+            path = f"{self.root}/index/v{(found[-1] + 1) if found else 0}"
+            made = search.Index.build(self.read("chunks"), path, "chunk_id")
+            self.fs.create(self._path(path.removeprefix(f"{self.root}/"), "_SUCCESS")).close()
+            return made
+        return search.Index.load(self.spark, f"{self.root}/index/v{found[-1]}")
 
 
 def after_ingest(store: Store, now: str, retention_days: int) -> DataFrame:
@@ -57,12 +63,27 @@ def after_ingest(store: Store, now: str, retention_days: int) -> DataFrame:
     return analytics.mailbox_stats(kept)
 
 
+#: Characters of the pieces by which subjects are looked up.
+PIECE = 4
+
+
 def open_cascade(asked: DataFrame, messages: DataFrame) -> DataFrame:
-    """ask_id, message_id: by id, else by header id, else the smallest message whose subject holds the words asked for. `asked`: ask_id, id, header_id, words; the last step compares what the first two left, which are clicks of people, with all subjects."""
+    """ask_id, message_id: by id, else by header id, else the smallest message whose subject holds the words asked for. `asked`: ask_id, id, header_id, words.
+
+    For the last step, messages of equal subjects are one; subjects and words meet on one piece of the
+    words that is rarest among the subjects (or on all of them, if the words are shorter than a
+    piece), and are compared where they meet.
+    """
     by_id = messages.select(F.col("message_id").alias("id"), F.col("message_id").alias("m1"))
     by_header = messages.select("header_id", F.col("message_id").alias("m2")).where("header_id is not null").groupBy("header_id").agg(F.min("m2").alias("m2"))
     first = asked.join(by_id, "id", "left").join(by_header, "header_id", "left").withColumn("found", F.coalesce("m1", "m2"))
     rest = first.where("found is null and coalesce(words, '') <> ''").select("ask_id", F.lower("words").alias("words"))
-    subjects = messages.select("message_id", F.lower("subject").alias("subject"))
-    third = subjects.join(rest, F.contains("subject", "words")).groupBy("ask_id").agg(F.min("message_id").alias("m3"))
+    subjects = messages.groupBy(F.lower("subject").alias("subject")).agg(F.min("message_id").alias("message_id")).where("subject is not null")
+    pieces = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(size))))
+    parts = [(PIECE, F.length("words") >= PIECE), *((k, F.length("words") == k) for k in range(1, PIECE))]
+    each = subjects.select("subject", "message_id", F.explode(F.concat(*[pieces(F.col("subject"), k) for k, _ in parts])).alias("piece"))
+    wanted = rest.select("ask_id", "words", F.explode(F.coalesce(*[F.when(c, pieces(F.col("words"), k)) for k, c in parts])).alias("piece"))
+    often = each.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("often"))
+    rarest = wanted.join(often, "piece", "left").groupBy("ask_id", "words").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("p")).select("ask_id", "words", "p.piece")
+    third = each.join(rarest, "piece").where(F.contains("subject", "words")).groupBy("ask_id").agg(F.min("message_id").alias("m3"))
     return first.join(third, "ask_id", "left").select("ask_id", F.coalesce("found", "m3").alias("message_id"))

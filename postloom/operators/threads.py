@@ -75,3 +75,11 @@ def tagged_tasks(open_threads: DataFrame, deadline_hits: DataFrame, question_hit
     flag = lambda hits, name: hits.select("subject").where("coalesce(subject, '') <> ''").distinct().withColumn(name, F.lit(name))
     tagged = open_threads.where("bucket = 'needs_action'").join(flag(deadline_hits, "deadline"), "subject", "left").join(flag(question_hits, "question"), "subject", "left")
     return tagged.withColumn("tags", F.array_join(F.array_compact(F.array("deadline", "question")), ",")).drop("deadline", "question")
+
+
+def task_counts(buckets_: DataFrame, tagged: DataFrame) -> DataFrame:
+    """One row: open threads by bucket, and how many that need action have a deadline or a question."""
+    of = lambda b: F.count_if(F.col("bucket") == b)
+    n = buckets_.agg(F.count("*").alias("total_open"), of("needs_action").alias("needs_action"), of("awaiting_response").alias("awaiting_response"), of("stale").alias("stale"))
+    has = lambda t: F.count_if(F.array_contains(F.split("tags", ","), t))
+    return n.join(tagged.agg(has("deadline").alias("with_deadlines"), has("question").alias("with_questions")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom.operators import ingest
 
@@ -47,9 +48,10 @@ def ingest_batches(messages: DataFrame, state: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         keyed = ingest.first_of_each(ingest.with_keys(batch), F.struct("date", "message_id"))
         columns = ["mid_hash", "body_hash", *ingest.FLAGS]
-        seen = spark.createDataFrame([], keyed.select(*columns).schema)
-        for n in range(epoch):
-            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{state}/seen/epoch={n}"))
+        schema = keyed.select(*columns).schema
+        seen = spark.createDataFrame([], schema)
+        if epoch:  # one read, pruned to the epochs before this one
+            seen = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{state}/seen").where(F.col("epoch") < epoch).select(*columns)
         known = ingest.classify(keyed, seen)
         news = known.where("status = 'new'").drop("status")
         news.write.mode("overwrite").parquet(f"{state}/new/epoch={epoch}")
