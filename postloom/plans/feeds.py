@@ -13,6 +13,7 @@ from postloom.streaming import jobs
 
 
 def _place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share: the checkpoint folder, or where none is set the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/postloom/{uuid.uuid4().hex}/{name}"
 
@@ -51,7 +52,15 @@ def rfc822_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("message_id", "sender", "sender_name", F.array_join("recipients_to", ",").alias("recipients"), F.col("sent_date").alias("date"), F.replace("body_text", F.lit("\r\n"), F.lit("\n")).alias("body"))
 
 
-Q = {f.__name__: f for f in (stream_daily_volume, stream_dedup, stream_ingest, rfc822_parse)}
+def mail_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the attachments of mail files: a note, a page, and a picture, which has none."""
+    part = lambda kind, name, body: F.concat(F.lit(f"--b\r\nContent-Type: {kind}\r\nContent-Disposition: attachment; filename=\"{name}\"\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), body, F.lit("\r\n"))
+    raw = F.concat(F.lit("Message-ID: <"), "message_id", F.lit(">\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=\"b\"\r\n\r\n"), part("text/plain", "n.txt", F.concat(F.lit("note of "), "message_id")), part("application/octet-stream", "p.htm", F.concat(F.lit("<p>page of</p><p>"), "message_id", F.lit("</p>"))), part("image/png", "i.png", F.lit("x")), F.lit("--b--\r\n"))
+    parsed = rfc822.parse_column(messages(spark, sf_dir).select(F.col("message_id").alias("path"), F.encode(raw, "UTF-8").alias("content")))
+    return rfc822.attachment_texts(parsed)
+
+
+Q = {f.__name__: f for f in (stream_daily_volume, stream_dedup, stream_ingest, rfc822_parse, mail_attachments)}
 from postloom.plans.mail import HASH  # noqa: E402
 from postloom.plans.views import MESSAGES  # noqa: E402
 
@@ -59,5 +68,6 @@ SQL = {
     "stream_daily_volume": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT event_id, user_id FROM events",
     "stream_ingest": f"{MESSAGES[:-1]}, k AS (SELECT message_id, date, {HASH('body')} AS bh FROM messages) SELECT arg_min(message_id, (date, message_id)) AS message_id FROM k WHERE bh IS NOT NULL GROUP BY bh UNION ALL SELECT message_id FROM k WHERE bh IS NULL",
+    "mail_attachments": f"{MESSAGES} SELECT message_id, f AS filename, CASE f WHEN 'n.txt' THEN 'note of ' || message_id WHEN 'p.htm' THEN 'page of' || chr(10) || chr(10) || message_id ELSE '' END AS text FROM messages, unnest(['n.txt', 'p.htm', 'i.png']) u(f)",
     "rfc822_parse": f"{MESSAGES} SELECT message_id, sender, 'A B' AS sender_name, recipient1 || ',' || recipient2 AS recipients, date, body FROM messages",
 }

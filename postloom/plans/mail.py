@@ -10,6 +10,7 @@ from postloom.functions import filters, message
 from postloom.functions import text as T
 from postloom.operators import analytics, calendar, threads
 from postloom.plans.views import LATEST, ME, MESSAGES, NOW, STALE, messages, table
+from postloom.sources import items
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -82,12 +83,6 @@ def _(m, *_a):
 
 
 DEADLINE = "lower(body) LIKE '%urgent%' OR lower(body) LIKE '%the%'"
-@query("tasks_tagged", f"{OPEN}, d AS (SELECT DISTINCT subject FROM messages WHERE direction = 'received' AND NOT is_replied AND contains(lower(subject), 'the')), q AS (SELECT DISTINCT subject FROM messages WHERE direction = 'received' AND NOT is_replied AND contains(lower(subject), 'in')) SELECT o.message_id, o.subject, array_to_string(list_filter([CASE WHEN d.subject IS NOT NULL THEN 'deadline' END, CASE WHEN q.subject IS NOT NULL THEN 'question' END], lambda x: x IS NOT NULL), ',') AS tags FROM open o LEFT JOIN d ON d.subject = o.subject LEFT JOIN q ON q.subject = o.subject WHERE bucket = 'needs_action'")
-def _(m, *_a):
-    hits = m.where("direction = 'received' and not is_replied")
-    return threads.tagged_tasks(threads.buckets(m, NOW), hits.where(F.contains(F.lower("subject"), F.lit("the"))), hits.where(F.contains(F.lower("subject"), F.lit("in")))).select("message_id", "subject", "tags")
-
-
 # --- analytics ----------------------------------------------------------------------------------
 
 
@@ -132,13 +127,6 @@ def _(m, *_a):
     return m.agg(F.count_distinct(F.nullif("conversation_id", F.lit(""))).alias("n"))
 
 
-@query("inbox_summary", f"{MESSAGES} SELECT * FROM (SELECT 'action_needed' AS kind, message_id, sender AS who, subject, date FROM messages WHERE direction = 'received' AND NOT is_replied ORDER BY date DESC, message_id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'awaiting_response', message_id, split_part(recipient1 || ',' || recipient2, ',', 1), subject, date FROM messages WHERE direction = 'sent' AND NOT is_replied ORDER BY date DESC, message_id LIMIT 5)")
-def _(m, *_a):
-    a = m.where("direction = 'received' and not is_replied").orderBy(F.desc("date"), "message_id").limit(5).select(F.lit("action_needed").alias("kind"), "message_id", F.col("sender").alias("who"), "subject", "date")
-    b = m.where("direction = 'sent' and not is_replied").orderBy(F.desc("date"), "message_id").limit(5).select(F.lit("awaiting_response").alias("kind"), "message_id", F.split_part(F.concat_ws(",", "recipient1", "recipient2"), F.lit(","), F.lit(1)).alias("who"), "subject", "date")
-    return a.unionByName(b)
-
-
 # --- scalars ------------------------------------------------------------------------------------
 
 
@@ -157,7 +145,7 @@ def _(m, *_a):
     return m.select("message_id", F.array_join(message.all_recipients(F.array("recipient1"), F.array("recipient2"), F.when(F.col("turn") > 1, F.array("sender"))), ",").alias("recipients"))
 
 
-DOC = "array_to_string(list_filter([CASE WHEN email_type = 'meeting_note' THEN '[Meeting Summary]' END, 'From: ' || coalesce(nullif(sender_name, ''), sender), 'To: ' || recipient1 || ', ' || recipient2, 'Subject: ' || subject, 'Date: ' || strftime(date, '%Y-%m-%d %H:%M'), 'Folder: ' || folder, '', CASE WHEN length(body) > 5000 THEN substr(body, 1, 5000) || '...' ELSE body END, CASE WHEN turn = 2 THEN chr(10) || '[Attachment: notes.txt]' || chr(10) || substr(body, 1, 3000) END], lambda x: x IS NOT NULL), chr(10))"
+DOC = "array_to_string(list_filter([CASE WHEN email_type = 'meeting_note' THEN '[Meeting Summary]' END, 'From: ' || coalesce(nullif(sender_name, ''), sender), 'To: ' || recipient1 || ', ' || recipient2, 'Subject: ' || subject, 'Date: ' || strftime(date, '%Y-%m-%d %H:%M'), 'Folder: ' || folder, '', body, CASE WHEN turn = 2 THEN chr(10) || '[Attachment: notes.txt]' || chr(10) || body END], lambda x: x IS NOT NULL), chr(10))"
 
 
 def with_document(m):
@@ -170,16 +158,17 @@ def _(m, *_a):
     return with_document(m).select("message_id", "document")
 
 
-@query("message_metadata", f"{MESSAGES} SELECT message_id, conversation_id, recipient1 || ',' || recipient2 AS recipients, substr(subject, 1, 500) AS subject, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, is_read, is_replied, is_flagged FROM messages")
+@query("message_metadata", f"{MESSAGES} SELECT message_id, conversation_id, recipient1 || ',' || recipient2 AS recipients, substr(subject, 1, 500) AS subject, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, array_to_string(list_transform(list_filter(range(0, least(turn * 4, 9) + 1), lambda i: i % 3 <> 2), lambda i: 'f' || i), ',') AS attachment_names, is_read, is_replied, is_flagged FROM messages")
 def _(m, *_a):
-    return m.select("message_id", "conversation_id", F.array_join(F.slice(F.array("recipient1", "recipient2"), 1, 5), ",").alias("recipients"), F.substring("subject", 1, 500).alias("subject"), F.coalesce(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("date"), "is_read", "is_replied", "is_flagged")
+    names = F.transform(F.sequence(F.lit(0), F.col("turn") * 4), lambda i: F.when(i % 3 != 2, F.concat(F.lit("f"), i.cast("string"))))
+    return m.select("message_id", "conversation_id", *items.metadata(F.array("recipient1", "recipient2"), F.col("subject"), F.col("date"), names), "is_read", "is_replied", "is_flagged")
 
 
-@query("record_coercion", f"{MESSAGES} SELECT message_id, CASE WHEN turn % 3 <> 1 THEN date END AS at, CASE WHEN is_read THEN 1 ELSE 0 END AS n FROM messages")
+@query("record_coercion", f"{MESSAGES} SELECT message_id, CASE WHEN turn % 3 <> 1 THEN date END AS sent_date, CASE WHEN turn % 2 = 0 THEN direction END AS direction, is_read FROM messages")
 def _(m, *_a):
-    raw = F.to_json(F.struct("message_id", F.when(F.col("turn") % 3 != 1, F.date_format("date", "yyyy-MM-dd HH:mm:ss")).otherwise("not a date").alias("at"), F.col("is_read").cast("int").alias("n"), F.lit("x").alias("unknown_key")))
-    rec = F.from_json(raw, "message_id string, at string, n int")
-    return m.select(rec.alias("r")).select("r.message_id", F.try_to_timestamp("r.at", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("at"), "r.n")
+    sent = F.when(F.col("turn") % 3 != 1, F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("not a date")
+    raw = F.to_json(F.struct("message_id", sent.alias("sent_date"), F.when(F.col("turn") % 2 == 0, F.col("direction")).otherwise("sideways").alias("direction"), "is_read", F.lit("x").alias("unknown_key")))
+    return m.select(items.from_record(raw).alias("r")).select("r.message_id", "r.sent_date", "r.direction", "r.is_read")
 
 
 @query("direction_rule", f"{MESSAGES} SELECT message_id, CASE WHEN regexp_matches(lower(folder), 'sent|envoy|outbox') OR lower(trim(sender)) = 'user3@acme.com' THEN 'sent' ELSE 'received' END AS way FROM messages")
@@ -211,7 +200,7 @@ def _(m, *_a):
 
 @query("result_projection", f"{MESSAGES} SELECT message_id, substr(body, 1, 200) AS preview, round(100 * ((conv_id % 97) / 97.0), 1) AS relevance FROM messages")
 def _(m, *_a):
-    return m.select("message_id", F.substring("body", 1, 200).alias("preview"), F.round(100 * ((F.col("conv_id") % 97) / 97.0), 1).alias("relevance"))
+    return m.select("message_id", *items.shown(F.col("body"), (F.col("conv_id") % 97) / 97.0))
 
 
 @query("web_link", f"{MESSAGES} SELECT message_id, 'https://mail.example.com/search/' || replace(replace(url_encode(substr(regexp_replace(subject, '[\"'']', '', 'g'), 1, 80) || ' from:' || sender), '%20', '+'), '~', '%7E') AS link FROM messages")
@@ -224,22 +213,27 @@ def _(m, *_a):
     return m.select("message_id", message.clock(F.col("date")).alias("clock"))
 
 
-@query("flag_bitmask", f"{MESSAGES} SELECT message_id, (conv_id + turn) & 1 <> 0 AS is_read, CASE (conv_id + turn) % 3 + 1 WHEN 1 THEN 'to' WHEN 2 THEN 'cc' ELSE 'bcc' END AS kind FROM messages")
+@query("flag_bitmask", f"{MESSAGES} SELECT CASE WHEN turn % 2 = 0 THEN message_id ELSE 'i' || message_id END AS message_id, conversation_id, (conv_id + turn) & 1 <> 0 AS is_read, CASE WHEN (conv_id + turn) % 3 = 0 THEN recipient1 ELSE '' END AS recipients_to, recipient2 || CASE WHEN (conv_id + turn) % 3 = 1 THEN ',' || recipient1 ELSE '' END AS recipients_cc, CASE WHEN (conv_id + turn) % 3 = 2 THEN recipient1 ELSE '' END AS recipients_bcc, CASE WHEN regexp_matches(lower(folder), 'sent|outbox') THEN 'sent' ELSE 'received' END AS direction, CASE WHEN turn % 4 = 3 THEN NULL ELSE date END AS sent_date, CASE WHEN sender = 'user3@acme.com' THEN 'meeting_note' ELSE '' END AS email_type FROM messages")
 def _(m, *_a):
+    """Messages as an archive holds them, parsed."""
     n = F.col("conv_id") + F.col("turn")
-    return m.select("message_id", (n.bitwiseAND(1) != 0).alias("is_read"), F.element_at(F.array(F.lit("to"), F.lit("cc"), F.lit("bcc")), (n % 3 + 1).cast("int")).alias("kind"))
+    even, dated = F.col("turn") % 2 == 0, F.when(F.col("turn") % 4 != 3, F.col("date"))
+    raw = m.select("folder", F.when(even, F.col("message_id")).alias("message_identifier"), F.concat(F.lit("i"), "message_id").alias("internet_message_id"), "sender", "sender_name", "subject", F.when(F.col("turn") % 4 != 1, dated).alias("client_submit_time"), F.when(F.col("turn") % 4 == 1, dated).alias("delivery_time"), F.array(F.struct(F.col("recipient2").alias("address"), F.lit(2).alias("kind")), F.struct(F.col("recipient1").alias("address"), (n % 3 + 1).cast("int").alias("kind"))).alias("recipients"), F.col("body").alias("plain_text_body"), F.lit(None).cast("string").alias("html_body"), n.cast("int").alias("message_flags"), F.col("conversation_id").alias("conversation_topic"), F.lit(None).cast("string").alias("in_reply_to_id"))
+    return items.archive_messages(raw, ("user3@acme.com",)).select("message_id", "conversation_id", "is_read", *[F.array_join(c, ",").alias(c) for c in ("recipients_to", "recipients_cc", "recipients_bcc")], "direction", "sent_date", "email_type")
 
 
-@query("item_code_mapping", f"{MESSAGES} SELECT message_id, 100 + turn IN (102, 103) AS replied, 100 + turn = 104 AS forwarded, turn % 3 = 2 AS flagged, CASE turn % 3 WHEN 2 THEN 'high' WHEN 0 THEN 'low' ELSE 'normal' END AS importance FROM messages")
+@query("item_code_mapping", f"{MESSAGES} SELECT message_id, is_read, 2 AS people, 100 + turn IN (102, 103) AS replied, 100 + turn = 104 AS forwarded, turn % 3 = 2 AS flagged, CASE turn % 3 WHEN 2 THEN 'high' WHEN 0 THEN 'low' ELSE 'normal' END AS importance FROM messages WHERE turn <> 7")
 def _(m, *_a):
-    verb = F.col("turn") + 100
-    return m.select("message_id", verb.isin(102, 103).alias("replied"), (verb == 104).alias("forwarded"), (F.col("turn") % 3 == 2).alias("flagged"), F.when(F.col("turn") % 3 == 2, "high").when(F.col("turn") % 3 == 0, "low").otherwise("normal").alias("importance"))
+    """Messages as items of a desktop client, parsed; those of turn 7 are of another class."""
+    none, code = F.lit(None).cast("string"), (F.col("turn") % 3).cast("int")
+    raw = m.select("folder", F.when(F.col("turn") == 7, 26).otherwise(43).alias("class"), F.col("message_id").alias("internet_message_id"), none.alias("entry_id"), none.alias("conversation_id"), F.col("conversation_id").alias("conversation_topic"), "sender", "sender_name", F.concat("recipient1", F.lit("; ;"), "recipient2").alias("to"), none.alias("cc"), none.alias("bcc"), "subject", F.col("date").alias("sent_on"), F.col("date").alias("received_time"), "body", none.alias("html_body"), (~F.col("is_read")).alias("unread"), (F.col("turn") + 100).cast("int").alias("last_verb"), code.alias("flag_status"), code.alias("importance"))
+    return items.desktop_messages(raw).select("message_id", "is_read", F.col("is_replied").alias("replied"), F.col("is_forwarded").alias("forwarded"), F.col("is_flagged").alias("flagged"), "importance", F.size("recipients_to").alias("people"))
 
 
 @query("recipient_split", f"{MESSAGES} SELECT message_id, recipient1 || ',' || recipient2 AS names FROM messages")
 def _(m, *_a):
     raw = F.concat(F.lit(" "), "recipient1", F.lit(" ; ;"), "recipient2", F.lit(";"))
-    return m.select("message_id", F.array_join(F.filter(F.transform(F.split(raw, ";"), lambda x: F.trim(x)), lambda x: x != ""), ",").alias("names"))
+    return m.select("message_id", F.array_join(items.split_names(raw), ",").alias("names"))
 
 
 @query("folder_skip", f"{MESSAGES} SELECT folder, count(*) AS n FROM (SELECT CASE WHEN turn = 5 THEN 'Bulk mail' WHEN turn = 3 THEN 'Drafts' ELSE folder END AS folder FROM messages) WHERE lower(folder) NOT IN ('trash', 'drafts', 'draft', 'deleted items') AND NOT regexp_matches(lower(folder), 'trash|spam|junk|bulk') GROUP BY 1")
@@ -304,7 +298,7 @@ def _(m, spark, sf):
     return table(spark, sf, "benchmark").select("item_id", filters.question_type(F.concat("text", extra)).alias("kind"))
 
 
-@query("time_range_filter", f"{MESSAGES} SELECT message_id, date FROM messages WHERE date >= TIMESTAMP '2024-01-15' AND date <= TIMESTAMP '2024-01-22'")
+@query("time_range_filter", f"{MESSAGES} SELECT message_id, date FROM messages WHERE date >= TIMESTAMP '2024-01-15' AND date < TIMESTAMP '2024-01-22'")
 def _(m, *_a):
     where = filters.build_where({}, filters.time_range("what came last week?", datetime.fromisoformat(NOW)))
     return m.where(filters.compile_filter(where)).select("message_id", "date")
@@ -315,11 +309,6 @@ def _(m, *_a):
     return m.where(filters.compile_filter({"ignored": 1, "$and": [{"direction": "received"}, {"is_replied": False}, {"date": {"$gte": "2024-01-10 00:00:00"}}]})).select("message_id")
 
 
-@query("relevance_threshold", f"{MESSAGES} SELECT message_id FROM messages WHERE (conv_id % 100) / 100.0 > 0.45")
-def _(m, *_a):
-    return m.where((F.col("conv_id") % 100) / 100.0 > 0.45).select("message_id")
-
-
 # --- text ----------------------------------------------------------------------------------------
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -362,7 +351,7 @@ def _(m, spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 800).alias("cs")).select("doc_id", F.size("cs").cast("long").alias("n"), F.array_join("cs", "|").alias("chunks"))
 
 
-@query("attachment_sections", f"{MESSAGES} SELECT message_id, 'notes.txt' AS name, {STRIP.format('substr(body, 1, 3000)')} AS text FROM messages WHERE turn = 2 AND {STRIP.format('substr(body, 1, 3000)')} <> ''")
+@query("attachment_sections", f"{MESSAGES} SELECT message_id, 'notes.txt' AS name, {STRIP.format('body')} AS text FROM messages WHERE turn = 2 AND {STRIP.format('body')} <> ''")
 def _(m, *_a):
     return with_document(m).select("message_id", F.inline(T.attachment_sections(F.col("document"))))
 
@@ -382,7 +371,7 @@ def _(m, spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n"), F.array_join("ts", " ").alias("tokens"))
 
 
-HASH = lambda c: f"substr(sha256(nullif({STRIP.format('substr(regexp_replace(regexp_replace(regexp_replace(lower(' + c + '), ' + chr(39) + '\\s+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + 'sent from my [\\p{L}\\p{N}_]+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + 'get outlook for [\\p{L}\\p{N}_]+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), 1, 2000)')}, '')), 1, 16)"
+HASH = lambda c: f"substr(sha256(nullif({STRIP.format('regexp_replace(regexp_replace(regexp_replace(lower(' + c + '), ' + chr(39) + '\\s+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + 'sent from my [\\p{L}\\p{N}_]+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + 'get outlook for [\\p{L}\\p{N}_]+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '')), 1, 16)"
 
 
 @query("body_hash_dedup", f"{MESSAGES} SELECT {HASH('body')} AS hash, count(*) AS n, min(message_id) AS first FROM messages GROUP BY 1")
@@ -390,10 +379,11 @@ def _(m, *_a):
     return m.groupBy(T.body_hash(F.col("body")).alias("hash")).agg(F.count("*").alias("n"), F.min("message_id").alias("first"))
 
 
-@query("text_decode", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'caf' || chr(233) END AS text FROM documents")
+@query("text_decode", "SELECT doc_id, text, CASE WHEN regexp_matches(text, '^[\\x00-\\xFF]*$') THEN text || chr(233) END AS latin FROM documents")
 def _(m, spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.unhex(F.lit("636166E9")))
-    return table(spark, sf, "documents").select("doc_id", T.decode_text(raw).alias("text"))
+    """Every text from its UTF-8 bytes, and those that Latin-1 can hold from its bytes, which with an accent at the end aren't UTF-8."""
+    latin = F.when(F.col("text").rlike(r"^[\x00-\xFF]*$"), T.decode_text(F.encode(F.concat("text", F.lit("é")), "ISO-8859-1")))
+    return table(spark, sf, "documents").select("doc_id", T.decode_text(F.encode("text", "UTF-8")).alias("text"), latin.alias("latin"))
 
 
 def _html_sql(links: bool) -> str:
