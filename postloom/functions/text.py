@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,13 @@ TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-.]*[\p{L}\p{N}_])?"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without the white space (what `\\s` matches) at both ends."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def bind(value: Column, shape: Callable[[Column], Column]) -> Column:
+    """`shape` of a value that is computed once: columns in lambdas are computed wherever they are named."""
+    return F.get(F.transform(F.array(value), shape), 0)
 
 
 def lines_of(c: Column) -> Column:
@@ -50,44 +58,49 @@ def clean_text(text: Column) -> Column:
 
 def strip_boilerplate(text: Column) -> Column:
     """struct<body, signature, disclaimer>: the first footer line takes all that follows, the first signature line the rest before it."""
-    lines = lines_of(F.coalesce(text, F.lit("")))
-    footer = _first(lines, lambda x: strip(x).rlike(DISCLAIMER))
-    before = F.slice(lines, F.lit(1), footer - 1)
-    sign = _first(before, lambda x: strip(x).rlike(SIGNATURE))
-    part = lambda a, n: F.array_join(F.slice(lines, a, n), "\n")
-    return F.struct(part(F.lit(1), sign - 1).alias("body"), part(sign, footer - sign).alias("signature"), part(footer, F.size(lines) - footer + 1).alias("disclaimer"))
+    part = lambda lines, a, n: F.array_join(F.slice(lines, a, n), "\n")
+
+    def cut(lines: Column, footer: Column, sign: Column) -> Column:
+        return F.struct(part(lines, F.lit(1), sign - 1).alias("body"), part(lines, sign, footer - sign).alias("signature"), part(lines, footer, F.size(lines) - footer + 1).alias("disclaimer"))
+
+    def below(lines: Column) -> Column:
+        sign = lambda footer: _first(F.slice(lines, F.lit(1), footer - 1), lambda x: strip(x).rlike(SIGNATURE))
+        return bind(_first(lines, lambda x: strip(x).rlike(DISCLAIMER)), lambda footer: bind(sign(footer), lambda at: cut(lines, footer, at)))
+
+    return bind(lines_of(F.coalesce(text, F.lit(""))), below)
 
 
 def _cut_at(body: Column) -> Column:
     """Place from 1 at which quoted history begins, 0 if none: an attribution line, else a forward header, else two quoted lines in a row."""
-    wrote, forward = F.regexp_extract(body, WROTE, 0), F.regexp_extract(body, FORWARDED, 0)
-    quoted = F.regexp_extract(body, r"(?:^|\n)([^\S\n]*>[^\n]*\n[^\S\n]*>)", 1)
-    return F.when(wrote != "", F.instr(body, wrote)).when(forward != "", F.instr(body, forward)).when(quoted != "", F.when(body.startswith(quoted), F.lit(1)).otherwise(F.instr(body, F.concat(F.lit("\n"), quoted)) + 1)).otherwise(F.lit(0))
+    place = lambda found, otherwise: F.when(found != "", F.instr(body, found)).otherwise(otherwise)
+    quoted = bind(F.regexp_extract(body, r"(?:^|\n)([^\S\n]*>[^\n]*\n[^\S\n]*>)", 1), lambda q: F.when(q == "", F.lit(0)).when(body.startswith(q), F.lit(1)).otherwise(F.instr(body, F.concat(F.lit("\n"), q)) + 1))
+    return bind(F.regexp_extract(body, WROTE, 0), lambda w: place(w, bind(F.regexp_extract(body, FORWARDED, 0), lambda f: place(f, quoted))))
 
 
 def segment(text: Column) -> Column:
     """struct<fresh, quoted, signature, disclaimer, original_length, cleaned_length>."""
 
     def parts(s: Column) -> Column:
-        def cut(p: Column) -> Column:
-            at, body = p["at"], p["s"]["body"]
-            fresh = clean_text(F.when(at > 0, F.regexp_replace(F.substr(body, F.lit(1), at - 1), r"\s+$", "")).otherwise(body))
-            quoted = clean_text(F.when(at > 0, F.substr(body, at)).otherwise(F.lit("")))
-            return F.struct(fresh.alias("fresh"), quoted.alias("quoted"), strip(p["s"]["signature"]).alias("signature"), strip(p["s"]["disclaimer"]).alias("disclaimer"), F.length(F.coalesce(text, F.lit(""))).alias("original_length"), F.length(fresh).alias("cleaned_length"))
+        return bind(s["body"], lambda body: bind(_cut_at(body), lambda at: made(s, body, at)))
 
-        return F.get(F.transform(F.array(F.struct(_cut_at(s["body"]).alias("at"), s.alias("s"))), cut), 0)
+    def made(s: Column, body: Column, at: Column) -> Column:
+        fresh = clean_text(F.when(at > 0, F.regexp_replace(F.substr(body, F.lit(1), at - 1), r"\s+$", "")).otherwise(body))
+        quoted = clean_text(F.when(at > 0, F.substr(body, at)).otherwise(F.lit("")))
+        return bind(fresh, lambda f: F.struct(f.alias("fresh"), quoted.alias("quoted"), strip(s["signature"]).alias("signature"), strip(s["disclaimer"]).alias("disclaimer"), F.length(F.coalesce(text, F.lit(""))).alias("original_length"), F.length(f).alias("cleaned_length")))
 
-    return F.get(F.transform(F.array(strip_boilerplate(text)), parts), 0)
+    return bind(strip_boilerplate(text), parts)
 
 
 def split_header_body(document: Column) -> Column:
     """struct<header, body>: header lines up to the first blank line, which goes, or the first other line, which stays."""
-    lines = lines_of(F.coalesce(document, F.lit("")))
-    stop = F.array_position(F.transform(lines, lambda x, i: ((strip(x) == "") & (i > 0)) | ~x.rlike(HEADER)), True).cast("int")
-    blank = (strip(F.get(lines, stop - 1)) == "") & (stop > 1)
-    head = F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
-    rest = F.when(stop == 0, lines).when(blank, F.slice(lines, stop + 1, F.size(lines))).otherwise(F.slice(lines, F.greatest(stop, F.lit(1)), F.size(lines)))
-    return F.struct(F.array_join(head, "\n").alias("header"), F.array_join(rest, "\n").alias("body"))
+    def at(lines: Column, stop: Column) -> Column:
+        blank = (strip(F.get(lines, stop - 1)) == "") & (stop > 1)
+        head = F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
+        rest = F.when(stop == 0, lines).when(blank, F.slice(lines, stop + 1, F.size(lines))).otherwise(F.slice(lines, F.greatest(stop, F.lit(1)), F.size(lines)))
+        return F.struct(F.array_join(head, "\n").alias("header"), F.array_join(rest, "\n").alias("body"))
+
+    stop = lambda lines: F.array_position(F.transform(lines, lambda x, i: ((strip(x) == "") & (i > 0)) | ~x.rlike(HEADER)), True).cast("int")
+    return bind(lines_of(F.coalesce(document, F.lit(""))), lambda lines: bind(stop(lines), lambda s: at(lines, s)))
 
 
 def pack_paragraphs(text: Column, most: int) -> Column:
@@ -99,8 +112,8 @@ def pack_paragraphs(text: Column, most: int) -> Column:
         joined = F.when(acc["now"] != "", F.concat(acc["now"], F.lit("\n\n"), p)).otherwise(p)
         return F.struct(F.when(full, F.array_append(acc["done"], strip(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(full, p).otherwise(joined).alias("now"))
 
-    packed = F.aggregate(F.split(text, "\n\n", -1), start, step, lambda acc: F.when(strip(acc["now"]) != "", F.array_append(acc["done"], strip(acc["now"]))).otherwise(acc["done"]))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(packed)
+    packed = lambda t: F.aggregate(F.split(t, "\n\n", -1), start, step, lambda acc: F.when(strip(acc["now"]) != "", F.array_append(acc["done"], strip(acc["now"]))).otherwise(acc["done"]))
+    return bind(text, lambda t: F.when(F.length(t) <= most, F.array(t)).otherwise(packed(t)))
 
 
 def attachment_sections(document: Column) -> Column:

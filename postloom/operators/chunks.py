@@ -16,30 +16,25 @@ def chunks_of(document: Column, subject: Column, most: int = 800, least: int = 5
     Attachment sections are cut out of the body first, so their text is chunked once.
     """
 
-    def build(d: Column) -> Column:
-        body = F.regexp_replace(d["parts"]["body"], r"(?s)\n?\[Attachment: .*", "")
-        return F.get(F.transform(F.array(F.struct(T.segment(body).alias("s"), d["parts"]["header"].alias("header"), d["doc"].alias("doc"))), made), 0)
-
-    def made(p: Column) -> Column:
-        s = p["s"]
-        fresh = T.strip(F.when(s["fresh"] != "", F.concat(p["header"], F.lit("\n\n"), s["fresh"])).otherwise(p["header"]))
-        head = F.concat(F.lit("Subject: "), F.coalesce(subject, F.lit("")))
-        quoted = F.concat(head, F.lit("\n[Quoted history]\n\n"), s["quoted"])
-        none = F.array().cast(f"array<{CHUNK}>")
-        piece = lambda kind, first, rest: lambda t, i: F.struct(F.lit(kind).alias("kind"), F.when(i == 0, F.lit(first)).otherwise(F.concat(F.lit(rest), i.cast("string"))).alias("suffix"), i.alias("chunk_index"), t.alias("text"))
-        a = F.when(F.length(fresh) >= least, F.transform(T.pack_paragraphs(fresh, most), piece("fresh", "_fresh", "_f"))).otherwise(none)
-        b = F.when(F.length(s["quoted"]) >= least, F.transform(T.pack_paragraphs(quoted, most), piece("quoted", "_quoted", "_q"))).otherwise(none)
-
-        def section(x: Column, k: Column) -> Column:
-            name = F.concat(F.lit("_att"), k.cast("string"))
-            return F.when(F.length(x["text"]) >= least, F.transform(T.pack_paragraphs(x["text"], most), lambda t, i: F.struct(F.lit("attachment").alias("kind"), F.when(i == 0, name).otherwise(F.concat(name, F.lit("_"), i.cast("string"))).alias("suffix"), i.alias("chunk_index"), F.concat(head, F.lit("\n[Attachment: "), x["name"], F.lit("]\n\n"), t).alias("text")))).otherwise(none)
-
-        c = F.flatten(F.transform(T.attachment_sections(p["doc"]), section))
-        whole = T.clean_text(p["doc"])
-        last = F.when(F.length(whole) >= least, F.transform(T.pack_paragraphs(whole, most), piece("fresh", "_fresh", "_f"))).otherwise(none)
-        return F.get(F.transform(F.array(F.concat(a, b, c)), lambda all_: F.when(F.size(all_) > 0, all_).otherwise(last)), 0)
-
-    return F.get(F.transform(F.array(F.struct(T.split_header_body(document).alias("parts"), F.coalesce(document, F.lit("")).alias("doc"))), build), 0)
+    head = F.concat(F.lit("Subject: "), F.coalesce(subject, F.lit("")))
+    none = F.array().cast(f"array<{CHUNK}>")
+    piece = lambda kind, first, rest: lambda t, i: F.struct(F.lit(kind).alias("kind"), F.when(i == 0, F.lit(first)).otherwise(F.concat(F.lit(rest), i.cast("string"))).alias("suffix"), i.alias("chunk_index"), t.alias("text"))
+    packed = lambda text, *names: T.bind(text, lambda t: F.when(F.length(t) >= least, F.transform(T.pack_paragraphs(t, most), piece(*names))).otherwise(none))
+
+    def section(x: Column, k: Column) -> Column:
+        name = F.concat(F.lit("_att"), k.cast("string"))
+        return F.when(F.length(x["text"]) >= least, F.transform(T.pack_paragraphs(x["text"], most), lambda t, i: F.struct(F.lit("attachment").alias("kind"), F.when(i == 0, name).otherwise(F.concat(name, F.lit("_"), i.cast("string"))).alias("suffix"), i.alias("chunk_index"), F.concat(head, F.lit("\n[Attachment: "), x["name"], F.lit("]\n\n"), t).alias("text")))).otherwise(none)
+
+    def made(doc: Column, header: Column, s: Column) -> Column:
+        a = packed(T.strip(F.when(s["fresh"] != "", F.concat(header, F.lit("\n\n"), s["fresh"])).otherwise(header)), "fresh", "_fresh", "_f")
+        b = F.when(F.length(s["quoted"]) >= least, packed(F.concat(head, F.lit("\n[Quoted history]\n\n"), s["quoted"]), "quoted", "_quoted", "_q")).otherwise(none)
+        c = F.flatten(F.transform(T.attachment_sections(doc), section))
+        return T.bind(F.concat(a, b, c), lambda found: F.when(F.size(found) > 0, found).otherwise(packed(T.clean_text(doc), "fresh", "_fresh", "_f")))
+
+    def split(doc: Column, parts: Column) -> Column:
+        return T.bind(T.segment(F.regexp_replace(parts["body"], r"(?s)\n?\[Attachment: .*", "")), lambda s: made(doc, parts["header"], s))
+
+    return T.bind(F.coalesce(document, F.lit("")), lambda doc: T.bind(T.split_header_body(doc), lambda parts: split(doc, parts)))
 
 
 def chunk(messages: DataFrame, most: int = 800, least: int = 50) -> DataFrame:

@@ -30,10 +30,10 @@ def knn_or_all(vectors: DataFrame, query: list[float], n: int, where: Column, **
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, doc_len; a document's terms are counted inside its row."""
+    """doc_id, term, tf, doc_len; counted in part before the one shuffle."""
     tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
     terms = tokens.select("doc_id", F.size("ts").cast("long").alias("doc_len"), F.explode("ts").alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def idf_of(df: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -51,38 +51,27 @@ class Index:
     terms: DataFrame
     sizes: DataFrame
 
-    @staticmethod
-    def of(posts: DataFrame, lengths: DataFrame) -> Index:
-        """From postings and the documents' lengths (doc_id, doc_len)."""
-        sizes = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
-        return Index(posts, idf_of(posts.groupBy("term").agg(F.count("*").alias("df")), sizes), sizes)
-
     @staticmethod
     def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-        """Written under `path`: documents are tokenized once, and statistics come from the postings. Postings are dealt by ranges of (term, doc_id), so a question reads the files of its terms, and a frequent term has many."""
-        spark = docs.sparkSession
-        lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokenize(F.col(text))).cast("long").alias("doc_len"))
-        return _written(spark, path, postings(docs, key, text), lengths)
+        """Written under `path`. Documents are tokenized once; statistics come from the postings, which are dealt by hashes of term and document, so that a frequent term is in all files, and sorted by term, so that a question reads its terms' pages only."""
+        return _written(docs.sparkSession, path, postings(docs, key, text), docs.select(F.col(key)))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
 
     def with_documents(self, old: DataFrame, new: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-        """The index of the documents `old` and those of `new` that aren't among them. Only the new ones are tokenized; statistics are made anew from all postings."""
+        """The index of the documents `old`, whose index this is, and those of `new` that aren't among them. Only the new ones are tokenized; statistics are made anew from all postings."""
         fresh = new.join(old.select(key), key, "left_anti")
-        lengths = self.postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
-        all_lengths = old.select(F.col(key).alias("doc_id")).join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len")).unionByName(fresh.select(F.col(key).alias("doc_id"), F.size(tokenize(F.col(text))).cast("long").alias("doc_len")))
-        return _written(new.sparkSession, path, self.postings.unionByName(postings(fresh, key, text)), all_lengths)
-
-
-def _written(spark: SparkSession, path: str, posts: DataFrame, lengths: DataFrame) -> Index:
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    made = Index.of(spark.read.parquet(f"{path}/postings"), lengths)
-    made.sizes.write.parquet(f"{path}/sizes")
-    stats = idf_of(made.postings.groupBy("term").agg(F.count("*").alias("df")), spark.read.parquet(f"{path}/sizes"))
-    stats.repartitionByRange(max(1, n // 4), "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        return _written(new.sparkSession, path, self.postings.unionByName(postings(fresh, key, text)), old.select(key).unionByName(fresh.select(key)))
+
+
+def _written(spark: SparkSession, path: str, posts: DataFrame, docs: DataFrame) -> Index:
+    posts.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    kept = spark.read.parquet(f"{path}/postings")
+    n, total = docs.count(), kept.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    spark.createDataFrame([(n, total / n if n else None)], "n long, avg_len double").write.parquet(f"{path}/sizes")
+    idf_of(kept.groupBy("term").agg(F.count("*").alias("df")), spark.read.parquet(f"{path}/sizes")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return Index.load(spark, path)
 
 
