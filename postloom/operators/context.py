@@ -35,6 +35,12 @@ def render(most: int = 2500) -> Column:
     )
 
 
+def within(hits: DataFrame, budget: tuple[int, int], rank: str = "hit_rank") -> tuple[DataFrame, int]:
+    """The hits that a model's budget (messages, characters of each; see Config.budget) takes, best first, and the characters."""
+    most, chars = budget
+    return hits.where(F.col(rank) <= most), chars
+
+
 def assembled(numbered_messages: DataFrame, most: int = 2500) -> DataFrame:
     """One row: the messages' texts under their reference numbers."""
     rows = numbered_messages.select("ref", F.concat(F.lit("--- Message [SRC-"), F.col("ref").cast("string"), F.lit("]\n"), render(most)).alias("text"))

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from postloom.config import Config
 from postloom.functions import filters
 from postloom.functions import text as T
 from postloom.operators import analytics, chunks, context, facts, graph, ingest, retrieval, search, threads
@@ -707,6 +708,15 @@ def _(m, *_a):
     return context.assembled(_numbered(m), 1000)
 
 
+@query("context_budget", f"{REFS.replace('LIMIT 30', 'LIMIT 15')} SELECT string_agg('--- Message [SRC-' || ref || ']' || chr(10) || {RENDER.format(STRIP.format('body'), 1000)}, chr(10) || chr(10) ORDER BY ref) AS context, count(*) AS n FROM refs")
+def _(m, *_a):
+    """What a local model's budget takes of the 30 hits."""
+    h = m.orderBy(F.desc("date"), "message_id").limit(30)
+    hits = search.ranked(h, "date", "message_id").select(F.col("id").alias("message_id"), F.col("rank").alias("hit_rank")).join(h, "message_id")
+    kept, chars = context.within(hits, Config().budget(local=True))
+    return context.assembled(context.numbered(kept), chars)
+
+
 @query("context_shrink", f"{REFS}, o AS (SELECT message_id, row_number() OVER (ORDER BY date, message_id) AS age, count(*) OVER () AS n FROM refs) SELECT message_id FROM o WHERE age > greatest(n // 3, 1)")
 def _(m, *_a):
     return context.shrunk(_numbered(m)).select("message_id")

@@ -26,8 +26,8 @@ def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def stream_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _place(spark, "volume")
-    jobs.run_once(jobs.daily_volume(_streamed(spark, table(spark, sf_dir, "events"))), out, _place(spark, "checkpoint"), "complete")
-    return spark.read.parquet(out)
+    jobs.run_once(jobs.daily_volume(_streamed(spark, table(spark, sf_dir, "events"))), out, _place(spark, "checkpoint"), "update")
+    return jobs.latest(spark, out, "day", "event_type")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,11 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from postloom.sources.accounts import SERVERS, SKIPPED, SKIPPED_PARTS
-from postloom.sources.adapters import Pushing, load
+from postloom.sources.adapters import Pushing, load, pushes
 
 SCHEMA = "path string, message_id string, in_reply_to string, refs array<string>, sender string, sender_name string, recipients_to array<string>, recipients_cc array<string>, subject string, sent_date timestamp_ntz, body_text string, body_html string, importance_header string, attachments array<struct<filename:string,content_type:string,size_bytes:bigint,content:binary>>, invitation struct<summary:string,start:string,end:string,location:string,organizer:string,attendees:array<string>,details:string>, error string"
 MOST_ATTACHMENT_BYTES = 25 * 1024 * 1024
@@ -263,6 +264,13 @@ class MailServer(DataSource):
         return (PushingMailServerReader if self.options.get("push") == "true" else MailServerReader)(dict(self.options))
 
 
+def read_server(spark: SparkSession, **options: str) -> DataFrame:
+    """Messages of the accounts of a mail server (see MailServerReader for the options), parsed; `path` names account and folder."""
+    spark.dataSource.register(MailServer)
+    rows = spark.read.format("mail_server").options(**pushes(spark), **options).load()
+    return parse_column(rows.select(F.concat_ws("/", "account", "folder").alias("path"), "content"))
+
+
 class ImapClient:
     """IMAP over TLS with the standard library: read-only, server-side SINCE, newest first, without marking messages as read."""
 

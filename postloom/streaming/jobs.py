@@ -29,14 +29,23 @@ def first_seen(events: DataFrame, key: str, ts: str = "ts", late: str = "1 hour"
 
 
 def run_once(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Appends to Parquet, or for complete mode overwrites, until all that has arrived is done."""
-    if mode == "append":
+    """Appends to Parquet until all that has arrived is done; or for update mode writes what each epoch changed under epoch=n, for latest() to read, or for complete mode overwrites."""
+    if mode == "update":
+        query = result.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/epoch={n}")).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    elif mode == "append":
         query = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     else:
         query = result.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The last row of each key that an update job wrote."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("row")).select(*keys, "row.*")
+
+
 def ingest_batches(messages: DataFrame, state: str, checkpoint: str) -> None:
     """Classifies each micro-batch against all earlier ones and keeps what is new.
 

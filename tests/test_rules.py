@@ -235,6 +235,17 @@ def test_mail_server_source():
     assert len(left) == 1 and [d.day for _, _, d, _ in read_all(reader)] == [3]
 
 
+def test_updates_of_a_stream_replace_older_ones(spark, tmp_path):
+    from postloom.streaming import jobs
+
+    for n, rows in enumerate(([("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 11:00:00")], [("a", "2024-01-01 12:00:00")])):
+        spark.createDataFrame(rows, "event_type string, t string").select("event_type", F.col("t").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/in/{n}")
+        source = jobs.file_stream(spark, f"{tmp_path}/in/*", "event_type string, ts timestamp_ntz")
+        jobs.run_once(jobs.daily_volume(source, late="2 days"), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "update")
+    got = jobs.latest(spark, f"{tmp_path}/out", "day", "event_type").collect()
+    assert sorted((r["event_type"], r["n"]) for r in got) == [("a", 2), ("b", 1)]
+
+
 class FakeImap:
     def __init__(self, host, port):
         self.log = [(host, port)]
