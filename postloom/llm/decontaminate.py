@@ -180,6 +180,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, coverage double, clean_text string, dropped boolean"
 #: Bytes of benchmark text that one automaton is built of (about 190 bytes of memory for each, on prose); more items go to further automata, one scan for each.
 BLOCK_BYTES = 2 << 20
+#: Bytes of a block whose automaton a Python worker keeps for its next tasks (about 50 MB of memory); those of larger ones are built in each task and given back.
+KEPT_BYTES = 256 << 10
 
 
 def _pieces(text: str, window: int, most: int) -> Iterator[str]:
@@ -217,7 +219,7 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> l
     """The items' ids and texts for all tasks, in blocks. An item without an id is one with a null id."""
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("id", "t")
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(b) for b in _blocks(((r["id"], r["t"]) for r in rows.toLocalIterator()), window, BLOCK_BYTES)]
+    return [context.broadcast({"items": b}) for b in _blocks(((r["id"], r["t"]) for r in rows.toLocalIterator()), window, BLOCK_BYTES)]
 
 
 def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,7 +239,13 @@ def _scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], window:
     """Each batch with (words, spans hit, ids) of its rows. With several blocks the task's batches are put aside in a file and read once for each, so that one automaton is held at a time."""
 
     def machine(block: Broadcast) -> SuffixAutomaton:
-        return SuffixAutomaton([(k, words_of(t)) for k, t in block.value], window)
+        held = block.value
+        if "machine" not in held:
+            made = SuffixAutomaton([(k, words_of(t)) for k, t in held["items"]], window)
+            if sum(len(t.encode()) for _, t in held["items"]) > KEPT_BYTES:
+                return made
+            held["machine"] = made
+        return held["machine"]
 
     def found(scan: SuffixAutomaton, batch: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]], set]]:
         rows = (words_of(t) for t in batch.column(place).to_pylist())
