@@ -222,17 +222,20 @@ CHUNKS = (
 )
 
 
-@query("email_chunks", CHUNKS)
-def _(m, *_a):
+def _chunks(m):
     file = F.when(F.col("turn") == 2, F.concat(F.lit("\n[Attachment: notes.txt]\nOf the file: "), "body")).otherwise("")
     rows = m.select(F.col("message_id").alias("email_id"), "subject", F.concat(F.lit("Subject: "), "subject", F.lit("\n\n"), "body", file).alias("document"))
-    return chunks.chunk(rows).select("chunk_id", "kind", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+    return chunks.chunk(rows)
+
+
+@query("email_chunks", CHUNKS)
+def _(m, *_a):
+    return _chunks(m).select("chunk_id", "kind", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
-@query("chunk_sizes", None)
+@query("chunk_sizes", f"SELECT kind, count(*) AS n, max(chunk_index) AS last, count(DISTINCT chunk_id) AS ids, sum(length(text))::BIGINT AS chars FROM ({CHUNKS}) GROUP BY 1")
 def _(m, *_a):
-    rows = with_document(m).select(F.col("message_id").alias("email_id"), "subject", "document")
-    return chunks.chunk(rows).groupBy("kind").agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"), F.count_distinct("chunk_id").alias("ids"))
+    return _chunks(m).groupBy("kind").agg(F.count("*").alias("n"), F.max("chunk_index").cast("long").alias("last"), F.count_distinct("chunk_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
 
 
 LINE = f"coalesce(substr(list_filter(list_transform(string_split(body, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:From|To|Subject|Date|Folder):') AND NOT starts_with(x, '>'))[1], 1, 120), '')"
