@@ -592,6 +592,31 @@ def test_near_copies_that_stay_apart(spark, monkeypatch, slice_bytes):
     assert got == want and len({c for _, c, _ in want.values()}) > 20
 
 
+def test_shuffle_of_separate_near_copies_grows_with_them(spark):
+    """Copies of one text that stay apart, in one cloud, whose sets don't travel with the tasks at once."""
+    import time
+
+    def written(n):
+        rnd, base = random.Random(3), [f"w{i}" for i in range(150)]
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rnd.sample(range(0, 150, 3), 5):
+                words[at] = f"x{rnd.randrange(30)}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, DOCS)
+        shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+        time.sleep(1)
+        before = shuffled()
+        got = near_dedup.near_duplicates(docs, near_dedup.Settings(slice_bytes=200_000)).agg(F.count("*"), F.count_distinct("component_id")).first()
+        time.sleep(1)
+        assert got[0] == n and got[1] > n // 4, got
+        return shuffled() - before
+
+    few, many = written(300), written(1200)
+    assert 0 < many < 5 * few, (few, many)
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     text = lambda k, n=40: " ".join(f"t{k}w{i}" for i in range(n))
     rows = [(1, text("a")), (3, text("a")), (3, text("b")), (4, text("b") + " more"), (5, text("c")), (5, text("c")), (6, text("d")), (6, text("e")), (7, text("e")), (None, text("a")), (None, text("f")), (8, text("f")), (9, text("g")), (9, text("h")), (9, text("i")), (2, text("i")), (10, "")]
