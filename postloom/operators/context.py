@@ -20,6 +20,8 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 
 def render(most: int = 2500) -> Column:
+    """A message as a prompt shows it, with the first `most` characters of its body."""
+    # The labels.
     content = F.regexp_replace("body", r"^\s+|\s+$", "")
     yes = lambda c, a, b: F.when(F.col(c), a).otherwise(b)
     return F.concat_ws(
