@@ -572,7 +572,7 @@ def test_near_duplicates_of_edges(spark, edges, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("slice_bytes", [2000, 60_000, 32 << 20])
+@pytest.mark.parametrize("slice_bytes", [60_000, 32 << 20])
 def test_near_copies_that_stay_apart(spark, monkeypatch, slice_bytes):
     """Clouds of separate near copies, settled where they are stored, by cloud, or in many rounds."""
     monkeypatch.setattr(near_dedup, "TILE", 16)
