@@ -92,7 +92,7 @@ class ByteBPE:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pre = Memo(self._pre_token, 10_000)
-        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"], 600_000, 3 << 20) if b"\n" in ranks else None
+        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"], 240_000, 3 << 20) if b"\n" in ranks else None
 
     @staticmethod
     def load(path: str, pattern: str) -> ByteBPE:
