@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import byte_bpe, chat, decontaminate, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts
+from postloom.llm import byte_bpe, chat, clustering, decontaminate, divergence, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts, warc
 from postloom.llm.common import scratch
 from postloom.llm.sql import SQL
 
@@ -77,8 +77,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "warc")
+    index = warc.write_warc(table(spark, sf_dir, "pages"), at)
+    return warc.read_warc(index, at, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_token_counts, op4_chat_format, op5_byte_bpe, op6_token_files, op7_near_dedup, op8_quality, op9_substring_dedup, op10_secrets)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_token_counts, op4_chat_format, op5_byte_bpe, op6_token_files, op7_near_dedup, op8_quality, op9_substring_dedup, op10_secrets, op11_divergence, op12_clusters, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

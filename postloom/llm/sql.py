@@ -70,4 +70,49 @@ s AS ({' UNION ALL '.join(map(_spans, range(len(RULES))))}),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) AS spans, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) FILTER (rank < {len(BASE_RULES)}) AS base FROM s GROUP BY 1)
 SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
 
-SQL = {"op2_decontaminate": DECONTAMINATE, "op4_chat_format": CHATS, "op7_near_dedup": NEAR, "op9_substring_dedup": SUBSTRINGS, "op10_secrets": SECRETS}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_SHARE = "(1 + 1000000000::HUGEINT * ({} + 5) // ({} + 5 * v))::BIGINT"
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ts FROM documents),
+t AS MATERIALIZED (SELECT lang, source, r, unnest(ts) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format('coalesce(c.n, 0)', 'coalesce(gn.n, 0)')} AS p, {_SHARE.format('k.total', 'v.n')} AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every QUALIFY part = 'pair' OR rank <= 50"""
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    gap = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        "x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        "e AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM x)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM x ORDER BY h NULLS LAST, v LIMIT {k}))",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT x.r, c.c, {gap} AS d FROM x, c{t} c) GROUP BY r)")
+        if t < rounds:
+            steps.append(f"m{t} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{t} JOIN e USING (r) GROUP BY c, i) GROUP BY c)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{t} o LEFT JOIN m{t} m USING (c))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN x USING (r) JOIN c{rounds} o USING (c)"
+
+
+def _base32(hex_digits: str) -> str:
+    """Of 40 hexadecimal digits: five of them are four letters."""
+    letter = lambda i, s: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr({hex_digits}, {5 * i + 1}, 5))::INTEGER >> {s} & 31) + 1, 1)"
+    return " || ".join(letter(i, s) for i in range(8) for s in (15, 10, 5, 0))
+
+
+ARCHIVES = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT t, max(page_id) AS m FROM p GROUP BY t)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to FROM p JOIN g USING (t)"""
+
+SQL = {"op11_divergence": DIVERGENCE, "op12_clusters": _clusters(), "op13_warc": ARCHIVES, "op2_decontaminate": DECONTAMINATE, "op4_chat_format": CHATS, "op7_near_dedup": NEAR, "op9_substring_dedup": SUBSTRINGS, "op10_secrets": SECRETS}
