@@ -1,16 +1,33 @@
-"""Approximate nearest neighbours by cells: vectors are kept under the nearest of some centres, and a query looks into the cells nearest to it."""
+"""Approximate nearest neighbours: cells of product-quantized vectors, searched by look-up tables and reranked exactly.
+
+Every vector with a direction is kept, as a unit vector, under the nearest of some centres. What is left of
+it beside the centre is cut in subspaces, and in each the nearest of up to 256 words stands for it: a code
+of one byte each. Files are laid out by cell. A query looks into its nearest cells: codes are scored by
+look-up tables (the inner product with a centre, and with each word), and the best few are compared with
+the query as they are. Cells that no query wants are not read.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.vectors import dot
 
+#: Vectors of a block of codes, and queries that meet a block at once.
+BLOCK_ROWS, QUERY_ROWS = 4096, 256
+#: Vectors of a cell that one file takes, about; larger cells have several.
+FILE_ROWS = 200_000
+#: Candidates for each neighbour asked for, tried in this order when fitting.
+SHORTLISTS = (4, 8, 16, 32, 64)
+
 
 def _unit(v: Column) -> Column:
     """The vector as doubles, scaled to length 1; null for one of length 0."""
@@ -19,63 +36,221 @@ def _unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(doubles, lambda x: x / length))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+@dataclass(frozen=True)
+class Codebook:
+    """`centers` of the cells (k x d), and `words` of the subspaces (m x w x d/m); vectors are padded with zeros to m * (d/m)."""
+
+    centers: np.ndarray
+    words: np.ndarray
+
+    def cells(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        """The n nearest centres of each row, nearest first; of equal ones the smaller number."""
+        far = (self.centers * self.centers).sum(axis=1) - 2 * x @ self.centers.T
+        return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+    def _parts(self, x: np.ndarray) -> np.ndarray:
+        """Rows x subspaces x places."""
+        m, _, size = self.words.shape
+        return np.pad(x, ((0, 0), (0, m * size - x.shape[1]))).reshape(len(x), m, size)
+
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        rest = self._parts(x - self.centers[cell])
+        out = np.empty(rest.shape[:2], np.uint8)
+        for s, words in enumerate(self.words):
+            out[:, s] = ((words * words).sum(axis=1) - 2 * rest[:, s] @ words.T).argmin(axis=1)
+        return out
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of queries with all words: queries x subspaces x words."""
+        return np.einsum("qms,mws->qmw", self._parts(q), self.words)
+
+    def scores(self, q: np.ndarray, tables: np.ndarray, codes: np.ndarray, cell: int) -> np.ndarray:
+        """Approximate inner products, queries x codes, of vectors of one cell."""
+        out = np.repeat((q @ self.centers[cell])[:, None], len(codes), axis=1)
+        for s in range(codes.shape[1]):
+            out += tables[:, s, :][:, codes[:, s]]
+        return out
+
+
+def codewords(rest: np.ndarray, m: int, seed: int, most: int = 256, rounds: int = 8) -> np.ndarray:
+    """m x w x size: words of each subspace of the sample's rests, by rounds of k-means."""
+    size = -(-rest.shape[1] // m)
+    parts = np.pad(rest, ((0, 0), (0, m * size - rest.shape[1]))).reshape(len(rest), m, size)
+    w = max(1, min(most, len(rest)))
+    rng = np.random.default_rng(seed)
+    out = np.empty((m, w, size))
+    for s in range(m):
+        x = parts[:, s]
+        words = x[rng.choice(len(x), w, replace=False)].copy()
+        for _ in range(rounds):
+            at = ((words * words).sum(axis=1) - 2 * x @ words.T).argmin(axis=1)
+            n = np.bincount(at, minlength=w)
+            for j in range(size):
+                words[:, j] = np.where(n > 0, np.bincount(at, x[:, j], w) / np.maximum(n, 1), words[:, j])
+        out[s] = words
+    return out
+
+
 @dataclass(frozen=True)
 class VectorIndex:
-    """`cells`: cell, id, unit (every vector with a direction, once); `centers`: cell, center, norm, 4096 rows at most; `probes`: cells that a query looks into, as many as the sample needed."""
+    """An index at `path`: `vectors` (id, unit) and `codes` (blocks of ids and codes) by cell; `probes`: cells that a query looks into, `shortlist`: candidates it compares exactly for each neighbour, both as the sample needed."""
 
-    cells: DataFrame
-    centers: DataFrame
+    spark: SparkSession
+    path: str
+    book: Codebook
     probes: int
+    shortlist: int
 
     @staticmethod
-    def fit(vectors: DataFrame, path: str, n_cells: int | None = None, sample: int = 20_000, recall: float = 0.95, seed: int = 42, id: str = "id", vector: str = "embedding") -> VectorIndex:
-        """Centres are fitted to a sample of about `sample` vectors, a bound that doesn't grow with the table; every vector is then put under its nearest centre and written under `path`. `n_cells`: about the root of the number of vectors, 4096 at most, if not given. The sample, compared with itself, tells how many cells it takes to find the share `recall` of the ten nearest."""
+    def fit(vectors: DataFrame, path: str, n_cells: int | None = None, code_bytes: int = 16, sample: int = 20_000, recall: float = 0.94, seed: int = 42, id: str = "id", vector: str = "embedding") -> VectorIndex:
+        """Centres and words are fitted to a sample of about `sample` vectors, a bound that doesn't grow with the table; every vector is indexed. `n_cells`: four times the root of the number of vectors, 4096 at most, if not given. The sample, compared with itself, tells how many cells and candidates it takes to find the share `recall` of the ten nearest."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         spark = vectors.sparkSession
         rows = vectors.select(F.col(id).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit is not null")
         total = rows.count()
-        k = n_cells or max(1, min(4096, math.isqrt(total)))
-        some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(total, 1))))
-        model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector("unit").alias("v"))) if k > 1 else None
-        centers = [[float(x) for x in c] for c in model.clusterCenters()] if model else [[]]
-        probes = _probes_for(np.array([r["unit"] for r in some.select("unit").collect()]), np.array(centers), recall) if model else 1
-        made = spark.createDataFrame([(i, c, sum((x * x for x in c), 0.0), probes) for i, c in enumerate(centers)], "cell int, center array<double>, norm double, probes int")
-        made.coalesce(1).write.parquet(f"{path}/centers")
-        known = spark.read.parquet(f"{path}/centers")
-        placed = _with_nearest(rows, "unit", known, 1).select(F.get("near", 0)["cell"].alias("cell"), "id", "unit")
-        placed.write.parquet(f"{path}/cells")
-        return VectorIndex.load(spark, path)
+        k = n_cells or max(1, min(4096, 4 * math.isqrt(total)))
+        some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(total, 1)))).select("unit")
+        x = np.array([r["unit"] for r in some.collect()], float)
+        if len(x):
+            model = KMeans(k=min(k, len(x)), seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector("unit").alias("v"))) if min(k, len(x)) > 1 else None
+            centers = np.array(model.clusterCenters() if model else [x.mean(axis=0)], float)
+            home = Codebook(centers, np.zeros((1, 1, 1))).cells(x)[:, 0]
+            book = Codebook(centers, codewords(x - centers[home], min(code_bytes, x.shape[1]), seed))
+            probes, shortlist = _needed(book, x, recall)
+        else:
+            book, probes, shortlist = Codebook(np.zeros((1, 1)), np.zeros((1, 1, 1))), 1, SHORTLISTS[0]
+        m, w, size = book.words.shape
+        spark.createDataFrame([(book.centers.ravel().tolist(), book.centers.shape[1], book.words.ravel().tolist(), m, w, size, probes, shortlist)], "centers array<double>, dims int, words array<double>, m int, w int, size int, probes int, shortlist int").coalesce(1).write.parquet(f"{path}/book")
+        index = VectorIndex(spark, path, book, probes, shortlist)
+        index._place(rows, total)
+        return index
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> VectorIndex:
-        centers = spark.read.parquet(f"{path}/centers")
-        return VectorIndex(spark.read.parquet(f"{path}/cells"), centers, centers.first()["probes"])
+        r = spark.read.parquet(f"{path}/book").first()
+        book = Codebook(np.array(r["centers"]).reshape(-1, r["dims"]), np.array(r["words"]).reshape(r["m"], r["w"], r["size"]))
+        return VectorIndex(spark, path, book, r["probes"], r["shortlist"])
+
+    def _place(self, rows: DataFrame, total: int) -> None:
+        """Writes all vectors by cell, and from these files the blocks of codes."""
+        book, kind = self.spark.sparkContext.broadcast(self.book), rows.schema["id"].dataType.simpleString()
 
-    def search(self, queries: DataFrame, n: int, probes: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
-        """query_id, id, relevance (cosine), place of about the n nearest vectors of each query, from its `probes` nearest cells (those of the index, if not given); ties go to the smaller id. Queries meet vectors by cell; a query keeps its n best in each task before they are shuffled."""
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(1))
+                    cell = book.value.cells(x)[:, 0]
+                    code = pa.array([c.tobytes() for c in book.value.encode(x, cell)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0), b.column(1), code], ["cell", "id", "unit", "code"])
+
+        # a cell that many vectors share is dealt to several files
+        salt = F.pmod(F.xxhash64("id"), F.lit(max(1, total // FILE_ROWS)))
+        out = rows.mapInArrow(placed, f"cell int, id {kind}, unit array<double>, code binary")
+        out.repartition("cell", salt).sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{self.path}/vectors")
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Runs of one cell, in blocks of up to BLOCK_ROWS."""
+            cell, ids, codes = None, [], []
+            out = lambda: pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([ids], pa.list_(b.schema.field(1).type)), pa.array([b"".join(codes)], pa.binary())], ["cell", "ids", "codes"])
+            for b in batches:
+                for c, i, code in zip(*(x.to_pylist() for x in b.columns)):
+                    if c != cell or len(ids) == BLOCK_ROWS:
+                        if ids:
+                            yield out()
+                        cell, ids, codes = c, [], []
+                    ids.append(i)
+                    codes.append(code)
+            if ids:
+                yield out()
+
+        if total:
+            self.vectors.select("cell", "id", "code").mapInArrow(blocks, f"cell int, ids array<{kind}>, codes binary").repartition("cell", F.xxhash64("ids") % 8).sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{self.path}/codes")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/codes")
+
+    def wanted(self, queries: DataFrame, probes: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
+        """query_id, q, cells (nearest first) of the queries with a direction."""
         asked = queries.select(F.col(id).alias("query_id"), _unit(F.col(vector)).alias("q")).where("q is not null")
-        wanted = _with_nearest(asked, "q", self.centers, probes or self.probes).select("query_id", "q", F.explode("near").alias("c")).select("query_id", "q", F.col("c.cell").alias("cell"))
-        scored = self.cells.join(wanted, "cell").select("query_id", "id", F.round(dot(F.col("q"), F.col("unit")), 6).alias("relevance"))
+        book, n = self.spark.sparkContext.broadcast(self.book), probes or self.probes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    near = book.value.cells(_matrix(b.column(1)), n)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "q", "cells"])
+
+        return asked.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, q array<double>, cells array<int>")
+
+    def search(self, queries: DataFrame, n: int, probes: int | None = None, shortlist: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
+        """query_id, id, relevance (cosine), place of about the n nearest vectors of each query, from its `probes` nearest cells; ties go to the smaller id.
+
+        `shortlist` times n candidates are compared exactly. Queries meet a cell's blocks of codes in groups;
+        each meeting hands on its best, so what is shuffled grows with queries and not with vectors. All
+        cells and a shortlist of the whole table give exact neighbours.
+        """
+        many = n * (shortlist or self.shortlist)
+        asked = self.wanted(queries, probes, id, vector)
+        kind = asked.schema["query_id"].dataType.simpleString()
+        if not self._any():
+            return self.spark.createDataFrame([], f"query_id {kind}, id {kind}, relevance double, place long")
+        each = asked.select("query_id", "q", F.explode("cells").alias("cell"))
+        cells = [r["cell"] for r in each.select("cell").distinct().collect()]  # as many as there are centres, at most
+        here = self.codes.where(F.col("cell").isin(cells))
+        sizes = each.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups"))
+        dealt = each.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), "groups").alias("g")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+        met = here.join(dealt.select("cell", "qs.query_id", "qs.q"), "cell").select("cell", "ids", "codes", "query_id", "q")
+        book, own = self.spark.sparkContext.broadcast(self.book), here.schema["ids"].dataType.elementType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    cell, ids, who = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(3)[i].values
+                    codes = np.frombuffer(b.column(2)[i].as_py(), np.uint8).reshape(len(ids), -1)
+                    q = _matrix(b.column(4)[i].values)
+                    scores = book.value.scores(q, book.value.tables(q), codes, cell)
+                    keep = min(many, len(ids))
+                    top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                    rows = np.repeat(np.arange(len(q)), keep)
+                    yield pa.RecordBatch.from_arrays([who.take(pa.array(rows)), ids.take(pa.array(top.ravel())), pa.array(np.full(len(rows), cell), pa.int32()), pa.array(scores[rows, top.ravel()])], ["query_id", "id", "cell", "near"])
+
+        rough = met.mapInArrow(run, f"query_id {kind}, id {own}, cell int, near double")
+        short = rough.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("r") <= many).select("query_id", "id", "cell")
+        full = self.vectors.where(F.col("cell").isin(cells)).select("cell", "id", "unit")
+        scored = short.join(full, ["cell", "id"]).join(asked.select("query_id", "q"), "query_id").select("query_id", "id", F.round(dot(F.col("q"), F.col("unit")), 6).alias("relevance"))
         best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
         return scored.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= n)
 
-
-def _probes_for(rows: np.ndarray, centers: np.ndarray, recall: float, n: int = 10, queries: int = 200) -> int:
-    """The fewest cells in which `queries` of the rows find the share `recall` of their n nearest among all rows."""
-    far = lambda x: (centers * centers).sum(axis=1) - 2 * x @ centers.T
-    home = far(rows).argmin(axis=1)
-    asked = rows[:queries]
-    near = np.argsort(-(asked @ rows.T), axis=1, kind="stable")[:, :n]
-    rank = np.argsort(np.argsort(far(asked), axis=1, kind="stable"), axis=1, kind="stable")
-    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).ravel())
-    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
+    def _any(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/codes")
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
-def _with_nearest(rows: DataFrame, unit: str, centers: DataFrame, n: int) -> DataFrame:
-    """Adds near (array<struct<d, cell>>): the n nearest centres, nearest first. The centres come as one value, in a scalar subquery."""
-    known = centers.agg(F.collect_list(F.struct("cell", "center", "norm"))).scalar()
-    # |u - c|^2 = 1 - 2uc + |c|^2
-    far = F.transform("known", lambda k: F.struct((k["norm"] - 2 * dot(F.col(unit), k["center"])).alias("d"), k["cell"].alias("cell")))
-    return rows.withColumn("known", known).withColumn("near", F.slice(F.array_sort(far), 1, n)).drop("known")
+def _needed(book: Codebook, x: np.ndarray, recall: float, n: int = 10, queries: int = 200) -> tuple[int, int]:
+    """The fewest cells in which `queries` of the rows find the share `recall` of their n nearest among all rows, and the smallest of SHORTLISTS whose candidates lose no more than one in a hundred of these."""
+    home, q = book.cells(x)[:, 0], x[:queries]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :n]
+    rank = np.argsort(book.cells(q, len(book.centers)), axis=1, kind="stable")
+    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).ravel())
+    probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
+    codes, tables = book.encode(x, home), book.tables(q)
+    rough = q @ book.centers[home].T
+    for s in range(codes.shape[1]):
+        rough += tables[:, s, :][:, codes[:, s]]
+    rough[rank[:, home] >= probes] = -np.inf
+    place = np.argsort(np.argsort(-rough, axis=1, kind="stable"), axis=1, kind="stable")
+    found = np.take_along_axis(place, near, axis=1)
+    seen = np.take_along_axis(rank, home[near], axis=1) < probes
+    shortlist = next((s for s in SHORTLISTS if (found[seen] < s * n).mean() >= 0.99), SHORTLISTS[-1])
+    return probes, shortlist

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postloom.config import Config
 from postloom.functions import filters
-from postloom.operators import search
+from postloom.operators import keyword, search
 
 # Least relevance, by what is asked for.
 THRESHOLDS = {"research": 0.3, "topic_map": 0.25, "entity_map": 0.45}
@@ -24,7 +24,7 @@ class Corpus:
 
     documents: DataFrame
     vectors: DataFrame
-    index: search.Index
+    index: keyword.Index
 
 
 def question_where(question: str, now: datetime) -> dict:
@@ -48,7 +48,7 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
         near = search.knn(corpus.vectors.join(ids, "id", "left_semi"), vector, many)
         none = near.agg(F.count("*").alias("hits")).where("hits = 0").select("hits")
         near = near.unionByName(search.knn(corpus.vectors, vector, many).join(F.broadcast(none)).drop("hits"))
-    words = search.bm25(corpus.index, question, many, ids)
+    words = keyword.bm25(corpus.index, question, many, ids)
     fused = search.hybrid(near, words, 2 * many, config.rrf_k, config.unscored_relevance)
     counted = fused.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))  # 2 * many rows at most
     scored = rerank_scores(counted.join(corpus.documents.select("id", "document"), "id", "left"), question, model)

@@ -1,13 +1,11 @@
-"""Retrieval: nearest vectors, BM25, rank fusion, reranking and thread expansion.
+"""Retrieval: nearest vectors, rank fusion, reranking and thread expansion.
 
 Filters apply before a top-k, so they reach the scan and lose nothing. Rankings break ties by id.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
@@ -29,70 +27,6 @@ def knn_or_all(vectors: DataFrame, query: list[float], n: int, where: Column, **
     return hits.unionByName(knn(vectors, query, n, None, **names).join(none).drop("empty"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, doc_len; counted in part before the one shuffle."""
-    tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
-    terms = tokens.select("doc_id", F.size("ts").cast("long").alias("doc_len"), F.explode("ts").alias("term"))
-    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-
-
-def idf_of(df: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """term, df, idf of (term, df); negative values become `epsilon` times the mean. `n_docs`: one row, n."""
-    raw = df.join(F.broadcast(n_docs.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """A keyword index: postings (doc_id, term, tf, doc_len), terms (term, df, idf), sizes (one row: n, avg_len). All documents count in sizes, also those without words."""
-
-    postings: DataFrame
-    terms: DataFrame
-    sizes: DataFrame
-
-    @staticmethod
-    def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-        """Written under `path`. Documents are tokenized once; statistics come from the postings, which are dealt by hashes of term and document, so that a frequent term is in all files, and sorted by term, so that a question reads its terms' pages only."""
-        return _written(docs.sparkSession, path, postings(docs, key, text), docs.select(F.col(key)))
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
-
-    def with_documents(self, old: DataFrame, new: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-        """The index of the documents `old`, whose index this is, and those of `new` that aren't among them. Only the new ones are tokenized; statistics are made anew from all postings."""
-        fresh = new.join(old.select(key), key, "left_anti")
-        return _written(new.sparkSession, path, self.postings.unionByName(postings(fresh, key, text)), old.select(key).unionByName(fresh.select(key)))
-
-
-def _written(spark: SparkSession, path: str, posts: DataFrame, docs: DataFrame) -> Index:
-    posts.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    kept = spark.read.parquet(f"{path}/postings")
-    n, total = docs.count(), kept.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    spark.createDataFrame([(n, total / n if n else None)], "n long, avg_len double").write.parquet(f"{path}/sizes")
-    idf_of(kept.groupBy("term").agg(F.count("*").alias("df")), spark.read.parquet(f"{path}/sizes")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    return Index.load(spark, path)
-
-
-def bm25(index: Index, question: str, n: int, ids: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """doc_id and score of the n best by Okapi BM25 with scores above 0. Only the question's terms are read. `ids` (id): the documents a filter leaves; statistics are of all. Repeated words of the question count repeatedly."""
-    spark = index.postings.sparkSession
-    asked = spark.range(1).select(tokenize(F.lit(question)).alias("ts")).first()["ts"]
-    if not asked:
-        return index.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    words = sorted(set(asked))
-    times = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(asked.count(w)))])
-    stats = index.terms.where(F.col("term").isin(words)).select("term", "idf")
-    part = F.element_at(times, F.col("term")) * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))))
-    # one row for each word of the question, and one row
-    hits = index.postings.where(F.col("term").isin(words)).join(F.broadcast(stats), "term").join(F.broadcast(index.sizes.select("avg_len")))
-    if ids is not None:
-        hits = hits.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    scored = hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(n)
-
-
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank from 1): id, rrf_score."""
     every = lists[0]

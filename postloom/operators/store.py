@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.operators import analytics, chunks, ingest, search
+from postloom.operators import analytics, chunks, ingest, keyword
+from postloom.operators.manifest import Manifest
 
 TABLES = ("messages", "chunks", "summaries", "index", "seen", "watermarks", "runs", "cards")
 
@@ -42,15 +43,18 @@ class Store:
         for t in TABLES:
             self.fs.delete(self._path(t), True)
 
-    def index(self, refresh: bool = False) -> search.Index:
+    def index(self) -> keyword.Index:
         """The keyword index of the chunks: the stored one, or made if there is none yet."""
-        found = self.versions("index")
-        if refresh or not found:
-            path = f"{self.root}/index/v{(found[-1] + 1) if found else 0}"
-            made = search.Index.build(self.read("chunks"), path, "chunk_id")
-            self.fs.create(self._path(path.removeprefix(f"{self.root}/"), "_SUCCESS")).close()
-            return made
-        return search.Index.load(self.spark, f"{self.root}/index/v{found[-1]}")
+        path = f"{self.root}/index"
+        if Manifest(self.spark, f"{path}/versions").versions():
+            return keyword.Index.load(self.spark, path)
+        return keyword.Index.build(self.read("chunks"), path, "chunk_id")
+
+    def refresh_index(self) -> keyword.Index:
+        """The index brought to the chunks as they are: those that have gone are removed, new ones make a segment, and segments of one size are merged. What is written follows what changed."""
+        index, now = self.index(), self.read("chunks")
+        gone = index.documents().select("doc_id").join(now.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_anti")
+        return index.remove(gone).add(now, "chunk_id").compact()
 
 
 def after_ingest(store: Store, now: str, retention_days: int) -> DataFrame:
@@ -59,7 +63,7 @@ def after_ingest(store: Store, now: str, retention_days: int) -> DataFrame:
     store.write("summaries", chunks.summaries(kept))
     old = store.read("chunks")
     store.write("chunks", old.join(kept.select(F.col("message_id").alias("email_id")), "email_id", "left_semi"))
-    store.index(refresh=True)
+    store.refresh_index()
     return analytics.mailbox_stats(kept)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from postloom.config import Config
 from postloom.functions import filters
 from postloom.functions import text as T
-from postloom.operators import analytics, chunks, context, facts, graph, ingest, retrieval, search, threads
+from postloom.functions.vectors import cosine
+from postloom.operators import analytics, chunks, context, facts, graph, ingest, keyword, retrieval, search, threads
 from postloom.operators.ann import VectorIndex
 from postloom.plans.feeds import _place
 from postloom.plans.mail import CLEAN, DOC, HASH, OPEN, PACK, SEGMENT, STRIP, with_document
@@ -34,12 +35,15 @@ def query(name: str, sql: str | None):
 _MADE: dict = {}
 
 
-def _once(spark, sf, name, make):
-    """What `make(path)` writes, made once for each session and set of tables: an index is fitted once and asked often."""
+def _once(spark, sf, name, make, of):
+    """What `make(path)` writes of the table `of`, made once for each session and state of its files: an index is fitted once and asked often."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{of}.parquet")
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    state = tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
     key = spark.sparkContext.applicationId, sf, name
-    if key not in _MADE:
-        _MADE[key] = make(_place(spark, name))
-    return _MADE[key]
+    if key not in _MADE or _MADE[key][0] != state:
+        _MADE[key] = state, make(_place(spark, name))
+    return _MADE[key][1]
 
 
 # --- stores -------------------------------------------------------------------------------------
@@ -291,40 +295,65 @@ BM25 = (
 )
 
 
-def _index(spark, sf) -> search.Index:
-    return _once(spark, sf, "index", lambda path: search.Index.build(table(spark, sf, "documents"), path))
+def _index(spark, sf) -> keyword.Index:
+    return _once(spark, sf, "index", lambda path: keyword.Index.build(table(spark, sf, "documents"), path), "documents")
 
 
-@query("bm25_term_stats", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+#: Statistics of all terms, by a hash of the term: as many rows as the driver's compare takes in its stride.
+BY_TERM = "SELECT substr(md5(term), 1, 2) AS bucket, count(*) AS terms, sum(df)::BIGINT AS df, round(sum(idf), 4) AS idf, sum((SELECT sum(tf)::BIGINT FROM posts p WHERE p.term = idf.term))::BIGINT AS tokens FROM idf GROUP BY 1"
+
+
+def _by_term(index: keyword.Index):
+    tokens = index.postings.groupBy("term").agg(F.sum("tf").alias("tokens"))
+    bucket = F.substring(F.md5(F.col("term").cast("binary")), 1, 2).alias("bucket")
+    return index.terms.join(tokens, "term").groupBy(bucket).agg(F.count("*").alias("terms"), F.sum("df").alias("df"), F.round(F.sum("idf"), 4).alias("idf"), F.sum("tokens").alias("tokens"))
+
+
+@query("bm25_term_stats", f"WITH {BM25} {BY_TERM}")
 def _(m, spark, sf):
-    return _index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _by_term(_index(spark, sf))
 
 
 @query("bm25_search", f"WITH {BM25} SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50")
 def _(m, spark, sf):
-    return search.bm25(_index(spark, sf), ASK, 50)
+    return keyword.bm25(_index(spark, sf), ASK, 50)
 
 
 @query("bm25_filtered", f"WITH {BM25} SELECT bm.* FROM bm JOIN documents d USING (doc_id) WHERE d.lang = 'en' ORDER BY score DESC, doc_id LIMIT 20")
 def _(m, spark, sf):
-    return search.bm25(_index(spark, sf), ASK, 20, table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")))
+    return keyword.bm25(_index(spark, sf), ASK, 20, table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")))
+
+
+@query("bm25_incremental", f"WITH {BM25} {BY_TERM}")
+def _(m, spark, sf):
+    """An index of some documents, and then of all: the second addition is a segment of its own."""
+    d = table(spark, sf, "documents")
+    return _by_term(keyword.Index.build(d.where("lang in ('en', 'fr')"), _place(spark, "index")).add(d))
+
 
+LIVE = BM25.replace("FROM documents)", "FROM documents WHERE lang <> 'fr')")
 
-@query("bm25_incremental", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT sum(tf)::BIGINT FROM posts p WHERE p.term = idf.term) AS tokens FROM idf")
+
+@query("bm25_removed", f"WITH {LIVE} {BY_TERM}")
 def _(m, spark, sf):
+    """Added in three parts, of which some documents are removed again before all becomes one segment."""
     d = table(spark, sf, "documents")
-    old = d.where("lang in ('en', 'fr')")
-    first = search.Index.build(old, _place(spark, "index"))
-    grown = first.with_documents(old, d.where("lang <> 'en'"), _place(spark, "index"))
-    tokens = grown.postings.groupBy("term").agg(F.sum("tf").alias("tokens"))
-    return grown.terms.join(tokens, "term").select("term", "df", F.round("idf", 6).alias("idf"), "tokens")
+    index = keyword.Index.build(d.where("lang = 'en'"), _place(spark, "index")).add(d.where("lang in ('fr', 'de')"))
+    return _by_term(index.remove(d.where("lang = 'fr'")).add(d.where("lang <> 'fr'")).compact(whole=True))
+
+
+@query("bm25_removed_search", f"WITH {LIVE} SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 30")
+def _(m, spark, sf):
+    """A question to an index with tombstones."""
+    index = _once(spark, sf, "index_removed", lambda path: keyword.Index.build(table(spark, sf, "documents"), path).remove(table(spark, sf, "documents").where("lang = 'fr'")), "documents")
+    return keyword.bm25(index, ASK, 30)
 
 
 HYBRID = f"{KNN}, {BM25[:-1]}, near AS (SELECT id, relevance, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM (SELECT * FROM scored ORDER BY relevance DESC, id LIMIT 40)), words AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 40)), fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score FROM (SELECT id, rank FROM near UNION ALL SELECT id, rank FROM words) GROUP BY id), hy AS (SELECT f.id, rrf_score::DOUBLE AS rrf_score, coalesce(n.relevance, 0.5) AS relevance FROM fused f LEFT JOIN near n ON n.id = f.id) "
 
 
 def _lists(spark, sf):
-    return search.knn(_vectors(spark, sf), QUERY_VEC, 40, key="vec_id"), search.bm25(_index(spark, sf), ASK, 40)
+    return search.knn(_vectors(spark, sf), QUERY_VEC, 40, key="vec_id"), keyword.bm25(_index(spark, sf), ASK, 40)
 
 
 @query("rrf", f"WITH {HYBRID} SELECT id, rrf_score FROM hy")
@@ -372,12 +401,39 @@ def _(m, spark, sf):
     return search.first_appearance(best(d.where("lang = 'en'"), "doc_id", 10, 1).unionByName(best(d, "n_chars", 5, 2)).unionByName(best(d, "doc_id", 5, 3)))
 
 
+def _cells(spark, sf) -> VectorIndex:
+    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("id"), "embedding")
+    return _once(spark, sf, "cells", lambda path: VectorIndex.fit(vectors, path), "embeddings")
+
+
+def _some(spark, sf):
+    """The vectors that ask: those whose id is divisible by 20."""
+    return _vectors(spark, sf).select(F.col("vec_id").alias("id"), "embedding").where("id % 20 = 0")
+
+
 @query("knn_approximate", None)
 def _(m, spark, sf):
     """The ten nearest of every vector whose id is divisible by 20, among all."""
-    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("id"), "embedding")
-    index = _once(spark, sf, "cells", lambda path: VectorIndex.fit(vectors, path))
-    return index.search(vectors.where("id % 20 = 0"), 10)
+    return _cells(spark, sf).search(_some(spark, sf), 10)
+
+
+UNITS = "u AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), pairs AS MATERIALIZED (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS relevance FROM u a, u b WHERE a.id % 20 = 0), nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS place FROM pairs QUALIFY place <= 10) "
+
+
+@query("knn_all_cells", f"WITH {UNITS} SELECT * FROM nearest")
+def _(m, spark, sf):
+    """The same, with all cells looked into and all vectors compared exactly: no neighbour is missed."""
+    index = _cells(spark, sf)
+    return index.search(_some(spark, sf), 10, probes=len(index.book.centers), shortlist=1 << 20)
+
+
+@query("knn_recall", f"WITH {UNITS} SELECT query_id, 10 AS found_at_most, true AS scores_are_exact FROM nearest GROUP BY 1")
+def _(m, spark, sf):
+    """Of each query of knn_approximate: whether what it found has its exact score, and that it found no more than ten."""
+    found, v = _cells(spark, sf).search(_some(spark, sf), 10), _vectors(spark, sf)
+    of = lambda name: v.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_v"))
+    exact = F.abs(F.col("relevance") - cosine(F.col("query_id_v"), F.col("id_v"))) < 1e-5
+    return found.join(of("query_id"), "query_id").join(of("id"), "id").groupBy("query_id").agg(F.greatest(F.count("*"), F.lit(10)).cast("int").alias("found_at_most"), F.bool_and(exact).alias("scores_are_exact"))
 
 
 #: A question whose wording filters, asked of documents with a direction and flags.
