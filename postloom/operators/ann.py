@@ -76,23 +76,23 @@ class Codebook:
         return out
 
 
-def codewords(rest: np.ndarray, m: int, seed: int, most: int = 256, rounds: int = 8) -> np.ndarray:
-    """m x w x size: words of each subspace of the sample's rests, by rounds of k-means."""
+def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    """Centres of the rows of a sample, from k of them (all, if there are fewer); a centre that none is nearest to stays."""
+    centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        half = (centers * centers).sum(axis=1) / 2
+        at = np.concatenate([(half - x[i : i + 1024] @ centers.T).argmin(axis=1) for i in range(0, len(x), 1024)])
+        n = np.bincount(at, minlength=len(centers))
+        for j in range(x.shape[1]):
+            centers[:, j] = np.where(n > 0, np.bincount(at, x[:, j], len(centers)) / np.maximum(n, 1), centers[:, j])
+    return centers
+
+
+def codewords(rest: np.ndarray, m: int, rng: np.random.Generator, most: int = 256, rounds: int = 8) -> np.ndarray:
+    """m x w x size: words of each subspace of the sample's rests."""
     size = -(-rest.shape[1] // m)
     parts = np.pad(rest, ((0, 0), (0, m * size - rest.shape[1]))).reshape(len(rest), m, size)
-    w = max(1, min(most, len(rest)))
-    rng = np.random.default_rng(seed)
-    out = np.empty((m, w, size))
-    for s in range(m):
-        x = parts[:, s]
-        words = x[rng.choice(len(x), w, replace=False)].copy()
-        for _ in range(rounds):
-            at = ((words * words).sum(axis=1) - 2 * x @ words.T).argmin(axis=1)
-            n = np.bincount(at, minlength=w)
-            for j in range(size):
-                words[:, j] = np.where(n > 0, np.bincount(at, x[:, j], w) / np.maximum(n, 1), words[:, j])
-        out[s] = words
-    return out
+    return np.array([k_means(parts[:, s], most, rng, rounds) for s in range(m)])
 
 
 @dataclass(frozen=True)
@@ -108,20 +108,17 @@ class VectorIndex:
     @staticmethod
     def fit(vectors: DataFrame, path: str, n_cells: int | None = None, code_bytes: int = 16, sample: int = 20_000, recall: float = 0.94, seed: int = 42, id: str = "id", vector: str = "embedding") -> VectorIndex:
         """Centres and words are fitted to a sample of about `sample` vectors, a bound that doesn't grow with the table; every vector is indexed. `n_cells`: four times the root of the number of vectors, 4096 at most, if not given. The sample, compared with itself, tells how many cells and candidates it takes to find the share `recall` of the ten nearest."""
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
         spark = vectors.sparkSession
         rows = vectors.select(F.col(id).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit is not null")
         total = rows.count()
         k = n_cells or max(1, min(4096, 4 * math.isqrt(total)))
-        some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(total, 1)))).select("unit")
-        x = np.array([r["unit"] for r in some.collect()], float)
+        some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(total, 1)))).select("id", "unit")
+        x = np.array([r["unit"] for r in sorted(some.collect(), key=lambda r: r["id"])], float)
         if len(x):
-            model = KMeans(k=min(k, len(x)), seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector("unit").alias("v"))) if min(k, len(x)) > 1 else None
-            centers = np.array(model.clusterCenters() if model else [x.mean(axis=0)], float)
+            rng = np.random.default_rng(seed)
+            centers = k_means(x, k, rng, 12)
             home = Codebook(centers, np.zeros((1, 1, 1))).cells(x)[:, 0]
-            book = Codebook(centers, codewords(x - centers[home], min(code_bytes, x.shape[1]), seed))
+            book = Codebook(centers, codewords(x - centers[home], min(code_bytes, x.shape[1]), rng))
             probes, shortlist = _needed(book, x, recall)
         else:
             book, probes, shortlist = Codebook(np.zeros((1, 1)), np.zeros((1, 1, 1))), 1, SHORTLISTS[0]

@@ -127,7 +127,7 @@ def test_codes_stand_for_the_nearest_words():
     centers = x[:6]
     home = ann.Codebook(centers, np.zeros((1, 1, 1))).cells(x)[:, 0]
     assert home.tolist() == ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1).tolist()
-    book = ann.Codebook(centers, ann.codewords(x - centers[home], 4, 7, most=32))
+    book = ann.Codebook(centers, ann.codewords(x - centers[home], 4, r, most=32))
     assert book.words.shape == (4, 32, 3)  # ten places, padded to twelve
     codes = book.encode(x, home)
     made = np.concatenate([book.words[s][codes[:, s]] for s in range(4)], axis=1)[:, :10] + centers[home]
