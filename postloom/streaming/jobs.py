@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from postloom.operators import ingest
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -44,27 +41,3 @@ def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     rows = spark.read.option("basePath", path).parquet(path)
     rest = [c for c in rows.columns if c not in (*keys, "epoch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("row")).select(*keys, "row.*")
-
-
-def ingest_batches(messages: DataFrame, state: str, checkpoint: str) -> None:
-    """Classifies each micro-batch against all earlier ones and keeps what is new.
-
-    Under `state`: seen/epoch=n (keys and flags of new messages), new/epoch=n (the messages) and
-    changed/epoch=n. An epoch reads the epochs before it, so a repeated epoch gives the same again.
-    """
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        keyed = ingest.first_of_each(ingest.with_keys(batch), F.struct("date", "message_id"))
-        columns = ["mid_hash", "body_hash", *ingest.FLAGS]
-        schema = keyed.select(*columns).schema
-        seen = spark.createDataFrame([], schema)
-        if epoch:  # one read, pruned to the epochs before this one
-            seen = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{state}/seen").where(F.col("epoch") < epoch).select(*columns)
-        known = ingest.classify(keyed, seen)
-        news = known.where("status = 'new'").drop("status")
-        news.write.mode("overwrite").parquet(f"{state}/new/epoch={epoch}")
-        known.where("status = 'changed'").drop("status").write.mode("overwrite").parquet(f"{state}/changed/epoch={epoch}")
-        news.select(*columns).write.mode("overwrite").parquet(f"{state}/seen/epoch={epoch}")
-
-    messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
