@@ -78,8 +78,12 @@ class PerfectHash:
         return at if self.slots[at] == key else -1
 
 
+# Patterns under which a single space, or a line feed, between other characters always begins a new pre-token.
+CUT_AT_SPACES = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
+
+
 class ByteBPE:
-    """Ranks (token bytes -> id) and the pattern that cuts pre-tokens."""
+    """Ranks (token bytes -> id) and the pattern that cuts pre-tokens. Under patterns other than CUT_AT_SPACES texts are taken as wholes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -92,7 +96,7 @@ class ByteBPE:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pre = Memo(self._pre_token, 10_000)
-        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"], 240_000, 3 << 20) if b"\n" in ranks else None
+        self.pieces = PieceEncoder(lambda parts: [self.encode(p) for p in parts], self.encode, self.ranks[b"\n"], 240_000, 3 << 20) if b"\n" in ranks and pattern in CUT_AT_SPACES else None
 
     @staticmethod
     def load(path: str, pattern: str) -> ByteBPE:
@@ -201,7 +205,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What decode(encode(docs)) gives, made in one pass over the texts: each batch's ids are encoded, then decoded."""
+    """What decode(encode(docs)) gives, made in one pass over the texts: each batch's ids are encoded, then decoded. Null and empty texts have no ids and decode to nothing (empty bytes); repeated rows and null ids are kept; an empty table gives no rows."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = tokenizer(path, pattern)

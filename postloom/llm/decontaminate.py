@@ -3,20 +3,28 @@
 The automaton over the items' words recognises every run of words that occurs in some item.
 Streaming a document's words through it gives, at each word, the longest run ending there that
 is also a run of an item; runs of `window` words (or whole shorter items) are hits.
+
+A benchmark of up to BLOCK_BYTES travels with the tasks, and documents aren't shuffled. A larger one is
+written in blocks in the shared folder. Hashes of its windows, behind a bitmap of fixed size, tell which texts
+may have something in which blocks; only those are dealt by block, and a task reads one block and builds one
+automaton at a time. Hashes only choose: what is a hit is what the automaton says.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import null_safe_id, small_batches, trim
+from postloom.llm.common import Tables, Words, map_rows, small_batches, text_slices, trim
 
 _KEEP = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else _KEEP[b] for b in range(256))
@@ -178,7 +186,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, coverage double, clean_text string, dropped boolean"
-#: Bytes of benchmark text that one automaton is built of (about 190 bytes of memory for each, on prose); more items go to further automata, one scan for each.
+#: Bytes of benchmark text that one automaton is built of (about 190 bytes of memory for each, on prose), and that travel with the tasks.
 BLOCK_BYTES = 2 << 20
 #: Bytes of a block whose automaton a Python worker keeps for its next tasks (about 50 MB of memory); those of larger ones are built in each task and given back.
 KEPT_BYTES = 256 << 10
@@ -201,27 +209,6 @@ def _pieces(text: str, window: int, most: int) -> Iterator[str]:
         begin = end - window + 1
 
 
-def _blocks(rows: Iterable[tuple[str | None, str]], window: int, most: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in blocks of up to `most` bytes of text; at least one block."""
-    block, size = [], 0
-    for k, t in rows:
-        for piece in _pieces(t, window, most):
-            n = len(piece.encode())
-            if block and size + n > most:
-                yield block
-                block, size = [], 0
-            block.append((k, piece))
-            size += n
-    yield block
-
-
-def _items(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> list[Broadcast]:
-    """The items' ids and texts for all tasks, in blocks. An item without an id is one with a null id."""
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("id", "t")
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast({"items": b}) for b in _blocks(((r["id"], r["t"]) for r in rows.toLocalIterator()), window, BLOCK_BYTES)]
-
-
 def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans of both, merged where they touch."""
     if not a or not b:
@@ -235,60 +222,205 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], window: int, place: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], set]]]]:
-    """Each batch with (words, spans hit, ids) of its rows. With several blocks the task's batches are put aside in a file and read once for each, so that one automaton is held at a time."""
-
-    def machine(block: Broadcast) -> SuffixAutomaton:
-        held = block.value
-        if "machine" not in held:
-            made = SuffixAutomaton([(k, words_of(t)) for k, t in held["items"]], window)
-            if sum(len(t.encode()) for _, t in held["items"]) > KEPT_BYTES:
-                return made
-            held["machine"] = made
-        return held["machine"]
-
-    def found(scan: SuffixAutomaton, batch: pa.RecordBatch) -> list[tuple[int, list[tuple[int, int]], set]]:
-        rows = (words_of(t) for t in batch.column(place).to_pylist())
-        return [(len(words), *scan.hits(words)) for words in rows]
-
-    if len(shared) == 1:
-        scan = None
-        for batch in batches:
-            scan = scan or machine(shared[0])
-            yield batch, found(scan, batch)
-        return
-    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as aside:
-        writer, rows = None, []
-        for batch in batches:
-            writer = writer or pa.ipc.new_stream(aside, batch.schema)
-            writer.write_batch(batch)
-            rows.append([(0, [], set())] * batch.num_rows)
-        if writer is None:
-            return
-        writer.close()
+@dataclass(frozen=True)
+class Items:
+    """A small benchmark's items as a broadcast, or none, and then documents come with what was `found` in them, by a digest of their text."""
+
+    shared: Broadcast | None
+    found: DataFrame | None
+    window: int
+
+    def reader(self, place: int):
+        """(words, spans hit, ids) of a batch's rows, for tasks; a task keeps the automaton for its next batches."""
+        shared, window = self.shared, self.window
+
+        def rows(batch: pa.RecordBatch, held: list) -> list[tuple[int, list[tuple[int, int]], set]]:
+            texts = (words_of(t) for t in batch.column(place).to_pylist())
+            if shared is not None:
+                if not held:
+                    held.append(_machine(shared, window))
+                return [(len(words), *held[0].hits(words)) for words in texts]
+            spans, ids = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            return [(len(words), [(x["start"], x["end"]) for x in s or []], set(i or [])) for words, s, i in zip(texts, spans, ids)]
+
+        return rows
+
+    def joined(self, docs: DataFrame, text: str) -> DataFrame:
+        """The documents, with two more columns where the benchmark is large. Spark knows the size of what was found, and splits a text that many documents share."""
+        if self.found is None:
+            return docs
+        names = docs.columns
+        keyed = docs.withColumn("_text_key", F.sha2(F.col(f"`{text}`"), 256))
+        return keyed.join(self.found.select(F.col("key").alias("_text_key"), F.col("spans").alias("_found_spans"), F.col("ids").alias("_found_ids")), "_text_key", "left").select(*[F.col(f"`{c}`") for c in names], "_found_spans", "_found_ids")
+
+
+def _machine(shared: Broadcast, window: int) -> SuffixAutomaton:
+    held = shared.value
+    if "machine" not in held:
+        made = SuffixAutomaton([(k, words_of(t)) for k, t in held["items"]], window)
+        if sum(len(t.encode()) for _, t in held["items"]) > KEPT_BYTES:
+            return made
+        held["machine"] = made
+    return held["machine"]
+
+
+def _items(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Items:
+    """The items, by their size. An item without an id is one with a null id."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    size = rows.agg(F.sum(F.octet_length("t") + 64).alias("n")).first()["n"] or 0
+    if size <= BLOCK_BYTES:
+        known = [(r["id"], r["t"]) for r in rows.orderBy("id", "t").collect()]  # BLOCK_BYTES at most
+        return Items(docs.sparkSession.sparkContext.broadcast({"items": known}), None, window)
+    return Items(None, _found_in_blocks(docs.select(F.col(f"`{text}`").alias("t")), rows, size, window), window)
+
+
+# --- benchmarks of many blocks ------------------------------------------------------------------------
+
+#: Bits of the map of the items' windows (16 MB, sent to the driver and to tasks compressed or not), in shards.
+MAP_LOG2, SHARD_LOG2 = 27, 20
+#: Texts that one task scans with a block's automaton, about: the building takes some seconds.
+SCANNED_BYTES = 64 << 20
+_SPACED = np.frombuffer(_KEEP, np.uint8)
+_FOUND = "key string, spans array<struct<start:int,end:int>>, ids array<string>"
+
+
+def _windows(column: pa.Array, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, hashes) of the windows of these lengths, by slices of a column; each hash once in a row."""
+    for row, _, data, bounds in text_slices(column):
+        words = Words(_SPACED[data], bounds, False)
+        at, h = zip(*(words.windows(n) for n in lengths))
+        both = np.unique(np.stack([words.doc[np.concatenate(at)].astype(np.uint64) + np.uint64(row), np.concatenate(h)], axis=1), axis=0)
+        yield both[:, 0].astype(np.int64), both[:, 1]
+
+
+def _item_windows(blocks: DataFrame, window: int) -> DataFrame:
+    """n, h, block of the windows that items have: `window` words, or all n of a shorter item."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts, block, out = batch.column(1), batch.column(0).to_numpy(), []
+        sizes = np.array([len(words_of(t)) for t in texts.to_pylist()])
+        for n in range(1, window + 1):
+            mine = np.flatnonzero(sizes == n if n < window else sizes >= n)
+            if len(mine):
+                out += [(n, block[mine[r]], h) for r, h in _windows(texts.take(pa.array(mine)), (n,))]
+        if not out:
+            return None
+        cat = np.concatenate
+        return pa.RecordBatch.from_arrays([pa.array(cat([np.full(len(h), n) for n, _, h in out]), pa.int32()), pa.array(cat([h for *_, h in out]).view(np.int64)), pa.array(cat([b for _, b, _ in out]), pa.int32())], ["n", "h", "block"])
+
+    return map_rows(blocks.select("block", "t"), rows, "n int, h long, block int").distinct()
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """One bit for each of 2**MAP_LOG2 remainders of hashes; merged by shard, so that no task and not the driver holds more than the map."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, bits = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
+        for b in batches:
+            shards, cells = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(shards).tolist():
+                if k != shard:
+                    if bits is not None:
+                        yield out()
+                    shard, bits = k, np.zeros(1 << SHARD_LOG2, bool)
+                bits[cells[shards == k]] = True
+        if bits is not None:
+            yield out()
+
+    cell = F.col("h").bitwiseAND((1 << MAP_LOG2) - 1)
+    parts = windows.select(F.shiftright(cell, SHARD_LOG2).cast("int").alias("shard"), cell.bitwiseAND((1 << SHARD_LOG2) - 1).alias("cell")).distinct()
+    whole = np.zeros(1 << MAP_LOG2 - 3, np.uint8)
+    for r in parts.repartition(32, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary").toLocalIterator():
+        whole[r["shard"] << SHARD_LOG2 - 3 :][: 1 << SHARD_LOG2 - 3] = np.frombuffer(r["bits"], np.uint8)
+    return whole
+
+
+def _found_in_blocks(texts: DataFrame, items: DataFrame, size: int, window: int) -> DataFrame:
+    """key (SHA-256 of the text), spans and ids of the distinct texts in which items have windows."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    tables = Tables(spark)
+    n_blocks = math.ceil(1.5 * size / BLOCK_BYTES)  # dealt by hashes, so that few blocks are larger than BLOCK_BYTES
+
+    def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(k, piece) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for piece in _pieces(t, window, BLOCK_BYTES // 4)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], ["id", "t"])
+
+    pieces = map_rows(items, cut_up, "id string, t string").withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)).cast("int"))
+    blocks = tables.put(pieces.repartition("block").sortWithinPartitions("block").select("block", "id", "t"), "blocks")
+    windows = tables.put(_item_windows(blocks, window), "windows")
+    lengths = tuple(sorted(r["n"] for r in windows.select("n").distinct().collect()))  # ten numbers at most
+    schema = "key string, h long"
+    if not lengths:
+        return spark.createDataFrame([], _FOUND)
+    bits = spark.sparkContext.broadcast(_bitmap(windows))
+
+    def asked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows, hashes, held = [], [], bits.value
+        for r, h in _windows(batch.column(1), lengths):
+            c = (h & np.uint64((1 << MAP_LOG2) - 1)).astype(np.int64)
+            hit = held[c >> 3] >> (c & 7).astype(np.uint8) & 1 > 0
+            rows.append(r[hit])
+            hashes.append(h[hit])
+        if not rows:
+            return None
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(hashes).view(np.int64))], ["key", "h"])
+
+    keyed = texts.where("t is not null").select(F.sha2("t", 256).alias("key"), "t")
+    met = tables.put(map_rows(keyed, asked, schema).distinct(), "met")
+    pairs = tables.put(met.join(windows.select("h", "block").distinct(), "h").select("key", "block").distinct(), "pairs")
+    wanted = keyed.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))  # equal keys, equal texts
+    wanted = tables.put(wanted, "texts")
+    loads = pairs.join(wanted.select("key", F.octet_length("t").alias("n")), "key").groupBy("block").agg(F.ceil(F.sum("n") / SCANNED_BYTES).cast("int").alias("tasks"))
+    dealt = pairs.join(loads, "block").join(wanted, "key").select("block", F.pmod(F.xxhash64("key"), "tasks").alias("part"), "key", "t")
+    at = next(p for p in tables.paths["blocks"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(at)
+        block, machine = None, None
+        for b in batches:
+            out = []
+            for k, key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if k != block:
+                    machine = None
+                    trim()
+                    mine = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["id", "t"], filter=ds.field("block") == k)
+                    block, machine = k, SuffixAutomaton([(i, words_of(x)) for i, x in zip(mine["id"].to_pylist(), mine["t"].to_pylist())], window)
+                spans, ids = machine.hits(words_of(t))
+                if spans:
+                    out.append({"key": key, "spans": [{"start": x, "end": y} for x, y in spans], "ids": list(ids)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("spans", _SPANS), ("ids", pa.list_(pa.string()))]))
+
+    tasks = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = dealt.repartition(tasks, "block", "part").sortWithinPartitions("block").mapInArrow(scan, _FOUND)
+    every = parts.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = []
+        for found in batch.column(1).to_pylist():
+            flat = [(x["start"], x["end"]) for x in found]
+            spans.append([{"start": x, "end": y} for x, y in merged(flat[:1], flat[1:])])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), batch.column(2)], ["key", "spans", "ids"])
+
+    out = tables.put(map_rows(every, joined, _FOUND), "found")
+    tables.drop("blocks", "windows", "met", "pairs", "texts")
+    return out
 
-        def again() -> Iterator[pa.RecordBatch]:
-            aside.seek(0)
-            return iter(pa.ipc.open_stream(aside))
 
-        for block in shared:
-            scan = machine(block)
-            for i, batch in enumerate(again()):
-                rows[i] = [(n, merged(spans, old), ids | known) for (n, spans, ids), (_, old, known) in zip(found(scan, batch), rows[i])]
-            del scan
-            trim()
-        for i, batch in enumerate(again()):
-            yield batch, rows[i]
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with hit spans cut out and characters counted anew; those covered to `max_coverage` or more go. All columns stay; no shuffle. Null and empty texts have no hits and stay, as do null ids and repeated rows; an empty benchmark changes nothing."""
     small_batches(docs.sparkSession)
-    shared, place = _items(benchmark, item_id, item_text, window), docs.columns.index(text)
-    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
+    items, place = _items(docs, text, benchmark, item_id, item_text, window), docs.columns.index(text)
+    count, width, read = docs.columns.index(n_chars) if n_chars in docs.columns else None, len(docs.columns), items.reader(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _scanned(batches, shared, window, place):
+        held: list = []
+        for batch in batches:
+            rows = read(batch, held)
             texts, keep = batch.column(place).to_pylist(), []
             sizes = batch.column(count).to_pylist() if count is not None else []
             for i, (t, (n, spans, _)) in enumerate(zip(texts, rows)):
@@ -297,14 +429,14 @@ def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int
                     texts[i] = cut(t, spans)
                     if sizes:
                         sizes[i] = len(texts[i])
-            columns = list(batch.columns)
+            columns = list(batch.columns)[:width]
             columns[place] = pa.array(texts, columns[place].type)
             if sizes:
                 columns[count] = pa.array(sizes, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
             trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return items.joined(docs, text).mapInArrow(run, docs.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_text: bool = True) -> DataFrame:
@@ -313,14 +445,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     A document whose hit words reach `max_coverage` of its words is marked `dropped` as a whole.
     Null or empty texts and items have no words and no hits; an empty benchmark hits nothing.
     Repeated rows and null ids are kept as they are. Items without an id hit too: together they
-    count as one in n_items, and are not in `items`. No shuffle of documents: the items travel with
-    the tasks, and each task builds one automaton after another of `BLOCK_BYTES` of item text.
-    `with_text=False` leaves clean_text null.
+    count as one in n_items, and are not in `items`. An empty table of documents gives no rows. A benchmark of up to
+    `BLOCK_BYTES` travels with the tasks and documents aren't shuffled; of a larger one, only texts that may hold something
+    of a block meet its automaton. `with_text=False` leaves clean_text null.
     """
-    shared = _items(benchmark, item_id, item_text, window)
+    small_batches(docs.sparkSession)
+    rows_of = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    known = _items(rows_of, "text", benchmark, item_id, item_text, window)
+    read = known.reader(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _scanned(batches, shared, window, 1):
+        held: list = []
+        for batch in batches:
+            rows = read(batch, held)
             out = []
             for t, (n, spans, found) in zip(batch.column(1).to_pylist(), rows):
                 hit = sum(b - a for a, b in spans)
@@ -330,4 +467,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             names = ["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "coverage", "clean_text", "dropped"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
 
-    return null_safe_id(docs, doc_id, text).mapInArrow(run, SCHEMA)
+    return known.joined(rows_of, "text").mapInArrow(run, SCHEMA)

@@ -3,8 +3,8 @@
 First pass: each task counts its windows of n words in sketches of `depth` rows and hands them on
 as the compressed distances between the cells it met; merged, they give a cell map of
 what may repeat. Cells only ever overestimate, so a window outside the map occurs once and is done.
-Second pass: windows inside the map are grouped exactly by 80-bit hashes, which gives each its
-first document. Third pass: each document gets the windows that it is the first of; what else of
+Second pass: windows inside the map are grouped by 96-bit hashes, which gives each its
+first document. Two different windows among n meet with a chance of n * n / 2**97 (6e-4 for 10**13 windows that may repeat). Third pass: each document gets the windows that it is the first of; what else of
 its windows lies inside the map has a smaller document, and goes. So only one row for each distinct
 window is sent back, windows that many documents share are combined before they are shuffled, and
 nothing is joined on windows.
@@ -168,6 +168,18 @@ def _kept(words: list[bytes], hits: np.ndarray, n: int) -> list[bytes]:
     return [w for w, gone in zip(words, np.cumsum(change[:-1]).tolist()) if not gone]
 
 
+def _among(h: np.ndarray, g: np.ndarray, known: pa.StructArray) -> np.ndarray:
+    """Which of the hashes (64 and 32 bits) are among the known ones."""
+    kh, kg = (c.to_numpy().view(kind) for c, kind in zip(known.flatten(), (_U, np.uint32)))
+    order = np.lexsort((kg, kh))
+    kh, kg = kh[order], kg[order]
+    if len(kh) > 1 and (kh[1:] == kh[:-1]).any():
+        both = set(zip(kh.tolist(), kg.tolist()))
+        return np.array([x in both for x in zip(h.tolist(), g.tolist())], bool)
+    at = np.minimum(np.searchsorted(kh, h), max(0, len(kh) - 1))
+    return (kh[at] == h) & (kg[at] == g) if len(kh) else np.zeros(len(h), bool)
+
+
 def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
@@ -198,10 +210,10 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
         if not ids:
             return None
         cat = np.concatenate
-        return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint16).view(np.int16)), pa.array(cat(ids), pa.int64())], ["h", "g", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(keys).view(np.int64)), pa.array(cat(more).astype(np.uint32).view(np.int32)), pa.array(cat(ids), pa.int64())], ["h", "g", "doc_id"])
 
-    firsts = map_rows(named, windows, "h long, g short, doc_id long").groupBy("h", "g").agg(F.min("doc_id").alias("k"))
-    mine = firsts.groupBy("k").agg(F.collect_list("h").alias("mine"))
+    firsts = map_rows(named, windows, "h long, g int, doc_id long").groupBy("h", "g").agg(F.min("doc_id").alias("k"))
+    mine = firsts.groupBy("k").agg(F.collect_list(F.struct("h", "g")).alias("mine"))
     # rows without an id are spread by their texts; what a key of theirs may meet by chance isn't used
     joined = rows.withColumn("k", F.coalesce("doc_id", F.xxhash64("text"))).join(mine, "k", "left").select("doc_id", "text", "mine")
 
@@ -212,6 +224,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
             at, h = words.windows(n)
             hit = cells.may_repeat(h)
             at, h = at[hit], h[hit]
+            g = words.windows(n, 1)[1][hit].astype(np.uint32) if len(h) else h
             cuts = np.searchsorted(words.doc[at], np.arange(end - row + 1)).tolist()
             for i, t in enumerate(batch.column(1).slice(row, end - row).to_pylist()):
                 kept = all_words = (t or "").encode().split()
@@ -219,7 +232,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
                 if a < b and ids[row + i].is_valid:
                     hits = at[a:b]
                     if mine[row + i].is_valid:
-                        hits = hits[~np.isin(h[a:b], mine[row + i].values.to_numpy().view(_U))]
+                        hits = hits[~_among(h[a:b], g[a:b], mine[row + i].values)]
                     if len(hits):
                         kept = _kept(all_words, hits - words.first[i], n)
                 out.append((len(all_words), len(all_words) - len(kept), b" ".join(kept).decode()))

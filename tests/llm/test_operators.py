@@ -332,6 +332,17 @@ def test_decontamination(spark, small, texts, edges, empty):
     assert decontaminate.decontaminate(empty, odd).count() == 0
 
 
+def test_a_benchmark_larger_than_the_documents(spark, small, monkeypatch):
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs, bench = texts.where("doc_id % 10 = 0"), texts.select(F.col("doc_id").alias("item_id"), "text")
+    rows = lambda df: sorted(map(tuple, df.drop("coverage").collect()), key=repr)
+    want = rows(decontaminate.decontaminate(docs, bench)), rows(decontaminate.decontaminated_documents(docs, bench.where("item_id < 50")))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30_000)
+    assert (rows(decontaminate.decontaminate(docs, bench)), rows(decontaminate.decontaminated_documents(docs, bench.where("item_id < 50")))) == want
+    monkeypatch.setattr(decontaminate, "SCANNED_BYTES", 1000)
+    assert rows(decontaminate.decontaminate(docs.limit(0), bench)) == []
+
+
 @pytest.mark.parametrize("block", [40, 300, 1 << 20])
 def test_items_without_ids_and_in_many_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
@@ -888,3 +899,20 @@ def test_queries_are_their_sql(name, spark, small):
     df = catalog.queries()[name](spark, small)
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(want.fetchall())
+
+
+def test_patterns_that_join_words_take_whole_texts():
+    ranks = {bytes([b]): b for b in range(256)} | {b"a b": 256, b"a\nb": 257, b" b": 258}
+    for pattern in (r"(?s).+", r"\w+|\W+", P.PATTERN):
+        own = byte_bpe.ByteBPE(ranks, pattern)
+        texts = ["a b", "a\nb", "ab a b\na b", ""]
+        assert own.encode_column(pa.array(texts)) == [own.encode(t) for t in texts]
+    assert byte_bpe.ByteBPE(ranks, P.PATTERN).pieces and not byte_bpe.ByteBPE(ranks, r"(?s).+").pieces
+
+
+def test_hashes_are_compared_in_both_parts():
+    known = pa.array([{"h": -1, "g": 5}, {"h": 7, "g": -2}, {"h": 7, "g": 3}], pa.struct([("h", pa.int64()), ("g", pa.int32())]))
+    h, g = np.array([2**64 - 1, 2**64 - 1, 7, 7, 7, 8], np.uint64), np.array([5, 6, 2**32 - 2, 3, 4, 3], np.uint32)
+    assert substring_dedup._among(h, g, known).tolist() == [True, False, True, True, False, False]
+    assert substring_dedup._among(h, g, known.slice(0, 2)).tolist() == [True, False, True, False, False, False]
+    assert not substring_dedup._among(h, g, known.slice(0, 0)).any()
