@@ -32,12 +32,12 @@ def question_where(question: str, now: datetime) -> dict:
     return filters.build_where(filters.question_filter(filters.kind_of(question)), filters.time_range(question, now))
 
 
-def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where: dict | None = None, config: Config = Config(), model: Callable[[], Callable[[str, list[str]], list[float]]] | None = None, above: float | None = None) -> DataFrame:
+def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where: dict | None = None, config: Config = Config(), model: Callable[[], Callable[[str, list[str]], list[float]]] | None = None, above: float | None = None, rerank: bool = True) -> DataFrame:
     """id, rrf_score, relevance, rerank_score (null where nothing was reranked) and place (from 1) of the n best hits.
 
     config.candidates(n) hits of each branch, filtered before they are cut, are fused; if there are
     more than n, they are reranked by `model` (loaded in the task; gets the question and documents),
-    or by the overlap of words where there is none. `above`: only hits of more than this relevance.
+    or by the overlap of words where there is none, unless `rerank` is false. `above`: only hits of more than this relevance.
     A filter that leaves no vectors is dropped for that branch.
     """
     many, keep = config.candidates(n), filters.compile_filter(where)
@@ -51,7 +51,7 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
     words = keyword.bm25(corpus.index, question, many, ids)
     fused = search.hybrid(near, words, 2 * many, config.rrf_k, config.unscored_relevance)
     counted = fused.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))  # 2 * many rows at most
-    scored = rerank_scores(counted.join(corpus.documents.select("id", "document"), "id", "left"), question, model)
+    scored = counted.withColumn("rerank_score", F.lit(None).cast("double")) if not rerank else rerank_scores(counted.join(corpus.documents.select("id", "document"), "id", "left"), question, model)
     scored = scored.withColumn("rerank_score", F.when(F.col("total") > n, F.col("rerank_score")))
     best = scored.orderBy(F.desc_nulls_last("rerank_score"), F.desc("rrf_score"), "id").limit(n)
     placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank_score"), F.desc("rrf_score"), "id")).cast("long"))

@@ -11,7 +11,7 @@ from postloom.config import Config
 from postloom.functions import filters
 from postloom.functions import text as T
 from postloom.functions.vectors import cosine
-from postloom.operators import analytics, chunks, context, facts, graph, ingest, keyword, retrieval, search, threads
+from postloom.operators import analytics, assist, chunks, context, facts, graph, ingest, keyword, retrieval, search, threads
 from postloom.operators.ann import VectorIndex
 from postloom.plans.feeds import _place
 from postloom.plans.mail import CLEAN, DOC, HASH, OPEN, PACK, SEGMENT, STRIP, with_document
@@ -518,6 +518,87 @@ def _(m, spark, sf):
     return threads.task_counts(*_tasks(m, spark, sf))
 
 
+# --- from a question, a topic or a meeting, in one call ------------------------------------------
+
+
+def _embed(question: str) -> list[float]:
+    """A stand-in for an embedding model."""
+    return [round(((i * (37 + 2 * (len(question) % 13))) % 64 - 31.5) / 150, 6) for i in range(64)]
+
+
+def _box(m, spark, sf) -> assist.Mailbox:
+    vectors = m.select(F.col("message_id").alias("id"), ((F.col("conv_id") * 8 + F.col("turn")) % 500).alias("vec_id")).join(_vectors(spark, sf), "vec_id").select("id", "embedding")
+    index = _once(spark, sf, "mail_index", lambda path: keyword.Index.build(m.select("message_id", "body"), path, "message_id", "body"), "conversations")
+    return assist.Mailbox(m, retrieval.Corpus(m.select(F.col("message_id").alias("id"), F.col("body").alias("document"), "direction", "is_replied", "is_read", "date"), vectors, index), _embed)
+
+
+def _search_sql(name: str, question: str, n: int, where: str = "true", rerank: bool = True, above: float = -9) -> str:
+    """hits_<name> (id, relevance, place) of one search over the messages; after MAIL_WORDS."""
+    many, vector = min(4 * n, 50), "[" + ", ".join(map(str, _embed(question))) + "]::DOUBLE[]"
+    words = f"regexp_extract_all(lower('{question}'), '{T.TOKEN}')"
+    score = "round(sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len)))), 6)"
+    overlap = f"round(len(list_intersect(list_distinct({words}), list_distinct(ts))) / greatest(len(list_distinct(list_concat({words}, ts))), 1), 6)" if rerank else "NULL"
+    return (
+        f"near_{name} AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM (SELECT message_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], {vector}), 6) AS relevance FROM messages m JOIN embeddings e ON e.vec_id = (m.conv_id * 8 + m.turn) % 500 WHERE {where} ORDER BY relevance DESC, id LIMIT {many})), "
+        f"words_{name} AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT p.id, {score} AS score FROM posts p JOIN idf USING (term) JOIN (SELECT term, count(*) AS times FROM (SELECT unnest({words}) AS term) GROUP BY 1) USING (term), sizes WHERE p.id IN (SELECT message_id FROM messages WHERE {where}) GROUP BY 1 HAVING {score} > 0 ORDER BY score DESC, id LIMIT {many})), "
+        f"fused_{name} AS (SELECT id, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS rrf FROM (SELECT id, rank FROM near_{name} UNION ALL SELECT id, rank FROM words_{name}) GROUP BY id), "
+        f"hits_{name} AS (SELECT * FROM (SELECT f.id, coalesce(r.relevance, 0.5) AS relevance, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM fused_{name}) > {n} THEN {overlap} END DESC NULLS LAST, rrf DESC, f.id) AS place FROM fused_{name} f LEFT JOIN near_{name} r USING (id) JOIN toks t ON t.id = f.id) WHERE place <= {n} AND relevance > {above}), "
+    )
+
+
+MAIL_WORDS = (
+    f"{MESSAGES[:-1]}, toks AS MATERIALIZED (SELECT message_id AS id, regexp_extract_all(lower(body), '{T.TOKEN}') AS ts FROM messages), sizes AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM toks), "
+    "posts AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(doc_len) AS doc_len FROM (SELECT id, len(ts) AS doc_len, unnest(ts) AS term FROM toks) GROUP BY 1, 2), rawidf AS MATERIALIZED (SELECT term, ln((SELECT n FROM sizes) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts GROUP BY term), "
+    "idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf), "
+)
+#: found: the hits' messages and their threads. refs: as a prompt numbers them.
+_THREADS = "found AS (SELECT m.*, h.place AS hit_rank FROM messages m LEFT JOIN hits h ON h.id = m.message_id WHERE h.id IS NOT NULL OR (conversation_id <> '' AND conversation_id IN (SELECT conversation_id FROM messages JOIN {0} ON id = message_id))) "
+_REFS = ", ranks AS (SELECT conversation_id, min(hit_rank) AS thread_rank FROM found WHERE conversation_id <> '' GROUP BY 1), refs AS (SELECT f.*, row_number() OVER (ORDER BY f.conversation_id = '', CASE WHEN f.conversation_id = '' THEN hit_rank ELSE thread_rank END, date, message_id) AS ref FROM found f LEFT JOIN ranks USING (conversation_id)) "
+MEETING = ("the report of the team", ["assistant2", "user3 and the others", "", "nobody asks for this one"])
+_MEETING_ASKS = [(MEETING[0], 10, True), (MEETING[1][0], 5, False), (MEETING[1][1], 5, False), (f"meeting summary notes {MEETING[0]}", 5, False)]
+
+
+@query("meeting_prep", MAIL_WORDS + "".join(_search_sql(str(i), q, n, rerank=r) for i, (q, n, r) in enumerate(_MEETING_ASKS, 1)) + "every AS (" + " UNION ALL ".join(f"SELECT id, {i} AS query_no, place AS spot FROM hits_{i}" for i in range(1, 5)) + "), hits AS (SELECT id, query_no, row_number() OVER (ORDER BY query_no, spot, id) AS place FROM (SELECT id, min(query_no) AS query_no, arg_min(spot, (query_no, spot)) AS spot FROM every GROUP BY id)), " + _THREADS.format("hits") + _REFS + "SELECT message_id, ref, hit_rank, (SELECT query_no FROM hits WHERE id = message_id)::INTEGER AS query_no FROM refs")
+def _(m, spark, sf):
+    """What a meeting's brief is written from: four searches united, with threads, numbered."""
+    found = assist.for_meeting(_box(m, spark, sf), *MEETING)
+    return context.numbered(found.messages).join(found.hits.select(F.col("id").alias("message_id"), "query_no"), "message_id", "left").select("message_id", "ref", "hit_rank", "query_no")
+
+
+TOPIC = "the plan and the model"
+
+
+@query("research_found", MAIL_WORDS + _search_sql("r", TOPIC, 50, rerank=False, above=0.3) + "hits AS (SELECT * FROM hits_r), " + _THREADS.format("hits") + ", g AS (SELECT CASE WHEN conversation_id = '' THEN message_id ELSE conversation_id END AS id, min(date) AS first_date, max(date) AS last_date, count(*) AS message_count, string_agg(DISTINCT sender, ',' ORDER BY sender) AS participants, arg_max({'s': subject, 'd': direction, 'r': is_replied}, (date, message_id)) AS l FROM found GROUP BY 1) SELECT id, first_date, last_date, message_count, participants, l.s AS subject, CASE WHEN l.d <> 'sent' AND NOT l.r THEN 'needs_action' WHEN l.d = 'sent' THEN 'awaiting_response' ELSE 'completed' END AS status FROM g")
+def _(m, spark, sf):
+    return assist.research_timeline(assist.for_research(_box(m, spark, sf), TOPIC))
+
+
+@query("topic_map_found", MAIL_WORDS + _search_sql("t", TOPIC, 50, rerank=False, above=0.25) + "hits AS (SELECT * FROM hits_t), " + _THREADS.format("hits") + ", named AS (SELECT *, lower(trim(sender)) AS person FROM found WHERE email_type <> 'meeting_note') SELECT DISTINCT 'person_' || person AS src, CASE WHEN conversation_id <> '' THEN 'thread_' || conversation_id ELSE 'email_' || message_id END AS dst, CASE WHEN conversation_id <> '' THEN 'participated' ELSE 'sent' END AS type FROM named")
+def _(m, spark, sf):
+    return assist.topic_map(_box(m, spark, sf), TOPIC)[1]
+
+
+@query("entity_map_found", MAIL_WORDS + _search_sql("e", TOPIC, 30, above=0.45) + "hits AS (SELECT id, place FROM hits_e), tops AS (SELECT id FROM hits QUALIFY row_number() OVER (ORDER BY place) <= (SELECT count(*) // 2 + 1 FROM hits)), " + _THREADS.format("tops") + "SELECT lower(trim(sender)) AS person, count(*) AS n FROM found WHERE email_type <> 'meeting_note' GROUP BY 1")
+def _(m, spark, sf):
+    """People of an entity map of what a search found."""
+    return graph.people(assist.entity_map(_box(m, spark, sf), TOPIC).messages).select("person", "n")
+
+
+UNREAD = "unread: the plan and the model"
+
+
+def _counting(prompt: str) -> str:
+    n = prompt.count("--- Message [SRC-")
+    return f"{n} messages, the last is [SRC-{n}]"
+
+
+@query("question_answered", MAIL_WORDS + _search_sql("q", UNREAD, 30, "NOT is_read AND direction = 'received'") + "hits AS (SELECT * FROM hits_q), " + _THREADS.format("hits") + _REFS + "SELECT '1' AS ask_id, least(30, count(*)) || ' messages, the last is [SRC-' || least(30, count(*)) || ']' AS answer, 1 AS attempts, coalesce(string_agg(message_id, ',' ORDER BY ref) FILTER (ref <= 30), '') AS refs, 'unread' AS query_type, (SELECT count(*) FROM hits) AS emails_found, count(DISTINCT nullif(conversation_id, '')) AS threads_included FROM refs")
+def _(m, spark, sf):
+    """From a question to an answer; the model counts what it was given."""
+    out = assist.answered(_box(m, spark, sf), UNREAD, filters.datetime.fromisoformat(NOW), lambda: _counting)
+    return out.select("ask_id", "answer", "attempts", F.array_join("refs", ",").alias("refs"), "query_type", "emails_found", "threads_included")
+
+
 # --- graphs -------------------------------------------------------------------------------------
 
 PEOPLE = f"{MESSAGES[:-1]}, named AS (SELECT *, lower(trim(sender)) AS person FROM messages WHERE email_type <> 'meeting_note'), people AS (SELECT person, count(*) AS n, arg_min(CASE WHEN sender_name = '' THEN person ELSE sender_name END, (sender_name = '', date, message_id)) AS name FROM named GROUP BY person) "

@@ -455,3 +455,30 @@ def test_backends(spark):
     assert r.get().id == "a" and r.get("b").load()("X") == "x" and r.with_temperature(7).get("b").temperature == 1.0
     with pytest.raises(KeyError):
         r.get("c")
+
+
+def test_calls_from_a_meeting_a_topic_or_a_question_to_messages(spark, tmp_path):
+    from postloom.operators import assist, keyword
+
+    rows = [(f"m{i}", "" if i == 9 else f"t{i // 3}", f"{w} notes of {i}", "received" if i % 2 else "sent", i % 3 == 0, i % 2 == 0, i) for i, w in enumerate(["budget", "budget", "trip", "trip", "offer", "offer", "mary", "mary", "lunch", "summary"])]
+    m = spark.createDataFrame(rows, "message_id string, conversation_id string, body string, direction string, is_replied boolean, is_read boolean, day int")
+    m = m.select("*", F.lit("a@b.org").alias("sender"), F.lit("").alias("sender_name"), F.lit("s").alias("subject"), F.lit("").alias("email_type"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(day)").alias("date"))
+    index = keyword.Index.build(m, f"{tmp_path}/i", "message_id", "body")
+    docs = m.select(F.col("message_id").alias("id"), F.col("body").alias("document"), "direction", "is_replied", "is_read", "date")
+    vectors = m.select(F.col("message_id").alias("id"), F.array(F.lit(1.0), F.col("day").cast("double")).alias("embedding"))
+    box = assist.Mailbox(m, assist.Corpus(docs, vectors, index), lambda q: [1.0, 0.0])
+    nothing = assist.for_meeting(box, "", ["", None])
+    assert nothing.hits.count() == 0 and nothing.messages.count() == 0
+    found = assist.for_meeting(box, "budget", ["mary", "", "lunch", "offer"], config=Config(over_fetch=1))
+    hits = [(r["id"], r["query_no"]) for r in found.hits.orderBy("place").collect()]
+    assert [r["place"] for r in found.hits.orderBy("place").collect()] == list(range(1, len(hits) + 1)) and len({i for i, _ in hits}) == len(hits)
+    assert {q for _, q in hits} <= {1, 2, 3, 4} and {i for i, _ in hits} >= {"m0", "m1", "m6", "m8"}
+    assert {r["message_id"] for r in found.messages.where("hit_rank is not null").collect()} == {i for i, _ in hits}
+    one = assist.answered(box, "unread budget", datetime.fromisoformat("2024-01-25"), lambda: lambda p: f"{p.count('SRC-')} read", n=2, local=True).first()
+    assert (one["query_type"], one["attempts"], one["error"]) == ("unread", 1, None) and one["answer"] == f"{len(one['refs'])} read" and one["emails_found"] == 2
+    silent = assist.answered(box, "unread", datetime.fromisoformat("2024-01-25"), lambda: lambda p: 1 / 0, n=2).first()
+    assert silent["answer"] == "" and silent["error"].startswith("ZeroDivisionError")
+    places = [r["place"] for r in assist.sources(box, found, 3).orderBy("place").collect()]
+    assert places == [1, 2, 3]
+    part = assist.entity_map(box, "budget", n=4)
+    assert part.hits.where("relevance <= 0.45").count() == 0 and part.messages.count() >= part.hits.count()
