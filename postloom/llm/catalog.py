@@ -70,7 +70,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    """What is found in all documents by a ledger that has met those in other languages than English before."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", "lang")
+    ledger = secrets.Ledger(spark, scratch(spark, "secrets"))
+    ledger.scan(docs.where("lang <> 'en'"))
+    found = ledger.scan(docs)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))

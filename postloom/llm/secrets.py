@@ -7,9 +7,10 @@ ledger lacks, adds them, and joins the findings to every path and version that h
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import stored
@@ -65,6 +66,33 @@ def findings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*[matches(text, r) for r in rules]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
 
 
+class Ledger:
+    """The ledger in a folder, as versions of parts: each scan appends one, which counts once its success file is there. What a broken scan left is not read, and the next one writes beside it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _parts(self) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return [f"{self.path}/{n}" for n in sorted(names) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def read(self) -> DataFrame:
+        """Each blob and rule version once; two scans that ran side by side may both have found the same."""
+        parts = self._parts()
+        rows = self.spark.read.schema(LEDGER).parquet(*parts) if parts else self.spark.createDataFrame([], LEDGER)
+        return rows.dropDuplicates(["blob", "rule_version"])
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, path: str = "path", text: str = "text") -> DataFrame:
+        """Findings by path, as scan() gives them; what was unseen is scanned and committed first."""
+        at = f"{self.path}/{uuid.uuid4().hex}"
+        _unseen(_versions(versions, path, text), self.read(), rules, rule_version).write.parquet(at)
+        return _joined(_versions(versions, path, text), self.read().where(F.col("rule_version") == rule_version))
+
+
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,end:int,rank:int,kind:string>>"
 
 
@@ -73,22 +101,31 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     `versions` holds every historical version of every path, one row each. Null texts count as
     empty. Rows of one path repeat if its versions do; a null path is a path. Of equal texts one is
-    read by the rules; findings return to all rows. Texts with no findings have an empty list.
+    read by the rules; findings return to all rows. Texts with no findings have an empty list. An empty table gives no rows.
     """
-    spark = versions.sparkSession
+    rows = _versions(versions, path, text)
+    new = stored(_unseen(rows, ledger, rules, rule_version), "ledger").dropDuplicates(["blob", "rule_version"])
+    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*new.columns))
+    return _joined(rows, known), new
+
+
+def _versions(versions: DataFrame, path: str, text: str) -> DataFrame:
     rows = versions.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
+    return rows.withColumn("blob", F.sha2("text", 256))
+
+
+def _unseen(rows: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], rule_version: str) -> DataFrame:
+    """Ledger rows of the blobs that the ledger lacks for this rule version."""
     blobs = rows.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     # one row of each blob: its smallest path; more rows of that path and blob are the same text
     unseen = rows.alias("r").join(blobs.alias("b"), F.expr("r.blob = b.blob and r.path <=> b.path"), "left_semi")
-    fresh = unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("spans"))
-    new = stored(fresh, "ledger").dropDuplicates(["blob", "rule_version"])
-    all_found = new.select("blob", "spans")
-    if ledger is not None:
-        all_found = all_found.unionByName(known)
-    hits = all_found.where(F.size("spans") > 0)
-    found = rows.select("path", "blob").join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")))
-    return found, new
+    return unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("spans"))
+
+
+def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """path, blob and spans of every row."""
+    hits = known.select("blob", "spans").where(F.size("spans") > 0)
+    found = rows.select("path", "blob").join(hits, "blob", "left")
+    return found.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")))

@@ -8,12 +8,12 @@ transition carries the tokens emitted. States and transitions are compiled when
 kept within a bound.
 
 Counting over chunks: the symbols of a text (bytes, and bytes that end a word) are cut in chunks of
-a fixed number, wherever that falls. A chunk's map takes a state of the machine to the state after
-the chunk and the tokens emitted between; the end of a word brings every state back to the start, so
-the state after a chunk in which a word ends doesn't depend on the chunks before it, and maps hold
-the one state that can come before them. Maps compose associatively, and a prefix scan over them
-counts a text of any length. Words that lie wholly inside a chunk start and end at the start
-state: their maps are numbers, which are remembered (a cache of the machine's results).
+a fixed number, wherever that falls. A chunk's map is a function of any state the machine may be in before
+it, to the state after it and the tokens emitted between, and is made of the chunk alone: the bytes of the word that
+was begun before (run from the given state), and, if a word ends here, the tokens after that and the state
+that is left, which no longer depend on what came before. Maps compose associatively: the end of one meets the
+head of the next. A prefix scan over them counts a text of any length. Words that lie wholly inside a chunk
+start and end at the start state: their maps are numbers, which are remembered (a cache of the machine's results).
 """
 
 from __future__ import annotations
@@ -171,6 +171,16 @@ class Chunk:
     cut: bool = False
 
 
+@dataclass(frozen=True)
+class ChunkMap:
+    """state -> (state, tokens): `head` is run from the state before; if a word ends (`ended`), `tokens` more follow and `state` is left, whatever came before."""
+
+    head: bytes = b""
+    ended: bool = False
+    tokens: int = 0
+    state: tuple = START
+
+
 class Counter:
     """Tokens of white-space-free stretches and of whole texts, for a tokenizer file with NFC, lower-casing, a splitting pattern and byte-level BPE with word ends."""
 
@@ -247,17 +257,24 @@ class Counter:
                     chunk, room = Chunk(), size
         yield chunk
 
-    def state_maps(self, chunks: Iterable[Chunk]) -> list[dict[tuple, tuple[tuple, int]]]:
-        """By chunk: state before it -> (state after it, tokens emitted)."""
-        maps, before = [], START
-        for c in chunks:
-            state, n = self.machine.run(before, c.head, c.ended) if c.head else (before, 0)
-            if c.ended:
-                state, after = self.machine.run(START, c.tail, False) if c.tail else (START, 0)
-                n += c.inner + after
-            maps.append({before: (state, n)})
-            before = state
-        return maps
+    def chunk_map(self, c: Chunk) -> ChunkMap:
+        """Of the chunk alone: maps may be made in any order, or all at once."""
+        if not c.ended:
+            return ChunkMap(c.head, False)
+        state, n = self.machine.run(START, c.tail, False) if c.tail else (START, 0)
+        return ChunkMap(c.head, True, c.inner + n, state)
+
+    def apply(self, m: ChunkMap, state: tuple) -> tuple[tuple, int]:
+        """(state after, tokens emitted) from any state."""
+        after, n = self.machine.run(state, m.head, m.ended) if m.head else (state, 0)
+        return (m.state, n + m.tokens) if m.ended else (after, n)
+
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of two neighbours."""
+        if not a.ended:
+            return ChunkMap(a.head + b.head, b.ended, b.tokens, b.state)
+        state, n = self.apply(b, a.state)
+        return ChunkMap(a.head, True, a.tokens + n, state)
 
     def column(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; each distinct stretch of the column is looked up once."""
@@ -267,13 +284,8 @@ class Counter:
         total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
         return np.diff(total[lists.offsets.to_numpy()])
 
-    def count(self, raw: bytes, chunk_bytes: int = 1 << 16) -> int:
-        return scan(self.state_maps(self.chunks(raw, chunk_bytes)), compose)[-1][START][1]
-
-
-def compose(a: dict[tuple, tuple[tuple, int]], b: dict[tuple, tuple[tuple, int]]) -> dict[tuple, tuple[tuple, int]]:
-    """The map of two chunks, one after the other."""
-    return {s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items()}
+    def count(self, raw: bytes, chunk_bytes: int) -> int:
+        return self.apply(scan([self.chunk_map(c) for c in self.chunks(raw, chunk_bytes)], self.compose)[-1], START)[1]
 
 
 def scan(items: list, compose: Callable) -> list:
@@ -291,6 +303,8 @@ def scan(items: list, compose: Callable) -> list:
 
 
 SLICE = 12 << 20
+#: Symbols of a chunk.
+CHUNK_BYTES = 4096
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 _COUNTERS: dict[str, Counter] = {}
 
@@ -302,11 +316,11 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, path: str, chunk_bytes: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: UTF-8 bytes and tokens, without begin and end tokens.
 
     Strings of added tokens inside a text count as one token each. Null and empty texts: 0 bytes,
-    0 tokens. Repeated rows and null ids are kept. A text is cut in chunks of `chunk_bytes` symbols,
+    0 tokens. Repeated rows and null ids are kept; an empty table gives no rows. A text is cut in chunks of `chunk_bytes` symbols,
     whose state maps are composed; one of a single chunk is the sum of its words. No shuffle.
     `path` must exist on all executors.
     """

@@ -409,12 +409,27 @@ def test_long_texts_are_counted_by_state_maps(texts):
     for t in (prose, one_word, "a" * 100_001, "." * 5000 + one_word[:5000] + "<|endoftext|>" * 3 + prose[:5000], "x " * 40_000):
         want = len(library.encode(t, add_special_tokens=False).ids)
         assert {c.count(t.encode(), n) for n in (1000, 4096, 1 << 16)} == {want}
-    maps = c.state_maps(c.chunks(one_word.encode(), 1000))
-    assert len(maps) > 200 and all(before != token_counts.START for m in maps[1:] for before in m)
-    assert token_counts.scan(maps, token_counts.compose)[-1][token_counts.START][0] == token_counts.START
+    text = (prose[:30_000] + one_word[:9000] + prose[:30_000]).encode()
+    chunks = list(c.chunks(text, 1000))
+    order = list(range(len(chunks)))
+    rnd.shuffle(order)
+    made = {}
+    for i in order:  # each of its chunk alone, in any order, by a machine of its own
+        made[i] = token_counts.Counter(P.path("word_bpe_49k.json")).chunk_map(chunks[i]) if i % 30 == 0 else c.chunk_map(chunks[i])
+    maps = [made[i] for i in range(len(chunks))]
+    assert maps == [c.chunk_map(x) for x in chunks] and any(not m.ended for m in maps) and any(m.head for m in maps)
+    while len(maps) > 1:  # and composed in any order of neighbours
+        i = rnd.randrange(len(maps) - 1)
+        maps[i : i + 2] = [c.compose(maps[i], maps[i + 1])]
+    assert c.apply(maps[0], token_counts.START) == (token_counts.START, len(library.encode(text.decode(), add_special_tokens=False).ids))
+    # a map holds for every state that it may be entered in
+    head = token_counts.ChunkMap(b"ing", True, 5)
+    for before in (b"runn", b"s", b"", b"xqz"):
+        state, n = c.machine.run(token_counts.START, before, False)
+        assert n + c.apply(head, state)[1] == c.machine.count(before + b"ing") + 5
     small_memory = token_counts.Counter(P.path("word_bpe_49k.json"))
     small_memory.machine.limit = 50
-    assert small_memory.count(one_word[:20_000].encode(), 700) == c.count(one_word[:20_000].encode())
+    assert small_memory.count(one_word[:20_000].encode(), 700) == c.count(one_word[:20_000].encode(), 4096)
 
 
 @given(st.lists(st.text(alphabet="ab ", max_size=4), min_size=1, max_size=12))
@@ -916,3 +931,20 @@ def test_hashes_are_compared_in_both_parts():
     assert substring_dedup._among(h, g, known).tolist() == [True, False, True, True, False, False]
     assert substring_dedup._among(h, g, known.slice(0, 2)).tolist() == [True, False, True, False, False, False]
     assert not substring_dedup._among(h, g, known.slice(0, 0)).any()
+
+
+def test_ledgers_are_committed_by_scan(spark, tmp_path):
+    import os
+
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/l")
+    rows = lambda *x: spark.createDataFrame(x, "path long, text string")
+    assert ledger.read().count() == 0
+    one = ledger.scan(rows((1, "password: abcdef1"), (2, None), (3, "password: abcdef1")))
+    assert sorted((r["path"], len(r["spans"])) for r in one.collect()) == [(1, 1), (2, 0), (3, 1)] and ledger.read().count() == 2
+    two = ledger.scan(rows((9, "password: abcdef1"), (4, "secret=xyzxyz9")))
+    assert sorted((r["path"], len(r["spans"])) for r in two.collect()) == [(4, 1), (9, 1)] and ledger.read().count() == 3
+    written = [spark.read.parquet(p).count() for p in ledger._parts()]
+    assert sorted(written) == [1, 2]  # only what was unseen
+    os.remove(f"{ledger._parts()[0].removeprefix('file://')}/_SUCCESS")  # a scan that never ended
+    assert ledger.read().count() in (1, 2)
+    assert ledger.scan(rows((5, "")), rule_version="2").count() == 1 and ledger.scan(rows()).count() == 0
