@@ -19,7 +19,7 @@ class Config:
     overlap_hours: int = 1
     rrf_k: int = 60
     over_fetch: int = 4
-    most_candidates: int = 50
+    most_candidates: int | None = 50
     unscored_relevance: float = 0.5
     max_chunk: int = 800
     min_chunk: int = 50
@@ -32,7 +32,8 @@ class Config:
         return self.local_budget if local else self.cloud_budget
 
     def candidates(self, n: int) -> int:
-        return min(self.over_fetch * n, self.most_candidates)
+        """Hits of each branch for n results; `most_candidates` None takes no more into account than n."""
+        return self.over_fetch * n if self.most_candidates is None else min(self.over_fetch * n, self.most_candidates)
 
 
 def identity(manual: str, accounts: str) -> tuple[str, ...]:

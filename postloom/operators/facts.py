@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CARD = "struct<entities:array<string>,intents:array<string>,commitments:array<struct<who:string,what:string,by_when:string>>,action_items:array<struct<description:string,assignee:string,deadline:string>>,key_facts:array<string>,sentiment:string,topics:array<string>>"
@@ -56,11 +56,15 @@ def stats(cards: DataFrame) -> DataFrame:
     return sizes.join(entities(cards).agg(F.count_distinct("entity").alias("entities")))
 
 
+#: Calls whose messages are dealt together: a bucket holds so many times the messages of a call, about.
+CALLS = 20
+
+
 def batches(messages: DataFrame, size: int = 5) -> DataFrame:
-    """batch_no and place by message id, dealt within partitions of a hash so that no task sees all."""
-    w = Window.partitionBy("part").orderBy("message_id")
-    rows = messages.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(64))).withColumn("rn", F.row_number().over(w) - 1)
-    return rows.withColumn("batch_no", F.floor(F.col("rn") / size)).withColumn("place", F.col("rn") % size).drop("rn")
+    """ms (array of message_id and text), `size` messages at most: messages are dealt to buckets by hashes, as many as their number asks for, and each bucket is cut in calls."""
+    buckets = F.lit(max(1, -(-messages.count() // (CALLS * size))))
+    rows = messages.groupBy(F.pmod(F.xxhash64("message_id", "text"), buckets)).agg(F.sort_array(F.collect_list(F.struct("message_id", "text"))).alias("all"))
+    return rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(size)), lambda i: F.slice("all", i + 1, size))).alias("ms"))
 
 
 def bare_json(answer: str) -> str:
@@ -79,7 +83,7 @@ def extract(messages: DataFrame, model: Callable[[str], str], size: int = 5, mos
     JSON, each message gets a call of its own. A call that fails gives its messages the error and no
     answer, and stops nothing else. `most_chars`: of a text, what the model can take; None for all.
     """
-    dealt = batches(messages.select("message_id", "text"), size).groupBy("part", "batch_no").agg(F.sort_array(F.collect_list(F.struct("place", "message_id", "text"))).alias("ms"))
+    dealt = batches(messages.select("message_id", "text"), size)
 
     def single(email_id: str, text: str) -> tuple:
         try:

@@ -5,10 +5,13 @@ Rows: message_id, conversation_id, sender, sender_name, subject, body, document,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import normalize_subject
+from postloom.operators.manifest import Manifest
 
 # Fixed values.
 FREEMAIL = ("gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "live.com", "aol.com", "icloud.com", "me.com", "msn.com", "googlemail.com", "protonmail.com")
@@ -109,26 +112,43 @@ def thread_counts(messages: DataFrame, chars: int | None = 200) -> DataFrame:
 GROUP = 64
 
 
-def person_pairs(messages: DataFrame) -> DataFrame:
-    """src < dst, weight (threads of both), replies, quotes, thread_ids (sorted).
-
-    Pairs of a thread follow from what is asked. A thread's people are dealt to groups of about GROUP,
-    and two groups meet in one task, so a thread of many people is shared among many tasks.
-    """
+def _members(messages: DataFrame) -> DataFrame:
+    """conversation_id, person of each thread's senders, once."""
     m = messages.where("coalesce(email_type, '') <> 'meeting_note' and coalesce(conversation_id, '') <> '' and coalesce(sender, '') <> ''")
-    p = m.select("conversation_id", address(F.col("sender")).alias("person")).distinct()
+    return m.select("conversation_id", address(F.col("sender")).alias("person")).distinct()
+
+
+def _pairs(p: DataFrame) -> DataFrame:
+    """conversation_id, src < dst of members. A thread's people are dealt to groups of about GROUP, and two groups meet in one task, so a thread of many people is shared among many tasks."""
     groups = p.groupBy("conversation_id").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     dealt = p.join(groups, "conversation_id").withColumn("mine", F.pmod(F.xxhash64("person"), "groups").cast("int"))
     each = lambda name, low, high: dealt.select("conversation_id", F.col("person").alias(name), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"), "mine").select("conversation_id", name, F.col(low).alias("g"), F.col(high).alias("h"))
-    pairs = each("src", "mine", "other").join(each("dst", "other", "mine"), ["conversation_id", "g", "h"]).where("src < dst").select("conversation_id", "src", "dst")
-    return pairs.join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"), F.sort_array(F.collect_list("conversation_id")).alias("thread_ids"))
+    return each("src", "mine", "other").join(each("dst", "other", "mine"), ["conversation_id", "g", "h"]).where("src < dst").select("conversation_id", "src", "dst")
 
 
-def person_topics(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
-    """person, topic, weight (messages), threads, thread_ids (sorted); both ends are nodes."""
+def pair_threads(messages: DataFrame) -> DataFrame:
+    """src, dst, conversation_id: a row for each thread of a pair. Pairs of a thread follow from what is asked."""
+    return _pairs(_members(messages)).select("src", "dst", "conversation_id")
+
+
+def person_pairs(messages: DataFrame) -> DataFrame:
+    """src < dst, weight (threads of both), replies, quotes. pair_threads() has the threads."""
+    return pair_threads(messages).join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"))
+
+
+def _topic_threads(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
     e = messages.where("coalesce(sender, '') <> ''").select(address(F.col("sender")).alias("person"), normalize_subject(F.col("subject")).alias("topic"), F.nullif("conversation_id", F.lit("")).alias("thread")).join(topic_nodes.select("topic"), "topic").join(persons.select("person"), "person", "left_semi")
-    each = e.groupBy("person", "topic", "thread").agg(F.count("*").alias("n"))
-    return each.groupBy("person", "topic").agg(F.sum("n").alias("weight"), F.count("thread").alias("threads"), F.sort_array(F.collect_list("thread")).alias("thread_ids"))
+    return e.groupBy("person", "topic", "thread").agg(F.count("*").alias("n"))
+
+
+def topic_threads(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
+    """person, topic, thread, n (messages): a row for each thread of a person and topic."""
+    return _topic_threads(messages, persons, topic_nodes).where("thread is not null")
+
+
+def person_topics(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
+    """person, topic, weight (messages), threads; both ends are nodes. topic_threads() has the threads."""
+    return _topic_threads(messages, persons, topic_nodes).groupBy("person", "topic").agg(F.sum("n").alias("weight"), F.count("thread").alias("threads"))
 
 
 def person_orgs(persons: DataFrame, orgs: DataFrame) -> DataFrame:
@@ -169,3 +189,56 @@ def edge_widths(edges: DataFrame, most: float = 8.0) -> DataFrame:
     """pair (both ends, sorted), weight and width of the edges between two nodes, taken together: a width of 1 and half a weight more, capped."""
     pair = F.array_join(F.array_sort(F.array("src", "dst")), "|")
     return edges.groupBy(pair.alias("pair")).agg(F.sum("weight").alias("weight")).withColumn("width", F.least(F.lit(most), 1 + F.col("weight") * 0.5))
+
+
+@dataclass(frozen=True)
+class EdgeView:
+    """Edges between people, kept up batch by batch: each batch adds its new members of threads, its counts by thread, and signed changes of edges, made of the threads it touches only. Edges are the sums of the changes."""
+
+    spark: SparkSession
+    path: str
+
+    def _manifest(self) -> Manifest:
+        return Manifest(self.spark, f"{self.path.rstrip('/')}/versions")
+
+    def _read(self, name: str, shape: str) -> DataFrame:
+        parts = self._manifest().read()[1].get("parts", [])
+        return self.spark.read.schema(shape).parquet(*[f"{self.path}/{p}/{name}" for p in parts]) if parts else self.spark.createDataFrame([], shape)
+
+    @property
+    def members(self) -> DataFrame:
+        """conversation_id, person"""
+        return self._read("members", "conversation_id string, person string")
+
+    @property
+    def counts(self) -> DataFrame:
+        """conversation_id, replies, quotes, by batch: to be added up."""
+        return self._read("counts", "conversation_id string, replies long, quotes long")
+
+    @property
+    def edges(self) -> DataFrame:
+        """src, dst, weight, replies, quotes"""
+        changes = self._read("changes", "src string, dst string, weight long, replies long, quotes long")
+        return changes.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("weight", "replies", "quotes")]).where("weight > 0")
+
+    def add(self, messages: DataFrame, batch: str) -> bool:
+        """Adds messages that aren't in it yet. A batch whose name is there already is left out; of two writers one gets a Conflict."""
+        at, held = self._manifest().read()
+        parts = held.get("parts", [])
+        if batch in parts:
+            return False
+        place = f"{self.path}/{batch}"
+        came, news = _members(messages), thread_counts(messages)
+        touched = news.select("conversation_id")
+        old = self.members.join(touched, "conversation_id", "left_semi")
+        came.join(old, ["conversation_id", "person"], "left_anti").write.mode("overwrite").parquet(f"{place}/members")
+        news.write.mode("overwrite").parquet(f"{place}/counts")
+        fresh = self.spark.read.parquet(f"{place}/members")
+        before = self.counts.join(touched, "conversation_id", "left_semi").groupBy("conversation_id").agg(F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"))
+        after = before.unionByName(news).groupBy("conversation_id").agg(F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"))
+        gained = _pairs(old.unionByName(fresh)).join(after, "conversation_id").select("src", "dst", F.lit(1).alias("weight"), "replies", "quotes")
+        lost = _pairs(old).join(before, "conversation_id").select("src", "dst", F.lit(-1).alias("weight"), (-F.col("replies")).alias("replies"), (-F.col("quotes")).alias("quotes"))
+        changes = gained.unionByName(lost).groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("weight", "replies", "quotes")])
+        changes.where("weight <> 0 or replies <> 0 or quotes <> 0").write.mode("overwrite").parquet(f"{place}/changes")
+        self._manifest().commit(at, {"parts": [*parts, batch]})
+        return True

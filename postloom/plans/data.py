@@ -13,6 +13,7 @@ from postloom.functions import text as T
 from postloom.functions.vectors import cosine
 from postloom.operators import analytics, assist, chunks, context, facts, graph, ingest, keyword, retrieval, search, threads
 from postloom.operators.ann import VectorIndex
+from postloom.operators.rollups import Rollups
 from postloom.plans.feeds import _place
 from postloom.plans.mail import CLEAN, DOC, HASH, OPEN, PACK, SEGMENT, STRIP, with_document
 from postloom.plans.views import MESSAGES, NOW, messages, table
@@ -488,6 +489,7 @@ def _mailbox(m, spark, sf):
     return retrieval.Corpus(m.withColumnRenamed("message_id", "id"), vectors, _index(spark, sf))
 
 
+STATS_OF = MESSAGES + "SELECT count(*) AS total, count(*) FILTER (direction = 'sent') AS sent, count(*) FILTER (direction <> 'sent') AS received, count(*) FILTER (NOT is_read) AS unread, count(*) FILTER (is_flagged) AS flagged FROM messages WHERE {}"
 STATS = "SELECT count(*) AS total, count(*) FILTER (direction = 'sent') AS sent, count(*) FILTER (direction <> 'sent') AS received, count(*) FILTER (NOT is_read) AS unread, count(*) FILTER (is_flagged) AS flagged FROM messages"
 
 
@@ -518,6 +520,39 @@ def _(m, spark, sf):
     return threads.task_counts(*_tasks(m, spark, sf))
 
 
+# --- rollups --------------------------------------------------------------------------------------
+
+
+def _rollups(m, spark):
+    """Of two batches; the second comes twice and counts once."""
+    made, rows = Rollups(spark, _place(spark, "rollups")), m.withColumn("recipients", F.array("recipient1", "recipient2"))
+    for batch, where in (("a", "conv_id % 2 = 0"), ("b", "conv_id % 2 = 1"), ("b", "conv_id % 2 = 1")):
+        made.add(rows.where(where), batch)
+    return made
+
+
+@query("rollup_stats", STATS_OF.format("date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-01-20'"))
+def _(m, spark, sf):
+    return _rollups(m, spark).stats(F.col("day").between("2024-01-05", "2024-01-19"))
+
+
+@query("rollup_volume", f"{MESSAGES} SELECT date::DATE AS day, count(*) FILTER (direction = 'sent') AS sent, count(*) FILTER (direction <> 'sent') AS received FROM messages GROUP BY 1")
+def _(m, spark, sf):
+    return _rollups(m, spark).volume()
+
+
+@query("rollup_top_senders", f"{MESSAGES} SELECT coalesce(nullif(sender_name, ''), sender) AS name, count(*) AS n FROM messages WHERE direction = 'received' AND date >= TIMESTAMP '2024-01-05' GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
+def _(m, spark, sf):
+    return _rollups(m, spark).top("sender", 10, F.col("day") >= "2024-01-05")
+
+
+@query("rollup_threads", f"{MESSAGES} SELECT count(DISTINCT nullif(conversation_id, '')) AS n, true AS estimate_is_close FROM messages")
+def _(m, spark, sf):
+    """Exactly, and whether the united sketches come within five per cent of it."""
+    made = _rollups(m, spark)
+    return made.threads().join(made.threads(exact=False).select(F.col("n").alias("about"))).select("n", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n")).alias("estimate_is_close"))
+
+
 # --- from a question, a topic or a meeting, in one call ------------------------------------------
 
 
@@ -694,14 +729,40 @@ def _(m, *_a):
     return graph.thread_counts(with_document(m))
 
 
-@query("edges_person_person", f"{PEOPLE[:-1]}, {COUNTS[:-1]}, p AS (SELECT DISTINCT conversation_id, person FROM named WHERE conversation_id <> '') SELECT a.person AS src, b.person AS dst, count(*) AS weight, sum(replies)::BIGINT AS replies, sum(quotes)::BIGINT AS quotes, string_agg(a.conversation_id, ',' ORDER BY a.conversation_id) AS thread_ids FROM p a JOIN p b ON a.conversation_id = b.conversation_id AND a.person < b.person JOIN tc ON tc.conversation_id = a.conversation_id GROUP BY 1, 2")
+_PAIRS = f"{PEOPLE[:-1]}, {COUNTS[:-1]}, p AS (SELECT DISTINCT conversation_id, person FROM named WHERE conversation_id <> ''), pt AS (SELECT a.person AS src, b.person AS dst, a.conversation_id FROM p a JOIN p b ON a.conversation_id = b.conversation_id AND a.person < b.person) "
+PAIR_EDGES = f"{_PAIRS} SELECT src, dst, count(*) AS weight, sum(replies)::BIGINT AS replies, sum(quotes)::BIGINT AS quotes FROM pt JOIN tc USING (conversation_id) GROUP BY 1, 2"
+
+
+@query("edges_person_person", PAIR_EDGES)
+def _(m, *_a):
+    return graph.person_pairs(with_document(m))
+
+
+@query("edges_person_person_threads", f"{_PAIRS} SELECT * FROM pt")
+def _(m, *_a):
+    return graph.pair_threads(m)
+
+
+@query("edges_incremental", PAIR_EDGES)
+def _(m, spark, sf):
+    """Edges after three batches, of which the later ones touch threads of the earlier ones."""
+    view, rows = graph.EdgeView(spark, _place(spark, "edges")), with_document(m)
+    for batch, where in (("a", "turn < 2"), ("b", "turn between 2 and 4 and conv_id % 3 = 0"), ("b", "turn < 2"), ("c", "turn > 4 or (turn > 1 and conv_id % 3 <> 0)")):
+        view.add(rows.where(where), batch)  # the second "b" is a repeated run
+    return view.edges
+
+
+_TOPIC_ROWS = f"{TOPICS[:-1]}, tt AS (SELECT lower(trim(sender)) AS person, t.topic, nullif(conversation_id, '') AS thread FROM t JOIN topics USING (topic) WHERE lower(trim(sender)) IN (SELECT person FROM people)) "
+
+
+@query("edges_person_topic", f"{_TOPIC_ROWS} SELECT person, topic, count(*) AS weight, count(DISTINCT thread) AS threads FROM tt GROUP BY 1, 2")
 def _(m, *_a):
-    return graph.person_pairs(with_document(m)).withColumn("thread_ids", F.array_join("thread_ids", ","))
+    return graph.person_topics(m, graph.people(m), graph.topics(m, ABOUT))
 
 
-@query("edges_person_topic", f"{TOPICS} SELECT lower(trim(sender)) AS person, t.topic, count(*) AS weight, count(DISTINCT nullif(conversation_id, '')) AS threads, coalesce(string_agg(DISTINCT nullif(conversation_id, ''), ',' ORDER BY nullif(conversation_id, '')), '') AS thread_ids FROM t JOIN topics USING (topic) WHERE lower(trim(sender)) IN (SELECT person FROM people) GROUP BY 1, 2")
+@query("edges_person_topic_threads", f"{_TOPIC_ROWS} SELECT person, topic, thread, count(*) AS n FROM tt WHERE thread IS NOT NULL GROUP BY ALL")
 def _(m, *_a):
-    return graph.person_topics(m, graph.people(m), graph.topics(m, ABOUT)).withColumn("thread_ids", F.array_join("thread_ids", ","))
+    return graph.topic_threads(m, graph.people(m), graph.topics(m, ABOUT))
 
 
 @query("edges_person_org", f"{ORGS} SELECT person, domain, 1 AS weight FROM people JOIN orgs ON orgs.domain = split_part(person, '@', 2)")

@@ -291,7 +291,7 @@ def test_records_and_pages(spark):
 def test_settings():
     assert identity(" A@x.org, ,b@x.org", "gmail:C@x.org:p:q; ;bad") == ("a@x.org", "b@x.org", "c@x.org")
     c = from_settings({"MY_EMAIL_ADDRESSES": "A@x", "RETENTION_DAYS": "30"})
-    assert c.addresses == ("a@x",) and c.retention_days == 30 and Config().candidates(20) == 50 and Config().candidates(5) == 20
+    assert c.addresses == ("a@x",) and c.retention_days == 30 and Config().candidates(20) == 50 and Config().candidates(5) == 20 and Config(most_candidates=None).candidates(200) == 800
 
 
 def test_scalars(spark):
@@ -367,7 +367,27 @@ def test_pairs_of_a_long_thread_are_all_there(spark):
     m = spark.createDataFrame(rows, "conversation_id string, sender string, message_id string, email_type string, is_replied boolean, document string")
     pairs = graph.person_pairs(m)
     assert pairs.count() == n * (n - 1) // 2
-    assert tuple(pairs.where("weight = 2").first())[:6] == ("p000@x", "p001@x", 2, 2, n, ["long", "two"])
+    assert tuple(pairs.where("weight = 2").first()) == ("p000@x", "p001@x", 2, 2, n)
+    assert {r["conversation_id"] for r in graph.pair_threads(m).where("src = 'p000@x' and dst = 'p001@x'").collect()} == {"long", "two"}
+
+
+def test_a_batch_changes_the_edges_of_its_threads_only(spark, tmp_path):
+    from postloom.operators.manifest import Conflict
+
+    row = lambda t, p, i, replied=False, text="": (t, p, f"m{i}", "", replied, text)
+    shape = "conversation_id string, sender string, message_id string, email_type string, is_replied boolean, document string"
+    first = [row(f"t{k}", f"p{j}@x", 10 * k + j) for k in range(30) for j in range(4)] + [row("", "p1@x", 999), row(None, "p2@x", 998)]
+    view = graph.EdgeView(spark, f"{tmp_path}/v")
+    assert view.edges.count() == 0 and view.add(spark.createDataFrame(first, shape), "one")
+    more = [row("t3", "new@x", 1000, True, ">"), row("t3", "p0@x", 1001)]
+    assert view.add(spark.createDataFrame(more, shape), "two") and not view.add(spark.createDataFrame(more, shape), "two")
+    every = spark.createDataFrame(first + more, shape)
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "weight", "replies", "quotes").collect()))
+    assert rows(view.edges) == rows(graph.person_pairs(every))
+    assert spark.read.parquet(f"{tmp_path}/v/two/changes").count() == 10 and spark.read.parquet(f"{tmp_path}/v/two/members").count() == 1
+    stale = graph.EdgeView(spark, f"{tmp_path}/v")._manifest()
+    with pytest.raises(Conflict):
+        stale.commit(0, {})
 
 
 def test_spans_of_time_are_half_open(spark):
