@@ -11,7 +11,7 @@ from postloom.config import Config
 from postloom.functions import filters
 from postloom.functions import text as T
 from postloom.functions.vectors import cosine
-from postloom.operators import analytics, assist, chunks, context, facts, graph, ingest, keyword, retrieval, search, threads
+from postloom.operators import analytics, assist, chunks, context, facts, graph, ingest, keyword, phrases, retrieval, search, threads
 from postloom.operators.ann import VectorIndex
 from postloom.operators.rollups import Rollups
 from postloom.plans.feeds import _place
@@ -721,6 +721,28 @@ def _(m, *_a):
     return graph.moods(_said(m))
 
 
+PHRASES = f"items AS (SELECT regexp_extract_all(lower(text), '{T.TOKEN}') AS ts FROM benchmark), phrases AS (SELECT phrase, 't' || (length(phrase) % 10) AS tag FROM (SELECT unnest(ts) AS phrase FROM items UNION SELECT ts[i] || ' ' || ts[i + 1] FROM items, unnest(range(1, len(ts))) u(i)) WHERE length(phrase) >= 6) "
+
+
+def _phrases(spark, sf):
+    """Some thousand phrases: the longer words and all pairs of words of the benchmark's items, tagged by their length."""
+    words = table(spark, sf, "benchmark").select(T.tokenize(F.col("text")).alias("ts"))
+    pairs = F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts")), lambda a, b: F.concat_ws(" ", a, b))
+    every = words.where(F.size("ts") > 0).select(F.explode(F.concat("ts", pairs)).alias("phrase")).where(F.length("phrase") >= 6).distinct()
+    return every.select("phrase", F.concat(F.lit("t"), (F.length("phrase") % 10).cast("string")).alias("tag"))
+
+
+@query("entity_phrase_tags", f"{MESSAGES[:-1]}, {PHRASES} SELECT lower(trim(sender)) AS person, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM messages JOIN phrases ON contains(lower(body), phrase) GROUP BY 1")
+def _(m, spark, sf):
+    return graph.moods(m, _phrases(spark, sf))
+
+
+@query("phrase_subjects", f"{MESSAGES[:-1]}, {PHRASES} SELECT DISTINCT message_id, tag FROM messages JOIN phrases ON contains(lower(subject), phrase)")
+def _(m, spark, sf):
+    """Which messages have a subject that a table of phrases is about."""
+    return phrases.tagged(m, _phrases(spark, sf), "message_id", "subject")
+
+
 COUNTS = f"tc AS (SELECT conversation_id, count(*) FILTER (is_replied) AS replies, count(*) FILTER (contains(substr({DOC}, 1, 200), '>')) AS quotes FROM messages WHERE conversation_id <> '' GROUP BY 1) "
 
 

@@ -502,3 +502,16 @@ def test_calls_from_a_meeting_a_topic_or_a_question_to_messages(spark, tmp_path)
     assert places == [1, 2, 3]
     part = assist.entity_map(box, "budget", n=4)
     assert part.hits.where("relevance <= 0.45").count() == 0 and part.messages.count() >= part.hits.count()
+
+
+@pytest.mark.parametrize("size", [1 << 20, 12])
+def test_phrases_are_found_as_by_a_search_for_each(spark, monkeypatch, size):
+    from postloom.operators import phrases
+
+    monkeypatch.setattr(phrases, "PART_BYTES", size)
+    texts = [("a", "He said: No Response yet, no"), ("b", None), ("c", ""), ("d", "İstanbul ÉTÉ aaaa"), ("d", "aaaa no response"), (None, "response")]
+    table = [("no response", "w"), ("response", "r"), ("NO", "n"), ("aa", "x"), ("aa", "y"), ("été", "z"), ("", "never"), (None, "never"), ("said", None)]
+    rows, known = spark.createDataFrame(texts, "k string, body string"), spark.createDataFrame(table, "phrase string, tag string")
+    want = sorted({(k, t) for k, x in texts for p, t in table if x and p and t and p.lower() in x.lower()}, key=repr)
+    assert sorted({tuple(r) for r in phrases.tagged(rows, known, "k").collect()}, key=repr) == want
+    assert phrases.tagged(rows, known.limit(0), "k").count() == 0 and phrases.tagged(rows.limit(0), known, "k").count() == 0
