@@ -176,7 +176,7 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), as ordinary text without special tokens.
 
-    Null and empty texts have no tokens. Repeated rows and null ids are kept. No shuffle. `path`
+    Null and empty texts have no tokens. Repeated rows and null ids are kept; an empty table gives no rows. No shuffle. `path`
     must exist on all executors.
     """
 

@@ -55,7 +55,7 @@ def format_chats(chats: DataFrame, template: Template = Template(), conv_id: str
     Turns are ordered by turn, then role, then text, null turns first; equal rows count as turns of
     their own. Null texts and roles count as empty; a null conv_id is a conversation. An order that
     the machine rejects is reported in `valid`, never dropped. Turns are formatted where they are
-    read; one shuffle brings a conversation's segments together, as its result is one text.
+    read; one shuffle brings a conversation's segments together, as its result is one text. An empty table gives no rows.
     """
     q = lambda c: F.col(f"`{c}`")
     said = F.coalesce(q(role), F.lit(""))

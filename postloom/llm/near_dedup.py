@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     unique. Rows of one id are one document: with different texts it is linked with whatever any of
     them is linked with, and all its rows have one component and one `kept` (n_shingles is each
     row's own). A row with a null id is linked with nothing: it stays, with a null component. Ids lie
-    below 2**63 - 2**53. Extra columns don't matter.
+    below 2**63 - 2**53. Extra columns don't matter. An empty table gives no rows.
     """
     spark, s = docs.sparkSession, settings
     tables = Tables(spark)

@@ -126,7 +126,7 @@ def write_ids(docs: DataFrame, encoder: Callable[[pa.Array], Iterator[bytes]], p
     null and empty texts have that one. Documents are dealt out by ranges of doc_id, one shard
     for each range. A block takes whole documents until it holds BLOCK_IDS ids or more; `first`
     counts ids from the shard's start. Files are written by Spark's committer, so a lost executor
-    leaves no half a shard.
+    leaves no half a shard. An empty table writes files without blocks.
     """
     rows = null_safe_id(docs, doc_id, text)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,7 +166,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian 32-bit) of each document, from the files.
 
     Sums of the shards' ids, one row for each shard (as many as the writer had partitions), give
-    each shard its start. A block whose words are damaged raises an error.
+    each shard its start. A block whose words are damaged raises an error. Documents without an id come first and keep a null id; of no blocks there are no rows.
     """
     blocks = spark.read.schema(FORMAT).parquet(path)
     bases, total = {}, 0
@@ -233,5 +233,6 @@ def library_encoder(path: str) -> Callable[[pa.Array], Iterator[bytes]]:
 
 
 def write_and_read(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """What read_ids() gives of the files that write_ids() makes of the documents: each with its end id, so null and empty texts have one; repeated rows and null ids are kept; an empty table gives no rows."""
     write_ids(docs, library_encoder(tokenizer), path, end_id)
     return read_ids(docs.sparkSession, path)

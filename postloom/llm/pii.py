@@ -299,7 +299,7 @@ def pseudonymize(docs: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, doc
 
     Matches are leftmost and do not overlap; a match that fails its kind's check (Luhn, mod 97, calendar)
     stays. Null text stays null, empty stays empty, both with no values; repeated rows and null ids
-    are kept. Dates outside 1901 to 2099 stay. No shuffle.
+    are kept. Dates outside 1901 to 2099 stay. No shuffle. An empty table gives no rows.
     """
     names = F.filter(F.transform("f.values", lambda v: v["kind"]), lambda k: k.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct("names")), lambda n: F.struct(n.alias("key"), F.size(F.filter("names", lambda k: k == n)).cast("long").alias("value"))))

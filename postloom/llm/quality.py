@@ -89,7 +89,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), doc_id: str = "doc_id", tex
     A document fails at the base if it has under 50 words, or if more than half of its words lie in
     3-word windows that occur twice or more. Else it is kept if all ratios lie inside their bands.
     Null and empty text: no words, base_failed, not kept. Null ids stay null. Repeated rows are
-    judged separately. Texts of any length are read whole. No shuffle.
+    judged separately. Texts of any length are read whole. No shuffle. An empty table gives no rows.
     """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:

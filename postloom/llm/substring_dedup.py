@@ -188,7 +188,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, sketch: Sketch = Sketch(), do
     white space, unchanged. Null and empty texts have no words and an empty kept_text; texts under n
     words are kept whole. Rows of one id count as one document's, also with different texts: they
     take nothing from each other, and others compare with all of them. Rows with a null id are kept
-    whole and take nothing from others.
+    whole and take nothing from others. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = null_safe_id(docs, doc_id, text)
