@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.substrings import TrigramIndex
+
 CARD = "struct<entities:array<string>,intents:array<string>,commitments:array<struct<who:string,what:string,by_when:string>>,action_items:array<struct<description:string,assignee:string,deadline:string>>,key_facts:array<string>,sentiment:string,topics:array<string>>"
 
 
@@ -28,12 +30,24 @@ def entities(cards: DataFrame) -> DataFrame:
     return cards.select("email_id", F.explode("card.entities").alias("entity"))
 
 
+def people(cards: DataFrame) -> DataFrame:
+    """email_id, who of all commitments: what an index of persons is made of."""
+    return cards.select("email_id", F.inline("card.commitments")).select("email_id", "who")
+
+
+def _hit(cards: DataFrame, name: str | None, index: TrigramIndex | None) -> DataFrame:
+    if name is None or index is None:
+        return cards
+    return cards.join(index.like(f"%{name}%").select(F.col("key").alias("email_id")), "email_id", "left_semi")
+
+
 def intents(cards: DataFrame) -> DataFrame:
     return cards.select("email_id", F.explode("card.intents").alias("intent"))
 
 
-def commitments(cards: DataFrame, who: str | None = None) -> DataFrame:
-    out = cards.select("email_id", F.inline("card.commitments"))
+def commitments(cards: DataFrame, who: str | None = None, index: TrigramIndex | None = None) -> DataFrame:
+    """email_id, who, what, by_when; with `who`, those whose person holds it. An index of persons by email_id (`people`) tells which cards to open."""
+    out = _hit(cards, who, index).select("email_id", F.inline("card.commitments"))
     return out if who is None else out.where(F.col("who").ilike(f"%{who}%"))
 
 
@@ -42,7 +56,10 @@ def action_items(cards: DataFrame, assignee: str | None = None) -> DataFrame:
     return out if assignee is None else out.where(F.col("assignee").ilike(f"%{assignee}%"))
 
 
-def with_entity(cards: DataFrame, name: str) -> DataFrame:
+def with_entity(cards: DataFrame, name: str, index: TrigramIndex | None = None) -> DataFrame:
+    """The cards with an entity that holds the name: by an index of entities by email_id, or by reading all."""
+    if index is not None:
+        return _hit(cards, name, index)
     return cards.join(entities(cards).where(F.col("entity").ilike(f"%{name}%")).select("email_id").distinct(), "email_id", "left_semi")
 
 

@@ -31,6 +31,15 @@ class Manifest:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path())]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
+    def subfolders(self) -> list[str]:
+        """Names of the folders in this one; none if it isn't there."""
+        if not self.fs.exists(self._path()):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path()) if s.isDirectory())
+
+    def delete(self, folder: str) -> None:
+        self.fs.delete(self._path(folder), True)
+
     def read(self, version: int | None = None) -> tuple[int, dict]:
         """(version, object), the latest if not given; (-1, {}) if there is none."""
         found = self.versions()

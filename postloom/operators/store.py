@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators import analytics, chunks, ingest, keyword
+from postloom.operators.daytable import DayTable
 from postloom.operators.manifest import Manifest
+from postloom.operators.substrings import TrigramIndex
 
 TABLES = ("messages", "chunks", "summaries", "index", "seen", "watermarks", "runs", "cards")
 
@@ -38,6 +40,15 @@ class Store:
         rows.write.mode("overwrite").parquet(at)
         return self.spark.read.parquet(at)
 
+    def days(self, table: str, rows: DataFrame | None = None, key: str = "message_id", date: str | None = "date") -> DayTable:
+        """A table whose changes are written by day: the stored one, or made of `rows` where there is none."""
+        path = f"{self.root}/{table}"
+        if Manifest(self.spark, f"{path}/versions").versions():
+            return DayTable.load(self.spark, path)
+        if rows is None:
+            raise FileNotFoundError(f"{path}: no table")
+        return DayTable.create(rows, path, key, date)
+
     def clear(self) -> None:
         """All tables, so that nothing left behind makes a new ingestion look like a repeat."""
         for t in TABLES:
@@ -48,46 +59,36 @@ class Store:
         path = f"{self.root}/index"
         if Manifest(self.spark, f"{path}/versions").versions():
             return keyword.Index.load(self.spark, path)
-        return keyword.Index.build(self.read("chunks"), path, "chunk_id")
+        return keyword.Index.build(self.chunks(), path, "chunk_id")
+
+    def chunks(self) -> DataFrame:
+        """The chunks as they are, whether kept as a whole or by changes."""
+        return self.days("chunks").read() if Manifest(self.spark, f"{self.root}/chunks/versions").versions() else self.read("chunks")
 
     def refresh_index(self) -> keyword.Index:
         """The index brought to the chunks as they are: those that have gone are removed, new ones make a segment, and segments of one size are merged. What is written follows what changed."""
-        index, now = self.index(), self.read("chunks")
+        index, now = self.index(), self.chunks()
         gone = index.documents().select("doc_id").join(now.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_anti")
         return index.remove(gone).add(now, "chunk_id").compact()
 
 
 def after_ingest(store: Store, now: str, retention_days: int) -> DataFrame:
-    """Retention, thread summaries, keyword index, statistics (one row)."""
-    kept = store.write("messages", ingest.retain(store.read("messages"), now, retention_days))
+    """Retention, thread summaries, keyword index, statistics (one row). Of messages and chunks (by email_id) only what goes is written: whole days leave the manifest, else keys."""
+    kept = store.days("messages").retain(now, retention_days).read()
     store.write("summaries", chunks.summaries(kept))
-    old = store.read("chunks")
-    store.write("chunks", old.join(kept.select(F.col("message_id").alias("email_id")), "email_id", "left_semi"))
+    old = store.days("chunks", key="email_id", date=None)
+    old.remove(old.read().select("email_id").distinct().join(kept.select(F.col("message_id").alias("email_id")), "email_id", "left_anti"))
     store.refresh_index()
     return analytics.mailbox_stats(kept)
 
 
-#: Characters of the pieces by which subjects are looked up.
-PIECE = 4
-
-
-def open_cascade(asked: DataFrame, messages: DataFrame) -> DataFrame:
-    """ask_id, message_id: by id, else by header id, else the smallest message whose subject holds the words asked for. `asked`: ask_id, id, header_id, words.
+def open_cascade(asked: DataFrame, messages: DataFrame, subjects: TrigramIndex) -> DataFrame:
+    """ask_id, message_id: by id, else by header id, else the smallest message whose subject holds the words asked for, whatever the case. `asked`: ask_id, id, header_id, words; `subjects`: the index of subjects by message_id.
 
-    For the last step, messages of equal subjects are one; subjects and words meet on one piece of the
-    words that is rarest among the subjects (or on all of them, if the words are shorter than a
-    piece), and are compared where they meet.
+    Null and empty words find nothing. Words that several ask for are looked up once.
     """
     by_id = messages.select(F.col("message_id").alias("id"), F.col("message_id").alias("m1"))
     by_header = messages.select("header_id", F.col("message_id").alias("m2")).where("header_id is not null").groupBy("header_id").agg(F.min("m2").alias("m2"))
-    first = asked.join(by_id, "id", "left").join(by_header, "header_id", "left").withColumn("found", F.coalesce("m1", "m2"))
-    rest = first.where("found is null and coalesce(words, '') <> ''").select("ask_id", F.lower("words").alias("words"))
-    subjects = messages.groupBy(F.lower("subject").alias("subject")).agg(F.min("message_id").alias("message_id")).where("subject is not null")
-    pieces = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(size))))
-    parts = [(PIECE, F.length("words") >= PIECE), *((k, F.length("words") == k) for k in range(1, PIECE))]
-    each = subjects.select("subject", "message_id", F.explode(F.concat(*[pieces(F.col("subject"), k) for k, _ in parts])).alias("piece"))
-    wanted = rest.select("ask_id", "words", F.explode(F.coalesce(*[F.when(c, pieces(F.col("words"), k)) for k, c in parts])).alias("piece"))
-    often = each.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("often"))
-    rarest = wanted.join(often, "piece", "left").groupBy("ask_id", "words").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("p")).select("ask_id", "words", "p.piece")
-    third = each.join(rarest, "piece").where(F.contains("subject", "words")).groupBy("ask_id").agg(F.min("message_id").alias("m3"))
-    return first.join(third, "ask_id", "left").select("ask_id", F.coalesce("found", "m3").alias("message_id"))
+    first = asked.join(by_id, "id", "left").join(by_header, "header_id", "left").withColumn("found", F.coalesce("m1", "m2")).withColumn("words", F.when(F.col("found").isNull(), F.lower("words")))
+    third = subjects.least(first.where("words <> ''").select("words")).withColumnRenamed("key", "m3")
+    return first.join(third, "words", "left").select("ask_id", F.coalesce("found", "m3").alias("message_id"))

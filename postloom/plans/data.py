@@ -13,7 +13,9 @@ from postloom.functions import text as T
 from postloom.functions.vectors import cosine
 from postloom.operators import analytics, assist, chunks, context, facts, graph, ingest, keyword, phrases, retrieval, search, threads
 from postloom.operators.ann import VectorIndex
+from postloom.operators.daytable import DayTable
 from postloom.operators.rollups import Rollups
+from postloom.operators.substrings import TrigramIndex
 from postloom.plans.feeds import _place
 from postloom.plans.mail import CLEAN, DOC, HASH, OPEN, PACK, SEGMENT, STRIP, with_document
 from postloom.plans.views import MESSAGES, NOW, messages, table
@@ -85,14 +87,25 @@ def _(m, spark, sf):
 
 
 @query("flag_update", f"{MESSAGES} SELECT message_id, CASE WHEN direction = 'sent' THEN true ELSE is_read END AS is_read, is_replied, CASE WHEN direction = 'sent' THEN NOT is_flagged ELSE is_flagged END AS is_flagged FROM messages")
-def _(m, *_a):
+def _(m, spark, sf):
     news = m.where("direction = 'sent'").select("message_id", F.lit(True).alias("is_read"), F.lit(None).cast("boolean").alias("is_replied"), (~F.col("is_flagged")).alias("is_flagged"))
-    return ingest.update_flags(m.select("message_id", "is_read", "is_replied", "is_flagged"), news, "message_id")
+    kept = DayTable.create(m.select("message_id", "is_read", "is_replied", "is_flagged", "date"), _place(spark, "flags"), "message_id")
+    return kept.update_flags(news).read().drop("date")
 
 
 @query("retention", f"{MESSAGES} SELECT message_id FROM messages WHERE date IS NULL OR date >= TIMESTAMP '{NOW}' - INTERVAL 10 DAYS")
-def _(m, *_a):
-    return ingest.retain(m, NOW, 10).select("message_id")
+def _(m, spark, sf):
+    return DayTable.create(m.select("message_id", "date"), _place(spark, "kept"), "message_id").retain(NOW, 10).read().select("message_id")
+
+
+@query("store_changes", f"{MESSAGES} SELECT CAST(date AS DATE)::VARCHAR AS day, count(*) AS n, count(*) FILTER (CASE WHEN direction = 'sent' THEN NOT is_flagged ELSE is_flagged END) AS flagged FROM messages WHERE date >= TIMESTAMP '{NOW}' - INTERVAL '15 days 18 hours' AND folder <> 'Archive' GROUP BY 1")
+def _(m, spark, sf):
+    """Additions with repeats, changed flags, removals, retention in the middle of a day, and compaction, one after another."""
+    rows = m.select("message_id", "is_read", "is_replied", "is_flagged", "direction", "folder", "date")
+    news = rows.where("direction = 'sent'").select("message_id", F.lit(None).cast("boolean").alias("is_read"), F.lit(None).cast("boolean").alias("is_replied"), (~F.col("is_flagged")).alias("is_flagged"))
+    made = DayTable.create(rows.where("folder <> 'INBOX'"), _place(spark, "changes"), "message_id").insert(rows)
+    changed = made.update_flags(news).remove(rows.where("folder = 'Archive'")).retain("2024-01-25 06:00:00", 16).compact()
+    return changed.read().groupBy(F.col("date").cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if("is_flagged").alias("flagged"))
 
 
 @query("debug_sample", "SELECT doc_id, substr(text, 1, 500) AS text FROM documents ORDER BY doc_id LIMIT 7")
@@ -857,8 +870,10 @@ def _(m, *_a):
 
 
 @query("fact_commitments", f"{CARDS} SELECT email_id, who, what, 'Friday' AS by_when FROM cards WHERE who ILIKE '%ASSISTANT2%'")
-def _(m, *_a):
-    return facts.commitments(_cards(m), "ASSISTANT2")
+def _(m, spark, sf):
+    c = _cards(m)
+    index = _once(spark, sf, "people", lambda path: TrigramIndex.build(facts.people(c), path, "email_id", "who"), "conversations")
+    return facts.commitments(c, "ASSISTANT2", index)
 
 
 @query("fact_action_items", f"{MESSAGES} SELECT message_id AS email_id, 'call back' AS description, recipient1 AS assignee, '' AS deadline FROM messages WHERE turn = 2 AND recipient1 ILIKE '%R3%'")
@@ -867,8 +882,10 @@ def _(m, *_a):
 
 
 @query("fact_entity_search", f"{CARDS} SELECT email_id FROM cards WHERE e1 ILIKE '%acme 3%' OR sender ILIKE '%acme 3%'")
-def _(m, *_a):
-    return facts.with_entity(_cards(m), "acme 3").select("email_id")
+def _(m, spark, sf):
+    c = _cards(m)
+    index = _once(spark, sf, "entities", lambda path: TrigramIndex.build(facts.entities(c), path, "email_id", "entity"), "conversations")
+    return facts.with_entity(c, "acme 3", index).select("email_id")
 
 
 @query("fact_intent_search", f"{CARDS} SELECT email_id FROM cards WHERE intent = 'question'")
@@ -1015,12 +1032,25 @@ def _(m, *_a):
 
 
 @query("mail_open_cascade", f"{MESSAGES[:-1]}, a AS (SELECT conv_id AS ask_id, CASE WHEN conv_id % 3 = 0 THEN message_id END AS id, CASE WHEN conv_id % 3 = 1 THEN 'h' || message_id END AS header_id, CASE WHEN conv_id % 3 = 2 THEN lower(substr(subject, 1, 12)) END AS words FROM messages WHERE turn = 0) SELECT ask_id, coalesce(x.message_id, y.message_id, (SELECT min(z.message_id) FROM messages z WHERE contains(lower(z.subject), a.words))) AS message_id FROM a LEFT JOIN messages x ON x.message_id = a.id LEFT JOIN messages y ON 'h' || y.message_id = a.header_id")
-def _(m, *_a):
+def _(m, spark, sf):
     from postloom.operators.store import open_cascade
 
+    subjects = _once(spark, sf, "subjects", lambda path: TrigramIndex.build(m, path, "message_id", "subject"), "conversations")
     k = F.col("conv_id") % 3
     asked = m.where("turn = 0").select(F.col("conv_id").alias("ask_id"), F.when(k == 0, F.col("message_id")).alias("id"), F.when(k == 1, F.concat(F.lit("h"), "message_id")).alias("header_id"), F.when(k == 2, F.substring("subject", 1, 12)).alias("words"))
-    return open_cascade(asked, m.withColumn("header_id", F.concat(F.lit("h"), "message_id")))
+    return open_cascade(asked, m.withColumn("header_id", F.concat(F.lit("h"), "message_id")), subjects)
+
+
+@query("subject_search", f"{MESSAGES[:-1]}, w AS (SELECT DISTINCT lower(word) AS words FROM (SELECT unnest(string_split(substr(subject, 1, 40), ' ')) AS word FROM messages) WHERE word <> '') SELECT words, count(*) AS n, min(message_id) AS first FROM w JOIN messages ON contains(lower(subject), words) WHERE conv_id % 13 <> 0 GROUP BY 1")
+def _(m, spark, sf):
+    """Each word of a subject as a piece of any subject, in an index of two segments with removed messages."""
+
+    def make(path):
+        later = F.col("conv_id") % 2 == 0
+        return TrigramIndex.build(m.where(~later), path, "message_id", "subject").add(m.where(later), "message_id", "subject").remove(m.where("conv_id % 13 = 0"), "message_id")
+
+    words = m.select(F.explode(F.split(F.substring("subject", 1, 40), " ")).alias("words"))
+    return _once(spark, sf, "subject_segments", make, "conversations").keys(words).groupBy("words").agg(F.count("*").alias("n"), F.min("key").alias("first"))
 
 
 @query("embed_hashed", "SELECT doc_id, len(regexp_extract_all(lower(text), '" + T.TOKEN + "')) > 0 AS unit FROM documents")
@@ -1059,6 +1089,6 @@ def _(m, spark, sf):
     from postloom.operators.store import Store, after_ingest
 
     store = Store(spark, _place(spark, "store"))
-    store.write("messages", m)
-    store.write("chunks", chunks.chunk(with_document(m).select(F.col("message_id").alias("email_id"), "subject", "document")))
+    store.days("messages", m)
+    store.days("chunks", chunks.chunk(with_document(m).select(F.col("message_id").alias("email_id"), "subject", "document")), "email_id", None)
     return after_ingest(store, NOW, 10)

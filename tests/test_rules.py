@@ -12,6 +12,7 @@ from postloom.functions import text as T
 from postloom.operators import analytics, chunks, context, graph, ingest, keyword, search, threads
 from postloom.operators import backends, facts, retrieval, store
 from postloom.operators.ann import VectorIndex
+from postloom.operators.substrings import TrigramIndex
 from postloom.sources import accounts, adapters, items, rfc822
 
 NOW = "2024-01-25 00:00:00"
@@ -413,10 +414,11 @@ def test_duplicates_are_decided_by_their_values(spark):
     assert ingest.insert_new(seen.limit(0), seen, "mid_hash").first()["is_read"] is False
 
 
-def test_clicks_find_messages_by_words(spark):
+def test_clicks_find_messages_by_words(spark, tmp_path):
     m = spark.createDataFrame([(f"m{i}", f"h{i}", s) for i, s in enumerate(["Budget plan", "the PLAN b", None, "ab", "plan", "plan"])], "message_id string, header_id string, subject string")
     asked = [("1", "m4", None, None), ("2", "x", "h3", "plan"), ("3", None, None, "Plan"), ("4", None, None, "b"), ("5", None, None, "zz"), ("6", None, None, "lan b"), ("7", None, None, ""), ("8", None, None, "t p")]
-    got = {r["ask_id"]: r["message_id"] for r in store.open_cascade(spark.createDataFrame(asked, "ask_id string, id string, header_id string, words string"), m).collect()}
+    subjects = TrigramIndex.build(m, f"{tmp_path}/subjects", "message_id", "subject")
+    got = {r["ask_id"]: r["message_id"] for r in store.open_cascade(spark.createDataFrame(asked, "ask_id string, id string, header_id string, words string"), m, subjects).collect()}
     assert got == {"1": "m4", "2": "m3", "3": "m0", "4": "m0", "5": None, "6": "m1", "7": None, "8": "m0"}
 
 
