@@ -91,9 +91,19 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(_chars(F.reverse(digits)), F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), lambda acc, c: F.struct((acc["i"] + 1).alias("i"), (acc["s"] + F.when(acc["i"] % 2 == 0, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).alias("s")), lambda acc: acc["s"])
 
 
+#: Mail providers, whose domains name nobody.
+PROVIDERS = "aol.com fastmail.com free.fr gmail.com gmx.de gmx.net googlemail.com hotmail.com icloud.com laposte.net live.com mail.ru me.com msn.com orange.fr outlook.com proton.me protonmail.com qq.com t-online.de web.de yahoo.com yandex.ru"
+#: Labels that make a public suffix together with a country's two letters.
+SECOND_LEVEL = "ac|co|com|edu|gob|gov|mil|ne|net|nom|or|org"
+
+
 def _email(m: Column, key: Key) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(_written(feistel(F.transform(_chars(local), _char_slot), key, "email")), F.substr(m, F.length(local) + 1))
+    """The local part and the domain's labels before its public suffix are permuted, each for itself; domains of mail providers stay. Domains differing in case only get one pseudonym."""
+    permuted = lambda part, tweak: _written(feistel(F.transform(_chars(part), _char_slot), key, tweak))
+    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    own = F.regexp_extract(host, rf"(?i)^(.+?)(?:\.(?:{SECOND_LEVEL})(?=\.[a-z]{{2}}$))?\.[a-z]{{2,24}}$", 1)
+    moved = F.when(F.lower(host).isin(PROVIDERS.split()), host).otherwise(F.concat(permuted(own, "host"), F.substr(host, F.length(own) + 1)))
+    return F.concat(permuted(local, "email"), F.lit("@"), moved)
 
 
 def _card(m: Column, key: Key) -> Column:

@@ -79,12 +79,23 @@ def luhn(s):
     return sum(d[::2]) + sum(sum(divmod(2 * v, 10)) for v in d[1::2])
 
 
+def test_domains_of_addresses(spark):
+    """Personal domains go, equal ones stay linked whatever their case, providers and public suffixes stay."""
+    hosts = ["janedoe-family.org", "JaneDoe-Family.org", "jane.doe.co.uk", "co.uk", "gmail.com", "Gmail.com", "x.y.com.com"]
+    rows = spark.createDataFrame([(i, f"me@{h}") for i, h in enumerate(hosts)], DOCS)
+    got = [r["text"].split("@")[1] for _, r in sorted(rows_by_id(pii.pseudonymize(rows, "k")).items())]
+    for h, g, kept in zip(hosts, got, [".org", ".org", ".co.uk", ".uk", "gmail.com", "Gmail.com", ".com"]):
+        assert g.endswith(kept) and len(g) == len(h) and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", g)) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", h))
+        assert (g == h) == (h == kept)
+    assert got[0] == got[1].lower() and got[0] != got[1]
+
+
 def test_pseudonyms_keep_formats_and_links(spark):
     text = "a.b+1@mail.example.com 4111111111111111 4111 1111 1111 1111 4111111111111112 +1 (724) 555-7058 123-45-6789 10.20.30.40 2024-02-29 31.12.1999 29/02/2023 1.2.3 v10.20.30.40.5"
     rows = spark.createDataFrame([(1, text), (2, "see 4111111111111111, mail a.b+1@mail.example.com."), (3, None), (4, ""), (5, "nothing 12 here")], DOCS)
     got = rows_by_id(pii.pseudonymize(rows, "k"))
     out = got[1]["text"]
-    parts = re.fullmatch(r"([a-z])\.([a-z])\+(\d)@mail\.example\.com (4\d{15}) (4\d{3}(?: \d{4}){3}) 4111111111111112 (\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}) (\d{3}-\d\d-\d{4}) ((?:\d+\.){3}\d+) (\d{4}-\d\d-\d\d) (\d\d\.\d\d\.\d{4}) 29/02/2023 1\.2\.3 v10\.20\.30\.40\.5", out)
+    parts = re.fullmatch(r"([a-z])\.([a-z])\+(\d)@(?!mail)[a-z]{4}\.(?!example)[a-z]{7}\.com (4\d{15}) (4\d{3}(?: \d{4}){3}) 4111111111111112 (\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}) (\d{3}-\d\d-\d{4}) ((?:\d+\.){3}\d+) (\d{4}-\d\d-\d\d) (\d\d\.\d\d\.\d{4}) 29/02/2023 1\.2\.3 v10\.20\.30\.40\.5", out)
     assert parts, out
     assert luhn(parts[4]) % 10 == 0 and luhn(parts[5].replace(" ", "")) % 10 == 0
     assert parts[4] != "4111111111111111" and parts[8] != "10.20.30.40" and parts[9] != "2024-02-29"
@@ -233,6 +244,11 @@ def plain_pseudonyms(text, key):
     def one(m):
         if "@" in m:
             local, host = m.split("@")
+            labels = host.split(".")
+            if host.lower() not in pii.PROVIDERS.split():
+                two = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2].lower() in pii.SECOND_LEVEL.split("|")
+                suffix = labels[-2:] if two else labels[-1:]
+                host = ".".join([permuted(".".join(labels[: -len(suffix)]), "host"), *suffix])
             return f"{permuted(local, 'email')}@{host}"
         digits = re.sub(r"\D", "", m)
         if regex.fullmatch(pii.KINDS[1].pattern, m, regex.A):
