@@ -25,11 +25,12 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[fl
 
 
 def hashed(rows: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
-    """Adds `embedding`: term frequencies in `size` hashed places, scaled to length 1 (all zeros for no words). Nothing is fitted."""
-    from pyspark.ml.feature import HashingTF, Normalizer
+    """Adds `embedding`: term frequencies in `size` places (256 at most), scaled to length 1 (all zeros for no words). A token's place is the first byte of its MD5 sum, modulo `size`. Nothing is fitted."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = rows.withColumn("_words", tokenize(F.coalesce(text, F.lit(""))))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
+    place = F.create_map(*[x for b in range(256) for x in (F.lit(f"{b:02x}"), F.lit(str(b % size)))])
+    words = rows.withColumn("_places", F.transform(tokenize(F.coalesce(text, F.lit(""))), lambda t: F.element_at(place, F.substring(F.md5(t.cast("binary")), 1, 2))))
+    counter = CountVectorizerModel.from_vocabulary([str(b) for b in range(size)], "_places", "_tf")
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counter.transform(words))
     return unit.withColumn("embedding", vector_to_array("_unit")).select(*rows.columns, "embedding")

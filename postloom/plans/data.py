@@ -1053,13 +1053,14 @@ def _(m, spark, sf):
     return _once(spark, sf, "subject_segments", make, "conversations").keys(words).groupBy("words").agg(F.count("*").alias("n"), F.min("key").alias("first"))
 
 
-@query("embed_hashed", "SELECT doc_id, len(regexp_extract_all(lower(text), '" + T.TOKEN + "')) > 0 AS unit FROM documents")
+@query("embed_hashed", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '" + T.TOKEN + "')) AS token FROM documents), p AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 2))::INTEGER % 64 AS place, count(*) AS n FROM t GROUP BY 1, 2) SELECT d.doc_id, count(n) AS places, arg_max(place, (n, -place)) AS top, coalesce(round(sum(n * (place + 1)) / sqrt(sum(n * n)), 4), 0) AS moment FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY 1")
 def _(m, spark, sf):
-    from postloom.functions.vectors import dot
+    """What tells the values of each embedding: how many places it has, the largest, and the sum of values times places."""
     from postloom.operators.embed import hashed
 
-    v = hashed(table(spark, sf, "documents")).select("doc_id", F.col("embedding").alias("v"))
-    return v.select("doc_id", (F.round(dot(F.col("v"), F.col("v")), 6) == 1).alias("unit"))
+    each = hashed(table(spark, sf, "documents")).select("doc_id", F.posexplode("embedding").alias("place", "value"))
+    some = F.when(F.col("value") > 0, F.struct("value", -F.col("place")))
+    return each.groupBy("doc_id").agg(F.count(some).alias("places"), F.max_by("place", some).alias("top"), F.round(F.sum(F.col("value") * (F.col("place") + 1)), 4).alias("moment"))
 
 
 @query("embed_model", None)

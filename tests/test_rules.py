@@ -517,3 +517,20 @@ def test_phrases_are_found_as_by_a_search_for_each(spark, monkeypatch, size):
     want = sorted({(k, t) for k, x in texts for p, t in table if x and p and t and p.lower() in x.lower()}, key=repr)
     assert sorted({tuple(r) for r in phrases.tagged(rows, known, "k").collect()}, key=repr) == want
     assert phrases.tagged(rows, known.limit(0), "k").count() == 0 and phrases.tagged(rows.limit(0), known, "k").count() == 0
+
+
+def test_hashed_embeddings_are_counts_by_place(spark):
+    import hashlib
+    import math
+
+    from postloom.operators.embed import hashed
+
+    text = "the plan, the Plan and 12 budgets"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
+    got = {r["doc_id"]: list(r["embedding"]) for r in hashed(rows, size=16).collect()}
+    tokens = spark.createDataFrame([(text,)], "t string").select(T.tokenize(F.col("t"))).first()[0]
+    want = [0] * 16
+    for t in tokens:
+        want[hashlib.md5(t.encode()).digest()[0] % 16] += 1
+    length = math.sqrt(sum(n * n for n in want))
+    assert len(tokens) >= 6 and [round(x * length, 9) for x in got[1]] == want and got[2] == got[3] == got[4] == [0.0] * 16
