@@ -974,6 +974,11 @@ def _(m, *_a):
     return context.as_events(m.select("conv_id", "turn", "message_id"), "conv_id", ("turn", "message_id"))
 
 
+@query("event_stream_of_all", f"""{MESSAGES[:-1]}, n AS (SELECT row_number() OVER (ORDER BY turn, conv_id) AS event_no, conv_id, turn FROM messages) SELECT event_no, 'data: {{"conv_id":' || conv_id || ',"turn":' || turn || '}}' || chr(10) || chr(10) AS event FROM n UNION ALL SELECT max(event_no) + 1, 'data: [DONE]' || chr(10) || chr(10) FROM n HAVING count(*) > 0""")
+def _(m, *_a):
+    return context.as_events(m.select("conv_id", "turn"), None, ("turn",))
+
+
 PROMPTS = f"{MESSAGES[:-1]}, k AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'meeting' ELSE 'research' END AS kind, CASE WHEN conv_id % 4 = 0 THEN '' ELSE body END AS context FROM messages) "
 _case = lambda texts: "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
 

@@ -534,3 +534,12 @@ def test_hashed_embeddings_are_counts_by_place(spark):
         want[hashlib.md5(t.encode()).digest()[0] % 16] += 1
     length = math.sqrt(sum(n * n for n in want))
     assert len(tokens) >= 6 and [round(x * length, 9) for x in got[1]] == want and got[2] == got[3] == got[4] == [0.0] * 16
+
+
+def test_rows_numbered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(context, "RANGES", 3)
+    rows = [(i % 7, None if i % 11 == 0 else f"v{i % 13}", "x") for i in range(200)]
+    got = context.in_order(spark.createDataFrame(rows, "a int, b string, n string").repartition(5), ("b",)).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    assert [tuple(r)[:3] for r in sorted(got, key=lambda r: r["row_no"])] == want and sorted(r["row_no"] for r in got) == list(range(1, 201))
+    assert context.as_events(spark.createDataFrame([], "a int")).count() == 0
