@@ -41,10 +41,11 @@ class Store:
         return self.spark.read.parquet(at)
 
     def days(self, table: str, rows: DataFrame | None = None, key: str = "message_id", date: str | None = "date") -> DayTable:
-        """A table whose changes are written by day: the stored one, or made of `rows` where there is none."""
+        """A table whose changes are written by day: the stored one, or made of `rows` where there is none (of the last version that write() left, if none are given)."""
         path = f"{self.root}/{table}"
         if Manifest(self.spark, f"{path}/versions").versions():
             return DayTable.load(self.spark, path)
+        rows = self.read(table) if rows is None else rows
         if rows is None:
             raise FileNotFoundError(f"{path}: no table")
         return DayTable.create(rows, path, key, date)

@@ -319,8 +319,12 @@ def test_store_keeps_versions_and_clears_all(spark, tmp_path):
     assert s.read("messages").count() == 2 and s.versions("messages") == [0, 1]
     s.write("chunks", spark.createDataFrame([("c1", "a b a")], "chunk_id string, text string"))
     assert s.index().postings.count() == 2 and s.index().version == 0 and s.refresh_index().version == 0
+    kept = s.days("messages", key="id", date=None).remove(spark.range(2))
+    assert [r["id"] for r in s.days("messages").read().collect()] == [2] and kept.version == 1
     s.clear()
     assert s.read("messages") is None and s.versions("index") == []
+    with pytest.raises(FileNotFoundError):
+        s.days("messages")
 
 
 def test_failed_answers_keep_the_others(spark):
