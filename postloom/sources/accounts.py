@@ -46,9 +46,21 @@ def is_extractable(mime: Column, filename: Column) -> Column:
     return F.coalesce(F.lower(mime).isin(*MIME_TYPES), F.lit(False)) | ext.isin(*EXTENSIONS)
 
 
-def folder_paths(folders: DataFrame) -> DataFrame:
-    """id, path, depth of folders (id, parent, name) from their roots."""
-    return folders.sparkSession.sql("WITH RECURSIVE t (id, path, depth) AS (SELECT id, name, 1 FROM {f} WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1 FROM {f} f JOIN t ON f.parent = t.id) SELECT id, path, depth FROM t", f=folders)
+def folder_paths(folders: DataFrame, path: str) -> DataFrame:
+    """id, path, depth of folders (id, parent, name) from their roots. Each level is a join with the one above, written under `path`, so trees may be of any size and depth. Folders without a root (below a parent that isn't there, or in a circle) are left out."""
+    spark, most = folders.sparkSession, folders.count()
+    children = folders.where("parent is not null").select("id", "parent", "name")
+    level = folders.where("parent is null").select("id", F.col("name").alias("path"), F.lit(1).alias("depth"))
+    written: list[str] = []
+    while True:
+        if len(written) > most:
+            raise ValueError("folders lie within themselves: an id below a root is met again")
+        written.append(f"{path}/{len(written) + 1}")
+        level.write.parquet(written[-1])
+        above = spark.read.schema(level.schema).parquet(written[-1])
+        if above.isEmpty():
+            return spark.read.schema(level.schema).parquet(*written)
+        level = children.join(above.withColumnRenamed("id", "parent"), "parent").select("id", F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
 
 
 # Names of a desktop client's own folders, and their numbers there.
@@ -61,8 +73,8 @@ def default_folder(name: Column) -> Column:
     return F.try_element_at(known, F.lower(F.trim(name)))
 
 
-def find_folders(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+def find_folders(folders: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     """name, id, path: of each wanted `name` the first folder so called, in any case, in depth-first order (by path, segment by segment)."""
-    named = folder_paths(folders).join(folders.select("id", F.lower("name").alias("low")), "id")
+    named = folder_paths(folders, path).join(folders.select("id", F.lower("name").alias("low")), "id")
     hits = wanted.select("name", F.lower("name").alias("low")).join(named, "low")
     return hits.groupBy("name").agg(F.min(F.struct(F.split("path", "/").alias("at"), "id", "path")).alias("f")).select("name", "f.id", "f.path")
