@@ -74,7 +74,7 @@ def default_folder(name: Column) -> Column:
 
 
 def find_folders(folders: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """name, id, path: of each wanted `name` the first folder so called, in any case, in depth-first order (by path, segment by segment)."""
+    """name, id, path: of each wanted `name` the first folder so called, in any case, in depth-first order (by path, segment by segment). Of all folders of a name one is left before names meet, so a name that many have meets in no one task."""
     named = folder_paths(folders, path).join(folders.select("id", F.lower("name").alias("low")), "id")
-    hits = wanted.select("name", F.lower("name").alias("low")).join(named, "low")
-    return hits.groupBy("name").agg(F.min(F.struct(F.split("path", "/").alias("at"), "id", "path")).alias("f")).select("name", "f.id", "f.path")
+    first = named.groupBy("low").agg(F.min(F.struct(F.split("path", "/").alias("at"), "id", "path")).alias("f"))
+    return wanted.select("name", F.lower("name").alias("low")).distinct().join(first, "low").select("name", "f.id", "f.path")
