@@ -1,7 +1,10 @@
 """What held queries back on larger tables."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from postloom.operators import ann
 from postloom.sources import accounts
 
 
@@ -29,3 +32,22 @@ def test_a_folder_below_itself_is_an_error(spark, tmp_path):
     rows = spark.createDataFrame([(1, None, "a"), (1, 1, "b")], "id long, parent long, name string")
     with pytest.raises(ValueError):
         accounts.folder_paths(rows, str(tmp_path))
+
+
+def test_all_cells_hand_on_the_best_of_each_meeting_only(spark, tmp_path, monkeypatch):
+    """Many copies, ids as text, and blocks smaller than the tables."""
+    monkeypatch.setattr(ann, "EXACT_ROWS", 40)
+    rng = np.random.default_rng(3)
+    made = rng.normal(size=(60, 5)).round(2)
+    x = np.concatenate([made, made[:2].repeat(50, axis=0), np.zeros((1, 5))])
+    v = spark.createDataFrame([(f"v{i:03}", r.tolist()) for i, r in enumerate(x)], "id string, embedding array<double>")
+    index = ann.VectorIndex.fit(v, f"{tmp_path}/i", n_cells=5, code_bytes=2)
+    asked = v.where("id < 'v061' or id >= 'v158'")
+    found = index.search_all(asked, 7)
+    unit = x[:-1] / np.linalg.norm(x[:-1], axis=1, keepdims=True)
+    near = lambda i: sorted((-float(np.floor(unit[i] @ u * 1e6 + 0.5)), f"v{j:03}") for j, u in enumerate(unit))[:7]
+    want = [(f"v{i:03}", id, p) for i in [*range(61), 158, 159] for p, (_, id) in enumerate(near(i), 1)]
+    assert [tuple(r) for r in found.orderBy("query_id", "place").select("query_id", "id", "place").collect()] == want
+    assert found.agg(F.max("relevance")).first()[0] == 1.0
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in joins and "BroadcastHashJoin" not in joins  # no pair is joined to its vectors
