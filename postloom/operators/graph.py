@@ -135,9 +135,10 @@ def pair_threads(messages: DataFrame) -> DataFrame:
     return _pairs(_members(messages)).select("src", "dst", "conversation_id")
 
 
-def person_pairs(messages: DataFrame) -> DataFrame:
-    """src < dst, weight (threads of both), replies, quotes. pair_threads() has the threads."""
-    return pair_threads(messages).join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"))
+def person_pairs(messages: DataFrame, with_threads: bool = False) -> DataFrame:
+    """src < dst, weight (threads of both), replies, quotes; and thread_ids (sorted) if asked for. pair_threads() has the threads as rows."""
+    ids = [F.sort_array(F.collect_list("conversation_id")).alias("thread_ids")] if with_threads else []
+    return pair_threads(messages).join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"), *ids)
 
 
 def _topic_threads(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
