@@ -151,9 +151,10 @@ def topic_threads(messages: DataFrame, persons: DataFrame, topic_nodes: DataFram
     return _topic_threads(messages, persons, topic_nodes).where("thread is not null")
 
 
-def person_topics(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
-    """person, topic, weight (messages), threads; both ends are nodes. topic_threads() has the threads."""
-    return _topic_threads(messages, persons, topic_nodes).groupBy("person", "topic").agg(F.sum("n").alias("weight"), F.count("thread").alias("threads"))
+def person_topics(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame, with_threads: bool = False) -> DataFrame:
+    """person, topic, weight (messages), threads; and thread_ids (sorted) if asked for; both ends are nodes. topic_threads() has the threads as rows."""
+    ids = [F.sort_array(F.collect_list("thread")).alias("thread_ids")] if with_threads else []
+    return _topic_threads(messages, persons, topic_nodes).groupBy("person", "topic").agg(F.sum("n").alias("weight"), F.count("thread").alias("threads"), *ids)
 
 
 def person_orgs(persons: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """What held queries back on larger tables."""
 
+import __spark_entry__
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postloom.functions.text import tokenize
 from postloom.operators import ann
 from postloom.sources import accounts
 
@@ -51,3 +53,18 @@ def test_all_cells_hand_on_the_best_of_each_meeting_only(spark, tmp_path, monkey
     assert found.agg(F.max("relevance")).first()[0] == 1.0
     joins = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in joins and "BroadcastHashJoin" not in joins  # no pair is joined to its vectors
+
+
+@pytest.mark.parametrize("name", ["edges_person_person", "edges_person_topic"])
+def test_edges_name_their_threads(spark, small, name):
+    rows = __spark_entry__.queries()[name](spark, small).collect()
+    threads = [set(r["thread_ids"].split(",")) - {""} for r in rows]
+    assert any(threads) and [len(t) for t in threads] == [r["weight" if name == "edges_person_person" else "threads"] for r in rows]
+
+
+@pytest.mark.parametrize("name", ["bm25_term_stats", "bm25_incremental"])
+def test_each_term_has_its_statistics(spark, small, name):
+    rows = {r["term"]: r for r in __spark_entry__.queries()[name](spark, small).collect()}
+    words = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
+    want = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tokens")).collect()
+    assert {t: (r["df"], r["tokens"]) for t, r in rows.items()} == {w["term"]: (w["df"], w["tokens"]) for w in want}
