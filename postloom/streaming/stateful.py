@@ -1,8 +1,9 @@
 """Streams with keyed state: which messages are new, and what state a thread is in.
 
-State is held by key in RocksDB, in the query's checkpoint, so an epoch reads its own rows and the state
-of their keys, however many epochs came before. What an epoch gives is written under its number; a
-repeated epoch overwrites its own output.
+State of threads is held by key in RocksDB, in the query's checkpoint, so an epoch reads its own rows and
+the state of their keys, however many epochs came before. What is known of messages is what earlier epochs
+wrote: an epoch reads the keys and flags of these, and joins them. What an epoch gives is written under its
+number; a repeated epoch overwrites its own output, and knows only epochs before it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from postloom.operators import ingest
+from postloom.operators.manifest import Manifest
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
@@ -140,9 +143,45 @@ def classified(messages: DataFrame, ttl_days: int = 365) -> DataFrame:
     return by_body.select(*columns, "mid_hash", "body_hash", "status")
 
 
+def classify_epoch(messages: DataFrame, ids: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The rows with mid_hash, body_hash, `status` and `last_of_id` (the row whose flags are its id's from now on), by the rules of classified(), as joins and windows over a whole epoch. `ids` (mid_hash, was: flags) and `bodies` (body_hash) are known. Rows that match nothing are spread by all their values."""
+    columns = messages.columns
+    order = [F.col("date").asc_nulls_first(), F.coalesce("message_id", F.lit("")), *[F.col(c) for c in columns if c not in ("date", "message_id")]]
+    alone = F.concat(F.lit("none:"), F.xxhash64(*columns).cast("string"))
+    flags = F.struct(*[F.coalesce(f, F.lit(False)).alias(f) for f in ingest.FLAGS])
+    keyed = ingest.with_keys(messages).withColumn("id_key", F.coalesce("mid_hash", alone)).join(ids.select(F.col("mid_hash").alias("id_key"), "was"), "id_key", "left")
+    w = Window.partitionBy("id_key").orderBy(*order)
+    by_id = keyed.withColumn("nth", F.row_number().over(w)).withColumn("last_of_id", F.lead(F.lit(1)).over(w).isNull() & F.col("mid_hash").isNotNull()).withColumn("before", F.coalesce("was", F.first(flags).over(w)))
+    unknown = F.col("mid_hash").isNull() | (F.col("was").isNull() & (F.col("nth") == 1))
+    status = F.when(unknown, "candidate").when(F.col("last_of_id") & ~flags.eqNullSafe(F.col("before")), "changed").otherwise("duplicate")
+    judged = by_id.withColumn("status", status).select(*columns, "mid_hash", "body_hash", "status", "last_of_id")
+    asks = F.col("body_hash").isNotNull() & (F.col("status") == "candidate")
+    met = judged.withColumn("body_key", F.when(asks, F.col("body_hash")).otherwise(alone)).join(bodies.select(F.col("body_hash").alias("body_key"), F.lit(True).alias("known")), "body_key", "left")
+    first = F.row_number().over(Window.partitionBy("body_key").orderBy(*order)) == 1
+    final = F.when(F.col("status") != "candidate", F.col("status")).when(asks & (F.col("known").isNotNull() | ~F.col("first")), "duplicate").otherwise("new")
+    return met.withColumn("first", first).withColumn("status", final).select(*columns, "mid_hash", "body_hash", "status", "last_of_id")
+
+
+def _known(spark: SparkSession, path: str, epoch: int, schema: StructType, ttl_days: int) -> tuple[DataFrame, DataFrame]:
+    """(ids, bodies) that the epochs before this one wrote, less those that were last written more than `ttl_days` ago; four narrow columns are read of each row."""
+    earlier = [f"{path}/{name}" for name in Manifest(spark, path).subfolders() if name.startswith("epoch=") and int(name[6:]) < epoch]
+    shape = StructType([*schema.fields, *StructType.fromDDL("mid_hash string, body_hash string, last_of_id boolean, taken_at timestamp, status string, epoch long").fields])
+    rows = spark.read.schema(shape).option("basePath", path).parquet(*earlier) if earlier else spark.createDataFrame([], shape)
+    rows = rows.where(F.col("taken_at") >= F.current_timestamp() - F.expr(f"INTERVAL {ttl_days} DAYS"))
+    flags = F.struct(*[F.coalesce(f, F.lit(False)).alias(f) for f in ingest.FLAGS])
+    ids = rows.where("last_of_id").groupBy("mid_hash").agg(F.max_by(flags, "epoch").alias("was"))
+    return ids, rows.where("status = 'new' and body_hash is not null").select("body_hash").distinct()
+
+
 def ingest_stream(messages: DataFrame, path: str, checkpoint: str, ttl_days: int = 365) -> None:
-    """Writes what has arrived under `path`, by epoch and status."""
-    run_available(classified(messages, ttl_days), lambda rows, epoch: rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/epoch={epoch}"), checkpoint, idle_batches=False)
+    """Writes what has arrived under `path`, by epoch and status. An epoch is classified as a whole, against what earlier epochs wrote there, so its cost is that of a few joins and not of a call for each id; `path` goes with its checkpoint. classified() keeps the same state by key instead, for epochs of few rows."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        made = classify_epoch(rows, *_known(spark, path, epoch, rows.schema, ttl_days)).withColumn("taken_at", F.current_timestamp())
+        made.write.mode("overwrite").partitionBy("status").parquet(f"{path}/epoch={epoch}")
+
+    run_available(messages, write, checkpoint, idle_batches=False)
 
 
 def ingested(spark: SparkSession, path: str, status: str) -> DataFrame:

@@ -1,13 +1,20 @@
 """What held queries back on larger tables."""
 
+import datetime
+import os
+import random
+
 import __spark_entry__
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
-from postloom.operators import ann
+from postloom.operators import ann, ingest
 from postloom.sources import accounts
+from postloom.streaming import stateful
+from tests.test_streams import Handle
 
 
 @pytest.fixture
@@ -68,3 +75,37 @@ def test_each_term_has_its_statistics(spark, small, name):
     words = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
     want = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tokens")).collect()
     assert {t: (r["df"], r["tokens"]) for t, r in rows.items()} == {w["term"]: (w["df"], w["tokens"]) for w in want}
+
+
+def test_an_epoch_is_classified_as_by_keyed_state(spark, tmp_path):
+    """Three runs of one checkpoint, against the processors that hold state by key. No state is held by key where whole epochs are joined."""
+    rng, shape = random.Random(5), "message_id string, date timestamp_ntz, body string, is_read boolean, is_replied boolean, is_flagged boolean"
+    some = lambda n: [(rng.choice(["", None, *(f"m{i}" for i in range(12))]), datetime.datetime(2024, 1, rng.randint(1, 28), i % 24, i // 24), rng.choice(["", "one text", "other text", *(f"text {i}" for i in range(9))]), rng.random() < 0.5, False, False) for i in range(n)]
+    states: dict = {}
+    want, out, at = [], f"{tmp_path}/out", f"{tmp_path}/at"
+    for epoch in range(3):
+        spark.createDataFrame(some(40), shape).coalesce(1).write.parquet(f"{tmp_path}/in/{epoch}")
+        stateful.ingest_stream(spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), out, at)
+        rows = ingest.with_keys(spark.read.schema(shape).parquet(f"{tmp_path}/in/{epoch}")).toPandas()
+        rows["place"] = rows["date"].astype(str) + rows["message_id"].fillna("")
+        for kind, key in ((stateful._ById, "mid_hash"), (stateful._ByBody, "body_hash")):
+            given = []
+            for value, part in rows.groupby(rows[key].fillna("none"), sort=False):
+                if (kind, value) not in states:
+                    states[kind, value] = kind(1)
+                    states[kind, value].init(Handle())
+                given += list(states[kind, value].handleInputRows((value,), iter([part]), None))
+            rows = pd.concat(given)
+        want += [(epoch, r["date"], r["status"]) for _, r in rows.iterrows()]
+    got = spark.read.option("basePath", out).parquet(out)
+    assert sorted((r["epoch"], r["date"], r["status"]) for r in got.collect()) == sorted(want)
+    assert {s for _, _, s in want} == {"new", "changed", "duplicate"} and not os.path.exists(f"{at}/state")
+
+
+def test_what_is_known_is_forgotten_and_a_repeated_epoch_knows_earlier_ones_only(spark, tmp_path):
+    shape, day = "message_id string, date timestamp_ntz, body string, is_read boolean, is_replied boolean, is_flagged boolean", datetime.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("m", day, "a text", True, False, False)], shape)
+    known = lambda epoch: stateful._known(spark, str(tmp_path), epoch, rows.schema, 365)
+    for epoch, age in ((0, 400), (1, 1)):
+        stateful.classify_epoch(rows, *known(epoch)).withColumn("taken_at", F.expr(f"current_timestamp() - INTERVAL {age} DAYS")).write.partitionBy("status").parquet(f"{tmp_path}/epoch={epoch}")
+    assert [[d.count() for d in known(e)] for e in (0, 1, 2)] == [[0, 0], [0, 0], [1, 1]]
