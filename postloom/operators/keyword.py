@@ -34,27 +34,34 @@ FIRST_SLOTS = 16
 LISTED_SLOTS = 2000
 #: An index of fewer documents is scored in one pass: two more jobs would cost more than the blocks they leave out.
 SMALL_DOCS = 100_000
+#: Documents whose terms are counted at once.
+COUNT_ROWS = 256
 #: Segments of one size (within a factor of TIER) that compact() leaves alone.
 TIER = 4
 
 
+def _counted(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, doc_len, terms, tfs of a batch (doc_id, tokens), of COUNT_ROWS rows at a time: what counting holds doesn't grow with the batch."""
+    for at in range(0, b.num_rows, COUNT_ROWS):
+        part = b.slice(at, COUNT_ROWS)
+        lists = part.column(1)
+        length = np.diff(lists.offsets.to_numpy()) * np.asarray(lists.is_valid())
+        coded = lists.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        pair, times = np.unique(np.repeat(np.arange(part.num_rows), length) * size + coded.indices.to_numpy(), return_counts=True)
+        cuts = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) * size), pa.int32())
+        terms = pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(pair % size)).cast(pa.string()))
+        tfs = pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int64()), terms, tfs], ["doc_id", "doc_len", "terms", "tfs"])
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, doc_len, terms, tfs of each row: tokens are found once, in the JVM, and counted by batch."""
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(1)
-            length = np.diff(lists.offsets.to_numpy()) * np.asarray(lists.is_valid())
-            coded = lists.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            pair, times = np.unique(np.repeat(np.arange(b.num_rows), length) * size + coded.indices.to_numpy(), return_counts=True)
-            cuts = pa.array(np.searchsorted(pair, np.arange(b.num_rows + 1) * size), pa.int32())
-            terms = pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(pair % size)).cast(pa.string()))
-            tfs = pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int64()), terms, tfs], ["doc_id", "doc_len", "terms", "tfs"])
+            yield from _counted(b)
 
     return docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts")).mapInArrow(run, f"doc_id {kind.simpleString()}, doc_len long, terms array<string>, tfs array<long>")
 

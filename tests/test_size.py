@@ -3,15 +3,18 @@
 import datetime
 import os
 import random
+import tracemalloc
+from collections import Counter
 
 import __spark_entry__
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
-from postloom.operators import ann, ingest
+from postloom.operators import ann, ingest, keyword
 from postloom.sources import accounts
 from postloom.streaming import stateful
 from tests.test_streams import Handle
@@ -109,3 +112,31 @@ def test_what_is_known_is_forgotten_and_a_repeated_epoch_knows_earlier_ones_only
     for epoch, age in ((0, 400), (1, 1)):
         stateful.classify_epoch(rows, *known(epoch)).withColumn("taken_at", F.expr(f"current_timestamp() - INTERVAL {age} DAYS")).write.partitionBy("status").parquet(f"{tmp_path}/epoch={epoch}")
     assert [[d.count() for d in known(e)] for e in (0, 1, 2)] == [[0, 0], [0, 0], [1, 1]]
+
+
+def _peak(work):
+    """MB that numpy held at once."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_nearest_cells_are_found_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    x, book = rng.normal(size=(10_000, 8)), ann.Codebook(rng.normal(size=(2_000, 8)), np.zeros((1, 1, 1)))
+    near, mb = _peak(lambda: book.cells(x, 3))
+    far = ((x[:50, None, :] - book.centers[None]) ** 2).sum(axis=2)
+    assert near.shape == (10_000, 3) and (near[:50] == far.argsort(axis=1)[:, :3]).all() and mb < 60
+    assert book.cells(x[:0]).shape == (0, 1)
+
+
+def test_terms_are_counted_in_bounded_memory():
+    tokens = [[f"t{(i * j) % 50}" for j in range(100)] if i % 7 else None if i % 2 else [] for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "ts"]).slice(3)
+    done, mb = _peak(lambda: sum((b.num_rows for b in keyword._counted(batch))))
+    assert done == 9_997 and mb < 8
+    rows = [r for b in keyword._counted(batch) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["doc_len"], dict(zip(r["terms"], r["tfs"]))) for r in rows] == [(i, len(t or []), dict(Counter(t or []))) for i, t in enumerate(tokens)][3:]
