@@ -20,11 +20,11 @@ THRESHOLDS = {"research": 0.3, "topic_map": 0.25, "entity_map": 0.45}
 
 @dataclass(frozen=True)
 class Corpus:
-    """`documents` (id, document, and the columns that filters name), `vectors` (id, embedding), and the keyword index of the documents."""
+    """`documents` (id, document, and the columns that filters name), `vectors` (id, embedding), and the keyword index of the documents, which what looks among vectors only does without."""
 
     documents: DataFrame
     vectors: DataFrame
-    index: keyword.Index
+    index: keyword.Index | None = None
 
 
 def question_where(question: str, now: datetime) -> dict:

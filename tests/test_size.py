@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
 from postloom.operators import ann, ingest, keyword
+from postloom.plans import data
 from postloom.sources import accounts
 from postloom.streaming import stateful
 from tests.test_streams import Handle
@@ -140,3 +141,13 @@ def test_terms_are_counted_in_bounded_memory():
     assert done == 9_997 and mb < 8
     rows = [r for b in keyword._counted(batch) for r in b.to_pylist()]
     assert [(r["doc_id"], r["doc_len"], dict(zip(r["terms"], r["tfs"]))) for r in rows] == [(i, len(t or []), dict(Counter(t or []))) for i, t in enumerate(tokens)][3:]
+
+
+@pytest.mark.parametrize("name", ["inbox_summary", "task_counts"])
+def test_what_looks_among_vectors_builds_no_keyword_index(spark, small, name, monkeypatch):
+    def build(*_a, **_k):
+        raise AssertionError("built")
+
+    monkeypatch.setattr(data, "_MADE", {})
+    monkeypatch.setattr(keyword.Index, "build", build)
+    assert __spark_entry__.queries()[name](spark, small).count() > 0
