@@ -30,8 +30,7 @@ class Mailbox:
 
     def search(self, question: str, n: int, **settings) -> DataFrame:
         """The n best hits, found once: as rows of a local table, for what follows reads them several times."""
-        hits = retrieval.retrieve(self.corpus, question, self.embed(question), n, **settings)
-        return self.messages.sparkSession.createDataFrame(hits.collect(), hits.schema)
+        return retrieval.held(retrieval.retrieve(self.corpus, question, self.embed(question), n, **settings))
 
 
 @dataclass(frozen=True)

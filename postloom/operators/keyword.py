@@ -2,7 +2,8 @@
 
 A segment holds the documents of one addition. Its documents are cut in slots of a few hundred of
 about equal length, and its postings in blocks, one for each term and slot, with the
-largest term frequency and the smallest length in the block. A question sums these into an upper
+largest term frequency and the smallest length in the block. A task sorts and cuts its documents in
+runs of bounded size, and a run of slots makes its blocks alone, so postings are never shuffled. A question sums these into an upper
 bound for each slot, scores the most promising slots, and then only those whose bound reaches the
 score of the last hit so far. Adding documents writes a segment of them, removing writes their ids
 and the counts that go with them; statistics are sums over all of these. compact() merges segments of
@@ -14,12 +15,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ LISTED_SLOTS = 2000
 SMALL_DOCS = 100_000
 #: Documents whose terms are counted at once.
 COUNT_ROWS = 256
+#: Documents and postings that a task sorts by length at once, about; where a run ends, a slot ends.
+RUN_ROWS = 16_384
+RUN_POSTS = 2_000_000
 #: Segments of one size (within a factor of TIER) that compact() leaves alone.
 TIER = 4
 
@@ -55,15 +61,81 @@ def _counted(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int64()), terms, tfs], ["doc_id", "doc_len", "terms", "tfs"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from _counted(b)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], slot_log2: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """slot, doc_id, doc_len, terms, tfs of counted documents: sorted by length in runs, and cut in slots from number `first` on."""
+    held, rows, posts = [], 0, 0
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        nonlocal first
+        t = pa.Table.from_batches(held).sort_by([("doc_len", "ascending"), ("doc_id", "ascending")])
+        slots = first + (np.arange(t.num_rows) >> slot_log2)
+        first = int(slots[-1]) + 1
+        yield from t.add_column(0, "slot", pa.array(slots, pa.int64())).to_batches(max_chunksize=COUNT_ROWS)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held, rows, posts = [*held, b], rows + b.num_rows, posts + len(b.column(2).flatten())
+        if rows >= RUN_ROWS or posts >= RUN_POSTS:
+            yield from cut()
+            held, rows, posts = [], 0, 0
+    if held:
+        yield from cut()
+
+
+def _slots_of_blocks(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """term, slot, max_tf, min_len, n, posts of whole slots (slot, doc_id, doc_len, terms, tfs), sorted by term and slot."""
+    t = t.combine_chunks()
+    lists = t["terms"].combine_chunks()
+    doc = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+    if not len(doc):
+        return
+    coded = lists.flatten().dictionary_encode()
+    names = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(names), np.int64)
+    rank[names.to_numpy()] = np.arange(len(names))
+    slots, slot = np.unique(t["slot"].to_numpy(), return_inverse=True)
+    key = rank[coded.indices.to_numpy()] * len(slots) + slot[doc]
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    tf, length = t["tfs"].combine_chunks().flatten().to_numpy()[order], t["doc_len"].to_numpy()[doc]
+    posts = pa.StructArray.from_arrays([t["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(length)], ["doc_id", "tf", "doc_len"])
+    cuts = np.append(starts, len(key))
+    terms = coded.dictionary.take(names).take(pa.array(key[starts] // len(slots))).cast(pa.string())
+    made = [terms, pa.array(slots[key[starts] % len(slots)]), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), posts)]
+    yield from pa.Table.from_arrays(made, ["term", "slot", "max_tf", "min_len", "n", "posts"]).to_batches(max_chunksize=RUN_ROWS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of documents by slot; a slot that goes on in the next batch waits for it."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        slots = t["slot"].to_numpy()
+        whole = int(np.flatnonzero(slots != slots[-1])[-1]) + 1 if slots[0] != slots[-1] else 0
+        if whole:
+            yield from _slots_of_blocks(t.slice(0, whole))
+        rest = t.slice(whole)
+    if rest is not None:
+        yield from _slots_of_blocks(rest)
+
+
+def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts"))
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, doc_len, terms, tfs of each row: tokens are found once, in the JVM, and counted by batch."""
     kind = docs.schema[key].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _counted(b)
-
-    return docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("ts")).mapInArrow(run, f"doc_id {kind.simpleString()}, doc_len long, terms array<string>, tfs array<long>")
+    return _tokens(docs, key, text).mapInArrow(_counts, f"doc_id {kind.simpleString()}, doc_len long, terms array<string>, tfs array<long>")
 
 
 def idf_of(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
@@ -95,7 +167,7 @@ class Index:
         """An index of these documents in the folder `path`, which has none yet."""
         kind = docs.schema[key].dataType.simpleString()
         none = Index(docs.sparkSession, path.rstrip("/"), -1, {"segments": [], "deletes": [], "key": kind, "slot_log2": slot_log2, "n": 0, "tokens": 0, "mean": 0.0})
-        return none._commit([none._segment(term_counts(docs, key, text))], [])
+        return none._commit([none._segment(_tokens(docs, key, text), _counts)], [])
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -106,16 +178,14 @@ class Index:
 
     # --- writing ----------------------------------------------------------------------------------
 
-    def _segment(self, counted: DataFrame) -> dict:
-        """Writes a segment: forward (slot, doc_id, doc_len, terms, tfs), blocks, and terms."""
+    def _segment(self, rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> dict:
+        """Writes a segment: forward (slot, doc_id, doc_len, terms, tfs), blocks, and terms. `count` makes counted documents of the rows, where they aren't yet."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        sorted_ = counted.sortWithinPartitions("doc_len", "doc_id")
-        sorted_.withColumn("slot", F.shiftright(F.monotonically_increasing_id(), self.content["slot_log2"])).write.parquet(f"{at}/forward")
-        forward = self.spark.read.parquet(f"{at}/forward")
-        each = forward.select("slot", "doc_id", "doc_len", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-        blocks = each.groupBy("term", "slot").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("posts"))
-        blocks.sortWithinPartitions("term", "slot").write.parquet(f"{at}/blocks")
+        kind, slot_log2 = self.content["key"], self.content["slot_log2"]
+        rows.mapInArrow(lambda batches: _runs(count(batches), slot_log2, TaskContext.get().partitionId() << 33), f"slot long, doc_id {kind}, doc_len long, terms array<string>, tfs array<long>").write.parquet(f"{at}/forward")
+        forward = self.spark.read.parquet(f"{at}/forward").select("slot", "doc_id", "doc_len", "terms", "tfs")
+        forward.mapInArrow(_blocks, f"term string, slot long, max_tf long, min_len long, n long, posts array<struct<doc_id: {kind}, tf: bigint, doc_len: bigint>>").write.parquet(f"{at}/blocks")
         self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term").write.parquet(f"{at}/terms")
         sizes = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens")).first()
         return {"name": name, "n": sizes["n"], "tokens": sizes["tokens"]}
@@ -131,7 +201,7 @@ class Index:
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
         """The index with those of `docs` whose ids it lacks, as a segment of their own. Nothing else is tokenized or written."""
         fresh = docs.join(self.documents().select(F.col("doc_id").alias(key)), key, "left_anti")
-        made = self._segment(term_counts(fresh, key, text))
+        made = self._segment(_tokens(fresh, key, text), _counts)
         return self._commit([*self.content["segments"], made], self.content["deletes"]) if made["n"] else self
 
     def remove(self, ids: DataFrame, key: str = "doc_id") -> Index:
@@ -198,7 +268,7 @@ class Index:
     def _dfs(self) -> DataFrame:
         """term, df of all terms that documents have: sums over the segments less those of removed documents."""
         more, less = [p.select("term", "df") for p in self._read("segments", "terms")], [p.select("term", (-F.col("df")).alias("df")) for p in self._read("deletes", "terms")]
-        return _union([*more, *less]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        return more[0] if len(more) == 1 and not less else _union([*more, *less]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     @property
     def terms(self) -> DataFrame:

@@ -38,20 +38,21 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
     config.candidates(n) hits of each branch, filtered before they are cut, are fused; if there are
     more than n, they are reranked by `model` (loaded in the task; gets the question and documents),
     or by the overlap of words where there is none, unless `rerank` is false. `above`: only hits of more than this relevance.
-    A filter that leaves no vectors is dropped for that branch.
+    A filter that leaves no vectors is dropped for that branch. The hits of the branches are found at once, as rows of
+    local tables, so that neither vectors nor documents are read again or shuffled for what follows.
     """
     many, keep = config.candidates(n), filters.compile_filter(where)
     ids = corpus.documents.where(keep).select("id") if where else None
     if ids is None:
-        near = search.knn(corpus.vectors, vector, many)
+        near = held(search.knn(corpus.vectors, vector, many))
     else:
-        near = search.knn(corpus.vectors.join(ids, "id", "left_semi"), vector, many)
-        none = near.agg(F.count("*").alias("hits")).where("hits = 0").select("hits")
-        near = near.unionByName(search.knn(corpus.vectors, vector, many).join(F.broadcast(none)).drop("hits"))
+        near = held(search.knn(corpus.vectors.join(ids, "id", "left_semi"), vector, many))
+        if near.isEmpty():
+            near = held(search.knn(corpus.vectors, vector, many))
     words = keyword.bm25(corpus.index, question, many, ids)
-    fused = search.hybrid(near, words, 2 * many, config.rrf_k, config.unscored_relevance)
-    counted = fused.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))  # 2 * many rows at most
-    scored = counted.withColumn("rerank_score", F.lit(None).cast("double")) if not rerank else rerank_scores(counted.join(corpus.documents.select("id", "document"), "id", "left"), question, model)
+    fused = held(search.hybrid(near, words, 2 * many, config.rrf_k, config.unscored_relevance))  # 2 * many rows at most
+    counted = fused.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))
+    scored = counted.withColumn("rerank_score", F.lit(None).cast("double")) if not rerank else rerank_scores(counted.join(documents_of(corpus, fused), "id", "left"), question, model)
     scored = scored.withColumn("rerank_score", F.when(F.col("total") > n, F.col("rerank_score")))
     best = scored.orderBy(F.desc_nulls_last("rerank_score"), F.desc("rrf_score"), "id").limit(n)
     placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank_score"), F.desc("rrf_score"), "id")).cast("long"))
@@ -59,6 +60,16 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
     return hits if above is None else hits.where(F.col("relevance") > above)
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """A top-k as rows of a local table: found once."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def documents_of(corpus: Corpus, hits: DataFrame) -> DataFrame:
+    """id, document of a top-k, whose ids go to the documents: their texts aren't shuffled."""
+    return corpus.documents.select("id", "document").join(F.broadcast(hits.select("id")), "id", "left_semi")
+
+
 def rerank_scores(hits: DataFrame, question: str, model: Callable[[], Callable[[str, list[str]], list[float]]] | None = None, most_chars: int = 1500) -> DataFrame:
     """Adds rerank_score to hits (with `document`). A model reads the first `most_chars` characters, as cross-encoders do; without one, the overlap of words of whole documents counts."""
     if model is None:

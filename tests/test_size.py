@@ -151,3 +151,33 @@ def test_what_looks_among_vectors_builds_no_keyword_index(spark, small, name, mo
     monkeypatch.setattr(data, "_MADE", {})
     monkeypatch.setattr(keyword.Index, "build", build)
     assert __spark_entry__.queries()[name](spark, small).count() > 0
+
+
+def test_blocks_are_made_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    """Slots are whole, of about equal length, and their blocks are those of the postings, also where runs, batches and slots end apart."""
+    monkeypatch.setattr(keyword, "RUN_ROWS", 20)
+    r = random.Random(1)
+    tokens = [[f"t{r.randrange(30)}" for _ in range(r.randrange(40))] for _ in range(103)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i:03}" for i in range(103)]), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "ts"])
+    counted = [b for at in range(0, 103, 7) for b in keyword._counted(batch.slice(at, 7))]
+    slotted = pa.Table.from_batches(keyword._runs(counted, 2, 100))
+    assert sorted(slotted["doc_id"].to_pylist()) == [f"d{i:03}" for i in range(103)] and slotted["slot"].to_pylist() == sorted(slotted["slot"].to_pylist())
+    assert max(Counter(slotted["slot"].to_pylist()).values()) == 4
+    want = {}
+    for row in slotted.to_pylist():
+        for term, tf in zip(row["terms"], row["tfs"]):
+            want.setdefault((term, row["slot"]), []).append((row["doc_id"], tf, row["doc_len"]))
+    rows = [b for part in keyword._blocks(iter(slotted.to_batches(max_chunksize=9))) for b in part.to_pylist()]
+    assert len(rows) == len(want)
+    for b in rows:
+        posts = [tuple(p.values()) for p in b["posts"]]
+        assert sorted(posts) == sorted(want[b["term"], b["slot"]]) and b["n"] == len(posts)
+        assert b["max_tf"] == max(p[1] for p in posts) and b["min_len"] == min(p[2] for p in posts)
+    plans = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *a, f=type(spark.range(0)).mapInArrow: plans.append(f(df, *a)) or plans[-1])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(tokens)], "doc_id long, text string")
+    index = keyword.Index.build(docs, f"{tmp_path}/index")
+    at = f"{tmp_path}/index/segments/{index.content['segments'][0]['name']}"
+    made = [p for p in plans if "posts" in p.columns]
+    assert len(made) == 1 and "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    assert spark.read.parquet(f"{at}/blocks").agg(F.sum("n")).first()[0] == index.postings.count()
