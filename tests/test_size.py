@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
-from postloom.operators import ann, ingest, keyword
+from postloom.operators import ann, ingest, keyword, retrieval
 from postloom.plans import data
 from postloom.sources import accounts
 from postloom.streaming import stateful
@@ -181,3 +181,15 @@ def test_blocks_are_made_without_a_shuffle_of_postings(spark, tmp_path, monkeypa
     made = [p for p in plans if "posts" in p.columns]
     assert len(made) == 1 and "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
     assert spark.read.parquet(f"{at}/blocks").agg(F.sum("n")).first()[0] == index.postings.count()
+
+
+def test_texts_of_hits_are_read_without_a_shuffle(spark):
+    docs = spark.range(5_000).select("id", F.concat(F.lit("text "), "id").alias("document")).repartition(4)
+    hits = retrieval.held(spark.range(0, 5_000, 500).select("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        found = retrieval.documents_of(retrieval.Corpus(docs, None), hits)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and found.count() == 10
