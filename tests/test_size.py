@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
 from postloom.operators import ann, ingest, keyword, retrieval
-from postloom.plans import data
+from postloom.plans import data, feeds
 from postloom.sources import accounts
 from postloom.streaming import stateful
 from tests.test_streams import Handle
@@ -193,3 +193,11 @@ def test_texts_of_hits_are_read_without_a_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and found.count() == 10
+
+
+def test_a_span_is_dealt_to_as_many_files(spark, tmp_path):
+    for n in (0, 1, 3, 500):
+        rows = spark.range(n).select(F.concat(F.lit("m"), "id").alias("message_id"))
+        feeds._written_as(rows, f"{tmp_path}/{n}", 4)
+        sizes = [spark.read.schema(rows.schema).parquet(f).count() for f in spark.read.schema(rows.schema).parquet(f"{tmp_path}/{n}").inputFiles()]
+        assert len(sizes) == 4 and sum(sizes) == n and (n < 500 or max(sizes) < 200)
