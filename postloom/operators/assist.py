@@ -32,6 +32,10 @@ class Mailbox:
         """The n best hits, found once: as rows of a local table, for what follows reads them several times."""
         return retrieval.held(retrieval.retrieve(self.corpus, question, self.embed(question), n, **settings))
 
+    def search_each(self, asks: list[tuple[str, int, bool]], **settings) -> list[DataFrame]:
+        """search() of several (question, n, rerank): the vectors are read once for all of them."""
+        return [retrieval.held(hits) for hits in retrieval.retrieve_each(self.corpus, [(q, self.embed(q), n, rerank) for q, n, rerank in asks], **settings)]
+
 
 @dataclass(frozen=True)
 class Found:
@@ -55,9 +59,9 @@ def united(lists: list[DataFrame]) -> DataFrame:
 
 
 def _with_messages(box: Mailbox, hits: DataFrame, partly: bool = False) -> Found:
-    """`partly`: threads of the first half of the hits only."""
+    """`partly`: threads of the first half of the hits only. The hits' messages are looked up once."""
     kept = hits if "query_no" in hits.columns else hits.withColumn("query_no", F.lit(1))
-    named = kept.select(F.col("id").alias("message_id"), F.col("place").alias("rank")).join(box.messages.select("message_id", "conversation_id"), "message_id")
+    named = retrieval.held(kept.select(F.col("id").alias("message_id"), F.col("place").alias("rank")).join(box.messages.select("message_id", "conversation_id"), "message_id"))
     if partly:  # places of what a threshold left
         named = named.drop("rank").join(search.ranked(named.withColumn("order", -F.col("rank")), "order", "message_id").withColumnRenamed("id", "message_id"), "message_id")
     taken = search.expand_some(box.messages, named) if partly else search.expand_threads(box.messages, named)
@@ -77,7 +81,7 @@ def for_meeting(box: Mailbox, subject: str, attendees: list[str], most_attendees
     if not asks:
         none = box.messages.limit(0)
         return _with_messages(box, none.select(F.col("message_id").alias("id"), F.lit(0.0).alias("relevance"), F.lit(0).alias("query_no"), F.lit(0).cast("long").alias("place")))
-    return _with_messages(box, united([box.search(q, n, rerank=rerank, **settings) for q, n, rerank in asks]))
+    return _with_messages(box, united(box.search_each(asks, **settings)))
 
 
 def for_research(box: Mailbox, topic: str, n: int = 50, **settings) -> Found:

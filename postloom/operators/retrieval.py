@@ -41,14 +41,31 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
     A filter that leaves no vectors is dropped for that branch. The hits of the branches are found at once, as rows of
     local tables, so that neither vectors nor documents are read again or shuffled for what follows.
     """
-    many, keep = config.candidates(n), filters.compile_filter(where)
+    return retrieve_each(corpus, [(question, vector, n, rerank)], where, config, model, above)[0]
+
+
+def retrieve_each(corpus: Corpus, asks: list[tuple[str, list[float], int, bool]], where: dict | None = None, config: Config = Config(), model: Callable[[], Callable[[str, list[str]], list[float]]] | None = None, above: float | None = None) -> list[DataFrame]:
+    """retrieve() of several (question, vector, n, rerank): the vectors are read once for all of them."""
+    keep = filters.compile_filter(where)
     ids = corpus.documents.where(keep).select("id") if where else None
-    if ids is None:
-        near = held(search.knn(corpus.vectors, vector, many))
-    else:
-        near = held(search.knn(corpus.vectors.join(ids, "id", "left_semi"), vector, many))
-        if near.isEmpty():
-            near = held(search.knn(corpus.vectors, vector, many))
+    queries = [(vector, config.candidates(n)) for _, vector, n, _ in asks]
+    near = nearest(corpus.vectors if ids is None else corpus.vectors.join(ids, "id", "left_semi"), queries)
+    if ids is not None and all(h.isEmpty() for h in near):
+        near = nearest(corpus.vectors, queries)
+    return [_placed(corpus, question, h, n, ids, config, model, above, rerank) for (question, _, n, rerank), h in zip(asks, near)]
+
+
+def nearest(vectors: DataFrame, queries: list[tuple[list[float], int]]) -> list[DataFrame]:
+    """Of each (vector, n): the n nearest, held. Several are found in one pass over the vectors."""
+    if len(queries) == 1:
+        return [held(search.knn(vectors, *queries[0]))]
+    every = held(search.knn_each(vectors, [q for q, _ in queries], max(n for _, n in queries)))
+    return [every.where((F.col("query_no") == i) & (F.col("place") <= n)).select("id", "distance", "relevance") for i, (_, n) in enumerate(queries)]
+
+
+def _placed(corpus: Corpus, question: str, near: DataFrame, n: int, ids: DataFrame | None, config: Config, model: Callable[[], Callable[[str, list[str]], list[float]]] | None, above: float | None, rerank: bool) -> DataFrame:
+    """The n best hits of a question, from the nearest vectors and its words."""
+    many = config.candidates(n)
     words = keyword.bm25(corpus.index, question, many, ids)
     fused = held(search.hybrid(near, words, 2 * many, config.rrf_k, config.unscored_relevance))  # 2 * many rows at most
     counted = fused.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))
@@ -61,8 +78,8 @@ def retrieve(corpus: Corpus, question: str, vector: list[float], n: int, where:
 
 
 def held(hits: DataFrame) -> DataFrame:
-    """A top-k as rows of a local table: found once."""
-    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+    """A top-k as rows of a local table: found once. Spark knows how few they are, so joins send them to the large side."""
+    return hits.sparkSession.createDataFrame(hits.toArrow(), hits.schema)
 
 
 def documents_of(corpus: Corpus, hits: DataFrame) -> DataFrame:

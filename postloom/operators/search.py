@@ -20,6 +20,14 @@ def knn(vectors: DataFrame, query: list[float], n: int, where: Column | None = N
     return scored.orderBy(F.desc("relevance"), "id").limit(n).select("id", F.round(1 - F.col("relevance"), 6).alias("distance"), "relevance")
 
 
+def knn_each(vectors: DataFrame, queries: list[list[float]], n: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """knn() of several queries in one pass over the vectors: query_no (from 0), id, distance, relevance, place (from 1). A task hands on the n best of each."""
+    near = F.array(*[F.struct(F.lit(i).alias("query_no"), F.round(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in q])), 6).alias("relevance")) for i, q in enumerate(queries)])
+    scored = vectors.select(F.col(key).alias("id"), F.inline(near)).where("relevance is not null")
+    placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("relevance"), "id"))).where(F.col("place") <= n)
+    return placed.select("query_no", "id", F.round(1 - F.col("relevance"), 6).alias("distance"), "relevance", "place")
+
+
 def knn_or_all(vectors: DataFrame, query: list[float], n: int, where: Column, **names) -> DataFrame:
     """knn(); if the filter leaves nothing, without it."""
     hits = knn(vectors, query, n, where, **names)
@@ -58,10 +66,9 @@ def rerank(hits: DataFrame, question: str, n: int, text: str = "text", key: str
 
 
 def expand_threads(messages: DataFrame, hits: DataFrame) -> DataFrame:
-    """All messages of the hits' threads, and hits without a thread; each once. `hits`: message_id, conversation_id."""
-    threads = hits.where("coalesce(conversation_id, '') <> ''").select("conversation_id").distinct()
-    alone = hits.where("coalesce(conversation_id, '') = ''").select("message_id").distinct()
-    return messages.join(threads, "conversation_id", "left_semi").unionByName(messages.where("coalesce(conversation_id, '') = ''").join(alone, "message_id", "left_semi")).dropDuplicates(["message_id"])
+    """All messages of the hits' threads, and hits without a thread; each once, in one pass over the messages. `hits`: message_id, conversation_id."""
+    key = F.when(F.coalesce("conversation_id", F.lit("")) != "", F.concat(F.lit("thread:"), "conversation_id")).otherwise(F.concat(F.lit("message:"), "message_id")).alias("taken_by")
+    return messages.select("*", key).join(hits.select(key).distinct(), "taken_by", "left_semi").drop("taken_by").dropDuplicates(["message_id"])
 
 
 def expand_some(messages: DataFrame, hits: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
-from postloom.operators import ann, ingest, keyword, retrieval
+from postloom.operators import ann, ingest, keyword, retrieval, search
 from postloom.plans import data, feeds
 from postloom.sources import accounts
 from postloom.streaming import stateful
@@ -201,3 +201,42 @@ def test_a_span_is_dealt_to_as_many_files(spark, tmp_path):
         feeds._written_as(rows, f"{tmp_path}/{n}", 4)
         sizes = [spark.read.schema(rows.schema).parquet(f).count() for f in spark.read.schema(rows.schema).parquet(f"{tmp_path}/{n}").inputFiles()]
         assert len(sizes) == 4 and sum(sizes) == n and (n < 500 or max(sizes) < 200)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_held_rows_are_known_to_be_few(spark):
+    held = retrieval.held(spark.range(0, 5_000, 500).select("id", F.lit(None).cast("double").alias("score")))
+    assert "LocalTableScan" in _plan(held) and held.schema.simpleString() == "struct<id:bigint,score:double>" and held.count() == 10
+    assert "BroadcastHashJoin" in _plan(spark.range(5_000).join(held, "id"))
+
+
+def test_several_questions_read_the_vectors_once(spark, monkeypatch):
+    """Also with ties, a row without length, and another number of hits for each."""
+    rng = np.random.default_rng(2)
+    rows = [(i, r.tolist()) for i, r in enumerate(np.concatenate([rng.normal(size=(40, 4)).round(1), np.ones((9, 4)), np.zeros((1, 4))]))]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries = [([1.0, 0.0, 0.5, 2.0], 5), ([1.0, 1.0, 1.0, 1.0], 12), ([-1.0, 2.0, 0.0, 0.0], 60)]
+    want = [search.knn(vectors, *q).collect() for q in queries]
+    asked = []
+    monkeypatch.setattr(search, "knn", None)
+    monkeypatch.setattr(search, "knn_each", lambda *a, f=search.knn_each: asked.append(a) or f(*a))
+    got = retrieval.nearest(vectors, queries)
+    assert [h.orderBy(F.desc("relevance"), "id").collect() for h in got] == want and len(want[2]) == 49 and len(asked) == 1
+
+
+def test_vectors_of_messages_are_joined_in_many_tasks(spark, small):
+    """The messages name few vectors, which lie in one file: sent to the vectors, all would meet in its task."""
+    plan = _plan(data._message_vectors(spark.range(40).selectExpr("'m' || id AS message_id", "id AS conv_id", "0L AS turn"), spark, small))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_threads_are_taken_in_one_pass(spark):
+    rows = [("a", "t"), ("b", "t"), ("c", ""), ("d", None), ("e", "u"), (None, ""), ("thread:t", "")]
+    messages = spark.createDataFrame(rows, "message_id string, conversation_id string")
+    hits = retrieval.held(messages.where("message_id in ('a', 'd', 'thread:t') or message_id is null"))
+    taken = search.expand_threads(messages, hits)
+    assert _plan(taken).count("Scan ExistingRDD") == 1
+    assert sorted(r["message_id"] for r in taken.collect()) == ["a", "b", "d", "thread:t"]
