@@ -136,9 +136,9 @@ def pair_threads(messages: DataFrame) -> DataFrame:
 
 
 def person_pairs(messages: DataFrame, with_threads: bool = False) -> DataFrame:
-    """src < dst, weight (threads of both), replies, quotes; and thread_ids (sorted) if asked for. pair_threads() has the threads as rows."""
+    """src < dst, weight (threads of both), replies, quotes (messages whose document holds a '>' anywhere); and thread_ids (sorted) if asked for. pair_threads() has the threads as rows."""
     ids = [F.sort_array(F.collect_list("conversation_id")).alias("thread_ids")] if with_threads else []
-    return pair_threads(messages).join(thread_counts(messages), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"), *ids)
+    return pair_threads(messages).join(thread_counts(messages, None), "conversation_id").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("replies").alias("replies"), F.sum("quotes").alias("quotes"), *ids)
 
 
 def _topic_threads(messages: DataFrame, persons: DataFrame, topic_nodes: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def edge_widths(edges: DataFrame, most: float = 8.0) -> DataFrame:
 
 @dataclass(frozen=True)
 class EdgeView:
-    """Edges between people, kept up batch by batch: each batch adds its new members of threads, its counts by thread, and signed changes of edges, made of the threads it touches only. Edges are the sums of the changes."""
+    """Edges between people, kept up batch by batch: each batch adds its new members of threads, its counts by thread, and signed changes of edges, made of the threads it touches only. Edges are the sums of the changes. Quotes are those of thread_counts() by default, in the first 200 characters; person_pairs() looks at whole documents."""
 
     spark: SparkSession
     path: str

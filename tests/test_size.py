@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokenize
-from postloom.operators import ann, ingest, keyword, retrieval, search
+from postloom.operators import ann, graph, ingest, keyword, retrieval, search
 from postloom.plans import data, feeds
 from postloom.sources import accounts
 from postloom.streaming import stateful
@@ -73,6 +73,23 @@ def test_edges_name_their_threads(spark, small, name):
     assert any(threads) and [len(t) for t in threads] == [r["weight" if name == "edges_person_person" else "threads"] for r in rows]
 
 
+def test_edges_count_quotes_of_whole_texts(spark, tmp_path):
+    """Two threads: the '>' of the first comes after 5,000 characters and in an answer behind them, the second has none."""
+    import duckdb
+
+    long, at = "word " * 1000, f"{tmp_path}/conversations.parquet"
+    turns = [(1, 0, "user", f"{long}> old text"), (1, 1, "assistant", long), (2, 0, "user", long), (2, 2, "assistant", long)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(at)
+    got = __spark_entry__.queries()["edges_person_person"](spark, str(tmp_path))
+    assert sorted(r["quotes"] for r in got.collect()) == [0, 2]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{at}/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["edges_person_person"])
+    assert sorted(map(tuple, got.select(*[d[0] for d in want.description]).collect())) == sorted(want.fetchall())
+    m = spark.createDataFrame([("t", f"p{i}@x", f"m{i}", "", False, "." * 10**i + ">") for i in range(6)], "conversation_id string, sender string, message_id string, email_type string, is_replied boolean, document string")
+    assert {r["quotes"] for r in graph.person_pairs(m).collect()} == {6}
+
+
 @pytest.mark.parametrize("name", ["bm25_term_stats", "bm25_incremental"])
 def test_each_term_has_its_statistics(spark, small, name):
     rows = {r["term"]: r for r in __spark_entry__.queries()[name](spark, small).collect()}
